@@ -58,8 +58,8 @@ def drop_scratch(df: DataFrame) -> None:
 
 _R = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -86,7 +86,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes."""
+    up, down = _power_tables(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts]) if len(starts) else np.empty(0, np.uint64)
+
+
+def word_hashes(raw: bytes, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends) of the maximal runs of bytes that ``space`` doesn't mark."""
     buf = np.frombuffer(raw, np.uint8)
     if not len(buf):
@@ -95,10 +103,7 @@ def word_hashes(raw: bytes, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.
     inside[1:-1] = ~space[buf]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power_tables(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] if len(starts) else np.empty(0, np.uint64)), starts, ends
+    return span_hashes(buf, starts, ends), starts, ends
 
 
 def word_groups(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -145,7 +150,7 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
             acc = np.zeros(1, np.uint64)
             for w in range(len(whole)):
                 acc = mix64(acc * np.uint64(0xD6E8FEB86659FD93) + whole[w : w + 1] + np.uint64(w + 1))
-            extra[j] = mix64(acc + np.uint64(len(whole)) * np.uint64(0xA24BAED4963EE407))[0]
+            extra[j] = mix64(acc + np.uint64(len(whole) * 0xA24BAED4963EE407 % 2**64))[0]
         value, rows = np.concatenate([value, extra]), np.concatenate([rows, short])
     order = np.lexsort((value, rows))
     value, rows = value[order], rows[order]

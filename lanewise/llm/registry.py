@@ -8,9 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.ann import op1_ann
 from lanewise.llm.chat import op2_chat
+from lanewise.llm.decontam import op7_decontaminate
+from lanewise.llm.htmltext import op9_htmltext
+from lanewise.llm.langid import op8_langid
+from lanewise.llm.licenses import op6_licenses
 from lanewise.llm.neardup import op4_neardup
+from lanewise.llm.packing import op5_packing
+from lanewise.llm.pii import op10_pii
 from lanewise.llm.secrets import op3_secrets
 
+OPERATORS = (op1_ann, op2_chat, op3_secrets, op4_neardup, op5_packing, op6_licenses, op7_decontaminate, op8_langid, op9_htmltext, op10_pii)
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
@@ -20,7 +28,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_chat, op3_secrets, op4_neardup)}
+    return {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
 
 
 _CHAT = r"""
