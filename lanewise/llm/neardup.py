@@ -10,11 +10,14 @@ and m = 18 this is 5e-6. Rows are shuffled by A_i alone, carrying their B groups
 only rows whose A_i occurs twice pair up with the B_j inside their partition. So m, not
 m * m, rows are shuffled for each distinct set.
 
-*Confirm.* Each key's members are compared with the key's smallest id first, on full
-sets. Then, in keys whose members aren't all tied to that member by a confirmed link,
-every stray is compared with every member that isn't known to be tied to it. A group of
-n copies thus costs about n comparisons, not n * n, yet no candidate pair is left
-unconfirmed unless its two members are already connected.
+*Confirm.* Links are confirmed on full sets, in three rounds. First, each key's members
+meet the key's first member; three orders of ids take turns over the keys, so a document
+meets a few centers. Second, in keys whose members aren't all connected yet, each member
+outside the key's largest component (a stray) meets one random member of it. Third, each
+stray that is left meets every member of its keys that it isn't connected with, unless
+their sketches agree in fewer than LEAST_AGREE groups, which two sets of similarity 0.8
+do with a probability below 1e-5. A group of n near copies costs some n comparisons, not
+n * n, and no candidate pair is left out but those already connected.
 
 *Group.* Components are the smallest id reachable over confirmed links.
 
@@ -27,13 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import drop_scratch, mix64, read_table, shingle_sets, word_groups, write_scratch
 
 #: Groups in a collection (m) and minhashes in a group (r).
 GROUPS, MINHASHES = 18, 3
+#: Of all groups of two documents that are compared exhaustively, so many must agree.
+LEAST_AGREE = 6
+#: Lanes of a packed sketch: four of 15 bits in a 64-bit number.
+_LANE, _LANES = 15, 4
+_LOW, _HIGH = (sum(v << (_LANE * i) for i in range(_LANES)) for v in ((1 << (_LANE - 1)) - 1, 1 << (_LANE - 1)))
 
 
 def _multipliers(count: int, seed: int) -> np.ndarray:
@@ -65,17 +73,38 @@ def sketch_batch(texts: list[str | None], words: int, groups: int, minhashes: in
     return size, whole, band
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(values.reshape(-1)))
+
+
+def packed(band: np.ndarray) -> np.ndarray:
+    """Short forms of all groups, four to a number."""
+    lanes = (band & np.uint64((1 << _LANE) - 1)).astype(np.int64)
+    lanes = np.pad(lanes, ((0, 0), (0, -lanes.shape[1] % _LANES)))
+    return sum(lanes[:, i::_LANES] << (_LANE * i) for i in range(_LANES))
+
+
+def agreement(p: list, q: list):
+    """In how many groups two packed sketches agree, as a column."""
+    total = F.lit(0)
+    for x, y in zip(p, q, strict=True):
+        d = x.bitwiseXOR(y)
+        nonzero = (d.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(d).bitwiseAND(F.lit(_HIGH))
+        total = total + F.lit(_LANES) - F.bit_count(nonzero)
+    return total
+
+
 def _sketches(docs: DataFrame, words: int, groups: int, minhashes: int, seed: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, whole, band = sketch_batch(b["text"].to_pylist(), words, groups, minhashes, seed)
-            a = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(size) + 1) * groups, groups, dtype=np.int32)), pa.array(band[:, :groups].reshape(-1).view(np.int64)))
             # A B group is a further key within an A key: 32 bits of it suffice.
             low = (band[:, groups:] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            bb = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(size) + 1) * groups, groups, dtype=np.int32)), pa.array(low.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), a, bb], ["doc_id", "n", "h1", "h2", "a", "b"])
+            columns = [pa.array(size), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), _lists(band[:, :groups].view(np.int64)), _lists(low), _lists(packed(band))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["doc_id", "n", "h1", "h2", "a", "b", "lanes"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<int>")
+    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<int>, lanes array<long>")
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -110,29 +139,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").mapInArrow(work, "x long, y long")
 
 
-def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """(id, component) for the ids of ``links`` (x, y); component is the smallest id reachable.
 
-    Each round every id takes the smallest label next to it and then its label's label;
-    labels fall along a path by doubling steps. Labels are written once a round; the
-    loop ends when none changes.
+    Each round every id takes the smallest label next to it and then its label's label,
+    so labels fall along a path by growing steps. Labels are written once a round, and the
+    loop ends when none changes. With ``rounds`` it ends after so many: ids with equal
+    labels are then connected, but connected ids may have different ones.
     """
     both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y")
     edges = write_scratch(both.dropDuplicates(["x", "y"]), f"{name}-edges")
     labels = write_scratch(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "id"), f"{name}-labels")
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
         near = edges.join(labels.select(F.col("id").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
         hop = labels.join(near, labels["id"] == near["x"]).select("id", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("id").alias("l"), F.col("l").alias("far"))
-        after = hop.join(jump, "l", "left").select("id", "was", F.least("l", F.coalesce("far", "l")).alias("l"))
-        new = write_scratch(after, f"{name}-labels")
+        new = write_scratch(hop.join(jump, "l", "left").select("id", "was", F.least("l", F.coalesce("far", "l")).alias("l")), f"{name}-labels")
         changed = not new.where("l != was").isEmpty()
         drop_scratch(labels)
-        labels = new
+        labels, rounds = new, rounds and rounds - 1
         if not changed:
             break
-    else:
-        raise RuntimeError("components: labels still changed after the last round")
     drop_scratch(edges)
     return labels.select("id", F.col("l").alias("component"))
 
@@ -160,44 +187,54 @@ def near_duplicates(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     sketches = write_scratch(_sketches(source, words, groups, minhashes, seed), "dup-sketches")
     # One member for each distinct set: partial minima, so the largest class of copies is one row a task.
-    classes = sketches.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "a", "b"), "doc_id").alias("s"))
+    classes = sketches.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "a", "b", "lanes"), "doc_id").alias("s"))
     classes = write_scratch(classes.select("h1", "h2", "id", "s.*"), "dup-classes")
 
-    # Rows that share some A_i. Sizes must be within the similarity of each other, exactly.
-    fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    member = classes.select("id", "n", "b", F.posexplode("a").alias("i", "akey"))
-    member = member.withColumn("akey", F.xxhash64("i", "akey")).select("akey", "id", "n", "b")
-    shared = member.groupBy("akey").agg(F.count("*").alias("c")).where("c > 1").select("akey")
-    member = member.join(shared, "akey", "left_semi")
-    keyed = member.select("akey", F.posexplode("b").alias("j", "bkey"), "id", "n")
-    in_key = Window.partitionBy("akey", "j", "bkey")
-    keyed = keyed.withColumn("center", F.min(F.struct("id", "n")).over(in_key))
-    stars = keyed.where((F.col("id") != F.col("center.id")) & fits(F.col("n"), F.col("center.n"))).select(F.col("center.id").alias("x"), F.col("id").alias("y"))
-    stars = write_scratch(stars.dropDuplicates(["x", "y"]), "dup-stars")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).dropDuplicates()
-        wanted = source.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        return _full_sets(wanted, words)
-
-    links = write_scratch(_confirmed(stars, sets_of(stars), percent), "dup-links")
-
-    # Strays: members that no confirmed link ties to the others of their key.
-    label = links.groupBy(F.col("y").alias("id")).agg(F.min("x").alias("label"))
-    labelled = classes.select("id", "n", "a", "b").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    member = labelled.select("id", "n", "b", "label", F.posexplode("a").alias("i", "akey"))
-    member = member.withColumn("akey", F.xxhash64("i", "akey")).select("akey", "id", "n", "b", "label")
-    mixed = member.groupBy("akey").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("akey")
-    keyed = member.join(mixed, "akey", "left_semi").select("akey", F.posexplode("b").alias("j", "bkey"), "id", "n", "label")
-    keyed = keyed.select(F.xxhash64("akey", "j", "bkey").alias("key"), "id", "n", "label")
-    mains = keyed.groupBy("key").agg(F.min_by("label", "id").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key", "main")
-    keyed = write_scratch(keyed.join(mains, "key"), "dup-mixed")
-    stray = keyed.where("label != main").select("key", F.col("id").alias("sid"), F.col("n").alias("sn"), F.col("label").alias("sl"))
-    rest = stray.join(keyed, "key").where((F.col("label") != F.col("sl")) & fits(F.col("n"), F.col("sn")) & ((F.col("label") == F.col("main")) | (F.col("sid") < F.col("id"))))
-    rest = rest.select(F.least("id", "sid").alias("x"), F.greatest("id", "sid").alias("y")).dropDuplicates(["x", "y"])
-    rest = write_scratch(rest.join(stars, ["x", "y"], "left_anti"), "dup-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, sets_of(rest), percent))
+    fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)  # noqa: E731  sizes alone rule the others out
+    # Documents that share some A_i; only they carry their B groups on.
+    narrow = classes.select("id", F.posexplode("a").alias("i", "ai")).select("id", "i", F.xxhash64("i", "ai").alias("akey"))
+    narrow = narrow.join(narrow.groupBy("akey").agg(F.count("*").alias("c")).where("c > 1"), "akey", "left_semi")
+    keyed = narrow.join(classes.select("id", "n", "b"), "id").select("akey", "i", F.posexplode("b").alias("j", "bj"), "id", "n")
+    keyed = keyed.select(F.xxhash64("akey", "j", "bj").alias("key"), F.pmod("i", F.lit(3)).alias("turn"), "id", "n")
+    order = F.when(F.col("turn") == 0, F.col("id")).otherwise(F.xxhash64("id", "turn"))
+    centers = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), order).alias("center")).where("c > 1").select("key", "center")
+    keys = write_scratch(keyed.join(centers, "key").select("key", "id", "n", "center"), "dup-keys")
+    sets = write_scratch(_full_sets(source.join(keys.select(F.col("id").alias("doc_id")).dropDuplicates(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), words), "dup-sets")
+
+    def ordered(pairs: DataFrame, x, y, name: str) -> DataFrame:
+        return write_scratch(pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).dropDuplicates(["x", "y"]), name)
+
+    first = ordered(keys.where((F.col("id") != F.col("center.id")) & fits(F.col("n"), F.col("center.n"))), F.col("id"), F.col("center.id"), "dup-pairs")
+    links = write_scratch(_confirmed(first, sets, percent), "dup-links")
+
+    def strays(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Keys' members with their labels where labels differ, and each key's main label, that of the largest component."""
+        label = components(links, "dup", rounds=3)
+        label = write_scratch(label.join(label.groupBy("component").agg(F.count("*").alias("many")), "component").select("id", F.col("component").alias("label"), "many"), "dup-label")
+        member = keys.select("key", "id", "n").join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("many", F.lit(1)).alias("many"))
+        main = member.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return member, main.where("lo != hi").select("key", "main")
+
+    member, main = strays(links)
+    mixed = write_scratch(member.join(main, "key").select("key", "id", "n", "label", "main"), "dup-mixed")
+    pick = mixed.where("label = main").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("p"))
+    second = mixed.where("label != main").join(pick, "key").where(fits(F.col("n"), F.col("p.n")))
+    second = write_scratch(ordered(second, F.col("id"), F.col("p.id"), "dup-pairs").join(first, ["x", "y"], "left_anti"), "dup-pairs")
+    links = write_scratch(links.unionByName(_confirmed(second, sets, percent)), "dup-links")
+
+    member, main = strays(links)
+    sketch = classes.select("id", *[F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(-(-2 * groups // _LANES))])
+    lanes = sketch.columns[1:]
+    mixed = write_scratch(member.join(main, "key").join(sketch, "id").select("key", "id", "n", "label", "main", *lanes), "dup-mixed")
+    stray = mixed.where("label != main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", *lanes)])
+    third = stray.join(mixed, "key").where(
+        (F.col("label") != F.col("x_label"))
+        & fits(F.col("n"), F.col("x_n"))
+        & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
+        & (agreement([F.col(f"x_{c}") for c in lanes], [F.col(c) for c in lanes]) >= LEAST_AGREE + -2 * groups % _LANES)
+    )
+    third = ordered(third, F.col("id"), F.col("x_id"), "dup-pairs").join(first, ["x", "y"], "left_anti").join(second, ["x", "y"], "left_anti")
+    links = links.unionByName(_confirmed(third, sets, percent))
 
     reached = components(links, "dup")
     grouped = classes.select("h1", "h2", "id").join(reached, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
