@@ -46,6 +46,8 @@ from lanewise.llm.common import read_table, write_scratch
 SAMPLE_ROWS = 32_768
 #: Rows of a packed block, at most.
 BLOCK_ROWS = 2_048
+#: Rows of partial results that a task holds, at most.
+BUFFER_ROWS = 1_000_000
 
 
 class Forest:
@@ -229,6 +231,9 @@ def nearest_neighbours(
     meet = blocks.join(asked.select("leaf", F.col("points").alias("q"), F.col("vectors").alias("qv")), "leaf")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's nearest points in this task's leaves: partial results are merged in a buffer of bounded size."""
+        held: list[tuple] = []
+        rows = 0
         for b in batches:
             for points, vectors, q, qv in zip(*(b[c] for c in ("points", "vectors", "q", "qv")), strict=True):
                 ids, queries = points.values.to_numpy(), q.values.to_numpy()
@@ -240,7 +245,16 @@ def nearest_neighbours(
                     best = np.argpartition(-rough, top - 1, axis=1)[:, :top]
                     at = np.repeat(np.arange(lo, lo + len(rough)), top)
                     exact = inner_products(y[at], x[best.reshape(-1)])
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[at]), pa.array(ids[best.reshape(-1)]), pa.array(exact)], ["query", "point", "score"])
+                    held.append((queries[at], ids[best.reshape(-1)], exact))
+                    rows += len(exact)
+                if rows > BUFFER_ROWS:
+                    held = [nearest(held, k + 4)]
+                    rows = len(held[0][0])
+                    if rows > BUFFER_ROWS // 2:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["query", "point", "score"])
+                        held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, nearest(held, k + 4))), ["query", "point", "score"])
 
     found = meet.mapInArrow(score, "query long, point long, score double").dropDuplicates(["query", "point"])
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "point")
@@ -265,6 +279,19 @@ def nearest_neighbours(
     )
 
 
+def nearest(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, point, score) rows each query's ``k`` best distinct points, ties to smaller ids."""
+    query, point, score = map(np.concatenate, zip(*parts, strict=True))
+    order = np.lexsort((point, -score, query))
+    query, point, score = query[order], point[order], score[order]
+    keep = np.ones(len(query), bool)
+    keep[1:] = (query[1:] != query[:-1]) | (point[1:] != point[:-1])  # a point's score is the same wherever it was met
+    query, point, score = query[keep], point[keep], score[keep]
+    first = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - first < k
+    return query[keep], point[keep], score[keep]
+
+
 def _blocks(leaf: int, parts: list) -> Iterator[pa.RecordBatch]:
     ids, v = np.concatenate([p for p, _ in parts]), np.concatenate([v for _, v in parts])
     for lo in range(0, len(ids), BLOCK_ROWS):
