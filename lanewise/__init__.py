@@ -1,0 +1 @@
+"""Track-observation analytics and dataset governance as Spark jobs."""
