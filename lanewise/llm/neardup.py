@@ -10,14 +10,17 @@ and m = 18 this is 5e-6. Rows are shuffled by A_i alone, carrying their B groups
 only rows whose A_i occurs twice pair up with the B_j inside their partition. So m, not
 m * m, rows are shuffled for each distinct set.
 
-*Confirm.* Links are confirmed on full sets, in three rounds. First, each key's members
+*Confirm.* Links are confirmed on full sets, in two rounds. First, each key's members
 meet the key's first member; three orders of ids take turns over the keys, so a document
-meets a few centers. Second, in keys whose members aren't all connected yet, each member
-outside the key's largest component (a stray) meets one random member of it. Third, each
-stray that is left meets every member of its keys that it isn't connected with, unless
-their sketches agree in fewer than LEAST_AGREE groups, which two sets of similarity 0.8
-do with a probability below 1e-5. A group of n near copies costs some n comparisons, not
-n * n, and no candidate pair is left out but those already connected.
+meets a few centers. Members that are then not connected with the largest component of a
+key of theirs are strays. Second, each stray meets every document of these keys that it
+isn't connected with and with which it shares a rare shingle: two sets of the wanted
+similarity have an overlap of at least ``o = ceil(s / (1 + s) * (n + m))``, so the first
+shingle that they share, in any one order of all shingles, is among the first
+``n - o + 1`` and ``m - o + 1``. This loses nothing, while documents that only share a common
+passage don't meet. Their sketches must also agree in LEAST_AGREE groups, which
+two sets of similarity 0.8 fail with a probability below 1e-5. A group of n near copies
+so costs some n comparisons, not n * n.
 
 *Group.* Components are the smallest id reachable over confirmed links.
 
@@ -39,6 +42,8 @@ from lanewise.llm.common import drop_scratch, mix64, read_table, shingle_sets, w
 GROUPS, MINHASHES = 18, 3
 #: Of all groups of two documents that are compared exhaustively, so many must agree.
 LEAST_AGREE = 6
+#: Cells in which the second round counts how frequent shingles are.
+COUNTERS = 1 << 19
 #: Lanes of a packed sketch: four of 15 bits in a 64-bit number.
 _LANE, _LANES = 15, 4
 _LOW, _HIGH = (sum(v << (_LANE * i) for i in range(_LANES)) for v in ((1 << (_LANE - 1)) - 1, 1 << (_LANE - 1)))
@@ -139,6 +144,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").mapInArrow(work, "x long, y long")
 
 
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, shingle, place from 1): the first shingles of each set, rarest first, of which two similar sets share at least one.
+
+    The order is the number of sets that hold the shingle, counted in COUNTERS cells, then
+    its hash. Cells are summed in each task, so what is gathered is bounded by COUNTERS.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for e in b["elements"]:
+                np.add.at(cells, (np.frombuffer(e.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+
+    cells = np.zeros(COUNTERS, np.int64)
+    got = sets.select("elements").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells[got["cell"].to_numpy()] = got["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(cells)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out, place = [], [], []
+            for i, e in zip(b["id"].to_pylist(), b["elements"], strict=True):
+                x = np.frombuffer(e.as_buffer(), np.uint64)
+                first = len(x) - -(-percent * len(x) // 100) + 1
+                order = np.lexsort((x, shared.value[(x % np.uint64(COUNTERS)).astype(np.int64)]))[:first]
+                out.append(x[order].view(np.int64))
+                ids.append(np.full(len(order), i, np.int64))
+                place.append(np.arange(1, len(order) + 1))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, out, place)], ["id", "shingle", "place"])
+
+    return sets.mapInArrow(work, "id long, shingle long, place long")
+
+
 def components(links: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """(id, component) for the ids of ``links`` (x, y); component is the smallest id reachable.
 
@@ -216,25 +257,22 @@ def near_duplicates(
         return member, main.where("lo != hi").select("key", "main")
 
     member, main = strays(links)
-    mixed = write_scratch(member.join(main, "key").select("key", "id", "n", "label", "main"), "dup-mixed")
-    pick = mixed.where("label = main").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("p"))
-    second = mixed.where("label != main").join(pick, "key").where(fits(F.col("n"), F.col("p.n")))
-    second = write_scratch(ordered(second, F.col("id"), F.col("p.id"), "dup-pairs").join(first, ["x", "y"], "left_anti"), "dup-pairs")
-    links = write_scratch(links.unionByName(_confirmed(second, sets, percent)), "dup-links")
-
-    member, main = strays(links)
-    sketch = classes.select("id", *[F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(-(-2 * groups // _LANES))])
-    lanes = sketch.columns[1:]
-    mixed = write_scratch(member.join(main, "key").join(sketch, "id").select("key", "id", "n", "label", "main", *lanes), "dup-mixed")
-    stray = mixed.where("label != main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", *lanes)])
-    third = stray.join(mixed, "key").where(
+    mixed = member.join(main, "key").groupBy("id").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("stray"), F.first("label").alias("label"))
+    mixed = write_scratch(mixed.join(classes.select("id", "n", *[F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(-(-2 * groups // _LANES))]), "id"), "dup-mixed")
+    lanes = mixed.columns[4:]
+    rare = _rarest(sets.join(mixed.select("id"), "id", "left_semi"), percent).join(mixed, "id")
+    stray = rare.where("stray = 1").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "label", "place", *lanes)])
+    overlap = F.ceil(percent * (F.col("n") + F.col("x_n")) / (100 + percent))
+    second = stray.join(rare, "shingle").where(
         (F.col("label") != F.col("x_label"))
         & fits(F.col("n"), F.col("x_n"))
-        & ((F.col("label") == F.col("main")) | (F.col("x_id") < F.col("id")))
+        & (F.col("place") <= F.col("n") - overlap + 1)
+        & (F.col("x_place") <= F.col("x_n") - overlap + 1)
+        & ((F.col("stray") == 0) | (F.col("x_id") < F.col("id")))
         & (agreement([F.col(f"x_{c}") for c in lanes], [F.col(c) for c in lanes]) >= LEAST_AGREE + -2 * groups % _LANES)
     )
-    third = ordered(third, F.col("id"), F.col("x_id"), "dup-pairs").join(first, ["x", "y"], "left_anti").join(second, ["x", "y"], "left_anti")
-    links = links.unionByName(_confirmed(third, sets, percent))
+    second = ordered(second, F.col("id"), F.col("x_id"), "dup-pairs").join(first, ["x", "y"], "left_anti")
+    links = links.unionByName(_confirmed(second, sets, percent))
 
     reached = components(links, "dup")
     grouped = classes.select("h1", "h2", "id").join(reached, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
