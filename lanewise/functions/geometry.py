@@ -39,7 +39,7 @@ def bbox_area_normalized(b, width: Column, height: Column) -> Column:
 
 def size_bin(area: Column) -> Column:
     """SMALL below 0.01, MEDIUM below 0.09, else LARGE, of the frame's area."""
-    return F.when(area < 0.01, "SMALL_LT_0.01").when(area < 0.09, "MEDIUM_0.01_TO_0.09").otherwise("LARGE_GTE_0.09")
+    return F.when(area < 0.01, "SMALL_LT_0.01").when(area < 0.09, "MEDIUM_0.01_TO_LT_0.09").otherwise("LARGE_GE_0.09")
 
 
 def bbox_gap(p, q) -> Column:

@@ -127,7 +127,7 @@ QUERIES = {
     "flatten_zone_summary": (lambda s: s.zone_summary, "select * from zs"),
     "duration_lookup": (lambda s: s.durations, f"select video_id, frame_count / {float(FPS)} as duration_seconds from videos"),
     "filter_detections": (lambda s: s.tracks.where(F.col("class_name").isin("person", "car", "bus") & (F.col("confidence") >= 0.5)), "select * from tracks where class_name in ('person', 'car', 'bus') and confidence >= 0.5"),
-    "box_measures": (_boxes, f"select {_BOX}, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, round(a, 9) as area, case when a < 0.01 then 'SMALL_LT_0.01' when a < 0.09 then 'MEDIUM_0.01_TO_0.09' else 'LARGE_GTE_0.09' end as size_bin, 959.5::double as mid_x, 539.5::double as mid_y from (select *, (x2 - x1) * (y2 - y1) / {float(WIDTH * HEIGHT)} as a from tracks)"),
+    "box_measures": (_boxes, f"select {_BOX}, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, round(a, 9) as area, case when a < 0.01 then 'SMALL_LT_0.01' when a < 0.09 then 'MEDIUM_0.01_TO_LT_0.09' else 'LARGE_GE_0.09' end as size_bin, 959.5::double as mid_x, 539.5::double as mid_y from (select *, (x2 - x1) * (y2 - y1) / {float(WIDTH * HEIGHT)} as a from tracks)"),
     "box_pairs": (_neighbours, f"select {_BOX}, round(sqrt(gx * gx + gy * gy), 6) as gap, round(c / least(a, b), 9) as overlap, round(c / (a + b - c), 9) as iou from (select p.video_id, p.frame_index, p.track_id, greatest(p.x1 - q.x2, q.x1 - p.x2, 0) as gx, greatest(p.y1 - q.y2, q.y1 - p.y2, 0) as gy, greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) as c, (p.x2 - p.x1) * (p.y2 - p.y1) as a, (q.x2 - q.x1) * (q.y2 - q.y1) as b from tracks p join tracks q on p.video_id = q.video_id and p.frame_index = q.frame_index and p.track_id = q.track_id - 8)"),
     # D
     "trajectory": (lambda s: s.trajectory.select("video_id", "track_id", "frame_index", "prev_center_x", "prev_center_y", "delta_x", "delta_y", "frame_gap", "history_length", "direction", F.round("step_displacement", 6).alias("step_displacement"), F.round("net_displacement", 6).alias("net_displacement")), "select video_id, track_id, frame_index, prev_center_x, prev_center_y, delta_x, delta_y, frame_gap, history_length, direction, round(step_displacement, 6) as step_displacement, round(net_displacement, 6) as net_displacement from traj"),
