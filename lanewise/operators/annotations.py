@@ -169,7 +169,7 @@ def qa_acceptance(issues: DataFrame, critical: tuple[str, ...], overlap: DataFra
 
 def image_class_pivot(boxes: DataFrame, classes: list[str]) -> DataFrame:
     """Boxes of each class for each image, zeros where absent."""
-    return boxes.groupBy("image_id").pivot("class_name", classes).agg(F.count("*")).fillna(0)
+    return boxes.groupBy("image_id").pivot("class_name", classes).agg(F.count(F.lit(1))).fillna(0)
 
 
 def license_review(rows: DataFrame, allowed: str) -> DataFrame:

@@ -34,7 +34,7 @@ def _bands(rows: DataFrame, threshold: int) -> DataFrame:
     """One row for each of threshold + 1 disjoint bands: two prints within the threshold share at least one."""
     n = threshold + 1
     edges = [64 * i // n for i in range(n + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("print", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("print", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
     return rows.withColumn("band", F.explode(band))
 
 

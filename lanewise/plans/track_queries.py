@@ -150,10 +150,10 @@ QUERIES = {
     "activity_heatmap": (lambda s: tk.activity_heatmap(s.tracks, 120, ("person", "car")), "select video_id, cast(floor((x1 + x2) / 2 / 120) as bigint) as cell_x, cast(floor(y2 / 120) as bigint) as cell_y, count(*) as observations from tracks where class_name in ('person', 'car') group by all"),
     "rule_counts": (lambda s: s.wrong_way.groupBy("zone_id", "class_name", "observed_direction").agg(F.count("*").alias("records")), "select zone_id, class_name, observed_direction, count(*) as records from wrong_way group by all"),
     # E
-    "normalize_events": (lambda s: s.normalized, "select * exclude (stage) from e1"),
+    "normalize_events": (lambda s: _text_id(s.normalized), "select * exclude (stage) replace (cast(secondary_track_id as varchar) as secondary_track_id) from e1"),
     "event_policy": (lambda s: ev.apply_policy(s.normalized, s.policy, s.restricted).groupBy("event_type", "zone_id", "severity", "status").agg(F.count("*").alias("events")), "select event_type, zone_id, severity, status, count(*) as events from e2 group by all"),
-    "event_dedup": (lambda s: ev.deduplicated(s.normalized.unionByName(s.normalized)), "select * exclude (stage) from e1"),
-    "event_ids": (lambda s: s.events, "select * from ev"),
+    "event_dedup": (lambda s: _text_id(ev.deduplicated(s.normalized.unionByName(s.normalized))), "select * exclude (stage) replace (cast(secondary_track_id as varchar) as secondary_track_id) from e1"),
+    "event_ids": (lambda s: _text_id(s.events), "select * replace (cast(secondary_track_id as varchar) as secondary_track_id) from ev"),
     "event_counts": (lambda s: ev.event_counts(s.events), "select event_type, severity, status, count(*) as events from ev group by all"),
     "evidence_select": (lambda s: _evidence(s).select("event_id", "event_type", "evidence_path", "issue"), "select event_id, event_type, 'evidence/' || event_id || '.jpg' as evidence_path, null::varchar as issue from ev where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED')"),
     "evidence_tracks": (lambda s: ev.evidence_tracks(_evidence(s), s.tracks).select("event_id", F.col("primary_box.x1").alias("primary_x1"), F.col("secondary_box.x1").alias("secondary_x1")), "select event_id, a.x1 as primary_x1, b.x1 as secondary_x1 from ev left join tracks a on a.video_id = ev.video_id and a.frame_index = ev.frame_index and a.track_id = ev.track_id left join tracks b on b.video_id = ev.video_id and b.frame_index = ev.frame_index and b.track_id = ev.secondary_track_id where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED')"),
@@ -161,7 +161,7 @@ QUERIES = {
     "evidence_counts": (lambda s: _evidence(s).groupBy("event_type").agg(F.count("*").alias("evidence")), "select event_type, count(*) as evidence from ev where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED') group by all"),
     "evidence_manifest": (lambda s: ev.evidence_manifest(_evidence(s)).drop("file_size_bytes"), "select event_id, video_id, frame_index, timestamp_seconds, event_type, severity, status, 'evidence/' || event_id || '.jpg' as evidence_path from ev where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED')"),
     "event_filter": (lambda s: ev.filter_view(s.events, "warning").select("event_id", "severity"), "select event_id, severity from ev where severity in ('WARNING', 'CRITICAL')"),
-    "events_by_id": (lambda s: s.events.where("video_id = 'v1'"), "select * from ev where video_id = 'v1'"),
+    "events_by_id": (lambda s: _text_id(s.events.where("video_id = 'v1'")), "select * replace (cast(secondary_track_id as varchar) as secondary_track_id) from ev where video_id = 'v1'"),
     "event_id_parity": (lambda s: ev.id_parity(s.events, s.events.where("event_type <> 'WRONG_WAY'")), "select 0::bigint as repeated_ids, count(*) filter (event_type = 'WRONG_WAY') as only_here, 0::bigint as only_there from ev"),
     # F
     "crossing_totals": (lambda s: rp.crossing_totals(s.crossings), "select * from ct"),
@@ -185,6 +185,11 @@ QUERIES = {
 }
 
 
+def _text_id(events):
+    """The second track as text, as it is null in most rows."""
+    return events.withColumn("secondary_track_id", F.col("secondary_track_id").cast("string"))
+
+
 def _evidence(s: Scene):
     return ev.select_evidence(s.events, ("WRONG_WAY", "PROXIMITY_WARNING", "PEDESTRIAN_INTRUSION"), ("CRITICAL",), ("REVIEW_REQUIRED",))
 
