@@ -180,29 +180,34 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(work, "id long, shingle long, place long")
 
 
-def components(links: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) for the ids of ``links`` (x, y); component is the smallest id reachable.
 
-    Each round every id takes the smallest label next to it and then its label's label,
-    so labels fall along a path by growing steps. Labels are written once a round, and the
-    loop ends when none changes. With ``rounds`` it ends after so many: ids with equal
-    labels are then connected, but connected ids may have different ones.
+    Each round every id takes the smallest id next to it, then its label's label, and the
+    links are contracted to links between labels. A component's smallest id keeps itself,
+    all others move to smaller ones, so links shrink fast; the loop ends when none is left.
     """
-    both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y")
-    edges = write_scratch(both.dropDuplicates(["x", "y"]), f"{name}-edges")
-    labels = write_scratch(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "id"), f"{name}-labels")
-    while rounds is None or rounds > 0:
-        near = edges.join(labels.select(F.col("id").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        hop = labels.join(near, labels["id"] == near["x"]).select("id", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("id").alias("l"), F.col("l").alias("far"))
-        new = write_scratch(hop.join(jump, "l", "left").select("id", "was", F.least("l", F.coalesce("far", "l")).alias("l")), f"{name}-labels")
-        changed = not new.where("l != was").isEmpty()
-        drop_scratch(labels)
-        labels, rounds = new, rounds and rounds - 1
-        if not changed:
-            break
-    drop_scratch(edges)
-    return labels.select("id", F.col("l").alias("component"))
+    spark = links.sparkSession
+    edges = write_scratch(links.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).dropDuplicates(["x", "y"]), f"{name}-edges")
+    total = None
+    while not edges.isEmpty():
+        both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        near = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("l"))
+        near = write_scratch(near, f"{name}-near")
+        label = near.select("id", "l").join(near.select(F.col("id").alias("l"), F.col("l").alias("far")), "l").select("id", F.col("far").alias("l"))
+        label = write_scratch(label, f"{name}-label")
+        at = lambda key: label.select(F.col("id").alias(key), F.col("l").alias(f"l{key}"))  # noqa: E731, B023
+        left = edges.join(at("x"), "x").join(at("y"), "y").where("lx != ly").select(F.least("lx", "ly").alias("x"), F.greatest("lx", "ly").alias("y")).dropDuplicates(["x", "y"])
+        left = write_scratch(left, f"{name}-edges")
+        if total is None:
+            total = label.select("id", F.col("l").alias("component"))
+        else:
+            moved = label.select(F.col("id").alias("component"), "l")
+            total = write_scratch(total.join(moved, "component", "left").select("id", F.coalesce("l", "component").alias("component")), f"{name}-total")
+        drop_scratch(edges)
+        drop_scratch(near)
+        edges = left
+    return total if total is not None else spark.createDataFrame([], "id long, component long")
 
 
 def near_duplicates(
@@ -248,15 +253,12 @@ def near_duplicates(
     first = ordered(keys.where((F.col("id") != F.col("center.id")) & fits(F.col("n"), F.col("center.n"))), F.col("id"), F.col("center.id"), "dup-pairs")
     links = write_scratch(_confirmed(first, sets, percent), "dup-links")
 
-    def strays(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Keys' members with their labels where labels differ, and each key's main label, that of the largest component."""
-        label = components(links, "dup", rounds=3)
-        label = write_scratch(label.join(label.groupBy("component").agg(F.count("*").alias("many")), "component").select("id", F.col("component").alias("label"), "many"), "dup-label")
-        member = keys.select("key", "id", "n").join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("many", F.lit(1)).alias("many"))
-        main = member.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        return member, main.where("lo != hi").select("key", "main")
-
-    member, main = strays(links)
+    # Keys' members with their labels, and the main label, that of the largest component, of keys where labels differ.
+    label = components(links, "dup")
+    label = write_scratch(label.join(label.groupBy("component").agg(F.count("*").alias("many")), "component").select("id", F.col("component").alias("label"), "many"), "dup-label")
+    member = keys.select("key", "id", "n").join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("many", F.lit(1)).alias("many"))
+    main = member.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    main = main.where("lo != hi").select("key", "main")
     mixed = member.join(main, "key").groupBy("id").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("stray"), F.first("label").alias("label"))
     mixed = write_scratch(mixed.join(classes.select("id", "n", *[F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(-(-2 * groups // _LANES))]), "id"), "dup-mixed")
     lanes = mixed.columns[4:]
@@ -272,10 +274,13 @@ def near_duplicates(
         & (agreement([F.col(f"x_{c}") for c in lanes], [F.col(c) for c in lanes]) >= LEAST_AGREE + -2 * groups % _LANES)
     )
     second = ordered(second, F.col("id"), F.col("x_id"), "dup-pairs").join(first, ["x", "y"], "left_anti")
-    links = links.unionByName(_confirmed(second, sets, percent))
-
-    reached = components(links, "dup")
-    grouped = classes.select("h1", "h2", "id").join(reached, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
+    # The second round's links join the first one's components.
+    more = _confirmed(second, sets, percent)
+    for end in ("x", "y"):
+        more = more.join(label.select(F.col("id").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    merged = components(more.select(F.col("lx").alias("x"), F.col("ly").alias("y")), "dup-merged")
+    grouped = classes.select("h1", "h2", "id").join(label, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
+    grouped = grouped.join(merged.withColumnRenamed("id", "label"), "label", "left").select("h1", "h2", F.coalesce("component", "label").alias("component"))
     out = sketches.select("doc_id", "n", "h1", "h2").withColumns({"h1": F.when(F.col("n") > 0, F.col("h1")), "h2": F.when(F.col("n") > 0, F.col("h2"))})
     out = out.join(grouped, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
