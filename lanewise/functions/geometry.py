@@ -126,3 +126,11 @@ def hex64(c: Column) -> Column:
     """16 hexadecimal digits to a signed 64-bit number, from two halves."""
     half = lambda start: F.conv(F.substring(c, start, 8), 16, 10).cast("long")
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def in_ranges(frame: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a frame is in any of a few inclusive ranges."""
+    out = F.lit(False)
+    for lo, hi in ranges:
+        out = out | frame.between(lo, hi)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.operators import tracks as tk
 from lanewise.operators.duplicates import saved
-from lanewise.plans.derived import BUCKET, MISSING_SECONDS, SOURCES, Scene
+from lanewise.plans.derived import BUCKET, HEIGHT, MISSING_SECONDS, SOURCES, VEHICLES, WIDTH, Scene
 from lanewise.plans.track_queries import CTE
 from lanewise.streaming import rules as st
 
@@ -72,7 +72,35 @@ def _enrich(s: Scene) -> DataFrame:
     return _run(st.enrich(_stream(s, rows), s.policy).drop("event_ts"), "append", "enrich")
 
 
+RULE = {"vehicles": VEHICLES, "trigger": 0.012, "release": 0.020, "needed": 3, "ratio": 0.25, "diagonal": float((WIDTH**2 + HEIGHT**2) ** 0.5)}
+
+
+def _proximity(s: Scene) -> DataFrame:
+    columns = ["video_id", "zone_id", "frame_index", "timestamp_seconds", "track_id", "class_name", "x1", "y1", "x2", "y2"]
+    rows = tk.zone_observations(s.tracks, s.zones).where("inside").select(*columns)
+    end = rows.select("video_id").distinct().selectExpr("video_id", "'none' as zone_id", "1000000L as frame_index", "100000D as timestamp_seconds", "-1L as track_id", "'end' as class_name", *[f"0D as {c}" for c in columns[6:]])
+    later = end.withColumn("timestamp_seconds", F.lit(200000.0)).limit(1)
+    return _run(st.proximity(_stream(s, rows.unionByName(end).unionByName(later)), RULE), "append", "proximity")
+
+
+def _occupancy(s: Scene) -> DataFrame:
+    inside = tk.zone_observations(s.tracks, s.zones).select("video_id", "zone_id", "track_id", "timestamp_seconds", "inside")
+    return _run(st.zone_occupancy(_stream(s, inside)).select("video_id", "zone_id", "tracks"), "complete", "occupancy")
+
+
+def _quality(s: Scene) -> DataFrame:
+    rows = s.tracks.select("video_id", "track_id", "frame_index", "timestamp_seconds", "confidence")
+    stream = _stream(s, rows)
+    base = f"{s.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/quality-{uuid.uuid4().hex}"
+    st.split_quality(stream, f"{base}/good", f"{base}/bad", F.col("confidence") >= 0.5, f"{base}/state").awaitTermination()
+    count = lambda kind: s.spark.read.parquet(f"{base}/{kind}").agg(F.count("*").alias("rows")).withColumn("kind", F.lit(kind))
+    return count("good").unionByName(count("bad"))
+
+
 QUERIES = {
+    "stream_proximity": (_proximity, "select video_id, zone_id, frame_index, person_track_id, vehicle_track_id from proximity"),
+    "stream_zone_occupancy": (_occupancy, None),
+    "stream_quality": (_quality, "select count(*) filter (confidence >= 0.5) as rows, 'good' as kind from tracks union all select count(*) filter (confidence < 0.5), 'bad' from tracks"),
     "stream_track_rules": (_track_rules, "select video_id, track_id, 'LINE_CROSSING' as kind, line_id as place, frame_index from crossings union all select video_id, track_id, case transition when 'ENTER' then 'ZONE_ENTRY' else 'ZONE_EXIT' end, zone_id, frame_index from zone_obs where transition in ('ENTER', 'EXIT') union all select video_id, track_id, 'WRONG_WAY', zone_id, frame_index from wrong_way union all select video_id, track_id, 'LONG_DWELL', zone_id, frame_index from dwell"),
     "stream_traffic_over_time": (_traffic, "select video_id, source_id, interval_start_seconds, total_crossing_count from ot"),
     "stream_dwell_sessions": (_dwell, "select video_id, zone_id, track_id, count(*) as rows, min(timestamp_seconds) as first_seconds, max(timestamp_seconds) as last_seconds from (select *, sum(case when timestamp_seconds - b <= 1 then 0 else 1 end) over (partition by video_id, track_id order by frame_index) as e from (select *, lag(timestamp_seconds) over (partition by video_id, track_id order by frame_index) as b from zone_obs where inside)) group by video_id, zone_id, track_id, e"),
@@ -86,4 +114,4 @@ def queries():
 
 
 def oracle_sql():
-    return {n: CTE + sql for n, (_, sql) in QUERIES.items()}
+    return {n: CTE + sql for n, (_, sql) in QUERIES.items() if sql}

@@ -152,3 +152,84 @@ class Row:
     def __init__(self, frame_index, timestamp_seconds, source_id, class_name, center_x, center_y, ms):
         self.frame_index, self.timestamp_seconds, self.source_id, self.class_name = int(frame_index), timestamp_seconds, source_id, class_name
         self.center_x, self.center_y, self.ms = center_x, center_y, ms
+
+
+class PairState:
+    """Hysteresis of all person-vehicle pairs of one video, fed one whole frame at a time."""
+
+    def __init__(self) -> None:
+        self.pairs: dict[tuple[str, int, int], list] = {}  # (zone, person, vehicle): run, active
+
+    def frame(self, rows: list[dict], rule: dict) -> list[tuple[str, int, int]]:
+        """The pairs that trigger in this frame. Pairs that it doesn't hold start anew."""
+        seen, out = set(), []
+        for zone in sorted({r["zone_id"] for r in rows}):
+            people = [r for r in rows if r["zone_id"] == zone and r["class_name"] == "person"]
+            vehicles = [r for r in rows if r["zone_id"] == zone and r["class_name"] in rule["vehicles"]]
+            for p in people:
+                for v in vehicles:
+                    key = (zone, p["track_id"], v["track_id"])
+                    seen.add(key)
+                    state = self.pairs.setdefault(key, [0, False])
+                    if rider(p, v, rule["ratio"]):
+                        state[:] = [0, False]
+                        continue
+                    gx, gy = max(p["x1"] - v["x2"], v["x1"] - p["x2"], 0), max(p["y1"] - v["y2"], v["y1"] - p["y2"], 0)
+                    d = math.sqrt(gx * gx + gy * gy) / rule["diagonal"]
+                    if state[1]:
+                        if d > rule["release"]:
+                            state[:] = [0, False]
+                    elif d > rule["trigger"]:
+                        state[0] = 0
+                    else:
+                        state[0] += 1
+                        if state[0] >= rule["needed"]:
+                            state[1] = True
+                            out.append(key)
+        self.pairs = {k: s for k, s in self.pairs.items() if k in seen}
+        return out
+
+
+def rider(p: dict, v: dict, ratio: float) -> bool:
+    """A person on their own two-wheeler: enough overlap, or feet inside its box."""
+    if v["class_name"] not in ("bicycle", "motorcycle"):
+        return False
+    common = max(0.0, min(p["x2"], v["x2"]) - max(p["x1"], v["x1"])) * max(0.0, min(p["y2"], v["y2"]) - max(p["y1"], v["y1"]))
+    smaller = min((b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) for b in (p, v))
+    foot = (p["x1"] + p["x2"]) / 2
+    return (common / smaller if smaller > 0 else 0.0) >= ratio or (v["x1"] <= foot <= v["x2"] and v["y1"] <= p["y2"] <= v["y2"])
+
+
+PAIR = "video_id string, zone_id string, frame_index long, person_track_id long, vehicle_track_id long"
+
+
+def proximity(stream: DataFrame, rule: dict, idle_ms: int = 60_000) -> DataFrame:
+    """Proximity warnings. ``stream``: all observations inside zones, with zone_id and boxes.
+
+    State is by video, as a frame without a pair resets it; a frame is closed once the
+    watermark has passed it. Frames in which no zone holds anything reset all pairs.
+    """
+    columns = ["frame_index", "zone_id", "track_id", "class_name", "x1", "y1", "x2", "y2", "ms"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pairs, waiting, last = pickle.loads(state.get[0]) if state.exists else (PairState(), [], None)
+        for f in frames:
+            waiting += f[columns].to_dict("records")
+        mark = state.getCurrentWatermarkMs()
+        ready = sorted((w for w in waiting if w["ms"] <= mark), key=lambda w: (w["frame_index"], w["track_id"]))
+        waiting = [w for w in waiting if w["ms"] > mark]
+        out = []
+        for index in sorted({w["frame_index"] for w in ready}):
+            if last is not None and index != last + 1:
+                pairs.pairs.clear()
+            last = index
+            out += [(key[0], zone, index, p, v) for zone, p, v in pairs.frame([w for w in ready if w["frame_index"] == index], rule)]
+        if state.hasTimedOut and not waiting:
+            state.remove()
+        else:
+            state.update((pickle.dumps((pairs, waiting, last)),))
+            state.setTimeoutTimestamp(max(mark + 1, min(w["ms"] for w in waiting) if waiting else mark + idle_ms))
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "zone_id", "frame_index", "person_track_id", "vehicle_track_id"])
+
+    return stream.withColumn("ms", F.unix_millis("event_ts")).groupBy("video_id").applyInPandasWithState(step, PAIR, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
