@@ -294,7 +294,7 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles), with its columns unchanged.
 
-    Of rows that repeat the kept id the smallest text stays; rows with a null id stay.
+    Of rows that repeat the kept id one stays; rows with a null id stay.
     """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).dropDuplicates()
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
