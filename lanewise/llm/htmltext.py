@@ -3,7 +3,8 @@
 *Score.* Each page is parsed once into a list of blocks of text, each with the paths of its
 containers; the blocks are written as a table in the shared folder. A container's path is generalised: tag names, with classes freed of digits.
 A container scores the text of the paragraphs right inside it, half of those one level
-down, less the text in links.
+down, less the text in links; where several like containers stand side by side, as
+paragraphs in boxes of their own do, the one around them scores all of it.
 
 *Vote.* A page gives each of its best containers' paths a vote worth the path's share of
 the page's score. Spark sums the votes by host and path, with partial sums in each task,
@@ -45,6 +46,7 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side|aside|footer|foot|masthead|siteheader|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay"
     r"|comment\w*|disqus|respond|replies|reply|related|recommend\w*|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|form|pagination|pager|widget|copyright|hidden|skip)(?=$|[\s_-]|\d)"
 )
+_QUALIFIED = re.compile(r"\b(?:has|with|no|without|is|not)[-_]\S+")
 PREFERRED = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?=$|[\s_-]|\d)")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -71,6 +73,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[Block] = []
         self.paths: list[str] = []
+        self.parents: list[int] = []
         self.preferred: list[float] = []
         self._read(source)
 
@@ -143,7 +146,7 @@ class Page:
                     pop()
                 flush()
             attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4] else {}
-            name = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+            name = _QUALIFIED.sub("", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
             inside = any(t in ("article", "main") for t, _, _ in stack)
             dropped = (
                 (bool(stack) and stack[-1][2])
@@ -161,6 +164,7 @@ class Page:
                 classes = " ".join(re.sub(r"\d+", "", c) for c in attributes.get("class", "").lower().split())
                 parent = self.paths[chain[-1]] if chain else ""
                 self.paths.append(f"{parent}/{tag}" + "".join(f".{c}" for c in sorted(set(classes.split()))))
+                self.parents.append(chain[-1] if chain else -1)
                 self.preferred.append(2.0 if tag in ("article", "main") else 1.5 if PREFERRED.search(name) else 1.0)
                 chain = (*chain, container)
             stack.append((tag, container, dropped))
@@ -176,14 +180,19 @@ class Page:
     def scores(self) -> dict[str, float]:
         """Each container path's score on this page."""
         score = [0.0] * len(self.paths)
+        alike: dict[tuple[int, str], int] = {}
+        for key in zip(self.parents, self.paths, strict=True):
+            alike[key] = alike.get(key, 0) + 1
         for b in self.blocks:
             if b.chain:
                 n = len(b.text())
                 if n:
                     kept = max(0.0, n - 2.0 * min(n, b.linked))
-                    score[b.chain[-1]] += kept
+                    last = b.chain[-1]
+                    several = len(b.chain) > 1 and alike[self.parents[last], self.paths[last]] > 1
+                    score[last] += kept / 2 if several else kept
                     if len(b.chain) > 1:
-                        score[b.chain[-2]] += kept / 2
+                        score[b.chain[-2]] += kept if several else kept / 2
         out: dict[str, float] = {}
         for path, s, w in zip(self.paths, score, self.preferred, strict=True):
             if s > 0:

@@ -367,6 +367,13 @@ def test_host_vote_wins_over_a_page(spark):
     assert {r.page_id: r.text for r in htmltext.main_texts(df).collect()}[9] == "short story."
 
 
+def test_boxes_of_paragraphs_and_qualified_names():
+    boxed = "<body><div class='story has-sidebar'><h1>Head</h1>" + "".join(f"<div class=para>Paragraph {i} with some words.</div>" for i in range(4)) + "</div><div class='sidebar'><div>x</div></div></body>"
+    text = htmltext.Page(boxed).main_text([])
+    assert text.startswith("Head Paragraph 0")
+    assert text.endswith("Paragraph 3 with some words.")
+
+
 def test_expressions_equal_the_page_form(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in htmltext.main_texts(table).collect()}
