@@ -49,7 +49,7 @@ BROADCAST_ROWS = 200_000
 #: Queues: sources beyond the largest ones share the last queue.
 MOST_QUEUES = 1_024
 #: Entries of a task's cache of encoded words.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 SEPARATOR = 0
 
 
@@ -69,7 +69,8 @@ class WordEncoder:
 
     ``path`` is a file of the tokenizers library (.json) or of tiktoken, whose rank files
     hold the same vocabulary and give the same ids in about half the time. Words are known
-    by a 64-bit hash. The cache is cleared when it is full.
+    by a 64-bit hash. When the cache is full, the words that were met in one batch only are
+    forgotten, and of the others the more frequent half of the cache is kept.
     """
 
     def __init__(self, path: str):
@@ -88,14 +89,28 @@ class WordEncoder:
     def _clear(self) -> None:
         self.cache.clear()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.counts, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        n = len(self.cache)
+        met = self.met[:n]
+        kept = np.flatnonzero(met >= 2)
+        kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: CACHE_WORDS // 2]])
+        new = np.full(n, -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        self.cache = {key: int(new[code]) for key, code in self.cache.items() if new[code] >= 0}
+        counts = self.counts[kept]
+        ends = np.cumsum(counts)
+        self.used = int(ends[-1]) if len(kept) else 0
+        self.flat = self.flat[np.arange(self.used) + np.repeat(self.starts[kept] - (ends - counts), counts)] if self.used else np.empty(1 << 16, np.uint32)
+        self.starts, self.counts, self.met = ends - counts, counts, met[kept] // 2
 
     def _add(self, key: int, ids: list[int]) -> None:
         n, end = len(self.cache), self.used + len(ids)
         if end > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + len(ids), np.uint32)])
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used // 2 + len(ids) + (1 << 14), np.uint32)])
         if n == len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.empty(n, np.int64)]) for x in (self.starts, self.counts))
+            self.starts, self.counts, self.met = (np.concatenate([x, np.zeros(n // 2 + (1 << 14), np.int64)]) for x in (self.starts, self.counts, self.met))
         self.flat[self.used : end] = ids
         self.starts[n], self.counts[n], self.cache[key] = self.used, len(ids), n
         self.used = end
@@ -129,7 +144,7 @@ class WordEncoder:
         starts, ends = starts[:-1], starts[1:]
         keys, first, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.cache) + len(keys) > CACHE_WORDS:
-            self._clear()
+            self._forget()
         codes = np.empty(len(keys), np.int64)
         cache = self.cache
         for i, key in enumerate(keys.tolist()):
@@ -138,6 +153,7 @@ class WordEncoder:
                 code = len(cache)
                 self._add(key, self.slow(raw[starts[first[i]] : ends[first[i]]].decode()))
             codes[i] = code
+        self.met[codes] += 1
         code = codes[inverse]
         counts = self.counts[code]
         total = np.concatenate([[0], np.cumsum(counts)])
