@@ -1,19 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: exact tests by word pairs, then Smith-Waterman alignment.
 
-*Seeds.* A first pass counts, over all documents, in how many each n-gram of a test
-item occurs. Of every few neighbouring n-grams of an item the rarest becomes a seed, so
-that each part of an item has a seed, however often the item itself is leaked, and
-common phrases hardly ever are seeds.
-
-*Join.* A second pass looks the seeds up in every whole document and gives the
-stretches where an item may stand.
+*Screen.* An alignment that counts is a chain of matching words. Each link between two
+of them gains 2 if both sides are neighbours, 1 if one word is left out, put in or
+replaced, and nothing otherwise. So the pairs of an item's words, next to each other or
+with one word between, that a text holds bound the score from above; an alignment with many
+matches needs as many words in common. Stretches that fail both tests cannot hold a copy;
+none other is left out, however common its words are and whatever other documents hold.
 
 *Align.* Each stretch is aligned locally with the item, word by word (match +2,
-mismatch -1, gap -1). A stretch counts if the score is at least ``share`` of an exact
-copy's score, or at least ``long_match`` words match.
+mismatch -1, gap -1), then what is left of it on either side. An alignment counts if the
+score is at least ``share`` of an exact copy's score, or at least ``long_match`` words match.
 
 The items are the bounded side: they are worked on in blocks of at most BLOCK_ITEMS,
-each with two passes over the documents, so what tasks share never grows beyond a
+each with one pass over the documents, so what tasks share never grows beyond a
 block. The documents are never shuffled.
 """
 
@@ -27,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import read_table
-from lanewise.llm.seeds import Passages, words_of
+from lanewise.llm.common import mix64, read_table
+from lanewise.llm.seeds import words_of
 
-SEED_WORDS, NEIGHBOURS = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of an exact copy's score; words that match.
 SHARE, LONG_MATCH = 0.5, 40
@@ -78,24 +76,127 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield keys, texts
 
 
-def _seen(docs: DataFrame, passages: Passages) -> np.ndarray:
-    """In how many documents each n-gram of the passages occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(passages)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = shared.value
-        count = np.zeros(len(passages.gram), np.int64)
-        for b in batches:
-            for t in b["text"].to_pylist():
-                if t and len(row := passages.hits(words_of(t)[0])[1]):
-                    count[np.unique(row)] += 1
-        rows = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(count[rows])], ["row", "n"])
-
-    out = np.zeros(len(passages.gram), np.int64)
-    for r in docs.select("text").mapInArrow(work, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).collect():
-        out[r["row"]] = r["n"]
-    return out
+def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix64(first * np.uint64(0xD6E8FEB86659FD93) + second)
+
+
+class Screen:
+    """Items as word hashes, and where in a text one of them may stand."""
+
+    def __init__(self, keys: list, texts: list[str], share: float, long_match: int):
+        self.share, self.long_match = share, long_match
+        self.keys, self.words = [], []
+        for key, text in zip(keys, texts, strict=True):
+            hashes = words_of(text)[0]
+            if len(hashes):
+                self.keys.append(key)
+                self.words.append(hashes)
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        flat, self.owner = np.concatenate([np.empty(0, np.uint64), *self.words]), np.repeat(np.arange(len(self.n)), self.n)
+        left = np.repeat(np.cumsum(self.n), self.n) - np.arange(len(flat))
+        near, apart = np.flatnonzero(left > 1), np.flatnonzero(left > 2)
+        gram = np.concatenate([pairs(flat[near], flat[near + 1]), pairs(flat[apart], flat[apart + 2])])
+        order = np.argsort(gram, kind="stable")
+        self.slot, self.near = np.concatenate([near, apart])[order], order < len(near)
+        self.gram, self.first, self.many = np.unique(gram[order], return_index=True, return_counts=True)
+        # A sieve of low bits keeps most of a text's pairs from the search.
+        self.mask = np.uint64((1 << max(20, (8 * len(gram)).bit_length())) - 1)
+        self.sieve = np.zeros(int(self.mask) + 1, bool)
+        self.sieve[(self.gram & self.mask).astype(np.int64)] = True
+        self.gain, self.last = np.zeros(len(flat), np.int8), np.zeros(len(flat), np.int64)
+        # Words of the items that can match long_match words: (item, word, times), by item.
+        self.long = np.flatnonzero(self.n >= long_match)
+        self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *[self.words[i] for i in self.long]]))
+        bags = [np.unique(np.searchsorted(self.known, self.words[i]), return_counts=True) for i in self.long]
+        self.bag_word = np.concatenate([np.empty(0, np.int64), *[b[0] for b in bags]]).astype(np.int64)
+        self.bag_times = np.concatenate([np.empty(0, np.int64), *[b[1] for b in bags]]).astype(np.int64)
+        self.bag_from = np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])]).astype(np.int64)
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, place in the items, gain) of every pair in common."""
+        g = np.concatenate([pairs(hashes[:-1], hashes[1:]), pairs(hashes[:-2], hashes[2:])])
+        maybe = np.flatnonzero(self.sieve[(g & self.mask).view(np.int64)])
+        if not len(maybe) or not len(self.gram):
+            return (np.empty(0, np.int64),) * 3
+        k = np.minimum(np.searchsorted(self.gram, g[maybe]), len(self.gram) - 1)
+        same = self.gram[k] == g[maybe]
+        k, maybe = k[same], maybe[same]
+        n, beside = self.many[k], maybe < len(hashes) - 1
+        row = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(maybe - ~beside * (len(hashes) - 1), n), self.slot[row], 1 + (self.near[row] & np.repeat(beside, n))
+
+    def stretches(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first word, last word) wherever an alignment may count; those of an item don't overlap."""
+        at, slot, gain = self.hits(hashes)
+        out: list[tuple[int, int, int]] = []
+        if not len(at):
+            return out
+        self.gain[slot] = 1
+        self.gain[slot[gain == 2]] = 2
+        places = slot[self._once(slot)]
+        most = MATCH + np.bincount(self.owner[places], self.gain[places], len(self.n))
+        self.gain[places] = 0
+        found = {int(i): self._dense(at, slot, gain, i) for i in np.flatnonzero((most > MATCH) & (most >= self.share * MATCH * self.n))}
+        if len(self.long) and len(hashes) >= self.long_match:
+            word = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            word[self.known[word] != hashes] = len(self.known)
+            times = np.bincount(word, minlength=len(self.known) + 1)
+            common = np.add.reduceat(np.minimum(self.bag_times, times[self.bag_word]), self.bag_from[:-1])
+            for k in np.flatnonzero((common >= self.long_match) & (most[self.long] > MATCH)):
+                found.setdefault(int(self.long[k]), []).extend(self._common(word, k))
+        for i, ranges in found.items():
+            merged: list[list[int]] = []
+            for lo, hi in sorted(ranges):
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(hi, merged[-1][1])
+                else:
+                    merged.append([lo, hi])
+            out += [(i, max(0, lo), min(len(hashes), hi)) for lo, hi in merged]
+        return out
+
+    def _once(self, slot: np.ndarray) -> np.ndarray:
+        """Of equal places one."""
+        k = np.arange(len(slot))
+        self.last[slot] = k
+        return self.last[slot] == k
+
+    def _dense(self, at, slot, gain, i) -> list[tuple[int, int]]:
+        """Surroundings of the places from which on an alignment's longest span has pairs enough."""
+        mine = np.flatnonzero(self.owner[slot] == i)
+        mine = mine[np.argsort(at[mine], kind="stable")]
+        p, total = at[mine], np.concatenate([[0], np.cumsum(gain[mine])])
+        # Of m words at most, with penalties of at most 2 * m * (1 - share).
+        span = int(np.ceil(self.n[i] * (3 - 2 * min(1.0, self.share)))) + 1
+        enough = MATCH + total[np.searchsorted(p, p + span, "right")] - total[:-1] >= self.share * MATCH * self.n[i]
+        return [(q - span, q + span) for q in p[enough].tolist()]
+
+    def _common(self, word: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Spans of three times the item's words, the most that a positive score allows, with long_match words in common."""
+        a, b = self.bag_from[k], self.bag_from[k + 1]
+        times = np.zeros(len(self.known) + 1, np.int64)
+        times[self.bag_word[a:b]] = self.bag_times[a:b]
+        p = np.flatnonzero(times[word])
+        p = p[np.argsort(word[p], kind="stable")]
+        # A place counts for the spans that start after the place where its word stood ``times`` occurrences ago.
+        back, c = np.arange(len(p)) - times[word[p]], 3 * int(self.n[self.long[k]])
+        before = np.where((back >= 0) & (word[p[back]] == word[p]), p[back], -1)
+        change = np.zeros(len(word) + 1, np.int64)
+        np.add.at(change, np.maximum(before, p - c) + 1, 1)
+        np.add.at(change, p + 1, -1)
+        starts = np.flatnonzero(np.cumsum(change) >= self.long_match)
+        return [(s, s + c) for s in starts.tolist()]
+
+
+def aligned(screen: Screen, hashes: np.ndarray) -> Iterator[tuple]:
+    """(item's key, similarity, matches, first word, word after the last) of all alignments that count."""
+    for i, lo, hi in screen.stretches(hashes):
+        item, todo = screen.words[i], [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            score, matches, first, last = smith_waterman(hashes[lo:hi], item)
+            if score and (score >= screen.share * MATCH * len(item) or matches >= screen.long_match):
+                yield screen.keys[i], score / (MATCH * len(item)), matches, lo + first, lo + last
+                todo += [r for r in ((lo, lo + first), (lo + last, hi)) if r[0] < r[1]]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, long_match: int = LONG_MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,21 +212,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, long_matc
     schema = "doc_id long, item_id long, similarity double, matches long, start_word long, end_word long"
     found = []
     for keys, texts in _blocks(benchmark):
-        passages = Passages(keys, texts, SEED_WORDS)
-        passages.index(passages.choose_rare(_seen(docs, passages), NEIGHBOURS))
-        shared = spark.sparkContext.broadcast(passages)
+        shared = spark.sparkContext.broadcast((keys, texts))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            passages = shared.value
+            screen = Screen(*shared.value, share, long_match)
             for b in batches:
                 out = []
                 for doc, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                     hashes = words_of(t)[0] if t else ()
-                    for i, lo, hi in passages.windows(hashes) if len(hashes) else ():
-                        item = passages.words[i]
-                        score, matches, first, last = smith_waterman(hashes[lo:hi], item)
-                        if score >= share * MATCH * len(item) or matches >= long_match:
-                            out.append((doc, passages.keys[i], score / (MATCH * len(item)), matches, lo + first, lo + last))
+                    out += [(doc, *x) for x in aligned(screen, hashes)] if len(hashes) else []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], ["doc_id", "item_id", "similarity", "matches", "start_word", "end_word"])
 

@@ -317,6 +317,31 @@ def test_leaks(spark):
     assert decontam.leaks(df.limit(0), bench).count() == decontam.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_edited_leaks_beside_verbatim_copies(spark):
+    rng = random.Random(9)
+    item = " ".join(rng.sample(WORDS, 30))
+    filler = lambda: " ".join(f"f{rng.randrange(900)}" for _ in range(60))
+    edit = lambda k: " ".join("zz" if i % k == k - 1 else w for i, w in enumerate(item.split()))
+    texts = [item, *[f"{filler()} {edit(k)} {filler()}" for k in (3, 4, 5)], f"{filler()} " + " zz ".join(item.split()), filler()]
+    got = {r.doc_id: r.similarity for r in decontam.leaks(docs(spark, texts), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
+    assert {i: round(s, 3) for i, s in got.items()} == {0: 1.0, 1: 0.517, 2: 0.65, 3: 0.717, 4: 0.517}
+
+
+def test_screen_loses_nothing():
+    rng = random.Random(10)
+    for _ in range(400):
+        item = [f"w{rng.randrange(rng.choice((4, 30)))}" for _ in range(rng.randrange(3, 14))]
+        text = rng.choices(WORDS[:40], k=rng.randrange(1, 9))
+        for w in item:
+            kind = rng.random()
+            text += [] if kind < 0.15 else ["x"] if kind < 0.35 else [w]
+            text += ["y"] if rng.random() < 0.3 else []
+        hashes, long_match = decontam.words_of(" ".join(text))[0], rng.choice((4, 6, 40))
+        screen = decontam.Screen([0], [" ".join(item)], 0.5, long_match)
+        score, matches, _, _ = decontam.smith_waterman(hashes, screen.words[0])
+        assert bool(list(decontam.aligned(screen, hashes))) == (score >= len(item) or matches >= long_match)
+
+
 # --- 8 ---------------------------------------------------------------------------
 
 
