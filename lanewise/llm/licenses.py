@@ -1,7 +1,8 @@
 """License scans by patience alignment.
 
-Word seeds of the templates say where in a text a template may stand. There, text and
-template are aligned: words that occur once in both are anchors, the longest increasing
+Word seeds of the templates say where in a text a template may begin: the seed's place in
+the text less its place in the template, so that each of several copies has a beginning
+of its own. There, text and template are aligned: words that occur once in both are anchors, the longest increasing
 subsequence of the anchors is kept, and each gap between two anchors is aligned again
 in the same way, down to gaps without anchors, whose equal beginnings and ends still
 count. Coverage is the share of the template's words that are aligned.
@@ -15,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,29 +106,58 @@ def patience(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _exact(hashes: np.ndarray, template: np.ndarray, begins: list[int]) -> list[tuple[int, int, int]]:
+    """(first, last, aligned words) of the copies of a short notice, which stands as it is or not at all."""
+    out: list[tuple[int, int, int]] = []
+    for s in begins:
+        if s >= 0 and (not out or s > out[-1][1]) and np.array_equal(hashes[s : s + len(template)], template):
+            out.append((s, s + len(template) - 1, len(template)))
+    return out
+
+
+def _copies(hashes: np.ndarray, template: np.ndarray, at: np.ndarray, begin: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
+    """(first, last, aligned words) of the copies of a template; beginnings with the most seeds are aligned first.
+
+    A copy is aligned within a third of the template's length around its place, but not
+    beyond copies that are already found or other beginnings with many seeds; failing
+    that, at its very place.
+    """
+    m, slack, words = len(template), max(4, len(template) // 3), np.unique(template)
+    begins, seeds = np.unique(begin, return_counts=True)
+    strong = begins[seeds >= max(2, m // 4)].tolist()
+    out: list[tuple[int, int, int]] = []
+    for k in np.argsort(-seeds, kind="stable").tolist():
+        s = int(begins[k])
+        if all(any(f <= p <= e for f, e, _ in out) for p in at[begin == s].tolist()):
+            continue
+        least = max([0, *[e + 1 for _, e, _ in out if e < s + m // 2]])
+        most = min([len(hashes), *[f for f, _, _ in out if f >= s + m // 2]])
+        before = [t + m for t in strong if t <= s - coverage * m]
+        after = [t for t in strong if t >= s + coverage * m]
+        for lo, hi in ((max([s - slack, *[min(t, s) for t in before]]), min([s + m + slack, *after])), (s, s + m)):
+            lo, hi = max(lo, least), min(hi, most)
+            if np.isin(hashes[lo:hi], words).sum() < coverage * m:
+                continue
+            pairs = patience(hashes[lo:hi].tolist(), template.tolist())
+            if len(pairs) >= coverage * m:
+                out.append((lo + pairs[0][0], lo + pairs[-1][0], len(pairs)))
+                break
+    return out
+
+
 def find_licenses(text: str, passages: Passages, coverage: float = COVERAGE) -> list[tuple[str, int, int, float]]:
     """(template, start, end, coverage) in code points, by start; of templates on the same words the one with more aligned words."""
     hashes, starts, ends = words_of(text)
+    at, row = passages.hits(hashes)
+    item, begin = passages.item[row], at - passages.place[row]
     found = []
-    for i, lo, hi in passages.windows(hashes):
-        template = passages.words[i].tolist()
-        while lo < hi:  # a stretch can hold the template more than once
-            pairs = patience(hashes[lo:hi].tolist(), template)
-            if not pairs:
-                break
-            share = len(pairs) / len(template)
-            first, last = lo + pairs[0][0], lo + pairs[-1][0]
-            whole = len(template) > SHORT or last - first + 1 == len(template)
-            if share < (coverage if len(template) > SHORT else 1.0) or not whole:
-                if len(template) > SHORT:
-                    break
-                # A short notice stands as it is or not at all: look for its words in a row.
-                spot = next((p for p in range(lo, hi - len(template) + 1) if hashes[p : p + len(template)].tolist() == template), None)
-                if spot is None:
-                    break
-                share, first, last, pairs = 1.0, spot, spot + len(template) - 1, template
-            found.append((passages.keys[i], first, last, share, len(pairs)))
-            lo = last + 1
+    for i in np.unique(item).tolist():
+        template, mine = passages.words[i], item == i
+        if len(template) > SHORT:
+            copies = _copies(hashes, template, at[mine], begin[mine], coverage)
+        else:
+            copies = _exact(hashes, template, np.unique(begin[mine]).tolist())
+        found += [(passages.keys[i], first, last, n / len(template), n) for first, last, n in copies]
     found.sort(key=lambda x: (-x[4], x[1], x[0]))
     kept: list[tuple] = []
     for f in found:

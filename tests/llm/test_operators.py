@@ -283,6 +283,17 @@ def test_license_scan(spark):
     assert got[7] == [("CC-BY-NC-4.0-notice", 40000, 40000 + len("Licensed under CC BY-NC 4.0"))]
 
 
+def test_repeated_notices(spark):
+    mit, apache, rights = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"], "All rights reserved."
+    edited = mit.replace("free of charge", "at no cost at all").replace("sublicense", "relicense")
+    texts = [f"some text. {rights} B 2021. {rights} more text", f"{rights} {rights} {rights}", f"intro {rights} {rights} end", *[f"a file here. {t} Copyright C 2021 someone. {t} more words" for t in (mit, edited, apache, licenses.TEMPLATES["BSD"])], f"one {edited} {mit} {edited} two", f"x {mit} y {mit[: len(mit) // 2]} z"]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    kinds = [[x.license for x in got[i]] for i in range(len(texts))]
+    assert kinds == [["All-rights-reserved"] * 2, ["All-rights-reserved"] * 3, ["All-rights-reserved"] * 2, ["MIT"] * 2, ["MIT"] * 2, ["Apache-2.0"] * 2, ["BSD"] * 2, ["MIT"] * 3, ["MIT"]]
+    for i in (3, 4, 7):
+        assert all(texts[i][x.start : x.end].startswith("Permission is") and texts[i][x.start : x.end].endswith("IN THE SOFTWARE") for x in got[i])
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 
