@@ -444,3 +444,20 @@ def test_personal_data_base_spans_stay(spark):
     assert clean[7].text == "clean text 12 34"
     assert pii.find(df.limit(0), model).count() == 0
     assert pii.fit(df.limit(0)).trees is None
+
+
+def test_loose_forms_are_learned(spark):
+    rng = random.Random(11)
+    forms = (lambda n: f"write to joe{n} (at) site{n % 7} (dot) com soon", lambda n: f"well (030) {n % 9000 + 1000}-5678 there", lambda n: f"and 555-123-{n % 9000 + 1000} too", lambda n: f"part 123-4567-{n % 90000 + 10000} is", lambda n: f"meet us{n} @ noon . There is")
+    model = pii.fit(docs(spark, [forms[i % 5](rng.randrange(10**6)) for i in range(2000)] + ["a@b.com or +1 (017) 555-7713"] * 50))
+    found = lambda text: [(k, text[s:e]) for k, s, e in model.spans(text)]
+    assert found("see john (at) example (dot) com now") == [("email", "john (at) example (dot) com")]
+    assert found("well (030) 1234-5678 now") == [("phone", "(030) 1234-5678")]
+    assert found("and 555-123-4567 now") == [("phone", "555-123-4567")]
+    assert found("part 123-4567-89012 is") == found("meet us @ noon . There is") == []
+
+
+def test_rare_loose_forms_are_reached(spark):
+    texts = [" ".join(f"a{k}@b.com" for k in range(60)) + f" joe{i} (at) site (dot) org" for i in range(200)] + [f"us{i} @ noon . There" for i in range(50)]
+    model = pii.fit(docs(spark, texts))
+    assert [k for k, _, _ in model.spans("see john (at) example (dot) com now")] == ["email"]
