@@ -95,6 +95,9 @@ class Screen:
         flat, self.owner = np.concatenate([np.empty(0, np.uint64), *self.words]), np.repeat(np.arange(len(self.n)), self.n)
         left = np.repeat(np.cumsum(self.n), self.n) - np.arange(len(flat))
         near, apart = np.flatnonzero(left > 1), np.flatnonzero(left > 2)
+        # Of items of which one word is enough, every word is looked up.
+        single = np.flatnonzero((share * self.n <= 1)[self.owner])
+        self.single = np.unique(flat[single])
         gram = np.concatenate([pairs(flat[near], flat[near + 1]), pairs(flat[apart], flat[apart + 2])])
         order = np.argsort(gram, kind="stable")
         self.slot, self.near = np.concatenate([near, apart])[order], order < len(near)
@@ -127,8 +130,8 @@ class Screen:
 
     def stretches(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, last word) wherever an alignment may count; those of an item don't overlap."""
+        out = self._single(hashes)
         at, slot, gain = self.hits(hashes)
-        out: list[tuple[int, int, int]] = []
         if not len(at):
             return out
         self.gain[slot] = 1
@@ -136,13 +139,13 @@ class Screen:
         places = slot[self._once(slot)]
         most = MATCH + np.bincount(self.owner[places], self.gain[places], len(self.n))
         self.gain[places] = 0
-        found = {int(i): self._dense(at, slot, gain, i) for i in np.flatnonzero((most > MATCH) & (most >= self.share * MATCH * self.n))}
+        found = {int(i): self._dense(at, slot, gain, i) for i in np.flatnonzero((most > MATCH) & (most >= self.share * MATCH * self.n) & (self.share * self.n > 1))}
         if len(self.long) and len(hashes) >= self.long_match:
             word = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
             word[self.known[word] != hashes] = len(self.known)
             times = np.bincount(word, minlength=len(self.known) + 1)
             common = np.add.reduceat(np.minimum(self.bag_times, times[self.bag_word]), self.bag_from[:-1])
-            for k in np.flatnonzero((common >= self.long_match) & (most[self.long] > MATCH)):
+            for k in np.flatnonzero((common >= self.long_match) & (most[self.long] > MATCH) & (self.share * self.n[self.long] > 1)):
                 found.setdefault(int(self.long[k]), []).extend(self._common(word, k))
         for i, ranges in found.items():
             merged: list[list[int]] = []
@@ -154,6 +157,12 @@ class Screen:
             out += [(i, max(0, lo), min(len(hashes), hi)) for lo, hi in merged]
         return out
 
+    def _single(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """The whole text for the items of which it holds a word that is enough."""
+        if not len(self.single) or not np.isin(hashes, self.single).any():
+            return []
+        return [(int(i), 0, len(hashes)) for i in np.flatnonzero(self.share * self.n <= 1) if np.isin(self.words[i], hashes).any()]
+
     def _once(self, slot: np.ndarray) -> np.ndarray:
         """Of equal places one."""
         k = np.arange(len(slot))
@@ -179,7 +188,8 @@ class Screen:
         p = p[np.argsort(word[p], kind="stable")]
         # A place counts for the spans that start after the place where its word stood ``times`` occurrences ago.
         back, c = np.arange(len(p)) - times[word[p]], 3 * int(self.n[self.long[k]])
-        before = np.where((back >= 0) & (word[p[back]] == word[p]), p[back], -1)
+        then = p[np.maximum(back, 0)]
+        before = np.where((back >= 0) & (word[then] == word[p]), then, -1)
         change = np.zeros(len(word) + 1, np.int64)
         np.add.at(change, np.maximum(before, p - c) + 1, 1)
         np.add.at(change, p + 1, -1)

@@ -32,7 +32,7 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Passages:
-    """Passages as word hashes, with an index of chosen n-grams."""
+    """Passages as word hashes, with an index of their n-grams."""
 
     def __init__(self, keys: list, texts: list[str], n: int):
         self.n = n
@@ -47,34 +47,14 @@ class Passages:
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         self.place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g in grams]]).astype(np.int64)
         self.short = sorted({len(w) for w in self.words if len(w) < n})
-        self.seen = np.zeros(len(self.gram), np.int64)
-        self.index(np.ones(len(self.gram), bool))
-
-    def index(self, chosen: np.ndarray) -> None:
-        """Look up only the n-grams of ``chosen`` from now on."""
-        order = np.flatnonzero(chosen)
-        order = order[np.argsort(self.gram[order], kind="stable")]
-        self.by_gram, self.row = self.gram[order], order
+        self.row = np.argsort(self.gram, kind="stable")
+        self.by_gram = self.gram[self.row]
         # A sieve of low bits keeps most of a text's n-grams from the search.
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.by_gram & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def choose_rare(self, seen: np.ndarray, span: int, keep: int = 2) -> np.ndarray:
-        """Of every ``span`` neighbouring n-grams of a passage the ``keep`` with the fewest ``seen``, leftmost on ties; never ones that aren't seen at all."""
-        chosen = np.zeros(len(self.gram), bool)
-        for lo, hi in self._bounds():
-            here = np.where(seen[lo:hi] > 0, seen[lo:hi], np.iinfo(np.int64).max)
-            for i in range(max(1, len(here) - span + 1)):
-                chosen[lo + i + np.argsort(here[i : i + span], kind="stable")[:keep]] = True
-        self.seen = seen
-        return chosen & (seen > 0)
-
-    def _bounds(self):
-        edges = np.searchsorted(self.item, np.arange(len(self.words) + 1))
-        return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, row of the index) of every chosen n-gram that a text's words hold."""
+        """(place in the text, row of the index) of every n-gram that a text's words hold."""
         at, row = [], []
         for n in {self.n, *self.short}:
             if len(hashes) < n:
@@ -88,37 +68,3 @@ class Passages:
                 at += [p] * (b - a)
                 row += self.row[a:b].tolist()
         return np.asarray(at, np.int64), np.asarray(row, np.int64)
-
-    def windows(self, hashes: np.ndarray, alone: int = 2) -> list[tuple[int, int, int]]:
-        """(passage, first word, last word) of the stretches of a text where a passage may stand.
-
-        A stretch holds two different n-grams of the passage, or one that was seen at most
-        ``alone`` times.
-        """
-        at, row = self.hits(hashes)
-        out: list[tuple[int, int, int]] = []
-        if not len(at):
-            return out
-        item, start = self.item[row], at - self.place[row]
-        order = np.lexsort((start, item))
-        open_at: list = []  # passage, first word, last word, row of the first hit, whether it counts
-
-        def close() -> None:
-            if open_at and open_at[0][4]:
-                out.append(tuple(open_at[0][:3]))
-            open_at.clear()
-
-        for k in order.tolist():
-            i, s, r = int(item[k]), int(start[k]), int(row[k])
-            m = len(self.words[i])
-            slack = max(4, m // 3)
-            lo, hi = max(0, s - slack), min(len(hashes), s + m + slack)
-            counts = self.seen[r] <= alone
-            if open_at and open_at[0][0] == i and lo <= open_at[0][2]:
-                w = open_at[0]
-                w[2], w[4] = max(hi, w[2]), w[4] or counts or r != w[3]
-            else:
-                close()
-                open_at.append([i, lo, hi, r, counts])
-        close()
-        return out

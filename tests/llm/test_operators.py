@@ -338,10 +338,17 @@ def test_edited_leaks_beside_verbatim_copies(spark):
     assert {i: round(s, 3) for i, s in got.items()} == {0: 1.0, 1: 0.517, 2: 0.65, 3: 0.717, 4: 0.517}
 
 
+def test_short_items_in_many_documents(spark):
+    items = ["alpha", "beta gamma", "delta eps zeta", "u1 u2 u3 u4 u5 u6"]
+    texts = [f"f{i} g{i} {t} h{i} k{i}" for i in range(6) for t in ("alpha", "beta gamma", "delta eps zeta", "u1 u2 u3", "x y")]
+    got = decontam.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(5 * i + k, k, 0.5 if k == 3 else 1.0) for i in range(6) for k in range(4)}
+
+
 def test_screen_loses_nothing():
     rng = random.Random(10)
     for _ in range(400):
-        item = [f"w{rng.randrange(rng.choice((4, 30)))}" for _ in range(rng.randrange(3, 14))]
+        item = [f"w{rng.randrange(rng.choice((4, 30)))}" for _ in range(rng.randrange(1, 14))]
         text = rng.choices(WORDS[:40], k=rng.randrange(1, 9))
         for w in item:
             kind = rng.random()
