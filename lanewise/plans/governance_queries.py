@@ -229,6 +229,7 @@ QUERIES = {
     "run_validation": (lambda d: dg.run_validation(d.scene.videos.select("video_id", F.col("frame_count").alias("expected_frames"), (F.col("frame_count") - (F.col("video_id") == "v3").cast("int")).alias("processed_frames"), F.col("frame_count").alias("output_frames"))), TRACKS + "select video_id, frame_count as expected_frames, frame_count - (video_id = 'v3')::int as processed_frames, frame_count as output_frames, case when video_id = 'v3' then 'FAIL' else 'PASS' end as status, case when video_id = 'v3' then 'processed frames differ; output frames differ' else '' end as message from videos"),
     "runtime_profile": (lambda d: dg.runtime_profile(d.scene.videos.select("video_id", "source_id"), values(d.spark, "source_id, profile", [("'aerial'", "'aerial_960'")]), "default_640"), TRACKS + "select source_id, video_id, case when source_id = 'aerial' then 'aerial_960' else 'default_640' end as profile from videos"),
     "content_fingerprint": (lambda d: dg.table_fingerprint(d.table("documents"), ["doc_id", "text"], "doc_id").select("rows"), "select count(*) as rows from documents"),
+    "content_digest": (lambda d: dg.table_fingerprint(d.table("documents"), ["doc_id", "text"], "doc_id"), None),
     "integrity_compare": (lambda d: dg.integrity_compare(d.contents.select(F.col("id").alias("asset"), F.col("sha").alias("digest")).where("id % 10 <> 1"), d.contents.select(F.col("id").alias("asset"), F.when(F.col("id") % 10 == 2, F.lit("x")).otherwise(F.col("sha")).alias("digest")).where("id % 10 <> 3")), "select doc_id as asset, case doc_id % 10 when 1 then 'UNEXPECTED' when 3 then 'MISSING' when 2 then 'CHANGED' else 'MATCH' end as status from documents"),
     "map_class": (lambda d: d.boxes.select(lb.map_class(F.col("class_name"), {"person": "PERSON", "car": "VEHICLE"}).alias("mapped")).groupBy("mapped").agg(F.count("*").alias("rows")), BASE + "select case class_name when 'person' then 'PERSON' when 'car' then 'VEHICLE' end as mapped, count(*) as rows from bx group by all"),
     "sequence_group": (lambda d: an.sequence_groups(d.table("pages").select(lb.sequence_group(F.concat(F.col("page_id") % 10, F.lit("_"), F.col("page_id"), F.lit(".jpg"))).alias("sequence"), F.col("page_id").alias("image_id"))), "select cast(page_id % 10 as varchar) as sequence, count(*) as images, min(page_id) as first_id, max(page_id) as last_id from pages group by all"),

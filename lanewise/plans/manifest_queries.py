@@ -58,6 +58,7 @@ QUERIES = {
     "track_records": (lambda d: tb.track_records(d.scene.tracks.drop("class_name", "center_x", "center_y").withColumn("class_id", (F.col("track_id") % 6).cast("int")), values(d.spark, "class_id, class_name", [("0", "'person'"), ("2", "'car'")])).select("track_id", "frame_index", "class_name", "center_x", "center_y"), TRACKS + "select track_id, frame_index, class_name, (x1 + x2) / 2 as center_x, (y1 + y2) / 2 as center_y from tracks where class_name in ('person', 'car')"),
     "write_tables": (_written, TRACKS + "select source_id, count(*) as rows, round(sum(center_x), 3) as sum_x from tracks group by all"),
     "tree_fingerprint": (lambda d: tb.tree_fingerprint(d.table("documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))).select("files"), "select count(*) as files from documents"),
+    "tree_digest": (lambda d: tb.tree_fingerprint(d.table("documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))), None),
     "in_ranges": (lambda d: d.scene.tracks.select("track_id", "frame_index", in_ranges(F.col("frame_index"), [(3, 9), (30, 41)]).alias("inside")), TRACKS + "select track_id, frame_index, frame_index between 3 and 9 or frame_index between 30 and 41 as inside from tracks"),
     "context_tags": (lambda d: d.areas.groupBy("image_id").agg(F.collect_set("class_name").alias("c")).select("image_id", F.array_join(lb.context_tags(F.col("c")), ";").alias("tags")), BASE + "select image_id, case when not bool_or(class_name = 'person') then '' when bool_or(class_name = 'bicycle') and bool_or(class_name = 'car') then 'PERSON_BICYCLE;PERSON_CAR;PERSON_MULTI_TRAFFIC' when bool_or(class_name = 'bicycle') then 'PERSON_BICYCLE' when bool_or(class_name = 'car') then 'PERSON_CAR' else 'PERSON_ONLY' end as tags from ar group by all"),
     "size_bin": (lambda d: d.areas.groupBy(size_bin(F.col("area")).alias("size_bin")).agg(F.count("*").alias("boxes")), BASE + "select size_bin, count(*) as boxes from bins group by all"),

@@ -1,6 +1,9 @@
 """Checks of annotations, duplicates, splits, evaluation and sampling on small tables."""
 
+import hashlib
+import json
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from lanewise.operators import diagnostics as dg
 from lanewise.operators import duplicates as du
 from lanewise.operators import evaluation as el
 from lanewise.operators import sampling as sm
+from lanewise.plans import governance_queries, manifest_queries
 from lanewise.plans.derived import values
 
 
@@ -85,6 +89,34 @@ def test_quality_and_contract(spark, rows):
     assert a == b
 
 
+def brute_digest(lines, buckets):
+    """Of (text that gives the bucket, line): sums of parts of each bucket's digests, hashed together."""
+    sums: dict = {}
+    for key, line in lines:
+        sha = hashlib.sha256(line.encode()).hexdigest()
+        s = sums.setdefault(zlib.crc32(key.encode()) % buckets, [0] * 5)
+        for i, v in enumerate([1, *[int(sha[12 * j : 12 * j + 12], 16) for j in range(4)]]):
+            s[i] += v
+    return hashlib.sha256("|".join(sorted(":".join(map(str, (b, *s))) for b, s in sums.items())).encode()).hexdigest()
+
+
+def test_registered_digests_depend_on_whole_texts(spark, tmp_path):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    long = "word " * 5000
+    said = []
+    for last in ("a", "b"):
+        table = [(i, f"text {i} \"q\" é") for i in range(300)] + [(300, long + last), (300, long + last)]
+        spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / last / "documents.parquet"))
+        content = governance_queries.queries()["content_digest"](spark, str(tmp_path / last)).first()
+        tree = manifest_queries.queries()["tree_digest"](spark, str(tmp_path / last)).first()
+        lines = [(str(i), json.dumps({"doc_id": i, "text": t}, separators=(",", ":"), ensure_ascii=False)) for i, t in table]
+        assert (content.fingerprint, content.rows) == (brute_digest(lines, 64), 302)
+        lines = [f"{i}:{sha(t)}" for i, t in table]
+        assert (tree.tree, tree.files) == (brute_digest([(x, x) for x in lines], 256), 302)
+        said.append((content.fingerprint, tree.tree))
+    assert all(a != b for a, b in zip(*said, strict=True))
+
+
 def test_greedy_selection_and_leaders(spark, rows):
     f = spark.createDataFrame([("v", i, "uniform", float(i % 4)) for i in range(30)], "video_id string, frame_index long, sampling_method string, priority_score double")
     got = [r[1] for r in sorted(rows(sm.temporal_select(f, 5, 4, {"uniform": 1.0})))]
