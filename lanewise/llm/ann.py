@@ -13,10 +13,9 @@ is dealt over tasks by salt.
 square of each margin that the way to it crosses, so the queue pops leaves, over all
 trees, in order of how far they are off. For a block of queries at once this is a
 running sum down each level and a selection of the largest values over the leaves of
-all trees together; the tests compare it with a heap. ``share``
-says how many of all leaves are popped. It is the knob between cost and recall:
-data of low intrinsic dimension need a small share; directions that are spread
-evenly over 64 dimensions need the default to reach a recall of 0.95.
+all trees together; the tests compare it with a heap. How many leaves are popped follows
+from the wanted recall, which is measured on the sample: data of low intrinsic dimension
+need few leaves, directions that are spread evenly over 64 dimensions about a third.
 
 *Rerank.* Queries meet the popped leaves' blocks by an equality join; the exact
 inner products of original vectors, in double precision, choose the nearest.
@@ -42,8 +41,10 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.common import read_table, write_scratch
 
-#: Rows of the sample that the forest is fitted on, at most.
-SAMPLE_ROWS = 32_768
+#: Rows of the sample that the forest is fitted on, at most, and of those that ask when recall is measured on it.
+SAMPLE_ROWS, SAMPLE_QUERIES = 32_768, 512
+#: Levels of a tree at least, where the sample has four rows for each leaf.
+LEAST_DEPTH = 4
 #: Rows of a packed block, at most.
 BLOCK_ROWS = 2_048
 #: Rows of partial results that a task holds, at most.
@@ -87,8 +88,8 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1) + (t << self.depth)
         return out
 
-    def popped(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The leaves that a priority queue over all trees pops first, for each row."""
+    def priorities(self, x: np.ndarray) -> np.ndarray:
+        """The priority of each leaf of the forest, for each row."""
         priority = np.empty((len(x), self.trees, 1 << self.depth), np.float32)
         for t in range(self.trees):
             margins = x @ self.normals[t].T - self.cuts[t] if self.depth else np.empty((len(x), 0), np.float32)
@@ -98,10 +99,34 @@ class Forest:
                 crossed = np.minimum(np.stack([-m, m], axis=2).reshape(len(x), -1), 0)
                 level = np.repeat(level, 2, axis=1) - crossed * crossed
             priority[:, t] = level
-        flat = priority.reshape(len(x), -1)
+        return priority.reshape(len(x), -1)
+
+    def popped(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The leaves that a priority queue over all trees pops first, for each row."""
+        flat = self.priorities(x)
         probes = min(probes, flat.shape[1])
         return np.argpartition(-flat, probes - 1, axis=1)[:, :probes].astype(np.int32)
 
+    def probes_for(self, sample: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
+        """How many leaves are popped until the wanted share of the ``k`` nearest sample rows of the sample rows ``queries`` has been met.
+
+        ``sample`` are the original vectors, ``rows`` the lengthened ones.
+        """
+        leaf = self.leaves(rows)
+        needed = []
+        for lo in range(0, len(queries), 64):
+            q = queries[lo : lo + 64]
+            score = sample[q] @ sample.T
+            score[np.arange(len(q)), q] = -np.inf
+            top = min(k, len(sample) - 1)
+            near = np.argpartition(-score, top - 1, axis=1)[:, :top]
+            order = np.argsort(-self.priorities(directions(sample[q])), axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
+            needed.append(place[np.arange(len(q))[:, None, None], leaf[near]].min(axis=2).ravel())
+        needed = np.sort(np.concatenate(needed))
+        return int(needed[math.ceil(recall * len(needed)) - 1]) + 1
+
 
 def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
     """Rows with one more coordinate, equally long, then scaled to length one."""
@@ -146,7 +171,7 @@ def nearest_neighbours(
     k: int = 20,
     trees: int = 4,
     leaf_rows: int = 1_600,
-    share: float = 0.3,
+    recall: float = 0.96,
     sample_rows: int = SAMPLE_ROWS,
     seed: int = 7,
 ) -> DataFrame:
@@ -155,9 +180,10 @@ def nearest_neighbours(
     Returns (query_id, rank from 1, vec_id, score), ties by smaller vec_id. Null
     ids and unusable vectors (null, empty, zero, null or non-finite components)
     take no part; vectors of another length than the most frequent one take no part
-    either, as no inner product with them is defined. Rows that repeat an id with
-    the same vector count once. Fewer than ``k`` others: all that were found. An
-    empty table gives an empty result. Other columns are ignored.
+    either, as no inner product with them is defined. Of rows that repeat an id one
+    counts, that with the smallest vector in array order. Fewer than ``k`` others: all
+    that were found. An empty table gives an empty result. Other columns are ignored.
+    Trees have leaves of about ``leaf_rows`` rows, and LEAST_DEPTH levels at least.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -166,10 +192,12 @@ def nearest_neighbours(
     if lengths is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == lengths["d"])
+    one = F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))
+    single = lambda df: df.withColumn("one", one).where("one = 1").select("vec_id", "v")
     # Of each distinct vector the k + 1 smallest ids: the group limit acts before the shuffle, so a hot vector is cut down in each task.
     by_vector = Window.partitionBy("v", "asks").orderBy("vec_id")
     points = (
-        rows.dropDuplicates(["vec_id", "v"])
+        single(rows)
         .withColumn("asks", is_query(F.col("vec_id")))
         .withColumn("place", F.row_number().over(by_vector))
         .where(F.col("place") <= k + 1)
@@ -186,9 +214,16 @@ def nearest_neighbours(
     stats = points.agg(F.max(norm).alias("longest"), F.count("*").alias("n")).first()
     longest, n = stats["longest"] * (1 + 1e-9), stats["n"]
     sample = points.select("v", F.xxhash64("point", F.lit(seed)).alias("h")).orderBy("h").limit(sample_rows).drop("h").toArrow()
-    depth = max(0, min(math.floor(math.log2(n / leaf_rows)), math.floor(math.log2(sample.num_rows / 16))))
-    forest = Forest(lengthened(_vectors(sample["v"]), longest), trees, depth, seed)
-    probes = math.ceil(share * (trees << depth))
+    # A row of the sample for each leaf at least; four where there are more.
+    most = math.floor(math.log2(max(1, sample.num_rows / 4)))
+    depth = min(most, max(LEAST_DEPTH, math.floor(math.log2(max(1, n / leaf_rows)))))
+    vectors = _vectors(sample["v"])
+    lengthy = lengthened(vectors, longest)
+    forest = Forest(lengthy, trees, depth, seed)
+    probes = trees << depth
+    if sample.num_rows > 1:
+        queries = np.random.default_rng(seed).permutation(sample.num_rows)[:SAMPLE_QUERIES]
+        probes = forest.probes_for(vectors.astype(np.float64), lengthy, queries, k, recall)
     shared = spark.sparkContext.broadcast((forest, longest, probes))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,22 +276,26 @@ def nearest_neighbours(
                 ids, queries = points.values.to_numpy(), q.values.to_numpy()
                 x = np.frombuffer(vectors.as_py(), size).reshape(len(ids), -1).astype(np.float64)
                 y = np.frombuffer(qv.as_py(), size).reshape(len(queries), -1).astype(np.float64)
+                longest = np.sqrt((x * x).sum(axis=1).max())
                 for lo in range(0, len(y), 256):
-                    rough = y[lo : lo + 256] @ x.T
-                    top = min(len(ids), k + 4)
-                    best = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-                    at = np.repeat(np.arange(lo, lo + len(rough)), top)
-                    exact = inner_products(y[at], x[best.reshape(-1)])
-                    held.append((queries[at], ids[best.reshape(-1)], exact))
-                    rows += len(exact)
+                    part = y[lo : lo + 256]
+                    rough = part @ x.T
+                    top = min(len(ids), k + 1)
+                    # All that reach the last place but for rounding: ties go to the smaller id, whatever its place here.
+                    least = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top] - 1e-12 * longest * np.sqrt((part * part).sum(axis=1))
+                    at, best = np.nonzero(rough >= least[:, None])
+                    exact = np.concatenate([inner_products(part[at[i : i + BLOCK_ROWS]], x[best[i : i + BLOCK_ROWS]]) for i in range(0, len(at), BLOCK_ROWS)])
+                    new = (queries[lo + at], ids[best], exact)
+                    held.append(nearest([new], k + 1) if len(at) > top * len(part) else new)
+                    rows += len(held[-1][0])
                 if rows > BUFFER_ROWS:
-                    held = [nearest(held, k + 4)]
+                    held = [nearest(held, k + 1)]
                     rows = len(held[0][0])
                     if rows > BUFFER_ROWS // 2:
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["query", "point", "score"])
                         held, rows = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, nearest(held, k + 4))), ["query", "point", "score"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, nearest(held, k + 1))), ["query", "point", "score"])
 
     found = meet.mapInArrow(score, "query long, point long, score double").dropDuplicates(["query", "point"])
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "point")
@@ -272,7 +311,7 @@ def nearest_neighbours(
         .agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     )
     # All rows that ask, also those beyond the ids kept for a point.
-    asking = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"]).join(points.select("v", "point"), "v").select(F.col("vec_id").alias("query_id"), F.col("point").alias("query"))
+    asking = single(rows.where(is_query(F.col("vec_id")))).join(points.select("v", "point"), "v").select(F.col("vec_id").alias("query_id"), F.col("point").alias("query"))
     return (
         asking.join(listed, "query")
         .select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
