@@ -5,7 +5,8 @@ the SHA-256 of the text. A ledger holds, for each blob and rule version, what th
 rule found. A scan joins the distinct blobs against the ledger, runs only the rules
 that a blob has not met in their present version, adds the outcome to the ledger and
 joins the ledger back to all paths. Copies, renamed files and old versions are
-scanned once; raising a rule's version rescans for that rule alone.
+scanned once; raising a rule's version rescans for that rule alone. What a scan finds is
+written once, as a table in the shared folder, and both the findings and the ledger read it.
 
 Spark keeps the text of one path for each blob (the group limit acts before the
 shuffle, so a blob that a third of all paths hold is cut down in each task) and
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import read_table
+from lanewise.llm.common import read_table, write_scratch
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ def scan_secrets(
                 new.append([r.kind for r in rules if r.kind not in met])
             yield pa.RecordBatch.from_arrays([b["blob"], pa.array(out, kinds), pa.array(new, pa.list_(pa.string()))], ["blob", "hits", "scanned"])
 
-    scanned = blobs.mapInArrow(work, "blob string, hits array<struct<kind: string, version: int, start: int, end: int>>, scanned array<string>")
+    scanned = write_scratch(blobs.mapInArrow(work, "blob string, hits array<struct<kind: string, version: int, start: int, end: int>>, scanned array<string>"), "secrets-scanned")
     versions = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
     added = scanned.select("blob", "hits", F.explode("scanned").alias("kind")).select(
         "blob", "kind", F.element_at(versions, F.col("kind")).alias("version"),
@@ -110,27 +111,34 @@ def scan_secrets(
     return found.withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), added
 
 
-def digest(found: DataFrame, kinds: tuple[str, ...], base: tuple[str, ...] = BASE) -> DataFrame:
+def digest(found: DataFrame, kinds: tuple[str, ...], base: tuple[str, ...] = BASE, is_base=None) -> DataFrame:
     """Counts, the base spans' SHA-256 and all spans as text, for rows of (doc_id, findings).
 
-    Spans are listed by start, then by kind in the order of ``kinds``, then by end.
+    Spans are listed by start, then by kind in the order of ``kinds``, then by end. Base
+    spans are those for which ``is_base`` holds, or else those of the kinds ``base``.
     """
     order = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
-    keyed = F.array_sort(F.transform("findings", lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("o"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    is_base = is_base or (lambda x: x["kind"].isin(*base))
+    listed = lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("o"), x["end"].alias("end"), x["kind"].alias("kind"), is_base(x).alias("base"))
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    out = found.withColumn("listed", keyed)
+    of_kind = lambda k: lambda x: x["base"] & (x["kind"] == k)
+    out = found.withColumn("listed", F.array_sort(F.transform("findings", listed)))
     return out.select(
         "doc_id",
-        *[F.size(F.filter(F.col("listed.kind"), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(text(F.filter("listed", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"),
+        *[F.size(F.filter("listed", of_kind(k))).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(text(F.filter("listed", lambda x: x["base"])), 256).alias("base_sha256"),
         text(F.col("listed")).alias("spans"),
     )
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan all documents as the first batch of a ledger; one row for each document."""
-    found, _ = scan_secrets(read_table(spark, sf_dir, "documents"))
-    return digest(found, tuple(r.kind for r in RULES))
+    """Scan all documents as two batches over one ledger, the second of which scans only what the first hasn't met; one row for each document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = F.lit(docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("m")).first()["m"])
+    early = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
+    first, ledger = scan_secrets(docs.where(early))
+    second, _ = scan_secrets(docs.where(~early), ledger)
+    return digest(first.unionByName(second), tuple(r.kind for r in RULES))
 
 
 def brute_force(text: str | None) -> tuple[list[tuple[str, int, int]], str]:
