@@ -24,7 +24,8 @@ so costs some n comparisons, not n * n.
 
 *Group.* Components are the smallest id reachable over confirmed links.
 
-Documents with equal sets are one class throughout (128-bit hash of the sorted set).
+Documents with equal sets are one class throughout (128-bit hash of the sorted set), with
+a number of its own, so unlike texts that share an id stay apart.
 """
 
 from __future__ import annotations
@@ -53,6 +54,11 @@ def _multipliers(count: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _set_hashes(sets: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """128 bits of each set, in two columns; ``at`` says where the sets begin, none is empty."""
+    return np.stack([mix64(np.add.reduceat(mix64(sets + np.uint64(salt)), at) ^ counts.astype(np.uint64)) for salt in (0x9AE16A3B2F90404F, 0xC949D7C7509E6557)], axis=1)
+
+
 def sketch_batch(texts: list[str | None], words: int, groups: int, minhashes: int, seed: int):
     """(set sizes, 128-bit set hashes as two columns, A groups, B groups as rows of integers)."""
     many = _multipliers(2 * groups * minhashes, seed)
@@ -68,8 +74,7 @@ def sketch_batch(texts: list[str | None], words: int, groups: int, minhashes: in
         if not len(full):
             continue
         at = bounds[:-1][full]
-        for c, salt in enumerate((0x9AE16A3B2F90404F, 0xC949D7C7509E6557)):
-            whole[first + full, c] = mix64(np.add.reduceat(mix64(sets + np.uint64(salt)), at) ^ counts[full].astype(np.uint64))
+        whole[first + full] = _set_hashes(sets, at, counts[full])
         for g in range(2 * groups):
             acc = np.full(len(full), np.uint64(g + 1))
             for a in many[g * minhashes : (g + 1) * minhashes]:
@@ -107,20 +112,23 @@ def _sketches(docs: DataFrame, words: int, groups: int, minhashes: int, seed: in
             # A B group is a further key within an A key: 32 bits of it suffice.
             low = (band[:, groups:] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             columns = [pa.array(size), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), _lists(band[:, :groups].view(np.int64)), _lists(low), _lists(packed(band))]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["doc_id", "n", "h1", "h2", "a", "b", "lanes"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["t"], *columns], ["doc_id", "t", "n", "h1", "h2", "a", "b", "lanes"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, a array<long>, b array<int>, lanes array<long>")
+    return docs.mapInArrow(work, "doc_id long, t long, n long, h1 long, h2 long, a array<long>, b array<int>, lanes array<long>")
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, elements): each document's sorted distinct 64-bit shingle hashes, as bytes."""
+    """(id, elements): sorted distinct 64-bit shingle hashes, as bytes, of the rows of ``docs`` (id, h1, h2, text) whose set has the hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = b["text"].to_pylist(), b["id"]
-            for first, last, hashes, offsets in word_groups(texts):
+            wanted = np.stack([b["h1"].to_numpy(), b["h2"].to_numpy()], axis=1).view(np.uint64)
+            for first, last, hashes, offsets in word_groups(b["text"].to_pylist()):
                 sets, bounds = shingle_sets(hashes, offsets, words)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([sets[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "elements"])
+                counts = np.diff(bounds)
+                full = np.flatnonzero(counts)
+                full = full[(_set_hashes(sets, bounds[:-1][full], counts[full]) == wanted[first + full]).all(axis=1)] if len(full) else full
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(first + full)), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary())], ["id", "elements"])
 
     return docs.mapInArrow(work, "id long, elements binary")
 
@@ -226,15 +234,25 @@ def near_duplicates(
     if 100 * intersection >= percent * union of their distinct ``words``-word shingles; a
     text of fewer words has its whole sequence as its one shingle, and one without words,
     or null, has none and is its own component. component_id is the smallest id
-    reachable, kept says that it is the row's own. Rows that repeat an id count as copies
-    and are all returned; rows with a null id are left out, as they can't be named.
-    An empty table gives an empty result; other columns are ignored.
+    reachable, kept says that it is the row's own. Rows that repeat an id are linked by
+    their texts alone and are all returned; rows with a null id are left out, as they can't
+    be named. An empty table gives an empty result; other columns are ignored.
+    """
+    out, _ = _grouped(docs, words, percent, groups, minhashes, seed, id_col, text_col)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, groups: int, minhashes: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc_id, t, n, h1, h2, component_id, first) for each row, and whether ids repeat.
+
+    ``t`` is a hash of the text, ``first`` says that the row's set is the one that stands for its component.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    sketches = write_scratch(_sketches(source, words, groups, minhashes, seed), "dup-sketches")
+    sketches = write_scratch(_sketches(source.withColumn("t", F.xxhash64("text")), words, groups, minhashes, seed), "dup-sketches")
+    repeats = not sketches.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     # One member for each distinct set: partial minima, so the largest class of copies is one row a task.
-    classes = sketches.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "a", "b", "lanes"), "doc_id").alias("s"))
-    classes = write_scratch(classes.select("h1", "h2", "id", "s.*"), "dup-classes")
+    classes = sketches.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "a", "b", "lanes"), "doc_id").alias("s"))
+    classes = write_scratch(classes.select("h1", "h2", "doc_id", "s.*").withColumn("id", F.monotonically_increasing_id()), "dup-classes")
 
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)  # noqa: E731  sizes alone rule the others out
     # Documents that share some A_i; only they carry their B groups on.
@@ -245,7 +263,9 @@ def near_duplicates(
     order = F.when(F.col("turn") == 0, F.col("id")).otherwise(F.xxhash64("id", "turn"))
     centers = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), order).alias("center")).where("c > 1").select("key", "center")
     keys = write_scratch(keyed.join(centers, "key").select("key", "id", "n", "center"), "dup-keys")
-    sets = write_scratch(_full_sets(source.join(keys.select(F.col("id").alias("doc_id")).dropDuplicates(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), words), "dup-sets")
+    wanted = classes.select("id", "doc_id", "h1", "h2").join(keys.select("id").dropDuplicates(), "id", "left_semi")
+    sets = _full_sets(source.join(wanted, "doc_id").select("id", "h1", "h2", "text"), words)
+    sets = write_scratch(sets.dropDuplicates(["id"]) if repeats else sets, "dup-sets")
 
     def ordered(pairs: DataFrame, x, y, name: str) -> DataFrame:
         return write_scratch(pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).dropDuplicates(["x", "y"]), name)
@@ -279,11 +299,13 @@ def near_duplicates(
     for end in ("x", "y"):
         more = more.join(label.select(F.col("id").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
     merged = components(more.select(F.col("lx").alias("x"), F.col("ly").alias("y")), "dup-merged")
-    grouped = classes.select("h1", "h2", "id").join(label, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
-    grouped = grouped.join(merged.withColumnRenamed("id", "label"), "label", "left").select("h1", "h2", F.coalesce("component", "label").alias("component"))
-    out = sketches.select("doc_id", "n", "h1", "h2").withColumns({"h1": F.when(F.col("n") > 0, F.col("h1")), "h2": F.when(F.col("n") > 0, F.col("h2"))})
-    out = out.join(grouped, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    grouped = classes.select("h1", "h2", "doc_id", "id").join(label, "id", "left").select("h1", "h2", "doc_id", F.coalesce("label", "id").alias("label"))
+    grouped = grouped.join(merged.withColumnRenamed("id", "label"), "label", "left").select("h1", "h2", "doc_id", F.coalesce("component", "label").alias("component"))
+    low = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("low"))
+    grouped = grouped.join(low, "component").select("h1", "h2", F.col("low.doc_id").alias("component_id"), ((F.col("low.h1") == F.col("h1")) & (F.col("low.h2") == F.col("h2"))).alias("first"))
+    out = sketches.select("doc_id", "t", "n", "h1", "h2").withColumns({"h1": F.when(F.col("n") > 0, F.col("h1")), "h2": F.when(F.col("n") > 0, F.col("h2"))})
+    out = out.join(grouped, ["h1", "h2"], "left").withColumns({"component_id": F.coalesce("component_id", "doc_id"), "first": F.coalesce("first", F.lit(True))})
+    return out, repeats
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,8 +316,18 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles), with its columns unchanged.
 
-    Of rows that repeat the kept id one stays; rows with a null id stay.
+    Unlike texts under one id are documents of their own. Of rows that repeat the kept id
+    and text one stays; rows with a null id stay.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).dropDuplicates()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    out, repeats = _grouped(docs, 5, 80, GROUPS, MINHASHES, 11, "doc_id", "text")
+    kept = out.where("first and doc_id = component_id").select("doc_id", "t", "h1", "h2")
+    named = docs.where(F.col("doc_id").isNotNull())
+    if not repeats:
+        named = named.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
+    else:
+        # One text for each id and set, and all texts without words.
+        one = kept.where("h1 is not null").groupBy("doc_id", "h1", "h2").agg(F.min("t").alias("t")).select("doc_id", "t")
+        one = one.unionByName(kept.where("h1 is null").select("doc_id", "t")).dropDuplicates().select(F.col("doc_id").alias("_kept"), F.col("t").alias("_kept_t"))
+        named = named.withColumn("_t", F.xxhash64("text")).join(one, (F.col("doc_id") == F.col("_kept")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
+        named = named.dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
