@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -40,132 +41,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lanewise.llm.common import SPACE, read_table, span_hashes, write_scratch
+from lanewise.llm.common import read_table, write_scratch
 
 SEQUENCE_TOKENS = 1_024
 WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 #: Rows of the table of places that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Queues: sources beyond the largest ones share the last queue.
-MOST_QUEUES = 1_024
-#: Entries of a task's cache of encoded words.
-CACHE_WORDS = 250_000
+#: Without targets: sources with queues of their own. The smaller ones, each of less than a thousandth of the tokens, are served as one.
+OWN_QUEUES = 1_024
 SEPARATOR = 0
 
 
-#: First bytes of characters, other than ASCII ones, that can be white space.
-_WIDE = np.zeros(256, bool)
-_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+class Encoder:
+    """Whole texts to ids of a byte-level BPE vocabulary; the vocabulary's special tokens are recognised in texts.
 
-
-class WordEncoder:
-    """Encodes whole texts with a byte-level BPE vocabulary, each distinct word once.
-
-    The vocabulary's own splitting never joins what is on both sides of a single space
-    between two characters that aren't white space: the space begins a new piece. So a
-    text's ids are those of its space-led words one after another. Runs of white space
-    stay with the words beside them, and so does, to be safe, a space beside any character
-    whose first byte may begin a white space character.
-
-    ``path`` is a file of the tokenizers library (.json) or of tiktoken, whose rank files
-    hold the same vocabulary and give the same ids in about half the time. Words are known
-    by a 64-bit hash. When the cache is full, the words that were met in one batch only are
-    forgotten, and of the others the more frequent half of the cache is kept.
+    ``path`` is a file of the tokenizers library (.json). ``ranks`` may name a tiktoken file
+    of the same vocabulary, which gives the same ids in about half the time; texts that
+    it can't split (runs of about a million spaces) go through the first file.
     """
 
-    def __init__(self, path: str):
-        if path.endswith(".json"):
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.size = tokenizer.get_vocab_size()
-            self.slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            self.size = max(ranks.values()) + 1
-            self.slow = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache: dict[int, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.cache.clear()
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.counts, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
-
-    def _forget(self) -> None:
-        n = len(self.cache)
-        met = self.met[:n]
-        kept = np.flatnonzero(met >= 2)
-        kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: CACHE_WORDS // 2]])
-        new = np.full(n, -1, np.int64)
-        new[kept] = np.arange(len(kept))
-        self.cache = {key: int(new[code]) for key, code in self.cache.items() if new[code] >= 0}
-        counts = self.counts[kept]
-        ends = np.cumsum(counts)
-        self.used = int(ends[-1]) if len(kept) else 0
-        self.flat = self.flat[np.arange(self.used) + np.repeat(self.starts[kept] - (ends - counts), counts)] if self.used else np.empty(1 << 16, np.uint32)
-        self.starts, self.counts, self.met = ends - counts, counts, met[kept] // 2
-
-    def _add(self, key: int, ids: list[int]) -> None:
-        n, end = len(self.cache), self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used // 2 + len(ids) + (1 << 14), np.uint32)])
-        if n == len(self.starts):
-            self.starts, self.counts, self.met = (np.concatenate([x, np.zeros(n // 2 + (1 << 14), np.int64)]) for x in (self.starts, self.counts, self.met))
-        self.flat[self.used : end] = ids
-        self.starts[n], self.counts[n], self.cache[key] = self.used, len(ids), n
-        self.used = end
-
-    def encode_many(self, texts: list[str], limit: int = 1 << 20) -> list[np.ndarray]:
-        """The ids of each text; about ``limit`` bytes are worked on at a time, texts are never cut."""
-        out: list[np.ndarray] = []
-        raws, size = [], 0
-        for t in texts:
-            raws.append(t.encode("utf-8", "replace"))
-            size += len(raws[-1])
-            if size >= limit:
-                out += self._encode(raws)
-                raws, size = [], 0
-        return out + (self._encode(raws) if raws else [])
-
-    def _encode(self, raws: list[bytes]) -> list[np.ndarray]:
-        raw = b"".join(raws)
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
-        if not raw:
-            return [np.empty(0, np.uint32) for _ in raws]
-        buf = np.frombuffer(raw, np.uint8)
-        at = np.flatnonzero(buf == 32)
-        at = at[(at > 2) & (at < len(buf) - 1)]
-        before, after = buf[at - 1], buf[at + 1]
-        cut = ~SPACE[before] & ~SPACE[after] & ~_WIDE[after] & ~((before >= 128) & (_WIDE[buf[at - 2]] | _WIDE[buf[at - 3]]))
-        is_start = np.zeros(len(buf) + 1, bool)
-        is_start[at[cut]] = True
-        is_start[bounds] = True  # a text's first byte; what ends the last word at the end
-        starts = np.flatnonzero(is_start)
-        starts, ends = starts[:-1], starts[1:]
-        keys, first, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.cache) + len(keys) > CACHE_WORDS:
-            self._forget()
-        codes = np.empty(len(keys), np.int64)
-        cache = self.cache
-        for i, key in enumerate(keys.tolist()):
-            code = cache.get(key)
-            if code is None:
-                code = len(cache)
-                self._add(key, self.slow(raw[starts[first[i]] : ends[first[i]]].decode()))
-            codes[i] = code
-        self.met[codes] += 1
-        code = codes[inverse]
-        counts = self.counts[code]
-        total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[code] - total[:-1], counts)]
-        cuts = total[np.searchsorted(starts, bounds)]
-        return [ids[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    def __init__(self, path: str, ranks: str | None = None):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
+        self.fast = None
+        if ranks is not None:
+            special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+            self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                pass
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.cache
-def shared_encoder(path: str) -> WordEncoder:
-    """One encoder, and so one cache, for all tasks that a Python process runs."""
-    return WordEncoder(path)
+def shared_encoder(path: str, ranks: str | None) -> Encoder:
+    """One encoder for all tasks that a Python process runs."""
+    return Encoder(path, ranks)
 
 
 class Schedule:
@@ -177,6 +93,7 @@ class Schedule:
     def __init__(self, totals: list[int], targets: list[Fraction], window: int = WINDOW_TOKENS):
         self.window = window
         self.phases: list[dict] = []
+        self._windows: dict[tuple[int, int], list[int]] = {}
         left, first = list(totals), 0
         taken = [0] * len(totals)
         base = 0  # tokens laid before this phase
@@ -188,7 +105,7 @@ class Schedule:
             # The phase ends with the window in which the first queue runs dry.
             windows = min(-(-left[q] * quantum[q].denominator // quantum[q].numerator) for q in live)
             sent = {q: min(left[q], int(windows * quantum[q])) for q in live}
-            self.phases.append({"windows": windows, "base": base, "first": first, "live": live, "quantum": quantum, "taken": list(taken), "sent": sent})
+            self.phases.append({"windows": windows, "base": base, "first": first, "live": live, "quantum": quantum, "taken": list(taken), "sent": sent, "place": {q: i for i, q in enumerate(live)}})
             for q in live:
                 taken[q] += sent[q]
                 left[q] -= sent[q]
@@ -198,7 +115,7 @@ class Schedule:
     def runs(self, queue: int, start: int, count: int) -> Iterator[tuple[int, int, int]]:
         """(offset in the request, place in the laid tokens, length) for tokens of a queue, in order."""
         at, end = start, start + count
-        for ph in self.phases:
+        for k, ph in enumerate(self.phases):
             if queue not in ph["quantum"]:
                 continue
             lo, quantum = ph["taken"][queue], ph["quantum"][queue]
@@ -208,37 +125,34 @@ class Schedule:
                 # The window w with floor(w * quantum) <= t < floor((w + 1) * quantum).
                 w = -(-(t + 1) * quantum.denominator // quantum.numerator) - 1
                 stop = min(hi - lo, int((w + 1) * quantum)) if w + 1 < ph["windows"] else hi - lo
-                before = self._before(ph, queue, w)
+                before = self._window(k, w)[ph["place"][queue]]
                 length = min(stop - t, end - at)
                 yield at - start, ph["base"] + before + t - min(hi - lo, int(w * quantum)), length
                 at += length
 
-    def _before(self, ph: dict, queue: int, w: int) -> int:
-        """Tokens of a phase laid before the queue's part of its window w."""
-        key = (id(ph), w)
-        if getattr(self, "_key", None) != key:
+    def _window(self, k: int, w: int) -> list[int]:
+        """Tokens of a phase laid before each live queue's part of its window w."""
+        if (k, w) not in self._windows:
+            if len(self._windows) >= 512:
+                self._windows.clear()
+            ph = self.phases[k]
             last = w + 1 >= ph["windows"]
-            total, self._at = 0, {}
-            for q in ph["live"]:
-                total += min(ph["sent"][q], int(w * ph["quantum"][q]))
-            for q in ph["live"]:
-                self._at[q] = total
-                here = min(ph["sent"][q], int(w * ph["quantum"][q]))
-                total += (ph["sent"][q] if last else min(ph["sent"][q], int((w + 1) * ph["quantum"][q]))) - here
-            self._key = key
-        return self._at[queue]
-
-
-def _tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+            here = [min(ph["sent"][q], int(w * ph["quantum"][q])) for q in ph["live"]]
+            until = [ph["sent"][q] if last else min(ph["sent"][q], int((w + 1) * ph["quantum"][q])) for q in ph["live"]]
+            self._windows[k, w] = list(itertools.accumulate((b - a for a, b in zip(here, until, strict=True)), initial=sum(here)))
+        return self._windows[k, w]
+
+
+def _tokens(docs: DataFrame, tokenizer_path: str, ranks: str | None) -> DataFrame:
     """(doc_id, source, part, before, n, ids): ids as unsigned 16-bit numbers where they fit, else 32-bit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path, ranks)
         kind = np.dtype("<u2") if encoder.size <= 1 << 16 else np.dtype("<u4")
         part, before = TaskContext.get().partitionId(), {}
         for b in batches:
             sources = b["source"].to_pylist()
-            ids = [np.append(x, SEPARATOR).astype(kind) for x in encoder.encode_many([t or "" for t in b["text"].to_pylist()])]
+            ids = [np.append(encoder.encode(t or ""), SEPARATOR).astype(kind) for t in b["text"].to_pylist()]
             counts, lead = [len(x) for x in ids], []
             for source, n in zip(sources, counts, strict=True):
                 lead.append(before.get(source, 0))
@@ -268,27 +182,35 @@ def pack(
     Returns (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source,
     ids): ids as little-endian unsigned 32-bit numbers. A document's ids end with id 0;
     null or empty texts are that id alone. ``targets`` maps sources to wanted proportions
-    of every window (sources that it leaves out come after the others have run dry);
-    without it they are the sources' own shares. A null source is a source of its own,
-    rows that repeat an id or a text are documents of their own, an empty table gives an
-    empty result, and other columns are ignored.
+    of every window, and each of these sources has a queue; the sources that it leaves out
+    come, as one queue, after the others have run dry. Without targets the proportions are
+    the sources' own shares; the largest OWN_QUEUES sources have queues of their own and the
+    rest, of which each is due less than a thousandth of a window, are one queue. A null source
+    is the source ``''``, rows that repeat an id or a text are documents of their own, an
+    empty table gives an empty result, and other columns are ignored.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col), F.lit(""))
-    tokens = write_scratch(_tokens(docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("text")), tokenizer_path or public_tokenizers.path("byte_bpe_50k.tiktoken")), "pack-tokens")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken") if tokenizer_path is None else None
+    named = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("text"))
+    tokens = write_scratch(_tokens(named, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks), "pack-tokens")
     by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     totals = by_part.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = totals.orderBy(F.desc("n"), "source").limit(MOST_QUEUES).collect()
+    if targets is None:
+        own = totals.orderBy(F.desc("n"), "source").limit(OWN_QUEUES).collect()
+    else:
+        wanted = spark.createDataFrame([(s,) for s in targets], "source string")
+        own = totals.join(wanted, "source", "left_semi").orderBy(F.desc("n"), "source").collect()
     all_tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    queues = {r["source"]: i for i, r in enumerate(largest)}
-    counts = [r["n"] for r in largest]
+    queues = {r["source"]: i for i, r in enumerate(own)}
+    counts = [r["n"] for r in own]
     if (rest := all_tokens - sum(counts)) > 0:
         counts.append(rest)
-    want = [Fraction(c) for c in counts] if targets is None else [Fraction(targets.get(s, 0)).limit_denominator(10**6) for s in queues] + [Fraction(0)] * (len(counts) - len(queues))
+    want = [Fraction(c) for c in counts] if targets is None else [Fraction(targets[s]).limit_denominator(10**6) for s in queues] + [Fraction(0)] * (len(counts) - len(queues))
     # Places in the queue: sums over tasks, then over sources that share the last queue.
-    number = F.create_map(*[x for s, i in queues.items() for x in (F.lit(s), F.lit(i))]) if queues else F.create_map(F.lit(""), F.lit(0))
+    number = spark.createDataFrame(list(queues.items()), "source string, queue int")
     in_source = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    places = by_part.withColumn("queue", F.coalesce(F.try_element_at(number, F.col("source")), F.lit(len(queues)))).withColumn("base", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
+    places = by_part.join(number, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(queues)))).withColumn("base", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
     places = write_scratch(places.select("source", "part", "queue", "base"), "pack-places")
     few = places.count() <= BROADCAST_ROWS
     placed = tokens.join(F.broadcast(places) if few else places, ["source", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
