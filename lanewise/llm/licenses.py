@@ -5,7 +5,9 @@ the text less its place in the template, so that each of several copies has a be
 of its own. There, text and template are aligned: words that occur once in both are anchors, the longest increasing
 subsequence of the anchors is kept, and each gap between two anchors is aligned again
 in the same way, down to gaps without anchors, whose equal beginnings and ends still
-count. Coverage is the share of the template's words that are aligned.
+count. Coverage is the share of the template's words that are aligned; words that tell a
+template from its kin (names, version numbers) must be among them. Short notices are aligned in
+the same way as long texts, from seeds of two words instead of three.
 
 Templates are few and fixed, tasks share them; documents are scanned where they are
 read, whole, and never shuffled.
@@ -13,7 +15,7 @@ read, whole, and never shuffled.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,26 +31,41 @@ _NO_WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_AS_IS = (
+    '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+)
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
     + _NO_WARRANTY,
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS " + _AS_IS,
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS " + _AS_IS,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "GPL-2.0": _GNU.format("General Public License", "2"),
+    "GPL": _GNU.format("General Public License", "3"),
+    "LGPL-3.0": _GNU.format("Lesser General Public License", "3"),
+    "AGPL-3.0": _GNU.format("Affero General Public License", "3"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    **{f"{name}-notice": f"This work is licensed under the GNU {full}, version {version}." for name, full, version in (("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-3.0", "Lesser General Public License", 3), ("AGPL-3.0", "Affero General Public License", 3))},
+    **{f"CC-{terms}-4.0-notice": f"Licensed under CC {terms} 4.0." for terms in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")},
     "CC0-notice": "Licensed under CC0 1.0 Universal.",
     "All-rights-reserved": "All rights reserved.",
 }
-#: Words of a seed; least coverage of a template; templates of at most SHORT words must be covered whole.
-SEED_WORDS, COVERAGE, SHORT = 3, 0.8, 12
+#: Words that tell templates from their kin and must be aligned.
+TELLING = frozenset("mit isc apache mozilla gnu lesser affero general public cc by sa nd nc cc0 2 3 4 neither endorse universal".split())
+#: Words of a seed, of templates of at most SHORT words and of longer ones; least coverage of a template.
+SHORT, SHORT_SEED, SEED_WORDS, COVERAGE = 12, 2, 3, 0.8
 
 
 def longest_increasing(values: Sequence[int]) -> list[int]:
@@ -106,65 +123,77 @@ def patience(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _exact(hashes: np.ndarray, template: np.ndarray, begins: list[int]) -> list[tuple[int, int, int]]:
-    """(first, last, aligned words) of the copies of a short notice, which stands as it is or not at all."""
-    out: list[tuple[int, int, int]] = []
-    for s in begins:
-        if s >= 0 and (not out or s > out[-1][1]) and np.array_equal(hashes[s : s + len(template)], template):
-            out.append((s, s + len(template) - 1, len(template)))
-    return out
-
-
-def _copies(hashes: np.ndarray, template: np.ndarray, at: np.ndarray, begin: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
-    """(first, last, aligned words) of the copies of a template; beginnings with the most seeds are aligned first.
+def _copies(hashes: np.ndarray, template: np.ndarray, telling: list[set[int]], at: np.ndarray, begin: np.ndarray, coverage: float) -> list[tuple]:
+    """(first, last, aligned words, first, last) of the copies of a template, by what is aligned and by what the whole template would take; beginnings with the most seeds are aligned first.
 
-    A copy is aligned within a third of the template's length around its place, but not
+    A copy is aligned within some third of the template's length around its place, but not
     beyond copies that are already found or other beginnings with many seeds; failing
-    that, at its very place.
+    that, at its very place. Of each of ``telling``, the places of a telling word, one must be aligned.
     """
-    m, slack, words = len(template), max(4, len(template) // 3), np.unique(template)
-    begins, seeds = np.unique(begin, return_counts=True)
+    m, words = len(template), np.unique(template)
+    slack = min((m + 1) // 2, 4 + m // 3)
+    by_begin = np.argsort(begin, kind="stable")
+    at = at[by_begin]
+    begins, where, seeds = np.unique(begin[by_begin], return_index=True, return_counts=True)
     strong = begins[seeds >= max(2, m // 4)].tolist()
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple] = []
+    taken: list[tuple[int, int]] = []  # the copies' first and last words, in order; copies don't overlap
     for k in np.argsort(-seeds, kind="stable").tolist():
         s = int(begins[k])
-        if all(any(f <= p <= e for f, e, _ in out) for p in at[begin == s].tolist()):
+        if all((i := bisect_right(taken, (p, len(hashes)))) and taken[i - 1][1] >= p for p in at[where[k] : where[k] + seeds[k]].tolist()):
             continue
-        least = max([0, *[e + 1 for _, e, _ in out if e < s + m // 2]])
-        most = min([len(hashes), *[f for f, _, _ in out if f >= s + m // 2]])
-        before = [t + m for t in strong if t <= s - coverage * m]
-        after = [t for t in strong if t >= s + coverage * m]
-        for lo, hi in ((max([s - slack, *[min(t, s) for t in before]]), min([s + m + slack, *after])), (s, s + m)):
+        i = bisect_left(taken, (s + m // 2,))  # copies that begin before the middle of this one
+        least, most = max((e + 1 for _, e in taken[max(0, i - 1) : i]), default=0), taken[i][0] if i < len(taken) else len(hashes)
+        j, k = bisect_right(strong, s - coverage * m) - 1, bisect_left(strong, s + coverage * m)
+        before, after = min(strong[j] + m, s) if j >= 0 else 0, strong[k] if k < len(strong) else len(hashes)
+        for lo, hi in ((max(s - slack, before), min(s + m + slack, after)), (s, s + m)):
             lo, hi = max(lo, least), min(hi, most)
-            if np.isin(hashes[lo:hi], words).sum() < coverage * m:
+            if hi - lo < coverage * m or np.isin(hashes[lo:hi], words).sum() < coverage * m:
                 continue
             pairs = patience(hashes[lo:hi].tolist(), template.tolist())
-            if len(pairs) >= coverage * m:
-                out.append((lo + pairs[0][0], lo + pairs[-1][0], len(pairs)))
+            if len(pairs) >= coverage * m and pairs[-1][0] - pairs[0][0] < m + slack and all(not t.isdisjoint(j for _, j in pairs) for t in telling):
+                first, last = lo + pairs[0][0], lo + pairs[-1][0]
+                out.append((first, last, len(pairs), first - pairs[0][1], last + m - 1 - pairs[-1][1]))
+                insort(taken, (first, last))
                 break
     return out
 
 
-def find_licenses(text: str, passages: Passages, coverage: float = COVERAGE) -> list[tuple[str, int, int, float]]:
+class Templates:
+    """Templates by the length of their seeds, with the places of each of their telling words."""
+
+    def __init__(self, templates: dict[str, str]):
+        telling = np.concatenate([words_of(w)[0] for w in sorted(TELLING)])
+        size = {k: len(words_of(t)[0]) for k, t in templates.items()}
+        self.groups = []
+        for n, keys in ((SHORT_SEED, [k for k in templates if size[k] <= SHORT]), (SEED_WORDS, [k for k in templates if size[k] > SHORT])):
+            passages = Passages(keys, [templates[k] for k in keys], n)
+            self.groups.append((passages, [[set(np.flatnonzero(w == t).tolist()) for t in telling[np.isin(telling, w)]] for w in passages.words]))
+
+
+def find_licenses(text: str, templates: Templates, coverage: float = COVERAGE) -> list[tuple[str, int, int, float]]:
     """(template, start, end, coverage) in code points, by start; of templates on the same words the one with more aligned words."""
     hashes, starts, ends = words_of(text)
-    at, row = passages.hits(hashes)
-    item, begin = passages.item[row], at - passages.place[row]
     found = []
-    for i in np.unique(item).tolist():
-        template, mine = passages.words[i], item == i
-        if len(template) > SHORT:
-            copies = _copies(hashes, template, at[mine], begin[mine], coverage)
-        else:
-            copies = _exact(hashes, template, np.unique(begin[mine]).tolist())
-        found += [(passages.keys[i], first, last, n / len(template), n) for first, last, n in copies]
+    for passages, telling in templates.groups:
+        at, row = passages.hits(hashes)
+        item, begin = passages.item[row], at - passages.place[row]
+        for i in np.unique(item).tolist():
+            template, mine = passages.words[i], item == i
+            copies = _copies(hashes, template, telling[i], at[mine], begin[mine], coverage)
+            found += [(passages.keys[i], first, last, n / len(template), n, *whole) for first, last, n, *whole in copies]
     found.sort(key=lambda x: (-x[4], x[1], x[0]))
     kept: list[tuple] = []
+    taken: list[tuple[int, int]] = []
+    whole: list[tuple[int, int]] = []  # a notice in the unaligned end of a longer copy is that copy's
     for f in found:
-        if all(f[2] < k[1] or f[1] > k[2] for k in kept):
+        i, j = bisect_left(taken, (f[2] + 1,)), bisect_left(whole, ((f[1] + f[2]) // 2 + 1,))
+        if (i == 0 or taken[i - 1][1] < f[1]) and (j == 0 or whole[j - 1][1] < (f[1] + f[2]) // 2):
             kept.append(f)
+            insort(taken, (f[1], f[2]))
+            insort(whole, (f[5], f[6]))
     raw = text.encode("utf-8", "replace")
-    point = lambda byte: len(raw[:byte].decode("utf-8", "replace"))
+    point = (lambda byte: byte) if len(raw) == len(text) else lambda byte: len(raw[:byte].decode("utf-8", "replace"))
     return [(k[0], point(int(starts[k[1]])), point(int(ends[k[2]])), k[3]) for k in sorted(kept, key=lambda k: k[1])]
 
 
@@ -179,9 +208,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("coverage", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(list(templates), list(templates.values()), SEED_WORDS)
+        known = Templates(templates)
         for b in batches:
-            found = [[dict(zip(("license", "start", "end", "coverage"), f, strict=True)) for f in find_licenses(t, passages, coverage)] if t else [] for t in b["text"].to_pylist()]
+            found = [[dict(zip(("license", "start", "end", "coverage"), f, strict=True)) for f in find_licenses(t, known, coverage)] if t else [] for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, kind)], ["doc_id", "licenses"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
