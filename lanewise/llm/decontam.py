@@ -1,15 +1,20 @@
-"""Benchmark decontamination: exact tests by word pairs, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
-*Screen.* An alignment that counts is a chain of matching words. Each link between two
+*Seeds.* An alignment that counts is a chain of matching words. Each link between two
 of them gains 2 if both sides are neighbours, 1 if one word is left out, put in or
 replaced, and nothing otherwise. So the pairs of an item's words, next to each other or
 with one word between, that a text holds bound the score from above; an alignment with many
 matches needs as many words in common. Stretches that fail both tests cannot hold a copy;
 none other is left out, however common its words are and whatever other documents hold.
+(Seeds chosen for their rarity would lose edited copies: what an edit leaves intact is also
+in every verbatim copy, and so never rare.)
 
 *Align.* Each stretch is aligned locally with the item, word by word (match +2,
 mismatch -1, gap -1), then what is left of it on either side. An alignment counts if the
 score is at least ``share`` of an exact copy's score, or at least ``long_match`` words match.
+A stretch is aligned in windows of a few times the item's words, and an alignment takes
+memory in proportion to the window, so neither long items nor long texts that repeat
+one need much.
 
 The items are the bounded side: they are worked on in blocks of at most BLOCK_ITEMS,
 each with one pass over the documents, so what tasks share never grows beyond a
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lanewise.llm.common import mix64, read_table
 from lanewise.llm.seeds import words_of
@@ -39,28 +45,31 @@ BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 def smith_waterman(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     """(score, matches, first, last): the best local alignment; words first..last - 1 of ``text``.
 
-    Among equal scores the alignment that ends first in the item, then in the text, is
-    taken. A row's gaps are a running maximum, so a row is a few vector operations.
+    Among equal scores the alignment with the most matches is taken, then the one that
+    begins first, then the one that ends first in the item. A cell holds the score, the
+    matches and the beginning in the bits of one number, so two rows are enough; a row's
+    gaps are a running maximum, so a row is a few vector operations.
     """
-    w = np.arange(len(text) + 1)
-    table = np.zeros((len(item) + 1, len(text) + 1), np.int32)
-    for i, word in enumerate(item, 1):
-        row = np.zeros(len(text) + 1, np.int32)
-        row[1:] = table[i - 1, :-1] + np.where(text == word, MATCH, MISMATCH)
-        row = np.maximum(np.maximum(row, table[i - 1] + GAP), 0)
-        table[i] = np.maximum.accumulate(row - GAP * w) + GAP * w
-    i, j = divmod(int(np.argmax(table)), len(text) + 1)
-    score, last, matches = int(table[i, j]), j, 0
-    while i and j and table[i, j]:
-        same = text[j - 1] == item[i - 1]
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matches += bool(same)
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, matches, j, last
+    n, m = len(text), len(item)
+    begin = n.bit_length()
+    many = begin + m.bit_length()
+    kind = np.int64 if many + (2 * m + 1).bit_length() < 63 else object  # Python numbers for items of some 100,000 words
+    one = 1 << many
+    fresh = np.array([n - j for j in range(n + 1)], kind)  # an alignment that begins after word j: the earlier, the larger
+    fall = np.arange(n + 1).astype(kind) * -(GAP * one)
+    row, best = fresh, (-1, 0)
+    for word in item:
+        # A beginning's bits stay as they are, so a cell and what it came from differ by whole scores and matches.
+        step = np.where(text == word, MATCH * one + (1 << begin), MISMATCH * one).astype(kind)
+        new = np.maximum(row + GAP * one, fresh)
+        new[1:] = np.maximum(new[1:], row[:-1] + step)
+        row = np.maximum.accumulate(new + fall) - fall
+        j = int(np.argmax(row))
+        if row[j] > best[0]:
+            best = (int(row[j]), j)
+    value, last = best
+    first = n - (value & ((1 << begin) - 1))
+    return value >> many, (value >> begin) & ((1 << (many - begin)) - 1), first, last
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -198,15 +207,30 @@ class Screen:
 
 
 def aligned(screen: Screen, hashes: np.ndarray) -> Iterator[tuple]:
-    """(item's key, similarity, matches, first word, word after the last) of all alignments that count."""
+    """(item's key, similarity, matches, first word, word after the last) of all alignments that count.
+
+    A window of a stretch is four times as long as an alignment can be; what begins in its
+    last quarter is left to the next window.
+    """
     for i, lo, hi in screen.stretches(hashes):
-        item, todo = screen.words[i], [(lo, hi)]
-        while todo:
-            lo, hi = todo.pop()
-            score, matches, first, last = smith_waterman(hashes[lo:hi], item)
-            if score and (score >= screen.share * MATCH * len(item) or matches >= screen.long_match):
-                yield screen.keys[i], score / (MATCH * len(item)), matches, lo + first, lo + last
-                todo += [r for r in ((lo, lo + first), (lo + last, hi)) if r[0] < r[1]]
+        item = screen.words[i]
+        span, least = 3 * len(item) + 1, max(1, min(int(np.ceil(screen.share * len(item))), screen.long_match))
+        while lo < hi:
+            end = min(hi, lo + 4 * span)
+            whole = end == hi
+            todo, done = [(lo, end)], lo
+            while todo:
+                a, b = todo.pop()
+                score, matches, first, last = smith_waterman(hashes[a:b], item)
+                if not score or not (score >= screen.share * MATCH * len(item) or matches >= screen.long_match):
+                    continue
+                if whole or a + first < end - span:
+                    yield screen.keys[i], score / (MATCH * len(item)), matches, a + first, a + last
+                    done = max(done, a + last)
+                    todo.append((a + last, b))
+                todo.append((a, a + first))
+                todo = [r for r in todo if r[1] - r[0] >= least]  # fewer words can't match enough
+            lo = hi if whole else max(end - span, done)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, long_match: int = LONG_MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,11 +239,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, long_matc
     Words are lower-cased (A-Z) and freed of ASCII punctuation. One row for each
     stretch; similarity is the alignment's score as a share of an exact copy's. Null or
     wordless texts and items give nothing, repeated rows give rows of their own, an
-    empty table on either side gives an empty result, other columns are ignored.
+    empty table on either side gives an empty result, other columns are ignored. Ids may be
+    of any type.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, similarity double, matches long, start_word long, end_word long"
+    ids = {"doc_id": docs.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+    schema = f"doc_id {ids['doc_id'].simpleString()}, item_id {ids['item_id'].simpleString()}, similarity double, matches long, start_word long, end_word long"
+    kinds = pa.schema([*[(name, to_arrow_type(kind)) for name, kind in ids.items()], ("similarity", pa.float64()), *[(c, pa.int64()) for c in ("matches", "start_word", "end_word")]])
     found = []
     for keys, texts in _blocks(benchmark):
         shared = spark.sparkContext.broadcast((keys, texts))
@@ -232,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, long_matc
                     hashes = words_of(t)[0] if t else ()
                     out += [(doc, *x) for x in aligned(screen, hashes)] if len(hashes) else []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], ["doc_id", "item_id", "similarity", "matches", "start_word", "end_word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
         found.append(docs.mapInArrow(work, schema))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
