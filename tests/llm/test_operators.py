@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -82,6 +83,44 @@ def test_fewer_candidates_than_wanted(spark):
     assert [(r["rank"], r.vec_id) for r in ann.nearest_neighbours(df, lambda i: i == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_recall_of_the_forest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    forest = ann.Forest(ann.lengthened(x, np.linalg.norm(x, axis=1).max() + 1e-6), 4, 5, 1)
+    assert forest.depth == 5
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest_neighbours(df, lambda i: i % 20 == 0, k=10, leaf_rows=90).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    wide, hits = x.astype(np.float64), 0
+    for q in range(0, 3000, 20):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:10].tolist()))
+    assert 0.9 <= hits / (10 * len(got)) < 1.0  # not all leaves are looked at
+
+
+def test_ties_go_to_smaller_ids(spark):
+    one_hot = np.eye(64)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(one_hot)], "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(df, lambda i: i == 20, recall=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20))
+    rng = np.random.default_rng(4)
+    x = rng.integers(-1, 2, (600, 6))
+    x[(x == 0).all(axis=1), 0] = 1
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in ann.nearest_neighbours(df, lambda i: i % 20 == 0, recall=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 600, 20):
+        assert found[q] == [i for _, i in sorted((-int(x[q] @ x[i]), i) for i in range(600) if i != q)[:20]]
+
+
+def test_repeated_ids_have_one_vector(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.5])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id) for r in ann.nearest_neighbours(df, lambda i: i == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+
+
 # --- 2 ---------------------------------------------------------------------------
 
 TURN = "conv_id long, turn long, role string, text string"
@@ -110,6 +149,8 @@ def test_chat_round_trip(spark):
 class Rewriting(chat.TurnTemplate):
     """Drops all but the last two turns' texts."""
 
+    look_back = None
+
     def render(self, turns):
         return super().render([(r, t if len(turns) - i <= 2 else "") for i, (r, t) in enumerate(turns)])
 
@@ -117,6 +158,8 @@ class Rewriting(chat.TurnTemplate):
 class FarSighted(chat.TurnTemplate):
     """Says at each turn how many there were before."""
 
+    look_back = None
+
     def render(self, turns):
         return "<s>" + "".join(f"{i}{super(FarSighted, self).render([t])}" for i, t in enumerate(turns))
 
@@ -129,12 +172,38 @@ def test_templates_that_rewrite_or_look_far():
     for i in range(4):
         r.add("user", f"t{i}")
     assert r.rewrites
-    r = chat.Renderer(FarSighted(), window=3)
+    r = chat.Renderer(FarSighted())
     pieces = [r.add("user", f"t{i}")[0] for i in range(20)]
     assert not r.rewrites
     assert pieces[12] == "12### user: t12</turn>\n"
 
 
+class LastTwelve(chat.TurnTemplate):
+    look_back = None
+
+    def render(self, turns):
+        return super().render(turns[-12:])
+
+
+class LateHeader(chat.TurnTemplate):
+    look_back = None
+
+    def render(self, turns):
+        return ("long\n" if len(turns) > 10 else "") + super().render(turns)
+
+
+@pytest.mark.parametrize("template", [LastTwelve, LateHeader, FarSighted])
+def test_templates_that_look_far_back(template):
+    turns = [("user", f"t{i}") for i in range(30)]
+    r = chat.Renderer(template())
+    pieces = [r.add(*t)[0] for t in turns]
+    assert r.rewrites == ("".join(pieces) != template().render(turns)) == (template is not FarSighted)
+    declares = type("Declares", (template,), {"look_back": 8})
+    r = chat.Renderer(declares())
+    with pytest.raises(ValueError, match="look-back of 8"):
+        [r.add(*t) for t in turns] and r.finish()
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 
@@ -157,6 +226,24 @@ def test_secrets_and_ledger(spark):
     assert secrets.scan_secrets(df.limit(0))[0].count() == 0
 
 
+def test_secrets_query_scans_a_blob_once(spark, tmp_path):
+    texts = ["token=abcdef1", "x", "token=abcdef1", "key " + "ab12" * 8, "x", "token=abcdef1", None]
+    df = docs(spark, texts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.base_sha256 for r in secrets.op3_secrets(spark, str(tmp_path)).collect()}
+    assert got == {i: secrets.brute_force(t)[1] for i, t in enumerate(texts)}
+    _, first = secrets.scan_secrets(df.where("doc_id < 3"))
+    _, both = secrets.scan_secrets(df.where("doc_id >= 3"), first)
+    assert both.count() - first.count() == 2 * len(secrets.RULES)  # of the later four only the key and the null text are new
+
+
+@pytest.mark.parametrize(("text", "kind"), [("x -----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\n-----END RSA PRIVATE KEY----- y", "pem"), ("a eyJabcdefgh.abcdefgh.abcdefgh b", "jwt"), ("g ghp_" + "a1" * 18 + " h", "prefixed"), ("Bearer   abcdef0123456789xyz", "bearer"), ("see ftp://joe:pw@host/x", "url")])
+def test_further_kinds_of_secrets(spark, text, kind):
+    found = secrets.scan_secrets(docs(spark, [text, "plain words only"]))[0].orderBy("doc_id").collect()
+    assert kind in {f.kind for f in found[0].findings}
+    assert found[1].findings == []
+
+
 # --- 4 ---------------------------------------------------------------------------
 
 
@@ -203,18 +290,33 @@ def test_near_duplicates_edges(spark):
     assert neardup.deduplicated(df).count() == 2  # one of the group, and the row without an id
 
 
+def test_unlike_texts_under_one_id(spark):
+    table = [(1, "a b c d e f g"), (1, "x y z"), (1, "x  y z"), (1, "x y z"), (2, "q"), (3, "X Y Z"), (4, ""), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in table], DOC)
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1)] * 4 + [(2, 2), (3, 1), (4, 4), (4, 4)]
+    kept = sorted((r.doc_id, " ".join(r.text.split())) for r in neardup.deduplicated(df).collect())
+    assert kept == [(1, "a b c d e f g"), (1, "x y z"), (2, "q"), (4, "")]
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 
+def test_a_target_among_many_sources(spark):
+    df = spark.createDataFrame([(i, f"word{i} " * (1 if i == 0 else 3), "en", f"s{i}", 0) for i in range(1101)], DOC)
+    pieces = packing.pack(df, targets={"s0": 1.0}, window=256, sequence=64).where("doc_id = 0").collect()
+    assert [(p.sequence_id, p.offset) for p in pieces] == [(0, 0)]
+    placed = packing.pack(df, window=256, sequence=64)
+    assert placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k"), F.count("*").alias("c")).where("n <> 64 or k <> c").count() == 1  # the last one
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
-    texts = ["", None, "a", " a  b \n", "don't  stop 12 34 ", "é　x y <|endoftext|> \xa0z f é", "word " * 3000, *[" ".join(rng.choices(WORDS, k=rng.randrange(300))) for _ in range(60)]]
+    texts = ["", None, "a", " a  b \n", "don't  stop 12 34 ", "é　x y <|endoftext|> \xa0z f é", "word " * 3000, "<|endoftext|><|endoftext|>", " " * 1_000_000, *[" ".join(rng.choices(WORDS, k=rng.randrange(300))) for _ in range(60)]]
     df = spark.createDataFrame([(i, t, "en", None if i % 9 == 0 else f"s{i % 4}", 0) for i, t in enumerate(texts)], DOC).withColumn("part", F.lit(3)).repartition(3)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for targets in (None, {"s0": 1.0, "s1": 3.0}):
         pieces = packing.pack(df, targets=targets, window=1024, sequence=256).collect()
         by, seq = {}, {}
@@ -294,6 +396,31 @@ def test_repeated_notices(spark):
         assert all(texts[i][x.start : x.end].startswith("Permission is") and texts[i][x.start : x.end].endswith("IN THE SOFTWARE") for x in got[i])
 
 
+def test_copies_among_random_words(spark):
+    rng = random.Random(16)
+    long = ("MIT", "Apache-2.0", "BSD-3-Clause", "Zlib")
+    for _ in range(12):
+        name, copies = rng.choice(long), rng.randrange(1, 6)
+        words = licenses.TEMPLATES[name].split()
+        text = []
+        for _ in range(copies):
+            text += rng.choices(WORDS, k=rng.choice((0, 3, 40, 300)))
+            text += [w if rng.random() > 0.05 or "/" in w or w.lower().strip('.,"') in licenses.TELLING else "edited" for w in words]
+        text = " ".join(text + rng.choices(WORDS, k=20))
+        found = licenses.find_licenses(text, licenses.Templates(licenses.TEMPLATES))
+        assert [f[0] for f in found] == [name] * copies
+
+
+def test_notices_are_aligned():
+    known = licenses.Templates(licenses.TEMPLATES)
+    kinds = lambda text: [f[0] for f in licenses.find_licenses(text, known)]
+    assert kinds("a b c Released under the MIT License. foo bar Released under the MIT License. z") == ["MIT-notice"] * 2
+    assert kinds("it is released under the terms of the MIT License") == ["MIT-notice"]
+    assert kinds("Licensed under CC BY-NC-ND 4.0, not CC BY 3.0. Licensed under the Apache License, Version 1.1.") == ["CC-BY-NC-ND-4.0-notice"]
+    assert kinds("This work is licensed under the GNU Lesser General Public License, version 3") == ["LGPL-3.0-notice"]
+    assert [kinds(f"x {licenses.TEMPLATES[n]} y") for n in ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL", "AGPL-3.0")] == [["BSD-2-Clause"], ["BSD-3-Clause"], ["GPL-2.0"], ["GPL"], ["AGPL-3.0"]]
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 
@@ -360,6 +487,38 @@ def test_screen_loses_nothing():
         assert bool(list(decontam.aligned(screen, hashes))) == (score >= len(item) or matches >= long_match)
 
 
+def brute_leaks(texts, items):
+    """Documents and items of which the best alignment counts, by the plain form."""
+    known = {}
+    plain = lambda t: ["".join(c for c in w) for w in re.findall("[a-z0-9]+", t.lower())]
+    number = lambda t: [known.setdefault(w, len(known)) for w in plain(t)]
+    return {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if t and plain_smith_waterman(number(t), number(x)) >= len(number(x))}
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(17)
+    few = WORDS[:60]
+    items = [" ".join(rng.choices(few, k=rng.randrange(2, 14))) for _ in range(8)]
+    texts = [" ".join(rng.choices(few, k=rng.randrange(40)) + [w for w in rng.choice(items).split() if rng.random() > 0.2] + rng.choices(few, k=rng.randrange(20))) for _ in range(60)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == brute_leaks(texts, items)
+
+
+def test_long_texts_that_repeat_an_item():
+    item = " ".join(f"w{i}" for i in range(60))
+    text = " ".join(item if i % 3 else "q " * 20 for i in range(3000))
+    screen = decontam.Screen([0], [item], 0.5, 40)
+    found = list(decontam.aligned(screen, decontam.words_of(text)[0]))
+    assert len(found) == 2000
+    assert all((f[1], f[2], f[4] - f[3]) == (1.0, 60, 60) for f in found)
+    assert len({f[3] for f in found}) == 2000
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "one two three four"), (None, "none")], "doc_id string, text string")
+    assert [tuple(r)[:2] for r in decontam.leaks(df, spark.createDataFrame([("x", "two three four")], "item_id string, text string")).collect()] == [("a", "x")]
+
+
 # --- 8 ---------------------------------------------------------------------------
 
 
@@ -372,15 +531,38 @@ def test_language_held_out_accuracy(spark):
 def test_language_edges(spark):
     train = docs(spark, ["the cat sat on the mat and the dog ran"] * 3).unionByName(docs(spark, ["der hund und die katze sind auf der matte"] * 3, "de")).unionByName(docs(spark, ["x"], None))
     model = langid.fit(train)
-    assert set(model) == {"en", "de"}
-    df = docs(spark, [None, "", "123 !!", "the cat sat on the mat and the dog", "die katze " * 20000]).withColumn("score", F.lit("clash"))
+    assert set(model.dictionaries) == {"en", "de"}
+    df = docs(spark, [None, "", "123 !! ²½ ³", "the cat sat on the mat and the dog", "die katze " * 20000]).withColumn("score", F.lit("clash"))
     got = [r.lang_pred for r in langid.predict(df, model).orderBy("doc_id").collect()]
     assert got == ["und", "und", "und", "en", "de"]
     assert langid.predict(df.limit(0), model).count() == 0
-    assert langid.fit(train.limit(0)) == {}
+    assert langid.fit(train.limit(0)).dictionaries == {}
     assert langid.accepted(df.drop("score"), train).columns == train.columns
 
 
+def test_narrow_margins_are_rejected(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(18)
+    model = langid.fit(d.where(~langid.held_out() & F.col("lang").isin("en", "de")))
+    other = langid.predict(d.where("lang in ('fr', 'es') and length(text) > 100"), model)
+    assert other.where("rejected").count() >= 0.9 * other.count()
+    own = langid.predict(d.where(langid.held_out() & F.col("lang").isin("en", "de") & (F.length("text") > 100)), model)
+    assert own.where("rejected").count() <= 0.02 * own.count()
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600)) for _ in range(50)]
+    assert langid.predict(docs(spark, junk), model).where("rejected").count() >= 45
+
+
+def test_many_languages_and_marks(spark):
+    rng = random.Random(19)
+    speech = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)] for k in range(70)}
+    train = [(100 * k + i, " ".join(rng.choices(w, k=40)), lang, "s", 0) for k, (lang, w) in enumerate(speech.items()) for i in range(3)]
+    model = langid.fit(spark.createDataFrame(train, DOC))
+    assert set(model.dictionaries) == set(speech)
+    said = langid.predict(docs(spark, [" ".join(rng.choices(w, k=30)) for w in speech.values()]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in said] == list(speech)
+    assert langid.words("नमस्ते ²½ a1b2 e\u0301t") == ["नमस्ते", "a", "b", "e\u0301t"]
+
+
 # --- 9 ---------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="home"><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
@@ -427,6 +609,23 @@ def test_expressions_equal_the_page_form(spark):
         assert got[r.page_id] == " ".join(h.unescape(re.sub(r"<[^>]+>", " ", m[1])).split())
 
 
+def test_every_path_of_a_host_is_known(spark):
+    """Four families of pages on one host; each has a page with a longer box of its own."""
+    page = lambda k, odd: f"<body><div class='fam{'abcd'[k]}x'><p>{'main text here. ' * 12}</p></div><div class='odd{odd}'><p>{'own text. ' * (30 if odd else 1)}</p></div></body>"
+    rows = [(10 * k + i, "http://h.org/", page(k, "wxyz"[k] if i == 3 else "")) for k in range(4) for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.startswith("main text here.") and "own" not in t for t in got.values())
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<div>" * 100_000 + "deep", "<div>x" * 100_000, "<i>" * 50_000 + "</b>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<h1>" * 50_000, "<a x='>'" * 50_000, "</x>" * 50_000, "<![CDATA[" * 50_000, "<p class=\"" * 50_000])
+def test_long_pages_take_linear_time(source):
+    began = time.process_time()
+    page = htmltext.Page(source)
+    page.tree()
+    page.main_text([])
+    assert time.process_time() - began < 20
+
+
 # --- 10 --------------------------------------------------------------------------
 
 
@@ -442,7 +641,7 @@ def test_personal_data_base_spans_stay(spark):
     texts = ["mail a.b+c@x-y.example.com, call +1 (017) 555-7713 or 4111 1111 1111 1111", "10.0.0.1 and 256.1.1.1 and 1.2.3.4.5", None, "", "é 4111111111111112 é", "x@y", "9" * 6000, "clean text 12 34", "+49 30 1234567 a@b.c"] * 3
     df = docs(spark, texts).withColumn("findings", F.lit(1))
     model = pii.fit(df)
-    got = pii.digest(pii.find(df, model), pii.KINDS, tuple(pii.BASE)).orderBy("doc_id").collect()
+    got = pii.digest(pii.find(df, model), pii.KINDS, tuple(pii.BASE), lambda x: x["base"]).orderBy("doc_id").collect()
     assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got[:9]] == [(1, 0, 1, 1), (0, 2, 0, 0), (0,) * 4, (0,) * 4, (0,) * 4, (0,) * 4, (0,) * 4, (0,) * 4, (1, 0, 0, 1)]
     clean = pii.redact(docs(spark, texts), model).orderBy("doc_id").collect()
     assert clean[0].text == "mail [EMAIL], call [PHONE] or [CARD]"
@@ -468,3 +667,55 @@ def test_rare_loose_forms_are_reached(spark):
     texts = [" ".join(f"a{k}@b.com" for k in range(60)) + f" joe{i} (at) site (dot) org" for i in range(200)] + [f"us{i} @ noon . There" for i in range(50)]
     model = pii.fit(docs(spark, texts))
     assert [k for k, _, _ in model.spans("see john (at) example (dot) com now")] == ["email"]
+
+
+def brute_personal(text):
+    """Base spans by the plain definition, one expression and check for each kind."""
+    plain, out = text or "", []
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+    luhn = lambda d: sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(d[::-1])) % 10 == 0
+    checks = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    )
+    for k, (kind, pattern, ok) in enumerate(checks):
+        out += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, plain) if ok(m[0])]
+    out.sort()
+    return hashlib.sha256(",".join(f"{kind}:{s}:{e}" for s, _, kind, e in out).encode()).hexdigest()
+
+
+def test_personal_data_equals_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    got = pii.op10_pii(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    assert all(r.base_sha256 == brute_personal(texts[r.doc_id]) for r in got)
+
+
+def test_planted_forms_are_found_and_decoys_left_alone(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 20")
+    model = pii.fit(d.where(~langid.held_out()))
+    texts = [r.text for r in d.where(langid.held_out()).orderBy("doc_id").limit(200).collect()]
+    rng = random.Random(20)
+    right = wrong = wanted = 0
+    for _ in range(1500):
+        kind, genuine = rng.choice(pii.KINDS), rng.random() < 0.5
+        whole, start, end = pii.piece(rng, rng.choice(texts), kind, genuine)
+        base = pii.base_spans(whole)
+        if not pii.apart(pii.merged(base), start, end):
+            continue
+        added = [c for c in model.spans(whole) if c not in base and c[1] < end and start < c[2]]
+        wanted += genuine
+        right += genuine and any(c[0] == kind for c in added)
+        wrong += not genuine and bool(added)
+    assert right >= 0.8 * wanted
+    assert wrong <= 0.03 * (right + wrong)
+
+
+def test_many_spans_take_linear_time(spark):
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    began = time.process_time()
+    assert len(model.spans("a@b.co 10.0.0.1 joe (at) site (dot) com " * 20_000)) >= 40_000
+    assert time.process_time() - began < 30
