@@ -6,6 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRAFFIC = ("bicycle", "bus", "car", "motorcycle", "truck")
+#: Tags of rare contexts, words of titles that speak against and for road traffic (regular expressions, between word boundaries, in any case).
+RARE_TAGS = ("PERSON_MOTORCYCLE", "PERSON_BICYCLE", "PERSON_BUS", "PERSON_TRUCK", "PERSON_MULTI_TRAFFIC")
+OTHER_TITLE = (
+    "race", "racing", "rally", "motorsport", "motor ?show", "car ?show", "auto ?show", "museum", "showroom", "stunt", "freestyle", "velodrome", "drag", "miniature", "toy", "exhibition",
+    "championship", "autocross", "motocross", "speedway", "track day", "concept car", "classic car", "bike restoration", "air show",
+)
+TRAFFIC_TITLE = (
+    "street", "traffic", "road", "city", "urban", "intersection", "bus station", "bus stop", "taxi", "market", "scooter", "police", "parking", "commute", "highway", "airport", "crosswalk", "downtown",
+    "transit",
+)
+
+
+def title_pattern(words: tuple[str, ...]) -> str:
+    return rf"(?i)\b({'|'.join(words)})\b"
+
+
+def rare_tags(tags: Column) -> Column:
+    """The rare ones, sorted, of tags joined by ``;``."""
+    return F.array_sort(F.array_intersect(F.split(F.coalesce(tags, F.lit("")), ";"), F.array(*map(F.lit, RARE_TAGS))))
 
 
 def map_class(column: Column, mapping: dict[str, str], strict: bool = False) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import size_bin
-from lanewise.functions.labels import context_tags
+from lanewise.functions.labels import OTHER_TITLE, TRAFFIC_TITLE, context_tags, rare_tags, title_pattern
+from lanewise.functions.percentiles import exact_percentiles
+from lanewise.operators.tracks import scene_dim
 
 
 def first_issue(rules: list[tuple[str, Column]]) -> Column:
@@ -79,7 +81,7 @@ def qa_pixel_boxes(lines: DataFrame, sizes: DataFrame, classes: tuple[int, ...])
 
 def qa_attributed_boxes(boxes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Corner boxes with five flags of -1, 0 or 1, with application class and first issue. ``mapping``: source_class, class_name."""
-    rows = boxes.join(F.broadcast(mapping), "source_class", "left")
+    rows = boxes.join(scene_dim(mapping), "source_class", "left")
     c = [F.col(x) for x in ("xmin", "xmax", "ymin", "ymax")]
     flags = F.lit(False)
     for f in ("is_occluded", "is_truncated", "is_group_of", "is_depiction", "is_inside"):
@@ -123,7 +125,7 @@ def inventory(images: DataFrame, labels: DataFrame, issues: DataFrame) -> DataFr
 
 def class_coverage(boxes: DataFrame, classes: DataFrame, splits: DataFrame) -> DataFrame:
     """Images and boxes for each split and class, with rows of zeros. Both dims are lists of names."""
-    grid = F.broadcast(splits).crossJoin(F.broadcast(classes))
+    grid = scene_dim(splits).crossJoin(scene_dim(classes))
     seen = boxes.groupBy("split", "class_name").agg(F.count_distinct("image_id").alias("images"), F.count("*").alias("boxes"))
     return grid.join(seen, ["split", "class_name"], "left").fillna(0, ["images", "boxes"])
 
@@ -152,9 +154,9 @@ def context_distribution(profiles: DataFrame) -> DataFrame:
 
 def area_profile(boxes: DataFrame) -> DataFrame:
     """One row: smallest, p10, median, p90 and largest area, and boxes in each bin."""
-    q = F.percentile("area", F.array(*map(F.lit, (0.1, 0.5, 0.9))))
-    out = boxes.agg(F.min("area").alias("smallest"), q.alias("q"), F.max("area").alias("largest"), F.count_if(F.col("area") < 0.01).alias("small"), F.count_if((F.col("area") >= 0.01) & (F.col("area") < 0.09)).alias("medium"), F.count_if(F.col("area") >= 0.09).alias("large"))
-    return out.select(*[F.round(c, 9).alias(c) for c in ("smallest", "largest")], *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("p10", "median", "p90"))], "small", "medium", "large")
+    out = boxes.agg(F.min("area").alias("smallest"), F.max("area").alias("largest"), F.count_if(F.col("area") < 0.01).alias("small"), F.count_if((F.col("area") >= 0.01) & (F.col("area") < 0.09)).alias("medium"), F.count_if(F.col("area") >= 0.09).alias("large"))
+    q = exact_percentiles(boxes.select(F.lit("ALL").alias("scope"), "area"), "scope", "area", {"p10": 0.1, "median": 0.5, "p90": 0.9})
+    return out.crossJoin(q.drop("scope")).select(*[F.round(c, 9).alias(c) for c in ("smallest", "largest", "p10", "median", "p90")], "small", "medium", "large")
 
 
 def sequence_groups(images: DataFrame) -> DataFrame:
@@ -210,32 +212,58 @@ def license_evidence(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def training_gate(rows: DataFrame) -> DataFrame:
-    """The first failing gate of license, domain and annotation reviews, or ALL_GATES_PASS."""
-    rare = F.size(F.array_intersect(F.split("context_tags", ";"), F.array(*map(F.lit, ("PERSON_BUS", "PERSON_TRUCK", "PERSON_MOTORCYCLE", "PERSON_BICYCLE"))))) > 0
+    """The first failing gate of license, domain, annotation and source reviews, or ALL_GATES_PASS.
+
+    Columns: license_review_status, domain_relevance, domain_review_notes, context_tags,
+    annotation_review_status, candidate_status; what is null is MISSING.
+    """
+    said = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("MISSING"))
+    unjustified = (F.size(rare_tags(F.col("context_tags"))) == 0) | (F.trim(F.coalesce("domain_review_notes", F.lit(""))) == "")
     gate = (
-        F.when(F.col("license_review_status") != "LICENSE_APPROVED", F.concat(F.lit("LICENSE:"), "license_review_status"))
-        .when(~F.col("domain_relevance").isin("TRAFFIC_RELEVANT", "PARTIALLY_RELEVANT"), F.concat(F.lit("DOMAIN:"), "domain_relevance"))
-        .when((F.col("domain_relevance") == "PARTIALLY_RELEVANT") & ~rare, "DOMAIN:PARTIAL_WITHOUT_RARE_COVERAGE_JUSTIFICATION")
-        .when(~F.col("annotation_review_status").isin("ACCEPTABLE", "ACCEPTABLE_WITH_NOTE"), F.concat(F.lit("ANNOTATION:"), "annotation_review_status"))
+        F.when(said("license_review_status") != "LICENSE_APPROVED", F.concat(F.lit("LICENSE:"), said("license_review_status")))
+        .when(~said("domain_relevance").isin("TRAFFIC_RELEVANT", "PARTIALLY_RELEVANT"), F.concat(F.lit("DOMAIN:"), said("domain_relevance")))
+        .when((F.col("domain_relevance") == "PARTIALLY_RELEVANT") & unjustified, "DOMAIN:PARTIAL_WITHOUT_RARE_COVERAGE_JUSTIFICATION")
+        .when(~said("annotation_review_status").isin("ACCEPTABLE", "ACCEPTABLE_WITH_NOTE"), F.concat(F.lit("ANNOTATION:"), said("annotation_review_status")))
+        .when(~said("candidate_status").isin("QUARANTINED_LICENSE_REVIEW", "ELIGIBLE", "APPROVED_FOR_V2_TRAINING"), F.concat(F.lit("SOURCE_CANDIDATE:"), said("candidate_status")))
         .otherwise("ALL_GATES_PASS")
     )
     return rows.withColumn("gate_reason", gate).withColumn("passes", gate == "ALL_GATES_PASS")
 
 
-def domain_review(rows: DataFrame, traffic: str = r"(?i)\b(road|street|traffic|bus|tram|highway|crossing|urban)\b", other: str = r"(?i)\b(museum|race|show|toy|concert|parade)\b") -> DataFrame:
-    """Relevance by title keywords, then by rare tags. Columns: license_review_status, title, context_tags."""
-    rare = F.size(F.array_intersect(F.split("context_tags", ";"), F.array(*map(F.lit, ("PERSON_BUS", "PERSON_TRUCK", "PERSON_MOTORCYCLE", "PERSON_BICYCLE"))))) > 0
-    label = F.when(F.col("license_review_status") != "LICENSE_APPROVED", "AMBIGUOUS").when(F.col("title").rlike(other), "NON_TRAFFIC").when(F.col("title").rlike(traffic), "TRAFFIC_RELEVANT").when(rare, "PARTIALLY_RELEVANT").otherwise("AMBIGUOUS")
-    return rows.withColumn("domain_relevance", label)
+def _reviewed(rows: DataFrame, result: str, notes: str, method: str, rules: list[tuple[Column, str, Column | str, str]]) -> DataFrame:
+    """Result, notes and method of the first rule (condition, result, notes, method) that holds; the last one always does."""
+    out = None
+    for holds, said, why, how in rules:
+        row = F.struct(F.lit(said).alias("r"), (F.lit(why) if isinstance(why, str) else why).alias("n"), F.lit(how).alias("m"))
+        out = F.when(F.coalesce(holds, F.lit(False)), row) if out is None else out.when(F.coalesce(holds, F.lit(False)), row)
+    return rows.withColumn("_said", out).withColumns({result: F.col("_said.r"), notes: F.col("_said.n"), method: F.col("_said.m")}).drop("_said")
+
+
+def domain_review(rows: DataFrame) -> DataFrame:
+    """Relevance by title words, then by rare tags, with notes and method. Columns: license_review_status, title, context_tags."""
+    rare, title = rare_tags(F.col("context_tags")), F.coalesce("title", F.lit(""))
+    return _reviewed(
+        rows, "domain_relevance", "domain_review_notes", "domain_review_method",
+        [
+            (F.coalesce(F.col("license_review_status") != "LICENSE_APPROVED", F.lit(True)), "AMBIGUOUS", "LICENSE_BLOCKED_NOT_PROMOTED", "RULE_ASSISTED"),
+            (title.rlike(title_pattern(OTHER_TITLE)), "NON_TRAFFIC", "the title names an event, a display or a recreation off the road", "RULE_ASSISTED"),
+            (title.rlike(title_pattern(TRAFFIC_TITLE)), "TRAFFIC_RELEVANT", "the title names a road, transit or a city", "RULE_ASSISTED"),
+            (F.size(rare) > 0, "PARTIALLY_RELEVANT", F.concat(F.lit("kept for rare coverage: "), F.array_join(rare, ",")), "RULE_ASSISTED"),
+            (F.lit(True), "AMBIGUOUS", "a person and a car alone say nothing of a road", "RULE_ASSISTED"),
+        ],
+    )
 
 
 def annotation_review(rows: DataFrame) -> DataFrame:
-    """Acceptability by license, readability and box counts. Columns: license_review_status, image_readable, person_boxes, total_boxes."""
-    status = (
-        F.when(F.col("license_review_status") != "LICENSE_APPROVED", "REJECTED_AMBIGUOUS")
-        .when(~F.col("image_readable"), "REJECTED_AMBIGUOUS")
-        .when((F.col("person_boxes") <= 0) | (F.col("total_boxes") <= 0), "REJECTED_INCOMPLETE")
-        .when((F.col("person_boxes") >= 20) | (F.col("total_boxes") >= 35), "REJECTED_AMBIGUOUS")
-        .otherwise("ACCEPTABLE_WITH_NOTE")
-    )
-    return rows.withColumn("annotation_review_status", status)
+    """Acceptability by license, readability and box counts, with notes and method. Columns: license_review_status, image_readable, person_boxes, total_boxes."""
+    person, total = F.coalesce("person_boxes", F.lit(0)), F.coalesce("total_boxes", F.lit(0))
+    return _reviewed(
+        rows, "annotation_review_status", "annotation_review_notes", "annotation_review_method",
+        [
+            (F.coalesce(F.col("license_review_status") != "LICENSE_APPROVED", F.lit(True)), "REJECTED_AMBIGUOUS", "blocked by its license", "RULE_ASSISTED"),
+            (~F.coalesce("image_readable", F.lit(False)), "REJECTED_AMBIGUOUS", "the image can't be read", "AUTOMATED_QA"),
+            ((person <= 0) | (total <= 0), "REJECTED_INCOMPLETE", "no person or no target is left", "AUTOMATED_QA"),
+            ((person >= 20) | (total >= 35), "REJECTED_AMBIGUOUS", "too dense for a contact sheet", "RULE_ASSISTED"),
+            (F.lit(True), "ACCEPTABLE_WITH_NOTE", "boxes and classes pass; completeness isn't proven", "RULE_ASSISTED"),
+        ],
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import bbox_area_normalized, box
+from lanewise.functions.percentiles import exact_percentiles
 
 
 def require_columns(df: DataFrame, columns, name: str) -> None:
@@ -21,6 +22,7 @@ def observation_quality(tracks: DataFrame, classes: tuple[str, ...], mode: str =
     b = box()
     finite = reduce(Column.__and__, [~F.isnan(c) & (F.abs(c) != float("inf")) for c in b])
     w = Window.partitionBy("video_id", "track_id", "frame_index")
+    before = Window.partitionBy("video_id", "track_id").orderBy("timestamp_seconds", "frame_index").rowsBetween(Window.unboundedPreceding, -1)
     rules = {
         "BAD_BOX": ~finite | (b[2] < b[0]) | (b[3] < b[1]),
         "BAD_CONFIDENCE": ~F.col("confidence").between(0, 1),
@@ -28,6 +30,8 @@ def observation_quality(tracks: DataFrame, classes: tuple[str, ...], mode: str =
         "NEGATIVE_ID": (F.col("track_id") < 0) | (F.col("frame_index") < 0),
         "DUPLICATE_OBSERVATION": F.count("*").over(w) > 1,
     }
+    if "timestamp_seconds" in tracks.columns:  # in the order of time frames must advance; repeated frames are the duplicates above
+        rules["NON_ADVANCING_FRAME"] = F.coalesce(F.col("frame_index") < F.max("frame_index").over(before), F.lit(False))
     issues = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), name) for name, bad in rules.items()]))
     out = tracks.withColumn("issues", issues).withColumn("issue", F.explode("issues"))
     if mode == "fail":
@@ -75,16 +79,22 @@ def integrity_compare(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 def confidence_stats(detections: DataFrame, by: str = "class_name") -> DataFrame:
     """Count, mean and exact interpolated percentiles of confidence."""
-    q = F.percentile("confidence", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")
-    out = detections.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"), q)
-    return out.select(by, "n", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))])
+    out = detections.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
+    q = exact_percentiles(detections, by, "confidence", {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)})
+    return out.join(q, by, "left").select(by, "n", "mean", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
 
 
 def confidence_distribution(detections: DataFrame) -> DataFrame:
-    """Percentiles over all detections and over each class in one pass of grouping sets; scope ALL or the class."""
-    q = F.percentile("confidence", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("q")
-    out = detections.groupingSets([["class_name"], []], "class_name").agg(F.count("*").alias("n"), q)
-    return out.select(F.coalesce("class_name", F.lit("ALL")).alias("scope"), "n", *[F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((10, 50, 90))])
+    """Percentiles over all detections and over each class; scope ALL or the class."""
+    scopes = detections.select(F.explode(F.array(F.lit("ALL"), F.col("class_name"))).alias("scope"), "confidence")
+    q = exact_percentiles(scopes, "scope", "confidence", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return scopes.groupBy("scope").agg(F.count("*").alias("n")).join(q, "scope", "left").select("scope", "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
+
+
+def diagnostic_rows(detections: DataFrame, width: int, height: int, small: float = 0.01) -> DataFrame:
+    """Detections with their area as a share of the frame and whether that is small."""
+    area = bbox_area_normalized(box(), F.lit(width), F.lit(height))
+    return detections.withColumns({"normalized_bbox_area": F.round(area, 8), "small_bbox": area < small})
 
 
 def runtime_metrics(tracks: DataFrame, width: int, height: int, low: float, high: float, by: str = "source_id") -> DataFrame:
@@ -98,7 +108,7 @@ def runtime_metrics(tracks: DataFrame, width: int, height: int, low: float, high
 def experiment_deltas(metrics: DataFrame, baseline: str, by: str = "source_id") -> DataFrame:
     """Each experiment's metrics minus the baseline's, which is one row."""
     names = [c for c in metrics.columns if c != by]
-    base = F.broadcast(metrics.where(F.col(by) == baseline).select(*[F.col(c).alias(f"b_{c}") for c in names]))
+    base = metrics.where(F.col(by) == baseline).agg(*[F.max(c).alias(f"b_{c}") for c in names])  # one row
     return metrics.crossJoin(base).select(by, *[(F.col(c) - F.col(f"b_{c}")).alias(f"delta_{c}") for c in names])
 
 

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import hamming64
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the folder that all executors share (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = "file://" + tempfile.mkdtemp(prefix="lanewise-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
@@ -30,29 +37,48 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("sha").agg(F.count("*").alias("exact_group_size")), "sha")
 
 
-def _bands(rows: DataFrame, threshold: int) -> DataFrame:
-    """One row for each of threshold + 1 disjoint bands: two prints within the threshold share at least one."""
-    n = threshold + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("print", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    return rows.withColumn("band", F.explode(band))
+def block_masks(threshold: int, n: int) -> list[int]:
+    """Masks over 64 bits such that two prints within the threshold agree under at least one.
+
+    The bits are cut into blocks, of which at most ``threshold`` differ; a mask takes as
+    many blocks as must then agree. More blocks mean more, but longer, keys: the number is
+    the one with the least keys and expected chance candidates for a row among ``n``.
+    """
+
+    def cost(blocks: int) -> float:
+        keys = math.comb(blocks, blocks - threshold)
+        return keys * (1 + n / 2.0 ** (64 * (blocks - threshold) / blocks))
+
+    blocks = min(range(threshold + 1, min(64, threshold + 7) + 1), key=cost)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in itertools.pairwise(edges)]
+    return [sum(c) for c in itertools.combinations(parts, blocks - threshold)]
+
+
+def _keyed(prints: DataFrame, masks: list[int], name: str) -> DataFrame:
+    """(key, name): a row for each mask, with the mask's number and the print under it."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    keys = F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda m: m.bitwiseAND(F.col(name)))).alias("mask", "bits")
+    return prints.select(name, keys).select(F.struct("mask", "bits").alias("key"), name)
 
 
 def near_pairs(prints: DataFrame, threshold: int = 6) -> DataFrame:
     """(a, b, distance): distinct prints at most ``threshold`` bits apart, a < b. Equal prints are collapsed first, so a hot print is one row."""
-    distinct = prints.select("print").distinct()
-    left = _bands(distinct, threshold).select("band", F.col("print").alias("a"))
-    right = _bands(distinct, threshold).select("band", F.col("print").alias("b"))
-    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (hamming64(F.col("a"), F.col("b")) <= threshold))
-    return pairs.select("a", "b", hamming64(F.col("a"), F.col("b")).alias("distance")).distinct()
+    distinct = saved(prints.select(F.col("print").alias("a")).where("print is not null").distinct(), "prints")
+    masks = block_masks(threshold, distinct.count())
+    pairs = _keyed(distinct, masks, "a").join(_keyed(distinct.withColumnRenamed("a", "b"), masks, "b"), "key")
+    d = hamming64(F.col("a"), F.col("b"))
+    return pairs.where((F.col("a") < F.col("b")) & (d <= threshold)).select("a", "b", d.alias("distance")).distinct()
 
 
 def near_overlap(candidates: DataFrame, references: DataFrame, threshold: int = 6) -> DataFrame:
     """(candidate_print, reference_print, distance) across two datasets of prints."""
-    left = _bands(candidates.select("print").distinct(), threshold).select("band", F.col("print").alias("candidate_print"))
-    right = _bands(references.select("print").distinct(), threshold).select("band", F.col("print").alias("reference_print"))
+    left = candidates.select(F.col("print").alias("candidate_print")).where("print is not null").distinct()
+    right = saved(references.select(F.col("print").alias("reference_print")).where("print is not null").distinct(), "prints")
+    masks = block_masks(threshold, right.count())
     d = hamming64(F.col("candidate_print"), F.col("reference_print"))
-    return left.join(right, "band").where(d <= threshold).select("candidate_print", "reference_print", d.alias("distance")).distinct()
+    pairs = _keyed(left, masks, "candidate_print").join(_keyed(right, masks, "reference_print"), "key")
+    return pairs.where(d <= threshold).select("candidate_print", "reference_print", d.alias("distance")).distinct()
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,18 +152,54 @@ def isolation_check(selected: DataFrame, manifest: DataFrame, allowed: tuple[str
     return out.withColumn("status", F.when((F.col("missing") == 0) & (F.col("forbidden") == 0), "PASS").otherwise("FAIL"))
 
 
-def overlap_report(candidates: DataFrame, references: dict[str, DataFrame], threshold: int = 6, purpose: str = "overlap_only") -> DataFrame:
-    """Exact and near matches of a dataset against locked ones, which may be used for nothing else. Tables hold id, sha, print."""
+def usage_guard(purpose: str) -> None:
+    """A locked dataset may be used for nothing but to look for overlap."""
     if purpose != "overlap_only":
         raise ValueError("a locked dataset may only be used to look for overlap")
-    out = None
+
+
+def overlap_report(candidates: DataFrame, references: dict[str, DataFrame], threshold: int = 6, purpose: str = "overlap_only") -> DataFrame:
+    """(candidate, dataset, match_type, reference, references): exact and near matches of a dataset against locked ones. Tables hold id, sha, print.
+
+    A candidate has a row for each class of references with equal digests, or with equal
+    prints, that it matches: the class's smallest id and its size. So no pairs of copies are listed.
+    """
+    usage_guard(purpose)
+    parts = []
     for name, ref in references.items():
-        exact = candidates.select(F.col("id").alias("candidate"), "sha").join(ref.select(F.col("id").alias("reference"), "sha"), "sha").select("candidate", "reference", F.lit("EXACT").alias("match_type"))
-        near = near_overlap(candidates, ref, threshold)
-        near = near.join(candidates.select(F.col("id").alias("candidate"), F.col("print").alias("candidate_print"), F.col("sha").alias("cs")), "candidate_print").join(ref.select(F.col("id").alias("reference"), F.col("print").alias("reference_print"), F.col("sha").alias("rs")), "reference_print")
-        both = exact.unionByName(near.where("cs <> rs").select("candidate", "reference", F.lit("NEAR").alias("match_type"))).withColumn("dataset", F.lit(name))
-        out = both if out is None else out.unionByName(both)
-    return out
+        same = ref.groupBy("sha").agg(F.min("id").alias("reference"), F.count("*").alias("references"))
+        exact = candidates.select(F.col("id").alias("candidate"), "sha").join(same, "sha").select("candidate", F.lit("EXACT").alias("match_type"), "reference", "references")
+        # Of a print's references those with another digest than the candidate's.
+        alike = ref.groupBy(F.col("print").alias("reference_print"), F.col("sha").alias("rs")).agg(F.min("id").alias("reference"), F.count("*").alias("references"))
+        near = candidates.select(F.col("id").alias("candidate"), F.col("print").alias("candidate_print"), F.col("sha").alias("cs")).join(near_overlap(candidates, ref, threshold), "candidate_print")
+        near = near.join(alike, "reference_print").where("cs <> rs").groupBy("candidate", "reference_print").agg(F.min("reference").alias("reference"), F.sum("references").alias("references"))
+        parts.append(exact.unionByName(near.select("candidate", F.lit("NEAR").alias("match_type"), "reference", "references")).withColumn("dataset", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def materialize_split(manifest: DataFrame, contents: DataFrame, path: str, splits: tuple[str, ...] = ("TRAIN", "VAL")) -> DataFrame:
+    """Writes the contents of the chosen splits, partitioned by split, and reads them back: (image_id, split, sha256, status).
+
+    ``manifest``: image_id, split, sha256; ``contents``: image_id, content. VERIFIED if
+    what was written has the manifest's digest, else DIFFERENT; MISSING without content.
+    """
+    chosen = manifest.where(F.col("split").isin(*splits)).select("image_id", "split", "sha256")
+    chosen.join(contents.select("image_id", "content"), "image_id").write.partitionBy("split").parquet(path)
+    written = manifest.sparkSession.read.parquet(path).select("image_id", F.sha2("content", 256).alias("observed"))
+    status = F.when(F.col("observed").isNull(), "MISSING").when(F.col("observed") == F.col("sha256"), "VERIFIED").otherwise("DIFFERENT")
+    return chosen.join(written, "image_id", "left").select("image_id", "split", "sha256", status.alias("status"))
+
+
+def simhash(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, print): 64 bits, each the majority of that bit over the MD5 digests of a text's words; texts without words have print 0."""
+    word = F.explode_outer(F.filter(F.split(F.coalesce(text_col, F.lit("")), "[^A-Za-z0-9]+"), lambda w: w != ""))
+    # Two halves of 32 bits, as a signed number can't hold the unsigned 64.
+    half = lambda i: F.conv(F.substring(F.md5("w"), 1 + 8 * i, 8), 16, 10).cast("long")
+    words = rows.select(F.col(id_col).alias("id"), word.alias("w")).select("id", half(0).alias("h0"), half(1).alias("h1"))
+    votes = [F.sum(F.shiftright(f"h{i}", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}_{b}") for i in (0, 1) for b in range(32)]
+    bit = lambda i, b: F.shiftleft((F.coalesce(f"b{i}_{b}", F.lit(0)) > 0).cast("long"), b + 32 * (1 - i))
+    total = reduce(Column.bitwiseOR, [bit(i, b) for i in (0, 1) for b in range(32)])
+    return words.groupBy("id").agg(*votes).select("id", total.alias("print"))
 
 
 def fingerprint(vector: str):

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import box, box_iou
+from lanewise.operators.tracks import scene_dim
 
 #: The ten overlap thresholds.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 METRICS = ("precision", "recall", "map50", "map50_95")
+#: Ranges of confidence in which running counts are made.
+CONFIDENCE_RANGES = 1_000
 
 
 def candidate_matches(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -37,23 +40,32 @@ def match_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 def average_precision(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """(class_name, threshold, ap, recall, precision): 101-point AP over the precision envelope; recall and precision after all predictions.
 
-    Predictions go by confidence, ties by image and index. The running counts need one
-    order for each class and threshold; the rows are (conf, hit) only.
+    Predictions go by confidence, ties by image and index. Running counts are those of
+    the ranges of confidence before, which are small tables, and those within a range, so no
+    class is one task's.
     """
     grid = F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")
-    hits = match_predictions(truth, predictions).withColumn("tp", F.lit(1)).drop("gt")
-    rows = predictions.select("image_id", "pred", "class_name", "conf", grid).join(hits, ["image_id", "threshold", "pred"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    w = Window.partitionBy("class_name", "threshold").orderBy(F.desc("conf"), "image_id", "pred")
+    hits = match_predictions(truth, predictions).groupBy("image_id", "pred").agg(F.collect_set("threshold").alias("hit"))
+    # From 0 upward in the order of falling confidence.
+    place = (-F.floor(F.col("conf") * CONFIDENCE_RANGES)).cast("long").alias("range")
+    rows = predictions.select("image_id", "pred", "class_name", "conf", place).join(hits, ["image_id", "pred"], "left").select("*", grid)
+    rows = rows.withColumn("tp", F.coalesce(F.array_contains("hit", F.col("threshold")), F.lit(False)).cast("long")).drop("hit")
+    keys = ["class_name", "threshold"]
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "range").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
+    ranges = ranges.select(*keys, "range", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("tps_before"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("n_before"))
+    w = Window.partitionBy(*keys, "range").orderBy(F.desc("conf"), "image_id", "pred")
     targets = truth.groupBy("class_name").agg(F.count("*").alias("targets"))
-    rows = rows.withColumn("tps", F.sum("tp").over(w)).withColumn("n", F.row_number().over(w)).join(F.broadcast(targets), "class_name")
+    rows = rows.withColumn("tps", F.sum("tp").over(w)).withColumn("n", F.row_number().over(w)).join(ranges, [*keys, "range"]).join(scene_dim(targets), "class_name")
+    rows = rows.withColumns({"tps": F.col("tps") + F.col("tps_before"), "n": F.col("n") + F.col("n_before")})
     rows = rows.withColumn("p", F.col("tps") / F.col("n")).withColumn("r", F.col("tps") / F.col("targets"))
     # The envelope at a recall level is the best precision at that recall or beyond.
-    best = rows.groupBy("class_name", "threshold", F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("reach")).agg(F.max("p").alias("p"))
-    ahead = Window.partitionBy("class_name", "threshold").orderBy(F.desc("reach"))
+    best = rows.groupBy(*keys, F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("reach")).agg(F.max("p").alias("p"))
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("reach"))
     best = best.withColumn("envelope", F.max("p").over(ahead.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.coalesce(F.lead("reach").over(ahead), F.lit(-1)))
-    ap = best.groupBy("class_name", "threshold").agg((F.sum(F.col("envelope") * (F.col("reach") - F.col("next"))) / 101).alias("ap"))
-    last = rows.groupBy("class_name", "threshold").agg(F.max("r").alias("recall"), F.max_by("p", "n").alias("precision"))
-    return ap.join(last, ["class_name", "threshold"])
+    ap = best.groupBy(*keys).agg((F.sum(F.col("envelope") * (F.col("reach") - F.col("next"))) / 101).alias("ap"))
+    last = rows.groupBy(*keys).agg(F.max("r").alias("recall"), F.max_by("p", "n").alias("precision"))
+    return ap.join(last, keys)
 
 
 def detection_metrics(truth: DataFrame, predictions: DataFrame, classes: DataFrame) -> DataFrame:
@@ -102,7 +114,7 @@ def model_comparison(metrics: DataFrame, before: str, after: str, tolerance: flo
 
 def promotion_decision(comparison: DataFrame, rules: DataFrame) -> DataFrame:
     """One row: REJECT, HOLD or PROMOTE with reasons in rule order. ``rules``: rule_no, verdict, scope, class_name, metric, least_delta; a missing metric is an error."""
-    joined = F.broadcast(rules).join(comparison, ["scope", "class_name", "metric"], "left")
+    joined = scene_dim(rules).join(comparison, ["scope", "class_name", "metric"], "left")
     joined = joined.withColumn("delta", F.coalesce("delta", F.raise_error(F.concat(F.lit("missing comparison metric: "), "scope", F.lit("/"), "class_name", F.lit("/"), "metric")).cast("double")))
     failing = F.when(F.col("delta") < F.col("least_delta"), F.struct("rule_no", F.concat_ws(" ", "class_name", "metric", F.lit("below"), F.col("least_delta").cast("string")).alias("reason")))
     of = lambda v: F.array_sort(F.collect_list(F.when(F.col("verdict") == v, failing))).alias(v)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.functions.labels import OTHER_TITLE, RARE_TAGS, TRAFFIC_TITLE, title_pattern
 from lanewise.operators.annotations import first_issue
-from lanewise.operators.sampling import seeded
+from lanewise.operators.sampling import duplicate_representatives, seeded, temporal_select
+from lanewise.operators.tracks import scene_dim
 
 
 def valid_box(width, height):
@@ -88,25 +92,77 @@ def review_row_check(rows: DataFrame, results: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("issue", issue).where("issue is not null").select("review_id", "issue")
 
 
-def final_selection(candidates: DataFrame, chosen: DataFrame, reduced: DataFrame, least_sharpness: float) -> DataFrame:
-    """Each candidate's outcome: NEAR_DUPLICATE, LOW_SHARPNESS, SELECTED or NOT_SELECTED. ``chosen`` and ``reduced``: candidate_id."""
-    c = candidates.join(chosen.select("candidate_id").distinct().withColumn("c", F.lit(True)), "candidate_id", "left").join(reduced.select("candidate_id").distinct().withColumn("r", F.lit(True)), "candidate_id", "left")
-    outcome = F.when(F.col("r").isNotNull(), "NEAR_DUPLICATE").when(F.col("sharpness") < least_sharpness, "LOW_SHARPNESS").when(F.col("c").isNotNull(), "SELECTED").otherwise("NOT_SELECTED")
-    return c.select("candidate_id", outcome.alias("outcome"))
+def final_selection(candidates: DataFrame, target: int, gap: int, fractions: dict[str, float], least_sharpness: float) -> DataFrame:
+    """(candidate_id, selection_status, selection_reason) of every candidate.
+
+    Of each duplicate group the representative goes on, if it is sharp enough; each scene's
+    balanced selection then chooses. ``candidates``: candidate_id, video_id, frame_index,
+    duplicate_group_id, priority_score, sampling_method, sharpness; a frame of a video is one candidate.
+    """
+    judged = duplicate_representatives(candidates)
+    sharp = F.col("sharpness") >= least_sharpness
+    chosen = temporal_select(judged.where(F.col("selected") & sharp), target, gap, fractions).select("video_id", "frame_index").withColumn("c", F.lit(True))
+    rows = judged.join(chosen, ["video_id", "frame_index"], "left")
+    outcome = (
+        F.when(~F.col("selected"), F.struct(F.lit("REJECTED_NEAR_DUPLICATE").alias("s"), F.col("reason").alias("r")))
+        .when(~sharp, F.struct(F.lit("REJECTED_LOW_SHARPNESS").alias("s"), F.lit(f"LAPLACIAN_VARIANCE_LT_{least_sharpness:g}").alias("r")))
+        .when(F.col("c").isNotNull(), F.struct(F.lit("SELECTED_FOR_ANNOTATION").alias("s"), F.lit("COVERAGE_BALANCED_DUPLICATE_REPRESENTATIVE").alias("r")))
+        .otherwise(F.struct(F.lit("NOT_SELECTED_BALANCE").alias("s"), F.lit("FINAL_SCENE_METHOD_BALANCE").alias("r")))
+    )
+    return rows.withColumn("o", outcome).select("candidate_id", F.col("o.s").alias("selection_status"), F.col("o.r").alias("selection_reason"))
+
+
+def candidate_check(candidates: DataFrame, ranges: DataFrame, allowed_tags: tuple[str, ...], methods: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
+    """(candidate_id, issue): the first of repeated ids, frames in excluded ranges, unknown tags or methods, a status other than NOT_ANNOTATED, and empty required fields.
+
+    ``candidates``: candidate_id, video_id, frame_index, tags array, sampling_method,
+    annotation_status and ``required``; ``ranges``: video_id, start_frame, end_frame, both included.
+    """
+    n = F.count("*").over(Window.partitionBy("candidate_id"))
+    closed = ranges.groupBy("video_id").agg(F.collect_list(F.struct("start_frame", "end_frame")).alias("ranges"))
+    rows = candidates.withColumn("n", n).join(scene_dim(closed), "video_id", "left")
+    excluded = F.coalesce(F.exists("ranges", lambda r: F.col("frame_index").between(r["start_frame"], r["end_frame"])), F.lit(False))
+    empty = reduce(Column.__or__, [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in required])
+    rules = [("DUPLICATE_CANDIDATE", F.col("n") > 1), ("EXCLUDED_RANGE", excluded), ("UNKNOWN_TAG", F.size(F.array_except("tags", F.array(*map(F.lit, allowed_tags)))) > 0)]
+    rules += [("UNKNOWN_METHOD", ~F.col("sampling_method").isin(*methods)), ("ALREADY_ANNOTATED", F.col("annotation_status") != "NOT_ANNOTATED"), ("MISSING_FIELD", empty)]
+    return rows.withColumn("issue", first_issue(rules)).where("issue is not null").select("candidate_id", "issue")
 
 
-def candidate_check(candidates: DataFrame, allowed_tags: tuple[str, ...], methods: tuple[str, ...]) -> DataFrame:
-    """(candidate_id, issue): missing fields, unknown tags or methods, repeated ids. ``tags`` is an array."""
-    n = F.count("*").over(Window.partitionBy("candidate_id"))
-    rows = candidates.withColumn("n", n)
-    issue = first_issue([("MISSING_FIELD", F.col("candidate_id").isNull() | F.col("tags").isNull() | F.col("sampling_method").isNull()), ("DUPLICATE_CANDIDATE", F.col("n") > 1), ("UNKNOWN_TAG", F.size(F.array_except("tags", F.array(*map(F.lit, allowed_tags)))) > 0), ("UNKNOWN_METHOD", ~F.col("sampling_method").isin(*methods))])
-    return rows.withColumn("issue", issue).where("issue is not null").select("candidate_id", "issue")
+def review_score() -> Column:
+    """How much a candidate helps: rare contexts, hard persons and the title. Columns: context_tags, small_person_count, occluded_person_count, title."""
+    tags, title = F.split(F.coalesce("context_tags", F.lit("")), ";"), F.coalesce("title", F.lit(""))
+    has = lambda *names: F.arrays_overlap(tags, F.array(*map(F.lit, names))).cast("int")
+    context = 4 * has("PERSON_MOTORCYCLE") + 4 * has("PERSON_BICYCLE") + 3 * has("PERSON_MULTI_TRAFFIC") + 2 * has("PERSON_BUS", "PERSON_TRUCK")
+    hard = F.least(F.coalesce("small_person_count", F.lit(0)), F.lit(4)) + F.least(F.coalesce("occluded_person_count", F.lit(0)), F.lit(3))
+    return context + hard + 2 * title.rlike(title_pattern(TRAFFIC_TITLE)).cast("int") - 8 * title.rlike(title_pattern(OTHER_TITLE)).cast("int")
 
 
 def review_candidates(rows: DataFrame, limit: int, seed: int) -> DataFrame:
-    """The first ``limit`` rows: forced ones, then by weighted score, then by a seeded order. Columns: image_id, forced, rare, traffic, small."""
-    score = 5 * F.col("rare").cast("int") + 2 * F.least(F.col("traffic"), F.lit(4)) + F.least(F.col("small"), F.lit(3))
-    return rows.withColumn("score", score).orderBy(F.desc("forced"), F.desc("score"), seeded(seed, "image_id"), "image_id").limit(limit)
+    """The first ``limit`` candidates with a traffic context: forced ones, then by score, then by a seeded order."""
+    wanted = F.arrays_overlap(F.split(F.coalesce("context_tags", F.lit("")), ";"), F.array(*map(F.lit, (*RARE_TAGS, "PERSON_CAR"))))
+    return rows.where(wanted).withColumn("score", review_score()).orderBy(F.desc("forced"), F.desc("score"), seeded(seed, "image_id"), "image_id").limit(limit)
+
+
+def merge_checked(left: DataFrame, right: DataFrame, key: str, unique_left: bool = True) -> DataFrame:
+    """``left`` with the columns of ``right``; an error if ``right`` repeats a key, or ``left`` does where it must not.
+
+    The checks are aggregates of keys that run with the join: a repeated key fails the query.
+    """
+    n = F.count("*").over(Window.partitionBy(key))
+    once = lambda df, side: df.withColumn("_n", n).withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated key in the {side} table: "), F.col(key).cast("string")))).cast("boolean")).where("_ok is null").drop("_n", "_ok")
+    return (once(left, "left") if unique_left else left).join(once(right, "right"), key, "left")
+
+
+def manifest_map(annotations: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Annotations with the split and group of their image, one row each; an image that the manifest lacks is UNASSIGNED."""
+    out = merge_checked(annotations, manifest.select("image_id", "split", "group_id"), "image_id", unique_left=False)
+    return out.withColumn("split", F.coalesce("split", F.lit("UNASSIGNED")))
+
+
+def map_classes(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows with application class and disposition by source and source class; UNMAPPED without a class where the mapping has none. ``mapping``: source, source_class, class_name, disposition."""
+    out = rows.join(scene_dim(mapping), ["source", "source_class"], "left")
+    return out.withColumn("disposition", F.coalesce("disposition", F.lit("UNMAPPED")))
 
 
 def pilot_check(pilot: DataFrame, expected: int) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import box, overlap_smaller
+from lanewise.operators.tracks import scene_dim
+
+#: Fixed value: how groups of frames are named.
+GROUP_PREFIX = "V2_FRAME_DUP_"
 
 
 def ranked_frames(detections: DataFrame, reason: str, limit: int, class_name: str | None = None) -> DataFrame:
@@ -57,61 +65,89 @@ def frame_features(tracks: DataFrame, overlap: float = 0.20) -> DataFrame:
 def temporal_select(rows: DataFrame, target: int, gap: int, fractions: dict[str, float]) -> DataFrame:
     """Best frames of each scene under method quotas, at least ``gap`` frames apart.
 
-    The choice is greedy, each one depends on those before, so a scene is one group; scenes
-    run in parallel and a scene's candidate frames fit in memory. ``rows``: video_id,
+    Of rows of one frame the one with the highest score counts, ties to the first method by
+    name. Each choice depends on those before, but a taken frame rules out at most
+    2 * gap - 1 frames: so of each method, and of all, only the first frames by score that
+    can matter are looked at, a number that doesn't grow with the scene. ``rows``: video_id,
     frame_index, sampling_method, priority_score.
     """
+    quotas = {m: round(target * share) for m, share in sorted(fractions.items())}
+    enough = (sum(max(q, 1) for q in quotas.values()) + target) * (2 * gap - 1) + 1
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("frame_index").sort_values(["priority_score", "frame_index"], ascending=[False, True])
+        group = group.sort_values(["priority_score", "frame_index"], ascending=[False, True])
         taken: list[int] = []
 
-        def take(frames, most: int) -> None:
+        def free(f: int) -> bool:
+            return all(abs(f - t) >= gap for t in taken)
+
+        for method, quota in quotas.items():
             got = 0
-            for f in frames:
-                if got >= most:
-                    return
-                if all(abs(f - t) >= gap for t in taken):
+            for f in group.loc[group.sampling_method == method, "frame_index"]:
+                if free(f):
                     taken.append(f)
                     got += 1
-
-        for method in sorted(fractions):
-            take(group.loc[group.sampling_method == method, "frame_index"].tolist(), round(target * fractions[method]))
-        take(group.frame_index.tolist(), target - len(taken))
+                if got >= quota:
+                    break
+        for f in group.frame_index:
+            if len(taken) >= target:
+                break
+            if free(f):
+                taken.append(f)
         return group[group.frame_index.isin(taken)].sort_values("frame_index")
 
     rows = rows.select("video_id", "frame_index", "sampling_method", "priority_score")
-    return rows.groupBy("video_id").applyInPandas(pick, rows.schema)
+    one = F.row_number().over(Window.partitionBy("video_id", "frame_index").orderBy(F.desc("priority_score"), "sampling_method"))
+    single = rows.withColumn("_n", one).where("_n = 1").drop("_n")
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority_score"), "frame_index"))
+    few = single.withColumn("_m", best("video_id", "sampling_method")).where(F.col("_m") <= enough).unionByName(single.withColumn("_m", best("video_id")).where(F.col("_m") <= enough)).drop("_m").distinct()
+    return few.groupBy("video_id").applyInPandas(pick, rows.schema)
+
 
+def leader_groups(rows: DataFrame, threshold: int, gaps: DataFrame) -> DataFrame:
+    """(candidate_id, duplicate_group_id, group_size, exact_duplicate_group_size, grouping_basis).
 
-def leader_groups(rows: DataFrame, threshold: int, max_gap: int) -> DataFrame:
-    """(candidate_id, leader): equal sha anywhere, near print only to a leader of the same video within ``max_gap`` frames; near rows don't chain.
+    Equal shas are one group anywhere; a near print joins the latest leader of its video
+    within the video's largest gap of frames, and near rows don't chain. ``rows``:
+    candidate_id, video_id, frame_index, sha, print; ``gaps``: video_id, max_gap.
 
-    Equal shas are collapsed to their first row before videos are walked in order.
-    ``rows``: candidate_id, video_id, frame_index, sha, print.
+    Equal shas are collapsed to their first row. A video is cut where neighbouring frames
+    are further apart than its gap, as no leader reaches across; the cuts are dealt over tasks
+    and streamed in the order of frames, with the leaders within the gap as the only state.
     """
     first = F.row_number().over(Window.partitionBy("sha").orderBy("video_id", "frame_index", "candidate_id"))
-    heads = rows.withColumn("_n", first).where("_n = 1").select("candidate_id", "video_id", "frame_index", "sha", "print")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, int, int]] = []
-        out = []
-        for c, f, p in group.sort_values(["frame_index", "candidate_id"])[["candidate_id", "frame_index", "print"]].itertuples(index=False):
-            found = None
-            for lf, lc, lp in reversed(leaders):
-                if f - lf > max_gap:
-                    break
-                if ((int(p) ^ int(lp)) & (2**64 - 1)).bit_count() <= threshold:
-                    found = lc
-                    break
-            if found is None:
-                leaders.append((f, c, p))
-                found = c
-            out.append((c, found))
-        return pd.DataFrame(out, columns=["head", "leader"])
-
-    led = heads.groupBy("video_id").applyInPandas(walk, "head long, leader long")
-    return rows.join(heads.select("sha", F.col("candidate_id").alias("head")), "sha").join(led, "head").select("candidate_id", "leader")
+    heads = rows.withColumn("_n", first).where("_n = 1").select("candidate_id", "video_id", "frame_index", "sha", "print").join(scene_dim(gaps), "video_id")
+    order = Window.partitionBy("video_id").orderBy("frame_index", "candidate_id")
+    cut = F.coalesce((F.col("frame_index") - F.lag("frame_index").over(order) > F.col("max_gap")).cast("int"), F.lit(1))
+    heads = heads.withColumn("island", F.sum(cut).over(order))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders = None, deque()
+        for b in batches:
+            led = []
+            for video, island, f, c, p, gap in zip(*(b[n].to_pylist() for n in ("video_id", "island", "frame_index", "candidate_id", "print", "max_gap")), strict=True):
+                if now != (video, island):
+                    now, leaders = (video, island), deque()
+                while leaders and f - leaders[0][0] > gap:
+                    leaders.popleft()
+                found = next((lc for _, lc, lp in reversed(leaders) if ((p ^ lp) & (2**64 - 1)).bit_count() <= threshold), None)
+                if found is None:
+                    leaders.append((f, c, p))
+                led.append(c if found is None else found)
+            yield pa.RecordBatch.from_arrays([b["candidate_id"], pa.array(led, b["candidate_id"].type)], ["head", "leader"])
+
+    kind = rows.schema["candidate_id"].dataType.simpleString()
+    led = heads.repartition("video_id", "island").sortWithinPartitions("video_id", "island", "frame_index", "candidate_id").mapInArrow(walk, f"head {kind}, leader {kind}")
+    # Groups are numbered in the order of their leaders: a number within the video after the leaders of the videos before.
+    chosen = heads.join(led.where("head = leader"), F.col("candidate_id") == F.col("head")).select("leader", "video_id", F.row_number().over(order).alias("n"))
+    offsets = chosen.groupBy("video_id").agg(F.count("*").alias("c")).select("video_id", F.coalesce(F.sum("c").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    named = chosen.join(scene_dim(offsets), "video_id").select("leader", F.format_string(f"{GROUP_PREFIX}%05d", F.col("n") + F.col("offset")).alias("duplicate_group_id"))
+    # Sizes are counted by sha and by group before they meet the rows, so a hot sha is a row.
+    shas = rows.groupBy("sha").agg(F.count("*").alias("exact_duplicate_group_size")).join(heads.select("sha", F.col("candidate_id").alias("head")), "sha").join(led, "head").join(named, "leader")
+    sizes = shas.groupBy("duplicate_group_id").agg(F.sum("exact_duplicate_group_size").alias("group_size"))
+    out = rows.select("candidate_id", "sha").join(shas.join(sizes, "duplicate_group_id"), "sha")
+    basis = F.when(F.col("exact_duplicate_group_size") > 1, "EXACT").when(F.col("group_size") > 1, "NEAR").otherwise("SINGLETON")
+    return out.select("candidate_id", "duplicate_group_id", "group_size", "exact_duplicate_group_size", basis.alias("grouping_basis"))
 
 
 def duplicate_representatives(rows: DataFrame) -> DataFrame:
@@ -144,7 +180,13 @@ def previews_per_class(boxes: DataFrame, n: int) -> DataFrame:
     return images.withColumn("place", place).where(F.col("place") <= n)
 
 
-def observed_gap(selected: DataFrame) -> DataFrame:
-    """Selected frames and the smallest distance between neighbours, for each video."""
+def selection_report(selected: DataFrame) -> DataFrame:
+    """(section, name, value): selected frames by scene, method and tag, and the smallest distance between neighbours of each scene.
+
+    ``selected``: video_id, frame_index, sampling_method, tags array.
+    """
+    count = lambda section, names: names.groupBy("name").agg(F.count("*").alias("value")).select(F.lit(section).alias("section"), "name", "value")
+    named = lambda c: selected.select(F.col(c).alias("name"))
     d = F.col("frame_index") - F.lag("frame_index").over(Window.partitionBy("video_id").orderBy("frame_index"))
-    return selected.withColumn("d", d).groupBy("video_id").agg(F.count("*").alias("frames"), F.min("d").alias("smallest_gap"))
+    gaps = selected.withColumn("d", d).groupBy(F.col("video_id").alias("name")).agg(F.min("d").alias("value")).select(F.lit("smallest_gap").alias("section"), "name", "value")
+    return count("scene", named("video_id")).unionByName(count("method", named("sampling_method"))).unionByName(count("tag", selected.select(F.explode("tags").alias("name")))).unionByName(gaps)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lanewise.operators import events as ev
 from lanewise.operators import reports as rp
 from lanewise.operators import tracks as tk
+from lanewise.operators.duplicates import saved
 
 WIDTH, HEIGHT, FPS = 1920, 1080, 10
 SOURCES = ("highway", "downtown", "urban", "aerial")
@@ -166,7 +167,13 @@ class Scene:
 
     @cached_property
     def normalized(self) -> DataFrame:
-        return ev.normalize_events(self.crossings, self.zone_obs, self.restricted, self.wrong_way, self.long_dwell, self.stationary, self.proximity, self.labels)
+        # Six rules read the zone rows: they are written once to the shared folder.
+        zones = saved(self.zone_obs, "zone-rows")
+        pairs = tk.person_vehicle_pairs(zones, self.proximity_rules, WIDTH, HEIGHT)
+        return ev.normalize_events(
+            self.crossings, zones, self.restricted, tk.wrong_way(zones, self.direction_rules), tk.long_dwell(zones, self.dwell_rules, MISSING_SECONDS),
+            tk.stationary_vehicles(zones, self.stationary_rules, WIDTH, HEIGHT, MISSING_SECONDS), tk.proximity(tk.proximity_runs(pairs)), self.labels,
+        )
 
     @cached_property
     def events(self) -> DataFrame:

@@ -15,6 +15,7 @@ from lanewise.operators import annotations as an
 from lanewise.operators import diagnostics as dg
 from lanewise.operators import duplicates as du
 from lanewise.operators import evaluation as el
+from lanewise.operators import manifests as mf
 from lanewise.operators import sampling as sm
 from lanewise.plans.derived import CLASSES, FPS, HEIGHT, WIDTH, Scene, table, values
 from lanewise.plans.track_queries import CTE as TRACKS
@@ -83,6 +84,19 @@ class Datasets:
     def prints(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.col("label").cast("string"), 256).alias("sha"), du.fingerprint("embedding").alias("print"))
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents with digest and 64-bit similarity print; ``known`` says that reviewers have labelled them, ``source_group`` that some come from one place."""
+        docs = self.table("documents").select(F.col("doc_id").alias("id"), "text")
+        labelled = self.table("labels").select(F.col("doc_id").alias("id")).distinct().withColumn("known", F.lit(True))
+        rows = docs.select("id", F.sha2("text", 256).alias("sha"), F.expr("if(id % 50 = 0, concat('g', cast(id % 3 as string)), null)").alias("source_group"))
+        return rows.join(du.simhash(docs), "id").join(labelled, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    @property
+    def items(self) -> DataFrame:
+        rows = self.table("benchmark").select(F.col("item_id").alias("id"), "text")
+        return rows.select("id", F.sha2("text", 256).alias("sha")).join(du.simhash(rows), "id")
+
     @property
     def contents(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "source")
@@ -114,6 +128,20 @@ class Datasets:
 _NORMAL = "case when l_orderkey % 11 = 0 and l_linenumber = 1 then '' when l_orderkey % 13 = 0 and l_linenumber = 2 then '1 0.5 0.5' when l_orderkey % 17 = 0 then concat('9 0.5 0.5 0.1 0.', cast(100 + l_partkey % 900 as {cat})) when l_partkey % 19 = 0 then '0 1.5 0.5 0.1 0.1' when l_partkey % 23 = 0 then '2 0.5 0.5 0 0.1' when l_partkey % 29 = 0 then '1 0.01 0.5 0.9 0.1' when l_orderkey % 5 = 0 then '2 0.5 0.5 0.25 0.25' else concat(cast(l_suppkey % 6 as {cat}), ' 0.', cast(300 + l_partkey % 400 as {cat}), ' 0.', cast(300 + l_suppkey % 400 as {cat}), ' 0.1 0.2') end"
 _PIXEL = "case when l_orderkey % 13 = 0 and l_linenumber = 2 then '1,2,3' when l_partkey % 19 = 0 then '10,10,5,5,1,99,0,0' when l_partkey % 23 = 0 then '10,10,5,5,2,1,0,0' when l_partkey % 29 = 0 then '10,10,0,5,1,1,0,0' when l_partkey % 31 = 0 then '990,10,50,5,1,1,0,0' when l_partkey % 37 = 0 then '10,10,5,5,1,1,3,0' when l_orderkey % 5 = 0 then '1,1,9,9,1,2,0,1,' else concat(cast(l_partkey % 800 as {cat}), ',', cast(l_suppkey % 500 as {cat}), ',20,30,1,', cast(l_suppkey % 6 as {cat}), ',', cast(l_suppkey % 2 as {cat}), ',', cast(l_partkey % 3 as {cat})) end"
 
+_BITS = [(half, bit) for half in (0, 1) for bit in reversed(range(32))]
+_VOTES = ", ".join(f"sum(case when (h{h} >> {b}) & 1 = 1 then 1 else -1 end) as b{h}_{b}" for h, b in _BITS)
+_PRINT = " || ".join(f"case when b{h}_{b} > 0 then '1' else '0' end" for h, b in _BITS)
+_SIMHASH = f"""
+all_texts as (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+sim_words as (select kind, id, md5(unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[^A-Za-z0-9]+'), lambda x: x <> ''))) as m from all_texts),
+sim_votes as (select kind, id, {_VOTES} from (select kind, id, ('0x' || substr(m, 1, 8))::bigint as h0, ('0x' || substr(m, 9, 8))::bigint as h1 from sim_words) group by kind, id),
+sims as (select a.kind, a.id, sha256(a.text) as sha, coalesce(v.bits, repeat('0', 64)) as bits from all_texts a left join (select kind, id, {_PRINT} as bits from sim_votes) v using (kind, id)),
+tx as (select id, sha, bits, case when id % 50 = 0 then 'g' || (id % 3) end as source_group, id in (select doc_id from labels) as known from sims where kind = 'd'),
+bm as (select id, sha, bits from sims where kind = 'b'),
+tr as (select bits, min(id) as id from tx group by bits),
+np as (select least(a.id, b.id) as x, greatest(a.id, b.id) as y, bit_count(xor(a.bits::bit, b.bits::bit)) as distance from tr a join tr b on a.bits < b.bits where bit_count(xor(a.bits::bit, b.bits::bit)) <= 6),
+"""
+
 BASE = """
 with li as (select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as integer) as line from lineitem),
 bx as (
@@ -144,6 +172,7 @@ ct as (select doc_id as id, sha256(text) as sha, source from documents),
 mf as (select id as image_id, min(id) over (partition by sha) as group_id from ct),
 ms as (select *, case when p < round(0.7 * 4294967296) then 'TRAIN' when p < round(0.85 * 4294967296) then 'VAL' else 'LOCKED_TEST' end as split from (select *, ('0x' || substr(md5('1601:' || group_id), 1, 8))::bigint as p from mf)),
 pt as (select vec_id as id, sha256(cast(label as varchar)) as sha, list_reduce(list_transform(embedding[1:64], lambda x: (case when x > 0 then '1' else '0' end)), lambda a, b: a || b) as bits from embeddings),
+SIMHASH
 nl as (select l_orderkey as image_id, line as line_number, NORMAL as raw from li),
 n1 as (select image_id, line_number, raw, string_split(trim(raw), ' ') as parts from nl),
 n2 as (select *, try_cast(parts[1] as integer) as class_id, try_cast(parts[2] as double) as x, try_cast(parts[3] as double) as y, try_cast(parts[4] as double) as w, try_cast(parts[5] as double) as h from n1),
@@ -153,7 +182,7 @@ pl as (select l_orderkey as image_id, line as line_number, rtrim(PIXEL, ',') as
 p2 as (select *, string_split(raw, ',') as f from pl),
 p3 as (select *, case when len(f) <> 8 then 'MALFORMED_ROW' when f[6]::int not between 0 and 11 then 'INVALID_CLASS_ID' when f[5]::int not in (0, 1) then 'INVALID_SCORE' when f[3]::double <= 0 or f[4]::double <= 0 then 'INVALID_BBOX_SIZE' when f[1]::double + f[3]::double > 1000 or f[2]::double + f[4]::double > 700 then 'BBOX_OUTSIDE_IMAGE' when f[7]::int not in (0, 1) then 'INVALID_TRUNCATION' when f[8]::int not in (0, 1, 2) then 'INVALID_OCCLUSION' end as i0 from p2),
 pb as (select image_id, line_number, case when i0 is null and row_number() over (partition by image_id, i0 is null, raw order by line_number) > 1 then 'DUPLICATE_ANNOTATION' else i0 end as issue from p3)
-""".replace("NORMAL", _NORMAL.format(cat="varchar", div="//")).replace("PIXEL", _PIXEL.format(cat="varchar", div="//"))
+""".replace("SIMHASH", _SIMHASH).replace("NORMAL", _NORMAL.format(cat="varchar", div="//")).replace("PIXEL", _PIXEL.format(cat="varchar", div="//"))
 
 _R6 = ("precision", "recall", "map50", "map50_95")
 
@@ -192,21 +221,93 @@ _RV = "(select doc_id, case when quality = 1 and toxic = 0 then 'CORRECT' when q
 
 def _licensed(d: Datasets) -> DataFrame:
     u = "'https://creativecommons.org/licenses/by/2.0/'"
-    rows = d.table("documents").selectExpr("doc_id as image_id", "concat('https://host/photos/a/', cast(doc_id as string), '/') as license_reference", "if(doc_id % 9 = 0, ' ', 'u') as original_url", "source as author", f"{u} as license_url", "if(doc_id % 7 = 0, 404, 200) as http_status", f"if(doc_id % 5 = 0, 'x', {u}) as observed_license_url", "concat('https://host/photos/a/', cast(if(doc_id % 11 = 0, 1, doc_id) as string)) as acquire_license_page", "concat('https://c/', cast(if(doc_id % 13 = 0, -1, doc_id) as string), '.jpg') as content_url", "if(doc_id % 2 = 0, 'A busy street', if(doc_id % 3 = 0, 'Toy museum', 'Untitled')) as title", "if(doc_id % 4 = 1, 'PERSON_BUS', 'PERSON_CAR') as context_tags", "doc_id % 6 <> 0 as image_readable", "doc_id % 25 as person_boxes", "doc_id % 40 as total_boxes")
+    rows = d.table("documents").selectExpr("doc_id as image_id", "concat('https://host/photos/a/', cast(doc_id as string), '/') as license_reference", "if(doc_id % 9 = 0, ' ', 'u') as original_url", "source as author", f"{u} as license_url", "if(doc_id % 7 = 0, 404, 200) as http_status", f"if(doc_id % 5 = 0, 'x', {u}) as observed_license_url", "concat('https://host/photos/a/', cast(if(doc_id % 11 = 0, 1, doc_id) as string)) as acquire_license_page", "concat('https://c/', cast(if(doc_id % 13 = 0, -1, doc_id) as string), '.jpg') as content_url", "if(doc_id % 2 = 0, 'A busy street', if(doc_id % 3 = 0, 'Toy museum', 'Untitled')) as title", "if(doc_id % 4 = 1, 'PERSON_BUS', if(doc_id % 8 = 3, 'PERSON_CAR;PERSON_MULTI_TRAFFIC', 'PERSON_CAR')) as context_tags", "doc_id % 6 <> 0 as image_readable", "doc_id % 25 as person_boxes", "doc_id % 40 as total_boxes", "if(doc_id % 17 = 0, 'REJECTED', if(doc_id % 19 = 0, null, 'ELIGIBLE')) as candidate_status")
     return an.training_gate(an.annotation_review(an.domain_review(an.license_review(rows, "https://creativecommons.org/licenses/by/2.0/"))))
 
 
-_GATE = "(select *, case when v <> 'LICENSE_APPROVED' then 'LICENSE:' || v when dom not in ('TRAFFIC_RELEVANT', 'PARTIALLY_RELEVANT') then 'DOMAIN:' || dom when ann <> 'ACCEPTABLE_WITH_NOTE' then 'ANNOTATION:' || ann else 'ALL_GATES_PASS' end as gate from (select *, case when v <> 'LICENSE_APPROVED' then 'AMBIGUOUS' when doc_id % 2 = 0 then 'TRAFFIC_RELEVANT' when doc_id % 3 = 0 then 'NON_TRAFFIC' when doc_id % 4 = 1 then 'PARTIALLY_RELEVANT' else 'AMBIGUOUS' end as dom, case when v <> 'LICENSE_APPROVED' or doc_id % 6 = 0 then 'REJECTED_AMBIGUOUS' when doc_id % 25 <= 0 or doc_id % 40 <= 0 then 'REJECTED_INCOMPLETE' when doc_id % 25 >= 20 or doc_id % 40 >= 35 then 'REJECTED_AMBIGUOUS' else 'ACCEPTABLE_WITH_NOTE' end as ann from (select doc_id, case when doc_id % 9 = 0 then 'MISSING_LICENSE_METADATA' when doc_id % 7 = 0 then 'REQUIRES_REVIEW' when doc_id % 5 = 0 then 'REJECTED' when doc_id % 11 = 0 and doc_id <> 1 then 'REQUIRES_REVIEW' when doc_id % 13 = 0 and doc_id <> 1 then 'REQUIRES_REVIEW' else 'LICENSE_APPROVED' end as v from documents)))"
+_GATE = "(select *, case when v <> 'LICENSE_APPROVED' then 'LICENSE:' || v when dom not in ('TRAFFIC_RELEVANT', 'PARTIALLY_RELEVANT') then 'DOMAIN:' || dom when ann <> 'ACCEPTABLE_WITH_NOTE' then 'ANNOTATION:' || ann when doc_id % 17 = 0 then 'SOURCE_CANDIDATE:REJECTED' when doc_id % 19 = 0 then 'SOURCE_CANDIDATE:MISSING' else 'ALL_GATES_PASS' end as gate from (select *, case when v <> 'LICENSE_APPROVED' then 'AMBIGUOUS' when doc_id % 2 = 0 then 'TRAFFIC_RELEVANT' when doc_id % 3 = 0 then 'NON_TRAFFIC' when doc_id % 4 = 1 or doc_id % 8 = 3 then 'PARTIALLY_RELEVANT' else 'AMBIGUOUS' end as dom, case when v <> 'LICENSE_APPROVED' then 'blocked' when doc_id % 2 = 0 then 'road' when doc_id % 3 = 0 then 'off' when doc_id % 4 = 1 then 'kept for rare coverage: PERSON_BUS' when doc_id % 8 = 3 then 'kept for rare coverage: PERSON_MULTI_TRAFFIC' else 'none' end as note, case when v <> 'LICENSE_APPROVED' or doc_id % 6 = 0 then 'REJECTED_AMBIGUOUS' when doc_id % 25 <= 0 or doc_id % 40 <= 0 then 'REJECTED_INCOMPLETE' when doc_id % 25 >= 20 or doc_id % 40 >= 35 then 'REJECTED_AMBIGUOUS' else 'ACCEPTABLE_WITH_NOTE' end as ann from (select doc_id, case when doc_id % 9 = 0 then 'MISSING_LICENSE_METADATA' when doc_id % 7 = 0 then 'REQUIRES_REVIEW' when doc_id % 5 = 0 then 'REJECTED' when doc_id % 11 = 0 and doc_id <> 1 then 'REQUIRES_REVIEW' when doc_id % 13 = 0 and doc_id <> 1 then 'REQUIRES_REVIEW' else 'LICENSE_APPROVED' end as v from documents)))"
 
 
 def _near(d: Datasets) -> DataFrame:
-    return du.near_pairs(d.prints, 20)
+    """Near pairs of prints, each named by its smallest document."""
+    rows = d.texts
+    holder = rows.groupBy("print").agg(F.min("id").alias("h"))
+    at = lambda c: holder.select(F.col("print").alias(c), F.col("h").alias(f"h{c}"))
+    pairs = du.near_pairs(rows, 6).join(at("a"), "a").join(at("b"), "b")
+    return pairs.select(F.least("ha", "hb").alias("x"), F.greatest("ha", "hb").alias("y"), "distance")
+
+
+def _near_overlap(d: Datasets) -> DataFrame:
+    rows = d.texts
+    at = lambda side, known: rows.where(F.col("known") == known).groupBy(F.col("print").alias(f"{side}_print")).agg(F.min("id").alias(side))
+    pairs = du.near_overlap(rows.where("not known"), rows.where("known"), 6)
+    return pairs.join(at("candidate", False), "candidate_print").join(at("reference", True), "reference_print").select("candidate", "reference", "distance")
+
+
+def _acceptance(d: Datasets) -> DataFrame:
+    """Of all annotation rows beside documents that repeat labelled ones, and of the accepted rows beside test items that documents repeat."""
+    rows, critical = d.texts, ("INVALID_CLASS_ID", "BOX_OUTSIDE_IMAGE")
+    of = lambda name, issues, overlap: an.qa_acceptance(issues, critical, overlap).withColumn("dataset", F.lit(name))
+    repeated = rows.where("not known").join(rows.where("known").select("sha").distinct(), "sha", "left_semi")
+    return of("all", _normal(d), repeated).unionByName(of("accepted", _normal(d).where("issue is null"), d.items.join(rows.select("sha").distinct(), "sha", "left_semi")))
+
+
+def _evidence(d: Datasets) -> DataFrame:
+    """Pages with JSON-LD of several shapes behind their own html."""
+    image = """concat('{"@type":"ImageObject","license":"https://creativecommons.org/licenses/by/', cast(page_id % 3 as string), '.0/","acquireLicensePage":"https://host/', cast(page_id as string), '","contentUrl":"https://c/', cast(page_id as string), '.jpg","creator":{"name":"n', cast(page_id as string), '"}}')"""
+    script = lambda x: f"""concat(html, '<script type="application/ld+json">', {x}, '</script>')"""
+    shapes = f"""case page_id % 5 when 0 then {script(image)} when 1 then {script(f"concat('[{{\"@type\":\"WebPage\"}},', {image}, ']')")} when 2 then {script(f"concat('{{\"@context\":\"x\",\"@graph\":[', {image}, ']}}')")} when 3 then {script("'{\"@type\":\"ImageObject\",\"contentUrl\":\"x\"}'")} else html end"""
+    return an.license_evidence(d.table("pages").selectExpr("page_id", f"{shapes} as html")).drop("html")
+
+
+FRACTIONS = {"uniform": 0.5, "density": 0.25, "occlusion": 0.25}
+
+
+def _frames(d: Datasets) -> DataFrame:
+    """Frames as candidates, four neighbours of a video to a duplicate group."""
+    return d.features.selectExpr("concat(video_id, ':', frame_index) as candidate_id", "video_id", "frame_index", "concat(video_id, ':', frame_index div 4) as duplicate_group_id", "priority_score", "sampling_method", "cast(10 + frame_index % 40 as double) as sharpness")
+
+
+def _selected(d: Datasets) -> DataFrame:
+    chosen = sm.temporal_select(d.features, 8, 5, FRACTIONS)
+    return chosen.withColumn("tags", F.expr("filter(array(if(priority_score > 3, 'busy', null), concat('tag', cast(frame_index % 3 as string))), x -> x is not null)"))
+
+
+def _leaders(d: Datasets) -> DataFrame:
+    rows = d.scene.tracks.selectExpr("track_id * 1000 + frame_index as candidate_id", "video_id", "frame_index", "concat(track_id, ':', frame_index div 3) as sha", "cast(floor(center_x / 200) as long) as print")
+    gaps = d.scene.videos.selectExpr("video_id", "if(video_id < 'v4', 10, 6) as max_gap")
+    return sm.leader_groups(rows, 1, gaps)
+
+
+def _balanced(name: str, source: str) -> str:
+    """CTEs for the greedy choice from ``source`` (video_id, frame_index, sampling_method, priority_score): each step tries the next frame of a video."""
+    return f""", {name}_seq as (select video_id, frame_index, phase, row_number() over (partition by video_id order by phase, priority_score desc, frame_index) as k
+    from (select *, case sampling_method when 'density' then 1 when 'occlusion' then 2 else 3 end as phase from {source} union all select *, 4 from {source})),
+{name}_run as (
+  select distinct video_id, 0::bigint as k, []::bigint[] as taken, 0 as phase, 0 as got from {source}
+  union all
+  select video_id, k, case when ok then list_append(taken, frame_index) else taken end, phase, g + ok::int from (
+    select r.video_id, q.k, r.taken, q.frame_index, q.phase, case when q.phase = r.phase then r.got else 0 end as g,
+      case when q.phase = 4 then len(r.taken) < 8 else case when q.phase = r.phase then r.got else 0 end < [2, 2, 4][q.phase] end and len(list_filter(r.taken, lambda t: abs(t - q.frame_index) < 5)) = 0 as ok
+    from {name}_run r join {name}_seq q on q.video_id = r.video_id and q.k = r.k + 1)),
+{name} as (select video_id, unnest(arg_max(taken, k)) as frame_index from {name}_run group by video_id)
+"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.lstrip().replace("with ", "with recursive ", 1)
 
 
 def _hits(d: Datasets) -> DataFrame:
     return el.match_predictions(d.truth, d.predictions)
 
 
+_BEFORE = BASE.replace("preds as (select", "preds as (select * from (select").replace("from bx),\nar as", "from bx) where conf >= 0.55),\nar as")
+_LONG = "select class_name, unnest(['precision', 'recall', 'map50', 'map50_95']) as metric, unnest([precision, recall, map50, map50_95]) as v from dm"
+_COMPARED = f"""(with a as ({BASE} {_LONG}), b as ({_BEFORE} {_LONG}), c as (select 'per_class' as scope, class_name, metric, b.v as before, a.v as after from a join b using (class_name, metric))
+  select *, after - before as delta from (select * from c union all select 'overall', 'ALL', metric, avg(before), avg(after) from c group by metric))"""
+
+
 def _comparison(d: Datasets) -> DataFrame:
     return el.model_comparison(d.metrics, "before", "after")
 
@@ -222,9 +323,24 @@ def _counts(s: Scene):
 _RM = f"(select source_id, count(*) as detections, count(*) filter (class_name <> 'person' and (x2 - x1) * (y2 - y1) / {float(WIDTH * HEIGHT)} < 0.01) as small_vehicles, count(*) filter (confidence >= 0.15 and confidence < 0.25) as low_band, count(distinct (video_id, track_id)) as tracks from tracks group by all)"
 _FF = "(select video_id, frame_index, count(*) as objects, count(*) filter (class_name = 'person') as persons, min((x2 - x1) * (y2 - y1)) as smallest, exists (select 1 from tracks a join tracks b on a.video_id = b.video_id and a.frame_index = b.frame_index and a.track_id < b.track_id where a.video_id = t.video_id and a.frame_index = t.frame_index and greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) >= 0.2) as occluded from tracks t group by all)"
 
+_FEATURES = f"select *, case when occluded then 'occlusion' when objects >= 5 then 'density' else 'uniform' end as sampling_method, cast(objects + 2 * persons + case when occluded then 3 else 0 end as double) as priority_score from {_FF}"
+_LEADERS = """, lead_rows as materialized (select track_id * 1000 + frame_index as candidate_id, video_id, frame_index, track_id || ':' || (frame_index // 3) as sha, cast(floor(center_x / 200) as bigint) as p from tracks),
+lead_heads as materialized (select *, row_number() over (partition by video_id order by frame_index, candidate_id) as k from (select * from lead_rows qualify row_number() over (partition by sha order by video_id, frame_index, candidate_id) = 1)),
+run as (
+  select distinct video_id, 0::bigint as k, []::struct(f bigint, c bigint, p bigint)[] as leaders, null::bigint as leader, null::varchar as sha from lead_heads
+  union all
+  select r.video_id, q.k, case when found is null then list_append(near, {'f': q.frame_index, 'c': q.candidate_id, 'p': q.p}) else near end, coalesce(found, q.candidate_id), q.sha
+  from run r join lead_heads q on q.video_id = r.video_id and q.k = r.k + 1,
+    lateral (select list_filter(r.leaders, lambda l: q.frame_index - l.f <= case when q.video_id < 'v4' then 10 else 6 end) as near),
+    lateral (select list_filter(near, lambda l: bit_count(xor(l.p, q.p)) <= 1)[-1].c as found)),
+lead_of as (select sha, leader from run where k > 0),
+lead_names as (select lead_heads.candidate_id as leader, row_number() over (order by lead_heads.video_id, lead_heads.frame_index, lead_heads.candidate_id) as n from lead_heads join lead_of using (sha) where lead_of.leader = lead_heads.candidate_id)
+"""
+
 QUERIES = {
     # A, B
-    "observation_quality": (lambda d: dg.observation_quality(d.scene.tracks.withColumn("confidence", F.when(F.col("track_id") % 50 == 0, 1.5).otherwise(F.col("confidence"))).withColumn("x2", F.when(F.col("track_id") % 41 == 0, F.lit(-1.0)).otherwise(F.col("x2"))), CLASSES), TRACKS + "select video_id, track_id, frame_index, 'BAD_CONFIDENCE' as issue from tracks where track_id % 50 = 0 union all select video_id, track_id, frame_index, 'BAD_BOX' from tracks where track_id % 41 = 0 and -1 < x1 or (track_id % 41 <> 0 and x2 < x1)"),
+    "observation_quality": (lambda d: dg.observation_quality(d.scene.tracks.withColumn("confidence", F.when(F.col("track_id") % 50 == 0, 1.5).otherwise(F.col("confidence"))).withColumn("x2", F.when(F.col("track_id") % 41 == 0, F.lit(-1.0)).otherwise(F.col("x2"))).withColumn("timestamp_seconds", F.when(F.col("track_id") % 37 == 0, -F.col("timestamp_seconds")).otherwise(F.col("timestamp_seconds"))), CLASSES), TRACKS + "select video_id, track_id, frame_index, 'BAD_CONFIDENCE' as issue from tracks where track_id % 50 = 0 union all select video_id, track_id, frame_index, 'BAD_BOX' from tracks where track_id % 41 = 0 and -1 < x1 or (track_id % 41 <> 0 and x2 < x1) union all select video_id, track_id, frame_index, 'NON_ADVANCING_FRAME' from (select *, max(frame_index) over (partition by video_id, track_id) as m from tracks) where track_id % 37 = 0 and frame_index < m"),
+    "require_columns": (lambda d: (dg.require_columns(d.table("events"), ("event_id", "user_id", "ts"), "events"), d.table("events").groupBy("user_id").agg(F.count("*").alias("events")))[1], "select user_id, count(*) as events from events group by all"),
     "video_metadata_validate": (lambda d: dg.video_metadata_validate(d.scene.videos.select("video_id", F.when(F.col("video_id") == "v1", 0).otherwise(1920).alias("width"), F.lit(1080).alias("height"), F.when(F.col("video_id") == "v2", 240.0).otherwise(10.0).alias("fps"), "frame_count")), TRACKS + "select video_id, case when video_id = 'v1' then 0 else 1920 end as width, 1080 as height, case when video_id = 'v2' then 240.0 else 10.0 end as fps, frame_count, case when video_id = 'v1' then 'FAIL' when video_id = 'v2' then 'WARNING' else 'PASS' end as status, case when video_id = 'v1' then 'invalid resolution' when video_id = 'v2' then 'unusual fps' else '' end as message from videos"),
     "run_validation": (lambda d: dg.run_validation(d.scene.videos.select("video_id", F.col("frame_count").alias("expected_frames"), (F.col("frame_count") - (F.col("video_id") == "v3").cast("int")).alias("processed_frames"), F.col("frame_count").alias("output_frames"))), TRACKS + "select video_id, frame_count as expected_frames, frame_count - (video_id = 'v3')::int as processed_frames, frame_count as output_frames, case when video_id = 'v3' then 'FAIL' else 'PASS' end as status, case when video_id = 'v3' then 'processed frames differ; output frames differ' else '' end as message from videos"),
     "runtime_profile": (lambda d: dg.runtime_profile(d.scene.videos.select("video_id", "source_id"), values(d.spark, "source_id, profile", [("'aerial'", "'aerial_960'")]), "default_640"), TRACKS + "select source_id, video_id, case when source_id = 'aerial' then 'aerial_960' else 'default_640' end as profile from videos"),
@@ -263,45 +379,48 @@ QUERIES = {
     "context_distribution": (lambda d: an.context_distribution(d.profiles), BASE + "select tag, count(*) as images from (select unnest(string_split(context_tags, ';')) as tag from pf) where tag <> '' group by all"),
     "attribute_distribution": (lambda d: an.attribute_distribution(d.checked.where("class_name is not null")), BASE + "select class_name, count(*) as boxes, cast(sum(is_occluded) as bigint) as occluded, cast(sum(is_truncated) as bigint) as truncated from ck where class_name is not null group by all"),
     "area_profile": (lambda d: an.area_profile(d.areas), BASE + "select round(min(area), 9) as smallest, round(max(area), 9) as largest, round(quantile_cont(area, 0.1), 9) as p10, round(quantile_cont(area, 0.5), 9) as median, round(quantile_cont(area, 0.9), 9) as p90, count(*) filter (area < 0.01) as small, count(*) filter (area >= 0.01 and area < 0.09) as medium, count(*) filter (area >= 0.09) as large from ar"),
-    "qa_acceptance": (lambda d: an.qa_acceptance(_normal(d), ("INVALID_CLASS_ID", "BOX_OUTSIDE_IMAGE"), d.contents.where("id < 0")), BASE + "select count(*) filter (issue in ('INVALID_CLASS_ID', 'BOX_OUTSIDE_IMAGE')) as critical_issues, 0::bigint as overlaps, 'REJECT' as decision from nb"),
+    "qa_acceptance": (_acceptance, BASE + "select *, case when critical_issues > 0 or \"overlaps\" > 0 then 'REJECT' else 'ACCEPT' end as decision from (select 'all' as dataset, (select count(*) from nb where issue in ('INVALID_CLASS_ID', 'BOX_OUTSIDE_IMAGE')) as critical_issues, (select count(*) from tx where not known and sha in (select sha from tx where known)) as \"overlaps\" union all select 'accepted', 0, (select count(*) from bm where sha in (select sha from tx)))"),
     "image_class_pivot": (lambda d: an.image_class_pivot(d.areas, list(NAMES)), BASE + "select image_id, count(*) filter (class_name = 'person') as person, count(*) filter (class_name = 'bicycle') as bicycle, count(*) filter (class_name = 'car') as car from ar group by all"),
-    "license_evidence": (lambda d: an.license_evidence(d.table("pages")).select("page_id", "observed_license_url"), "select page_id, null::varchar as observed_license_url from pages"),
+    "license_evidence": (_evidence, "select page_id, case when page_id % 5 < 3 then 'https://creativecommons.org/licenses/by/' || (page_id % 3) || '.0/' end as observed_license_url, case when page_id % 5 < 3 then 'https://host/' || page_id end as acquire_license_page, case when page_id % 5 < 3 then 'https://c/' || page_id || '.jpg' end as content_url, case when page_id % 5 < 3 then 'n' || page_id end as creator from pages"),
     "license_review": (lambda d: _licensed(d).select("image_id", "license_review_status"), f"select doc_id as image_id, v as license_review_status from {_GATE}"),
-    "domain_review": (lambda d: _licensed(d).select("image_id", "domain_relevance", "annotation_review_status"), f"select doc_id as image_id, dom as domain_relevance, ann as annotation_review_status from {_GATE}"),
+    "domain_review": (lambda d: _licensed(d).selectExpr("image_id", "domain_relevance", "annotation_review_status", "case when domain_review_notes like 'kept%' then domain_review_notes end as rare_note", "domain_review_method"), f"select doc_id as image_id, dom as domain_relevance, ann as annotation_review_status, case when note like 'kept%' then note end as rare_note, 'RULE_ASSISTED' as domain_review_method from {_GATE}"),
     "training_gate": (lambda d: _licensed(d).groupBy("gate_reason", "passes").agg(F.count("*").alias("rows")), f"select gate as gate_reason, gate = 'ALL_GATES_PASS' as passes, count(*) as rows from {_GATE} group by all"),
     # I
     "exact_duplicates": (lambda d: du.exact_duplicates(d.contents.select("id", "sha")).select("id", "exact_group_size"), BASE + "select id, count(*) over (partition by sha) as exact_group_size from ct"),
-    "near_pairs": (lambda d: _near(d).groupBy("distance").agg(F.count("*").alias("pairs")), BASE + "select bit_count(xor(a.bits::bit, b.bits::bit)) as distance, count(*) as pairs from (select distinct bits from pt) a join (select distinct bits from pt) b on a.bits < b.bits where bit_count(xor(a.bits::bit, b.bits::bit)) <= 20 group by all"),
-    "duplicate_groups": (lambda d: du.duplicate_groups(d.contents.select("id", "sha", F.xxhash64("sha").alias("print"), F.lit(None).cast("string").alias("source_group")), 0), BASE + "select id, min(id) over w as group_root, count(*) over w as group_size, count(*) over w as exact_group_size, case when count(*) over w = 1 then 'SINGLETON' else 'EXACT' end as basis from ct window w as (partition by sha)"),
+    "near_pairs": (_near, BASE + "select x, y, distance from np"),
+    "near_overlap": (_near_overlap, BASE + ", cr as (select known, bits, min(id) as id from tx group by all) select a.id as candidate, b.id as reference, bit_count(xor(a.bits::bit, b.bits::bit)) as distance from cr a join cr b on not a.known and b.known and bit_count(xor(a.bits::bit, b.bits::bit)) <= 6"),
+    "duplicate_groups": (lambda d: du.duplicate_groups(d.texts.select("id", "sha", "print", "source_group"), 6), _recursive(BASE) + ", ed as (select min(id) over (partition by sha) as x, id as y from tx union select min(id) over (partition by bits), id from tx union select min(id) over (partition by source_group), id from tx where source_group is not null union select x, y from np), e2 as (select x, y from ed union select y, x from ed), cl(a, b) as (select x, y from e2 union select c.a, e.y from cl c join e2 e on e.x = c.b), rt as (select a as id, min(b) as group_root from cl group by a), sz as (select tx.id, group_root, count(*) over (partition by group_root) as group_size, count(*) over (partition by sha) as exact_group_size from tx join rt using (id)) select *, case when group_size = 1 then 'SINGLETON' when exact_group_size = group_size then 'EXACT' when exact_group_size > 1 then 'EXACT_AND_NEAR' else 'NEAR' end as basis from sz"),
     "group_split": (lambda d: d.manifest, BASE + "select image_id, group_id, split from ms"),
     "source_group_split": (lambda d: du.source_group_split(d.contents.select("source", F.col("sha").alias("group_id"))), BASE + "select source, sha as group_id, case when row_number() over (partition by source order by md5('7:' || sha), sha) <= greatest(1, least(count(*) over (partition by source) - 1, round_even(count(*) over (partition by source) * 0.2, 0))) then 'VAL' else 'TRAIN' end as split from (select distinct source, sha from ct)"),
     "split_validation": (lambda d: du.split_violations(d.manifest.withColumn("split", F.when(F.col("image_id") % 97 == 0, "VAL").otherwise(F.col("split"))), ("TRAIN", "VAL", "LOCKED_TEST", "HOLDOUT")), BASE + "select 'GROUP_CROSSES_SPLITS' as violation, cast(group_id as varchar) as key from (select *, case when image_id % 97 = 0 then 'VAL' else split end as s from ms) group by group_id having count(distinct s) > 1 union all select 'ABSENT_SPLIT', 'HOLDOUT'"),
     "isolation_check": (lambda d: du.isolation_check(d.manifest.where("split = 'TRAIN' or image_id % 50 = 0"), d.manifest, ("TRAIN",)), BASE + "select 0::bigint as missing, count(*) filter (split <> 'TRAIN' and image_id % 50 = 0) as forbidden, case when count(*) filter (split <> 'TRAIN' and image_id % 50 = 0) = 0 then 'PASS' else 'FAIL' end as status from ms"),
-    "materialize_split": (lambda d: d.manifest.where("split = 'VAL'").join(d.contents, F.col("image_id") == F.col("id")).select("image_id", "sha"), BASE + "select image_id, sha from ms join ct on id = image_id where split = 'VAL'"),
-    "cross_dataset_overlap": (lambda d: du.overlap_report(d.contents.where("id % 3 = 0").select("id", "sha", F.xxhash64("sha").alias("print")), {"locked": d.contents.where("id % 3 = 1").select("id", "sha", F.xxhash64("sha").alias("print"))}, 0), BASE + "select a.id as candidate, b.id as reference, 'EXACT' as match_type, 'locked' as dataset from ct a join ct b on a.sha = b.sha where a.id % 3 = 0 and b.id % 3 = 1"),
+    "materialize_split": (lambda d: du.materialize_split(d.manifest.join(d.contents.select(F.col("id").alias("image_id"), F.when(F.col("id") % 31 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha256")), "image_id"), d.table("documents").select(F.col("doc_id").alias("image_id"), F.col("text").alias("content")).where("image_id % 29 <> 0"), du.fresh_path(d.spark, "split")).select("image_id", "split", "status"), BASE + "select image_id, split, case when image_id % 29 = 0 then 'MISSING' when image_id % 31 = 0 then 'DIFFERENT' else 'VERIFIED' end as status from ms where split in ('TRAIN', 'VAL')"),
+    "cross_dataset_overlap": (lambda d: du.overlap_report(d.texts.where("not known"), {"labelled": d.texts.where("known"), "benchmark": d.items}, 6), BASE + ", rf as (select 'labelled' as dataset, id, sha, bits from tx where known union all select 'benchmark', id, sha, bits from bm) select c.id as candidate, dataset, 'EXACT' as match_type, min(r.id) as reference, count(*) as \"references\" from tx c join rf r using (sha) where not c.known group by c.id, dataset union all select c.id, dataset, 'NEAR', min(r.id), count(*) from tx c join rf r on c.sha <> r.sha and bit_count(xor(c.bits::bit, r.bits::bit)) <= 6 where not c.known group by c.id, dataset, r.bits"),
+    "usage_guard": (lambda d: (du.usage_guard("overlap_only"), d.items.select("id", "sha"))[1], BASE + "select id, sha from bm"),
     "cross_partition_groups": (lambda d: d.contents.groupBy("sha").agg(F.count_distinct("source").alias("partitions")).where("partitions > 1"), BASE + "select sha, count(distinct source) as partitions from ct group by sha having count(distinct source) > 1"),
     # J
-    "match_predictions": (lambda d: _hits(d).groupBy("threshold").agg(F.count("*").alias("true_positives")), BASE + "select threshold, count(*) as true_positives from mt group by all"),
+    "match_predictions": (lambda d: _hits(d), BASE + "select image_id, threshold, pred, gt from mt"),
     "detection_metrics": (lambda d: _rounded(el.detection_metrics(d.truth, d.predictions, values(d.spark, "class_name", [(f"'{n}'",) for n in NAMES])), *_R6), BASE + "select class_name, targets, round(precision, 6) as precision, round(recall, 6) as recall, round(map50, 6) as map50, round(map50_95, 6) as map50_95 from dm"),
     "error_summary": (lambda d: el.error_summary(d.truth, d.predictions), BASE + "select class_name, count(*) as targets, count(mt.gt) as true_positives, count(*) - count(mt.gt) as false_negatives from truth t left join mt on mt.image_id = t.image_id and mt.gt = t.gt and threshold = 0.5 group by all"),
-    "object_outcomes": (lambda d: el.object_outcomes(d.truth, d.predictions).groupBy("class_name", "outcome", "confused_with").agg(F.count("*").alias("targets")), BASE + ", xo as (select t.image_id, t.gt, t.class_name, p.class_name as pc, c / ((t.x2 - t.x1) * (t.y2 - t.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - c) as iou from truth t join preds p using (image_id), lateral (select greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) as c)), oo as (select t.class_name, (select count(*) from xo where xo.image_id = t.image_id and xo.gt = t.gt and iou >= 0.5 and pc = t.class_name) as s, (select pc from xo where xo.image_id = t.image_id and xo.gt = t.gt and iou >= 0.5 and pc <> t.class_name order by iou desc, pc limit 1) as o from truth t) select class_name, case when s > 0 then 'MATCHED' when o is not null then 'CONFUSED' else 'MISSED' end as outcome, case when s = 0 then o end as confused_with, count(*) as targets from oo group by all"),
-    "model_comparison": (lambda d: _comparison(d).select("scope", "class_name", "metric", F.round("after", 6).alias("after"), "regression").where("scope = 'per_class'").drop("regression"), BASE + "select 'per_class' as scope, class_name, unnest(['precision', 'recall', 'map50', 'map50_95']) as metric, round(unnest([precision, recall, map50, map50_95]), 6) as after from dm"),
-    "promotion_decision": (lambda d: el.promotion_decision(_comparison(d), values(d.spark, "rule_no, verdict, scope, class_name, metric, least_delta", [("1", "'REJECT'", "'per_class'", "'person'", "'recall'", "-0.05D"), ("2", "'HOLD'", "'overall'", "'ALL'", "'map50'", "0.9D")])), "select 'HOLD' as decision, 'ALL map50 below 0.9' as reasons"),
+    "object_outcomes": (lambda d: el.object_outcomes(d.truth, d.predictions), BASE + ", xo as (select t.image_id, t.gt, t.class_name, p.class_name as pc, c / ((t.x2 - t.x1) * (t.y2 - t.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - c) as iou from truth t join preds p using (image_id), lateral (select greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) as c)), oo as (select t.image_id, t.gt, t.class_name, (select count(*) from xo where xo.image_id = t.image_id and xo.gt = t.gt and iou >= 0.5 and pc = t.class_name) as s, (select pc from xo where xo.image_id = t.image_id and xo.gt = t.gt and iou >= 0.5 and pc <> t.class_name order by iou desc, pc limit 1) as o from truth t) select image_id, gt, class_name, case when s > 0 then 'MATCHED' when o is not null then 'CONFUSED' else 'MISSED' end as outcome, case when s = 0 then o end as confused_with from oo"),
+    "model_comparison": (lambda d: _rounded(_comparison(d), "before", "after", "delta"), f"select scope, class_name, metric, round(before, 6) as before, round(after, 6) as after, round(delta, 6) as delta, delta < 0 as regression from {_COMPARED}"),
+    "promotion_decision": (lambda d: el.promotion_decision(_comparison(d), values(d.spark, "rule_no, verdict, scope, class_name, metric, least_delta", [("1", "'REJECT'", "'per_class'", "'person'", "'recall'", "-0.05D"), ("2", "'HOLD'", "'overall'", "'ALL'", "'map50'", "0.9D")])), f"select case when r < -0.05 then 'REJECT' when h < 0.9 then 'HOLD' else 'PROMOTE' end as decision, case when r < -0.05 then 'person recall below -0.05' when h < 0.9 then 'ALL map50 below 0.9' else 'all promotion gates passed' end as reasons from (select max(delta) filter (class_name = 'person' and metric = 'recall') as r, max(delta) filter (scope = 'overall' and metric = 'map50') as h from {_COMPARED})"),
     "tracking_review": (lambda d: _rounded(el.tracking_review(_review(d)), "unfragmented_rate"), f"select count(*) as objects_reviewed, count(*) filter (fragmentation_count = 0) as unfragmented_objects, count(*) filter (fragmentation_count > 0) as fragmented_objects, cast(sum(fragmentation_count) as bigint) as fragmentation_count, count(*) filter (sw) as id_switch_objects, round(count(*) filter (fragmentation_count = 0) / count(*), 6) as unfragmented_rate from {_RV}"),
     "crossing_confusion": (lambda d: _rounded(el.crossing_confusion(_review(d)), "sample_precision", "sample_recall"), f"select *, round(true_positive / (true_positive + false_positive), 6) as sample_precision, round(true_positive / (true_positive + false_negative), 6) as sample_recall from (select count(*) filter (review_category = 'CORRECT') as true_positive, count(*) filter (review_category in ('FALSE', 'DUPLICATE')) as false_positive, count(*) filter (review_category = 'MISSED') as false_negative from {_RV})"),
     "event_review": (lambda d: el.event_review(_review(d).withColumnRenamed("review_category", "review_result")), f"select source_type, event_type, review_category as review_result, count(*) as reviews from {_RV} group by all"),
     # K
     "ranked_frames": (lambda d: _ranked(d), TRACKS + ", k1 as (select *, count(*) over (partition by video_id, frame_index) as density from tracks), k2 as (select * from k1 qualify row_number() over (partition by video_id, frame_index order by confidence, track_id) = 1) select video_id, frame_index, cast(row_number() over (partition by video_id order by confidence, frame_index) as integer) as place, density, 'low_confidence' as reason from k2 qualify place <= 5"),
     "uniform_frames": (lambda d: sm.uniform_frames(d.scene.videos, 12), TRACKS + "select distinct video_id, (i * (frame_count - 1)) // 11 as frame_index from videos, range(12) as g(i)"),
-    "review_samples": (lambda d: sm.review_samples(d.scene.tracks, d.scene.videos).groupBy("video_id").agg(F.count_if(F.col("reason") == "uniform").alias("uniform"), F.count_distinct("frame_index").alias("frames")), TRACKS + "select video_id, least(12, frame_count) as uniform, 24::bigint as frames from videos"),
+    "review_samples": (lambda d: sm.review_samples(d.scene.tracks, d.scene.videos), TRACKS + ", ev0 as (select distinct video_id, (i * (frame_count - 1)) // 11 as frame_index from videos, range(12) as g(i)), k0 as (select *, count(*) over (partition by video_id, frame_index) as density, (x2 - x1) * (y2 - y1) as area from tracks), k1 as (select video_id, frame_index, track_id, unnest(['low_confidence', 'smallest_box', 'density']) as reason, unnest([0, 1, 2]) as priority, unnest([confidence, area, -density::double]) as score from k0), k2 as (select * from k1 qualify row_number() over (partition by priority, video_id, frame_index order by score, track_id) = 1), k3 as (select *, row_number() over (partition by priority, video_id order by score, frame_index) as place from k2 qualify place <= 12), k4 as (select * from k3 anti join ev0 using (video_id, frame_index) qualify row_number() over (partition by video_id, frame_index order by priority, place) = 1), k5 as (select * from k4 qualify row_number() over (partition by video_id order by place, priority, frame_index) <= 12) select video_id, frame_index, 'uniform' as reason from ev0 union all select video_id, frame_index, reason from k5"),
     "frame_features": (lambda d: d.features, TRACKS + f"select *, case when occluded then 'occlusion' when objects >= 5 then 'density' else 'uniform' end as sampling_method, cast(objects + 2 * persons + case when occluded then 3 else 0 end as double) as priority_score from {_FF}"),
     "duplicate_representatives": (lambda d: sm.duplicate_representatives(d.scene.tracks.select((F.col("track_id") * 1000 + F.col("frame_index")).alias("candidate_id"), F.col("track_id").alias("duplicate_group_id"), F.col("confidence").alias("priority_score"), "frame_index")).where("selected").select("candidate_id", "reason"), TRACKS + "select track_id * 1000 + frame_index as candidate_id, 'DUPLICATE_GROUP_REPRESENTATIVE:' || track_id as reason from tracks qualify row_number() over (partition by track_id order by confidence desc, frame_index, candidate_id) = 1"),
     "pilot_selection": (lambda d: sm.pilot_selection(d.profiles, 100, 5).select("image_id"), BASE + "select image_id from pf where candidate_status = 'ELIGIBLE' order by case when regexp_matches(context_tags, 'PERSON_(BUS|TRUCK|MOTORCYCLE|BICYCLE)') then 0 else 1 end, traffic_box_count desc, least(small_person_count + occluded_person_count, 3) desc, md5('5:' || image_id), image_id limit 100"),
     "previews_per_class": (lambda d: sm.previews_per_class(d.areas, 3), BASE + "select class_name, image_id, cast(row_number() over (partition by class_name order by image_id) as integer) as place from (select distinct class_name, image_id from ar) qualify place <= 3"),
-    "temporal_select": (lambda d: sm.temporal_select(d.features, 8, 5, {"uniform": 0.5, "density": 0.25, "occlusion": 0.25}), None),
-    "selection_report": (lambda d: sm.observed_gap(sm.temporal_select(d.features, 8, 5, {"uniform": 0.5, "density": 0.25, "occlusion": 0.25})), None),
-    "leader_groups": (lambda d: sm.leader_groups(d.scene.tracks.select((F.col("track_id") * 1000 + F.col("frame_index")).alias("candidate_id"), "video_id", "frame_index", F.concat_ws(":", "track_id", "frame_index").alias("sha"), F.xxhash64(F.floor(F.col("center_x") / 200)).alias("print")), 4, 10), None),
-    "hard_examples": (lambda d: el.hard_examples(el.object_outcomes(d.truth, d.predictions), d.truth).select("class_name", "place", "outcome"), None),
+    "temporal_select": (lambda d: sm.temporal_select(d.features, 8, 5, FRACTIONS), _recursive(TRACKS) + ", ff as materialized (" + _FEATURES + "), fr as materialized (select video_id, frame_index, sampling_method, priority_score from ff)" + _balanced("ts", "fr") + "select video_id, frame_index, sampling_method, priority_score from fr join ts using (video_id, frame_index)"),
+    "final_selection": (lambda d: mf.final_selection(_frames(d), 8, 5, FRACTIONS, 15.0), _recursive(TRACKS) + ", ff as materialized (" + _FEATURES + "), jd as materialized (select *, video_id || ':' || frame_index as candidate_id, video_id || ':' || (frame_index // 4) as grp, row_number() over (partition by video_id, frame_index // 4 order by priority_score desc, frame_index) as n, 10 + frame_index % 40 as sharp from ff), fr as materialized (select video_id, frame_index, sampling_method, priority_score from jd where n = 1 and sharp >= 15)" + _balanced("ts", "fr") + "select candidate_id, case when n > 1 then 'REJECTED_NEAR_DUPLICATE' when sharp < 15 then 'REJECTED_LOW_SHARPNESS' when ts.frame_index is not null then 'SELECTED_FOR_ANNOTATION' else 'NOT_SELECTED_BALANCE' end as selection_status, case when n > 1 then 'DUPLICATE_REDUCED:' || grp when sharp < 15 then 'LAPLACIAN_VARIANCE_LT_15' when ts.frame_index is not null then 'COVERAGE_BALANCED_DUPLICATE_REPRESENTATIVE' else 'FINAL_SCENE_METHOD_BALANCE' end as selection_reason from jd left join ts on ts.video_id = jd.video_id and ts.frame_index = jd.frame_index"),
+    "selection_report": (lambda d: sm.selection_report(_selected(d)), _recursive(TRACKS) + ", ff as materialized (" + _FEATURES + "), fr as materialized (select video_id, frame_index, sampling_method, priority_score from ff)" + _balanced("ts", "fr") + ", se as (select * from fr join ts using (video_id, frame_index)) select 'scene' as section, video_id as name, count(*) as value from se group by all union all select 'method', sampling_method, count(*) from se group by all union all select 'tag', unnest(case when priority_score > 3 then ['busy', 'tag' || (frame_index % 3)] else ['tag' || (frame_index % 3)] end) as t, count(*) from se group by t union all select 'smallest_gap', video_id, min(d) from (select video_id, frame_index - lag(frame_index) over (partition by video_id order by frame_index) as d from se) group by all"),
+    "leader_groups": (_leaders, _recursive(TRACKS) + _LEADERS + "select c.candidate_id, printf('V2_FRAME_DUP_%05d', gn.n) as duplicate_group_id, count(*) over (partition by hd.leader) as group_size, count(*) over (partition by c.sha) as exact_duplicate_group_size, case when count(*) over (partition by c.sha) > 1 then 'EXACT' when count(*) over (partition by hd.leader) > 1 then 'NEAR' else 'SINGLETON' end as grouping_basis from lead_rows c join lead_of hd using (sha) join lead_names gn using (leader)"),
+    "hard_examples": (lambda d: el.hard_examples(el.object_outcomes(d.truth, d.predictions), d.truth).select("class_name", "place", "image_id", "gt", "outcome"), BASE + ", xo as (select t.image_id, t.gt, t.class_name, p.class_name as pc, c / ((t.x2 - t.x1) * (t.y2 - t.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - c) as iou from truth t join preds p using (image_id), lateral (select greatest(0, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0, least(t.y2, p.y2) - greatest(t.y1, p.y1)) as c)), oo as (select t.image_id, t.gt, t.class_name, (t.x2 - t.x1) * (t.y2 - t.y1) as area, (select count(*) from xo where xo.image_id = t.image_id and xo.gt = t.gt and iou >= 0.5 and pc = t.class_name) as s, (select pc from xo where xo.image_id = t.image_id and xo.gt = t.gt and iou >= 0.5 and pc <> t.class_name order by iou desc, pc limit 1) as o from truth t) select class_name, cast(row_number() over (partition by class_name order by area, image_id, gt) as integer) as place, image_id, gt, case when o is not null then 'CONFUSED' else 'MISSED' end as outcome from oo where s = 0 qualify place <= 2"),
 }
 
 

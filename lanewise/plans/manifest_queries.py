@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from lanewise.functions import labels as lb
 from lanewise.functions.geometry import in_ranges, size_bin
 from lanewise.operators import annotations as an
+from lanewise.operators import diagnostics as dg
+from lanewise.operators import duplicates as du
 from lanewise.operators import manifests as mf
+from lanewise.operators import sampling as sm
 from lanewise.operators.duplicates import saved
 from lanewise.plans.derived import HEIGHT, WIDTH, values
 from lanewise.plans.governance_queries import BASE, Datasets
@@ -40,7 +43,24 @@ def _written(d: Datasets):
 
 
 def _candidates(d: Datasets):
-    return d.scene.tracks.selectExpr("track_id * 1000 + frame_index as candidate_id", "track_id", "frame_index", "confidence as sharpness", "array(class_name) as tags", "if(track_id % 10 = 3, 'random', 'uniform') as sampling_method")
+    return d.scene.tracks.selectExpr("track_id * 1000 + frame_index as candidate_id", "video_id", "frame_index", "array(class_name) as tags", "if(track_id % 10 = 3, 'random', 'uniform') as sampling_method", "if(track_id % 23 = 0, 'ANNOTATED', 'NOT_ANNOTATED') as annotation_status", "if(track_id % 29 = 0, ' ', 'path') as image_path")
+
+
+def _closed(d: Datasets):
+    return values(d.spark, "video_id, start_frame, end_frame", [("'v1'", "5L", "9L"), ("'v1'", "12L", "20L"), ("'v4'", "0L", "14L")])
+
+
+def _titled(d: Datasets):
+    return d.profiles.selectExpr("image_id", "image_id % 500 = 0 as forced", "context_tags", "small_person_count", "occluded_person_count", "case image_id % 3 when 0 then 'Old bus stop' when 1 then 'Car show downtown' else 'Untitled' end as title")
+
+
+_SCORE = "4 * (context_tags like '%PERSON_BICYCLE%')::int + 3 * (context_tags like '%PERSON_MULTI_TRAFFIC%')::int + least(small_person_count, 4) + least(occluded_person_count, 3) + case image_id % 3 when 0 then 2 when 1 then -6 else 0 end"
+
+
+def _assigned(d: Datasets):
+    """A split for all orders but some, by whole orders."""
+    orders = d.table("orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("image_id"), F.col("o_orderkey").alias("group_root"))
+    return du.group_split(orders, {"TRAIN": 0.7, "VAL": 0.3}).withColumnRenamed("group_root", "group_id")
 
 
 def _ranges(d: Datasets):
@@ -75,10 +95,13 @@ QUERIES = {
     "controlled_validation": (lambda d: mf.controlled_validation(d.table("labels").select(F.col("quality").alias("expected"), F.col("toxic").alias("observed"))), "select count(*) as cases, count(*) filter (quality is not distinct from toxic) as passed from labels"),
     "evaluation_manifest_check": (lambda d: mf.evaluation_ranges_check(_ranges(d), d.scene.videos), TRACKS + "select video_id, case when video_id = 'v1' then 'REVERSED_RANGE' when video_id = 'v2' then 'BEYOND_VIDEO' else 'NOT_COVERED' end as issue from videos where video_id in ('v1', 'v2', 'v7') union all select 'x9', 'UNKNOWN_VIDEO'"),
     "review_row_check": (lambda d: mf.review_row_check(d.table("labels").selectExpr("doc_id as review_id", "case when toxic = 1 then 'FALSE_NEGATIVE' when doc_id % 7 = 0 then 'MAYBE' else 'CORRECT' end as review_result", "if(quality = 1, 'car', null) as class_name"), ("CORRECT", "FALSE_NEGATIVE")), "select doc_id as review_id, case when coalesce(toxic, 0) <> 1 then 'INVALID_RESULT' else 'CLASS_ON_FALSE_NEGATIVE' end as issue from labels where (coalesce(toxic, 0) <> 1 and doc_id % 7 = 0) or (toxic = 1 and quality = 1)"),
-    "final_selection": (lambda d: mf.final_selection(_candidates(d), _candidates(d).where("track_id % 3 = 0"), _candidates(d).where("track_id % 7 = 0"), 0.3).groupBy("outcome").agg(F.count("*").alias("candidates")), TRACKS + "select case when track_id % 7 = 0 then 'NEAR_DUPLICATE' when confidence < 0.3 then 'LOW_SHARPNESS' when track_id % 3 = 0 then 'SELECTED' else 'NOT_SELECTED' end as outcome, count(*) as candidates from tracks group by all"),
-    "candidate_check": (lambda d: mf.candidate_check(_candidates(d), ("person", "car", "bus"), ("uniform",)), TRACKS + "select track_id * 1000 + frame_index as candidate_id, case when class_name not in ('person', 'car', 'bus') then 'UNKNOWN_TAG' else 'UNKNOWN_METHOD' end as issue from tracks where class_name not in ('person', 'car', 'bus') or track_id % 10 = 3"),
-    "review_candidates": (lambda d: mf.review_candidates(d.profiles.selectExpr("image_id", "image_id % 500 = 0 as forced", "context_tags like '%BICYCLE%' as rare", "traffic_box_count as traffic", "small_person_count as small"), 50, 9).select("image_id", "score"), BASE + "select image_id, s as score from (select image_id, image_id % 500 = 0 as forced, 5 * (context_tags like '%BICYCLE%')::int + 2 * least(traffic_box_count, 4) + least(small_person_count, 3) as s from pf) order by forced desc, s desc, md5('9:' || image_id), image_id limit 50"),
-    "pilot_check": (lambda d: mf.pilot_check(d.profiles.where("image_id % 100 = 0"), 7), BASE + "select count(*) as size, count(distinct image_id) as distinct_images, 0::bigint as missing_fields, case when count(*) = 7 then 'PASS' else 'FAIL' end as status from pf where image_id % 100 = 0"),
+    "candidate_check": (lambda d: mf.candidate_check(_candidates(d), _closed(d), ("person", "car", "bus"), ("uniform",), ("image_path",)), TRACKS + "select track_id * 1000 + frame_index as candidate_id, case when (video_id = 'v1' and (frame_index between 5 and 9 or frame_index between 12 and 20)) or (video_id = 'v4' and frame_index <= 14) then 'EXCLUDED_RANGE' when class_name not in ('person', 'car', 'bus') then 'UNKNOWN_TAG' when track_id % 10 = 3 then 'UNKNOWN_METHOD' when track_id % 23 = 0 then 'ALREADY_ANNOTATED' when track_id % 29 = 0 then 'MISSING_FIELD' end as issue from tracks where issue is not null"),
+    "review_candidates": (lambda d: mf.review_candidates(_titled(d), 50, 9).select("image_id", "score"), BASE + f"select image_id, cast(s as integer) as score from (select image_id, image_id % 500 = 0 as forced, {_SCORE} as s from pf where context_tags like '%PERSON_BICYCLE%' or context_tags like '%PERSON_CAR%' or context_tags like '%PERSON_MULTI_TRAFFIC%') order by forced desc, s desc, md5('9:' || image_id), image_id limit 50"),
+    "pilot_check": (lambda d: mf.pilot_check(sm.pilot_selection(d.profiles, 100, 5), 100), BASE + "select least(n, 100) as size, least(n, 100) as distinct_images, 0::bigint as missing_fields, case when n >= 100 then 'PASS' else 'FAIL' end as status from (select count(*) as n from pf where candidate_status = 'ELIGIBLE')"),
+    "metadata_merge": (lambda d: mf.merge_checked(d.table("documents").select("doc_id", "source"), d.table("labels").select("doc_id", "quality", "toxic"), "doc_id"), "select doc_id, source, quality, toxic from documents left join labels using (doc_id)"),
+    "manifest_map": (lambda d: mf.manifest_map(d.boxes.select("image_id", "line", "class_name"), _assigned(d)), BASE + "select image_id, line, class_name, case when image_id % 7 = 0 then 'UNASSIGNED' when ('0x' || substr(md5('1601:' || image_id), 1, 8))::bigint < round(0.7 * 4294967296) then 'TRAIN' else 'VAL' end as split, case when image_id % 7 <> 0 then image_id end as group_id from bx"),
+    "class_dispositions": (lambda d: mf.map_classes(d.boxes.selectExpr("if(image_id % 2 = 0, 'a', 'b') as source", "class_name as source_class"), values(d.spark, "source, source_class, class_name, disposition", [("'a'", "'person'", "'person'", "'MAPPED'"), ("'a'", "'car'", "'car'", "'MAPPED'"), ("'b'", "'person'", "'person'", "'MAPPED'"), ("'b'", "'bicycle'", "cast(null as string)", "'IGNORED'")])).groupBy("source", "source_class", "class_name", "disposition").agg(F.count("*").alias("boxes")), BASE + "select source, source_class, case when disposition = 'MAPPED' then source_class end as class_name, disposition, count(*) as boxes from (select *, case when source_class = 'person' or (source = 'a' and source_class = 'car') then 'MAPPED' when source = 'b' and source_class = 'bicycle' then 'IGNORED' else 'UNMAPPED' end as disposition from (select case when image_id % 2 = 0 then 'a' else 'b' end as source, class_name as source_class from bx)) group by all"),
+    "diagnostic_rows": (lambda d: dg.diagnostic_rows(d.scene.tracks, WIDTH, HEIGHT, 0.002).select("track_id", "frame_index", "normalized_bbox_area", "small_bbox"), TRACKS + f"select track_id, frame_index, round((x2 - x1) * (y2 - y1) / {float(WIDTH * HEIGHT)}, 8) as normalized_bbox_area, (x2 - x1) * (y2 - y1) / {float(WIDTH * HEIGHT)} < 0.002 as small_bbox from tracks"),
 }
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lanewise.operators.tracks import scene_dim
+
 BASE = "2020-01-01 00:00:00"
 
 
@@ -45,7 +47,7 @@ def event_dedup(events: DataFrame, key: list[str]) -> DataFrame:
 
 def enrich(events: DataFrame, policy: DataFrame) -> DataFrame:
     """Severity and status from a static table."""
-    return events.join(F.broadcast(policy), "event_type", "left")
+    return events.join(scene_dim(policy), "event_type", "left")
 
 
 def split_quality(stream: DataFrame, good_path: str, bad_path: str, is_good, checkpoint: str):

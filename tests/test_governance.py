@@ -8,13 +8,15 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.functions.percentiles import exact_percentiles
 from lanewise.operators import annotations as an
 from lanewise.operators import diagnostics as dg
 from lanewise.operators import duplicates as du
 from lanewise.operators import evaluation as el
+from lanewise.operators import manifests as mf
 from lanewise.operators import sampling as sm
 from lanewise.plans import governance_queries, manifest_queries
-from lanewise.plans.derived import values
+from lanewise.plans.derived import Scene, values
 
 
 def test_normalized_boxes_first_issue_wins(spark, rows):
@@ -123,4 +125,109 @@ def test_greedy_selection_and_leaders(spark, rows):
     assert len(got) == 5
     assert min(b - a for a, b in zip(got, got[1:], strict=False)) >= 4
     g = spark.createDataFrame([(0, "v", 0, "a", 0), (1, "v", 1, "b", 1), (2, "v", 2, "c", 3), (3, "v", 50, "d", 0), (4, "w", 0, "a", 9)], "candidate_id long, video_id string, frame_index long, sha string, print long")
-    assert rows(sm.leader_groups(g, 1, 10)) == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 0)]  # no chaining, no match beyond the window
+    gaps = spark.createDataFrame([("v", 10), ("w", 10)], "video_id string, max_gap int")
+    got = {r.candidate_id: r for r in sm.leader_groups(g, 1, gaps).collect()}
+    names = [got[i].duplicate_group_id for i in range(5)]
+    assert [names.index(n) for n in names] == [0, 0, 2, 3, 0]  # no chaining, no match beyond the window
+
+
+def test_leader_groups_equal_a_sequential_model(spark):
+    rng = random.Random(31)
+    table = [(i, f"v{rng.randrange(3)}", rng.randrange(120), f"s{rng.randrange(60)}", rng.randrange(8)) for i in range(150)]
+    gaps = {"v0": 3, "v1": 10, "v2": 25}
+    groups, of_sha, leaders = [], {}, {}
+    for c, v, f, sha, p in sorted(table, key=lambda r: (r[1], r[2], r[0])):
+        at = of_sha.get(sha)
+        if at is None:
+            at = next((g for lf, g, lp in reversed(leaders.get(v, [])) if f - lf <= gaps[v] and (p ^ lp).bit_count() <= 1), None)
+            if at is None:
+                at = len(groups)
+                groups.append([])
+                leaders.setdefault(v, []).append((f, at, p))
+            of_sha[sha] = at
+        groups[at].append((c, sha))
+    want = {}
+    for n, members in enumerate(groups, 1):
+        for c, sha in members:
+            exact = sum(s == sha for _, s in members)
+            want[c] = (f"V2_FRAME_DUP_{n:05d}", len(members), exact, "EXACT" if exact > 1 else "NEAR" if len(members) > 1 else "SINGLETON")
+    df = spark.createDataFrame(table, "candidate_id long, video_id string, frame_index long, sha string, print long")
+    got = {r[0]: tuple(r)[1:] for r in sm.leader_groups(df, 1, spark.createDataFrame(list(gaps.items()), "video_id string, max_gap int")).collect()}
+    assert got == want
+
+
+def test_balanced_choice_equals_a_sequential_model(spark):
+    rng = random.Random(32)
+    methods = {"density": 0.25, "occlusion": 0.25, "uniform": 0.5}
+    table = [(f"v{v}", f, rng.choice(list(methods)), float(rng.randrange(6))) for v in range(4) for f in rng.sample(range(400), 250)]
+    df = spark.createDataFrame(table, "video_id string, frame_index long, sampling_method string, priority_score double")
+    for target, gap, shares in ((8, 5, methods), (5, 9, {"density": 0.0, "occlusion": 0.2, "uniform": 0.8})):
+        want = set()
+        for v in range(4):
+            rows, taken = sorted((r for r in table if r[0] == f"v{v}"), key=lambda r: (-r[3], r[1])), []
+            free = lambda f: all(abs(f - t) >= gap for t in taken)  # noqa: E731, B023
+            for m in sorted(shares):
+                got = 0
+                for r in (r for r in rows if r[2] == m):
+                    if free(r[1]):
+                        taken.append(r[1])
+                        got += 1
+                    if got >= round(target * shares[m]):
+                        break
+            for r in rows:
+                if len(taken) < target and free(r[1]):
+                    taken.append(r[1])
+            want |= {(f"v{v}", f) for f in taken}
+        assert {(r.video_id, r.frame_index) for r in sm.temporal_select(df, target, gap, shares).collect()} == want
+
+
+def test_keys_of_near_prints_are_few():
+    rng = random.Random(33)
+    for n in (1_000, 100_000):
+        masks = du.block_masks(6, n)
+        prints = [rng.getrandbits(64) for _ in range(1_000)]
+        meeting = sum(sum((a & m) == (b & m) for m in masks) for a, b in zip(prints, prints[1:] + prints[:1], strict=True)) / 1_000
+        assert meeting * n <= 3 * len(masks)  # chance candidates of a print among n
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), 6):
+                b ^= 1 << bit
+            assert any((a & m) == (b & m) for m in masks)
+
+
+def test_percentiles_equal_sorted_values(spark):
+    import numpy as np
+
+    rng = random.Random(34)
+    table = [(g, v) for g, values in (("a", [rng.random() ** 6 for _ in range(700)]), ("b", [5.0] * 40 + [1.0]), ("c", [2.5]), (None, [1.0, 2.0]), ("d", [None, float("nan")])) for v in values]
+    got = {r[0]: tuple(r)[1:] for r in exact_percentiles(spark.createDataFrame(table, "g string, v double"), "g", "v", {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p100": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in got:
+        assert got[g] == pytest.approx(np.quantile([v for h, v in table if h == g], [0, 0.1, 0.5, 1]))
+
+
+def test_merges_are_checked(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    assert sorted(map(tuple, mf.merge_checked(left, spark.createDataFrame([(2, 9)], "k long, y long"), "k").collect())) == [(1, "a", None), (2, "b", 9)]
+    with pytest.raises(Exception, match="repeated key in the right table: 2"):
+        mf.merge_checked(left, spark.createDataFrame([(2, 9), (2, 8)], "k long, y long"), "k").collect()
+    with pytest.raises(ValueError, match="overlap"):
+        du.usage_guard("training")
+
+
+def test_streamed_occupancy_is_near_the_exact_count(spark):
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.01"
+    scene = Scene(spark, folder)
+    exact = scene.zone_obs.where("inside").groupBy("video_id", F.floor("timestamp_seconds").alias("s"), "zone_id").agg(F.count_distinct("track_id").alias("tracks"))
+    got = sorted((r.video_id, r.zone_id, r.tracks) for r in __spark_entry__.queries()["stream_zone_occupancy"](spark, folder).collect())
+    want = sorted((r.video_id, r.zone_id, r.tracks) for r in exact.collect())
+    assert len(got) == len(want)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= max(1, 0.1 * b[2]) for a, b in zip(got, want, strict=True))
+
+
+def test_event_table_scans_its_input_once(spark):
+    plan = Scene(spark, "/root/testdata/sf0.001").events._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") <= 1  # the crossings; all other rules read the stored zone rows
