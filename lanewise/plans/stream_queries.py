@@ -16,7 +16,8 @@ from lanewise.streaming import rules as st
 SCENE = {
     "history": 30, "gap": 5, "movement": 3.0, "needed": 8, "wrong_net": 20.0, "missing": MISSING_SECONDS, "dwell": 2.0,
     "wrong_classes": ("car", "motorcycle", "bus", "truck"), "allowed": (0, 1, 7),
-    "lines": {s: {f"{s}_line": (960.0, 200.0, 960.0, 1000.0)} for s in SOURCES}, "zones": {s: {f"{s}_zone": (400.0, 300.0, 1500.0, 900.0)} for s in SOURCES},
+    "lines": {s: {f"{s}_line": (960.0, 200.0, 960.0, 1000.0)} for s in SOURCES}, "zones": {s: {f"{s}_zone": [(400.0, 300.0), (1500.0, 300.0), (1500.0, 900.0), (400.0, 900.0)]} for s in SOURCES},
+    "diagonal": float((WIDTH**2 + HEIGHT**2) ** 0.5), "still_classes": VEHICLES, "still_net": 0.003, "still_seconds": 1.0,
 }
 
 
@@ -89,19 +90,19 @@ def _occupancy(s: Scene) -> DataFrame:
 
 
 def _quality(s: Scene) -> DataFrame:
+    """Tracks whose every seventh row comes twice, in files by time."""
     rows = s.tracks.select("video_id", "track_id", "frame_index", "timestamp_seconds", "confidence")
-    stream = _stream(s, rows)
+    stream = _stream(s, rows.unionByName(rows.where("frame_index % 7 = 0"))).drop("event_ts")
     base = f"{s.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/quality-{uuid.uuid4().hex}"
-    st.split_quality(stream, f"{base}/good", f"{base}/bad", F.col("confidence") >= 0.5, f"{base}/state").awaitTermination()
-    count = lambda kind: s.spark.read.parquet(f"{base}/{kind}").agg(F.count("*").alias("rows")).withColumn("kind", F.lit(kind))
-    return count("good").unionByName(count("bad"))
+    st.split_quality(stream, f"{base}/rows", F.col("confidence") >= 0.5, ["video_id", "track_id", "frame_index"], f"{base}/state", delay_seconds=1e9).awaitTermination()  # the files' order isn't that of time
+    return s.spark.read.parquet(f"{base}/rows").groupBy("quality").agg(F.count("*").alias("rows"))
 
 
 QUERIES = {
     "stream_proximity": (_proximity, "select video_id, zone_id, frame_index, person_track_id, vehicle_track_id from proximity"),
     "stream_zone_occupancy": (_occupancy, None),
-    "stream_quality": (_quality, "select count(*) filter (confidence >= 0.5) as rows, 'good' as kind from tracks union all select count(*) filter (confidence < 0.5), 'bad' from tracks"),
-    "stream_track_rules": (_track_rules, "select video_id, track_id, 'LINE_CROSSING' as kind, line_id as place, frame_index from crossings union all select video_id, track_id, case transition when 'ENTER' then 'ZONE_ENTRY' else 'ZONE_EXIT' end, zone_id, frame_index from zone_obs where transition in ('ENTER', 'EXIT') union all select video_id, track_id, 'WRONG_WAY', zone_id, frame_index from wrong_way union all select video_id, track_id, 'LONG_DWELL', zone_id, frame_index from dwell"),
+    "stream_quality": (_quality, "select quality, count(*) as rows from (select case when confidence < 0.5 then 'BAD' else 'GOOD' end as quality from tracks union all select case when confidence < 0.5 then 'BAD' else 'DUPLICATE' end from tracks where frame_index % 7 = 0) group by quality"),
+    "stream_track_rules": (_track_rules, "select video_id, track_id, 'LINE_CROSSING' as kind, line_id as place, frame_index from crossings union all select video_id, track_id, case transition when 'ENTER' then 'ZONE_ENTRY' else 'ZONE_EXIT' end, zone_id, frame_index from zone_obs where transition in ('ENTER', 'EXIT') union all select video_id, track_id, 'WRONG_WAY', zone_id, frame_index from wrong_way union all select video_id, track_id, 'LONG_DWELL', zone_id, frame_index from dwell union all select video_id, track_id, 'STATIONARY_VEHICLE', zone_id, frame_index from stationary"),
     "stream_traffic_over_time": (_traffic, "select video_id, source_id, interval_start_seconds, total_crossing_count from ot"),
     "stream_dwell_sessions": (_dwell, "select video_id, zone_id, track_id, count(*) as rows, min(timestamp_seconds) as first_seconds, max(timestamp_seconds) as last_seconds from (select *, sum(case when timestamp_seconds - b <= 1 then 0 else 1 end) over (partition by video_id, track_id order by frame_index) as e from (select *, lag(timestamp_seconds) over (partition by video_id, track_id order by frame_index) as b from zone_obs where inside)) group by video_id, zone_id, track_id, e"),
     "stream_event_dedup": (_dedup, "select video_id, line_id, track_id, timestamp_seconds from crossings"),

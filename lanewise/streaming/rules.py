@@ -7,7 +7,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,16 +50,39 @@ def enrich(events: DataFrame, policy: DataFrame) -> DataFrame:
     return events.join(scene_dim(policy), "event_type", "left")
 
 
-def split_quality(stream: DataFrame, good_path: str, bad_path: str, is_good, checkpoint: str):
-    """Write good rows to one table and the others to another, batch by batch."""
+def split_quality(stream: DataFrame, path: str, is_good, key: list[str], checkpoint: str, delay_seconds: float = 5.0):
+    """Write rows to one table for each quality, batch by batch: GOOD, BAD, DUPLICATE (its key was met before) and LATE.
+
+    A row is late if its ``timestamp_seconds`` lies more than ``delay_seconds`` before the
+    latest of earlier batches. The good rows that are written are what keys are compared
+    with, so nothing is held in memory, and a batch that is run again gives the same tables.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.where(is_good).write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        batch.where(~is_good).write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("timestamp_seconds")))
+        before = spark.read.schema(batch.schema.add("quality", "string").add("batch", "long")).parquet(path).where(F.col("batch") < batch_id) if batch_id else None
+        latest = before.agg(F.max("timestamp_seconds")).first()[0] if before is not None else None
+        seen = before.where("quality = 'GOOD'").select(*key).distinct().withColumn("_seen", F.lit(True)) if before is not None else None
+        rows = rows.join(seen, key, "left") if seen is not None else rows.withColumn("_seen", F.lit(None).cast("boolean"))
+        late = F.col("timestamp_seconds") < F.lit(latest - delay_seconds) if latest is not None else F.lit(False)
+        quality = F.when(~F.coalesce(is_good, F.lit(False)), "BAD").when((F.col("_n") > 1) | F.col("_seen").isNotNull(), "DUPLICATE").when(late, "LATE").otherwise("GOOD")
+        rows.withColumn("quality", quality).drop("_n", "_seen").write.mode("overwrite").partitionBy("quality").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def contains(points: list[tuple[float, float]], x: float, y: float) -> bool:
+    """Whether a polygon holds a point; its boundary belongs to it."""
+    inside = False
+    for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]], strict=True):
+        if abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) <= 1e-9 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            inside = not inside
+    return inside
+
+
 class TrackState:
     """One track's rules, fed in frame order: history, line, zone, wrong way and stays."""
 
@@ -70,6 +93,21 @@ class TrackState:
         self.streak: dict[str, int] = {}
         self.confirmed: set[str] = set()
         self.stay: dict[str, list] = {}
+        self.still: dict[str, list] = {}
+
+    def _still_enough(self, zone: str, row, still: bool, scene: dict) -> bool:
+        """Whether a spell without movement, which another row or an absence breaks, has now lasted long enough; once for each spell."""
+        if not still or row.class_name not in scene["still_classes"]:
+            self.still.pop(zone, None)
+            return False
+        spell = self.still.get(zone)
+        if spell is None or row.timestamp_seconds - spell[1] > scene["missing"]:
+            spell = self.still[zone] = [row.timestamp_seconds, row.timestamp_seconds, False]
+        spell[1] = row.timestamp_seconds
+        if spell[2] or spell[1] - spell[0] < scene["still_seconds"]:
+            return False
+        spell[2] = True
+        return True
 
     def update(self, row, scene: dict) -> list[tuple[str, str]]:
         """(kind, line or zone) of the records that this observation makes."""
@@ -91,8 +129,8 @@ class TrackState:
             if ((s0 > 1e-9 and s1 < -1e-9) or (s0 < -1e-9 and s1 > 1e-9)) and reach(ax, ay) * reach(bx, by) <= 1e-9:
                 self.crossed.add(line)
                 out.append(("LINE_CROSSING", line))
-        for zone, (x0, y0, x1, y1) in scene["zones"].get(row.source_id, {}).items():
-            here, was = x0 <= row.center_x <= x1 and y0 <= row.center_y <= y1, self.inside.get(zone)
+        for zone, points in scene["zones"].get(row.source_id, {}).items():
+            here, was = contains(points, row.center_x, row.center_y), self.inside.get(zone)
             self.inside[zone] = here
             if was is not None and here != was:
                 out.append(("ZONE_ENTRY" if here else "ZONE_EXIT", zone))
@@ -104,7 +142,10 @@ class TrackState:
                 out.append(("WRONG_WAY", zone))
             if not here:
                 self.stay.pop(zone, None)
+                self.still.pop(zone, None)
                 continue
+            if self._still_enough(zone, row, gap <= 1 and net / scene["diagonal"] <= scene["still_net"], scene):
+                out.append(("STATIONARY_VEHICLE", zone))
             stay = self.stay.get(zone)
             if stay is None or row.timestamp_seconds - stay[1] > scene["missing"]:
                 stay = self.stay[zone] = [row.timestamp_seconds, row.timestamp_seconds, False]
