@@ -147,13 +147,14 @@ def stationary_vehicles(zone_traj: DataFrame, rules: DataFrame, width: int, heig
     return done.select("video_id", "source_id", "zone_id", "track_id", "class_name", "frame_index", F.col("start_timestamp").alias("stationary_start_timestamp"), F.col("timestamp_seconds").alias("trigger_timestamp"), F.col("elapsed").alias("stationary_duration_seconds"), "normalized_displacement", "movement_threshold", "duration_seconds")
 
 
-def person_vehicle_pairs(zone_obs: DataFrame, rules: DataFrame, width: int, height: int) -> DataFrame:
+def person_vehicle_pairs(zone_obs: DataFrame, rules: DataFrame, width: int, height: int, at: tuple[str, ...] = ()) -> DataFrame:
     """Person x vehicle inside the same enabled zone and frame, with their distance and whether they are rider and own vehicle.
 
     ``rules``: zone_id, enabled, vehicle_classes, trigger, release, needed, rider_ratio. Both
-    sides are cut down before the join; it is an equality join on (video, zone, frame).
+    sides are cut down before the join; it is an equality join on (video, zone, frame), and
+    on ``at``, a stream's event time, if given.
     """
-    keys = ["video_id", "zone_id", "frame_index"]
+    keys = ["video_id", "zone_id", "frame_index", *at]
     live = zone_obs.where("inside").join(scene_dim(rules.where("enabled")), "zone_id")
     b = ("x1", "y1", "x2", "y2")
     people = live.where("class_name = 'person'").select(*keys, "source_id", "timestamp_seconds", F.col("track_id").alias("person_track_id"), *[F.col(c).alias(f"p_{c}") for c in b], "trigger", "release", "needed", "rider_ratio")

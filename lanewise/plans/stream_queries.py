@@ -73,15 +73,14 @@ def _enrich(s: Scene) -> DataFrame:
     return _run(st.enrich(_stream(s, rows), s.policy).drop("event_ts"), "append", "enrich")
 
 
-RULE = {"vehicles": VEHICLES, "trigger": 0.012, "release": 0.020, "needed": 3, "ratio": 0.25, "diagonal": float((WIDTH**2 + HEIGHT**2) ** 0.5)}
-
-
 def _proximity(s: Scene) -> DataFrame:
-    columns = ["video_id", "zone_id", "frame_index", "timestamp_seconds", "track_id", "class_name", "x1", "y1", "x2", "y2"]
+    columns = ["video_id", "zone_id", "source_id", "frame_index", "timestamp_seconds", "track_id", "class_name", "x1", "y1", "x2", "y2"]
     rows = tk.zone_observations(s.tracks, s.zones).where("inside").select(*columns)
-    end = rows.select("video_id").distinct().selectExpr("video_id", "'none' as zone_id", "1000000L as frame_index", "100000D as timestamp_seconds", "-1L as track_id", "'end' as class_name", *[f"0D as {c}" for c in columns[6:]])
-    later = end.withColumn("timestamp_seconds", F.lit(200000.0)).limit(1)
-    return _run(st.proximity(_stream(s, rows.unionByName(end).unionByName(later)), RULE), "append", "proximity")
+    # A person and a vehicle far ahead, in no zone, move the watermark of both sides past all others.
+    ahead = f"explode(array(named_struct('t', 100000D, 'c', 'person'), named_struct('t', 200000D, 'c', 'person'), named_struct('t', 100000D, 'c', '{VEHICLES[0]}'), named_struct('t', 200000D, 'c', '{VEHICLES[0]}')))"
+    end = rows.select("video_id", "source_id").distinct().limit(1).selectExpr("*", f"{ahead} as e")
+    end = end.selectExpr("video_id", "'none' as zone_id", "source_id", "1000000L as frame_index", "e.t as timestamp_seconds", "-1L as track_id", "e.c as class_name", *[f"0D as {c}" for c in columns[7:]])
+    return _run(st.proximity(_stream(s, rows.unionByName(end)), s.proximity_rules, WIDTH, HEIGHT), "append", "proximity")
 
 
 def _occupancy(s: Scene) -> DataFrame:

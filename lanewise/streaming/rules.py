@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lanewise.operators.tracks import scene_dim
+from lanewise.operators.tracks import person_vehicle_pairs, scene_dim
 
 BASE = "2020-01-01 00:00:00"
 
@@ -197,82 +197,57 @@ class Row:
         self.center_x, self.center_y, self.ms = center_x, center_y, ms
 
 
-class PairState:
-    """Hysteresis of all person-vehicle pairs of one video, fed one whole frame at a time."""
-
-    def __init__(self) -> None:
-        self.pairs: dict[tuple[str, int, int], list] = {}  # (zone, person, vehicle): run, active
-
-    def frame(self, rows: list[dict], rule: dict) -> list[tuple[str, int, int]]:
-        """The pairs that trigger in this frame. Pairs that it doesn't hold start anew."""
-        seen, out = set(), []
-        for zone in sorted({r["zone_id"] for r in rows}):
-            people = [r for r in rows if r["zone_id"] == zone and r["class_name"] == "person"]
-            vehicles = [r for r in rows if r["zone_id"] == zone and r["class_name"] in rule["vehicles"]]
-            for p in people:
-                for v in vehicles:
-                    key = (zone, p["track_id"], v["track_id"])
-                    seen.add(key)
-                    state = self.pairs.setdefault(key, [0, False])
-                    if rider(p, v, rule["ratio"]):
-                        state[:] = [0, False]
-                        continue
-                    gx, gy = max(p["x1"] - v["x2"], v["x1"] - p["x2"], 0), max(p["y1"] - v["y2"], v["y1"] - p["y2"], 0)
-                    d = math.sqrt(gx * gx + gy * gy) / rule["diagonal"]
-                    if state[1]:
-                        if d > rule["release"]:
-                            state[:] = [0, False]
-                    elif d > rule["trigger"]:
-                        state[0] = 0
-                    else:
-                        state[0] += 1
-                        if state[0] >= rule["needed"]:
-                            state[1] = True
-                            out.append(key)
-        self.pairs = {k: s for k, s in self.pairs.items() if k in seen}
-        return out
-
-
-def rider(p: dict, v: dict, ratio: float) -> bool:
-    """A person on their own two-wheeler: enough overlap, or feet inside its box."""
-    if v["class_name"] not in ("bicycle", "motorcycle"):
-        return False
-    common = max(0.0, min(p["x2"], v["x2"]) - max(p["x1"], v["x1"])) * max(0.0, min(p["y2"], v["y2"]) - max(p["y1"], v["y1"]))
-    smaller = min((b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) for b in (p, v))
-    foot = (p["x1"] + p["x2"]) / 2
-    return (common / smaller if smaller > 0 else 0.0) >= ratio or (v["x1"] <= foot <= v["x2"] and v["y1"] <= p["y2"] <= v["y2"])
-
-
 PAIR = "video_id string, zone_id string, frame_index long, person_track_id long, vehicle_track_id long"
+PAIR_STATE = "last long, run long, told boolean, frames array<long>, near array<boolean>, times array<long>"
 
 
-def proximity(stream: DataFrame, rule: dict, idle_ms: int = 60_000) -> DataFrame:
-    """Proximity warnings. ``stream``: all observations inside zones, with zone_id and boxes.
+def pair_runs(rows: pd.DataFrame, last: int | None, run: int, told: bool, needed: int) -> tuple[list[int], int, bool]:
+    """Frames at which one pair triggers, its last run of near rows, and whether its last segment has triggered.
 
-    State is by video, as a frame without a pair resets it; a frame is closed once the
-    watermark has passed it. Frames in which no zone holds anything reset all pairs.
+    ``rows``: frame_index, near, in the order of frames, of rows within the release distance;
+    ``last``, ``run`` and ``told`` are what the rows before have left. A frame without such
+    a row starts a segment, in which a pair triggers once; a row that isn't near ends a run.
+    """
+    segment = (rows.frame_index.diff().fillna(0 if last is None else rows.frame_index.iloc[0] - last) != 1).cumsum()
+    pause = (~rows.near).cumsum()
+    runs = rows.near.groupby([segment, pause]).cumsum() + run * ((segment == 0) & (pause == 0))
+    hit = rows.near & (runs == needed) & ~((segment == 0) & told)
+    first = hit & (hit.groupby(segment).cumsum() == 1)
+    open_ = segment == segment.iloc[-1]
+    return rows.frame_index[first].tolist(), int(runs.iloc[-1]) if rows.near.iloc[-1] else 0, bool(hit[open_].any() or (told and segment.iloc[-1] == 0))
+
+
+def proximity(stream: DataFrame, rules: DataFrame, width: int, height: int, idle_ms: int = 60_000) -> DataFrame:
+    """Proximity warnings. ``stream``: observations inside zones, with zone_id and boxes; ``rules`` as for person_vehicle_pairs.
+
+    Persons meet vehicles in a stream-stream join on zone, frame and event time, whose state
+    the watermark clears. Riders, and pairs beyond the release distance, go no further: as
+    an unseen frame does, such a row ends a pair's segment. State is by pair, so a busy
+    video is spread over tasks, and an idle pair's state expires. The watermark is that of
+    the slower of persons and vehicles.
     """
-    columns = ["frame_index", "zone_id", "track_id", "class_name", "x1", "y1", "x2", "y2", "ms"]
+    pairs = person_vehicle_pairs(stream.withColumn("inside", F.lit(True)), rules, width, height, at=("event_ts",))
+    close = pairs.where(~F.col("rider") & (F.col("normalized_distance") <= F.col("release")))
+    rows = close.select("video_id", "zone_id", "person_track_id", "vehicle_track_id", "frame_index", (F.col("normalized_distance") <= F.col("trigger")).alias("near"), F.col("needed").cast("long"), F.unix_millis("event_ts").alias("ms"), "event_ts")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pairs, waiting, last = pickle.loads(state.get[0]) if state.exists else (PairState(), [], None)
-        for f in frames:
-            waiting += f[columns].to_dict("records")
+        last, run, told, *waiting = state.get if state.exists else (None, 0, False, [], [], [])
+        old = pd.DataFrame({"frame_index": list(waiting[0]), "near": list(waiting[1]), "ms": list(waiting[2])})
+        waiting = pd.concat([old, *(f[["frame_index", "near", "ms"]] for f in frames)]).astype({"frame_index": "int64", "near": "bool", "ms": "int64"})
+        waiting = waiting.drop_duplicates("frame_index").sort_values("frame_index", ignore_index=True)
         mark = state.getCurrentWatermarkMs()
-        ready = sorted((w for w in waiting if w["ms"] <= mark), key=lambda w: (w["frame_index"], w["track_id"]))
-        waiting = [w for w in waiting if w["ms"] > mark]
-        out = []
-        for index in sorted({w["frame_index"] for w in ready}):
-            if last is not None and index != last + 1:
-                pairs.pairs.clear()
-            last = index
-            out += [(key[0], zone, index, p, v) for zone, p, v in pairs.frame([w for w in ready if w["frame_index"] == index], rule)]
-        if state.hasTimedOut and not waiting:
+        ready, waiting = waiting[waiting.ms <= mark], waiting[waiting.ms > mark]
+        hits: list[int] = []
+        if len(ready):
+            hits, run, told = pair_runs(ready, last, run, told, key[4])
+            last = int(ready.frame_index.iloc[-1])
+        if state.hasTimedOut and waiting.empty:
             state.remove()
         else:
-            state.update((pickle.dumps((pairs, waiting, last)),))
-            state.setTimeoutTimestamp(max(mark + 1, min(w["ms"] for w in waiting) if waiting else mark + idle_ms))
-        if out:
-            yield pd.DataFrame(out, columns=["video_id", "zone_id", "frame_index", "person_track_id", "vehicle_track_id"])
+            state.update((last, run, told, waiting.frame_index.tolist(), waiting.near.tolist(), waiting.ms.tolist()))
+            state.setTimeoutTimestamp(max(mark + 1, int(waiting.ms.min()) if len(waiting) else mark + idle_ms))
+        if hits:
+            video, zone, person, vehicle, _ = key
+            yield pd.DataFrame([(video, zone, f, person, vehicle) for f in hits], columns=["video_id", "zone_id", "frame_index", "person_track_id", "vehicle_track_id"])
 
-    return stream.withColumn("ms", F.unix_millis("event_ts")).groupBy("video_id").applyInPandasWithState(step, PAIR, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("video_id", "zone_id", "person_track_id", "vehicle_track_id", "needed").applyInPandasWithState(step, PAIR, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)

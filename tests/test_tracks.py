@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from lanewise.operators import events as ev
 from lanewise.operators import reports as rp
 from lanewise.operators import tracks as tk
 from lanewise.plans.derived import Scene, values
-from lanewise.streaming.rules import Row, TrackState
+from lanewise.streaming.rules import Row, TrackState, pair_runs
 
 SCHEMA = "video_id string, source_id string, track_id long, frame_index long, timestamp_seconds double, class_name string, center_x double, center_y double, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -116,6 +117,32 @@ def test_proximity_hysteresis_equals_model(spark):
     assert got
 
 
+def test_pair_runs_in_pieces_equal_one_pass():
+    """A pair's rows in batches of any size trigger where a walk over all of them does; riders and released rows are absent frames."""
+    rng = random.Random(8)
+    for _ in range(300):
+        rows, f = [], 0
+        for _ in range(rng.randrange(1, 40)):
+            f += rng.choice((1, 1, 1, 1, 2))
+            rows.append((f, rng.random() < 0.7))
+        needed = rng.randrange(1, 4)
+        want, run, told, last = [], 0, False, None
+        for frame, near in rows:
+            if last is not None and frame != last + 1:
+                run, told = 0, False
+            last, run = frame, run + 1 if near else 0
+            if run == needed and not told:
+                told = True
+                want.append(frame)
+        got, left = [], (None, 0, False)
+        while rows:
+            size = rng.randrange(1, 6)
+            piece, rows = pd.DataFrame(rows[:size], columns=["frame_index", "near"]), rows[size:]
+            hits, run, told = pair_runs(piece, *left, needed)
+            got, left = got + hits, (int(piece.frame_index.iloc[-1]), run, told)
+        assert got == want
+
+
 def test_events_policy_and_ids(spark, rows):
     s = Scene(spark, "/root/testdata/sf0.001")
     e = s.events.cache()
