@@ -71,13 +71,15 @@ def test_rules_equal_sequential_model(spark):
     obs = tk.zone_observations(traj, zones(spark))
     got = {(r.track_id, "WRONG_WAY", r.frame_index) for r in tk.wrong_way(obs, values(spark, "zone_id, classes, allowed, needed, minimum_net", [("'z'", "array('car')", "array('RIGHT', 'UP')", "2", "20D")])).collect()}
     got |= {(r.track_id, "LONG_DWELL", r.frame_index) for r in tk.long_dwell(obs, values(spark, "zone_id, classes, threshold_seconds", [("'z'", "array('car')", "1D")]), 1.0).collect()}
+    got |= {(r.track_id, "STATIONARY_VEHICLE", r.frame_index) for r in tk.stationary_vehicles(obs, values(spark, "zone_id, classes, movement_threshold, duration_seconds", [("'z'", "array('car')", "0.1D", "0.3D")]), 100, 100, 1.0).collect()}
     got |= {(r.track_id, "ZONE_ENTRY" if r.transition == "ENTER" else "ZONE_EXIT", r.frame_index) for r in obs.where(F.col("transition").isin("ENTER", "EXIT")).collect()}
-    scene = {"history": 30, "gap": 5, "movement": 3.0, "needed": 2, "wrong_net": 20.0, "missing": 1.0, "dwell": 1.0, "wrong_classes": ("car",), "allowed": (0, 2), "lines": {}, "zones": {"s": {"z": (20.0, 20.0, 80.0, 80.0)}}}
+    scene = {"history": 30, "gap": 5, "movement": 3.0, "needed": 2, "wrong_net": 20.0, "missing": 1.0, "dwell": 1.0, "wrong_classes": ("car",), "allowed": (0, 2), "lines": {}, "zones": {"s": {"z": [(20.0, 20.0), (80.0, 20.0), (80.0, 80.0), (20.0, 80.0)]}}}
+    scene |= {"diagonal": float((2 * 100**2) ** 0.5), "still_classes": ("car",), "still_net": 0.1, "still_seconds": 0.3}
     want, states = set(), {}
     for t, f, x, y in sorted(points):
         want |= {(t, k, f) for k, _ in states.setdefault(t, TrackState()).update(Row(f, f / 10, "s", "car", float(x), float(y), 0), scene)}
     assert got == want
-    assert {k for _, k, _ in got} == {"WRONG_WAY", "LONG_DWELL", "ZONE_ENTRY", "ZONE_EXIT"}
+    assert {k for _, k, _ in got} == {"WRONG_WAY", "LONG_DWELL", "STATIONARY_VEHICLE", "ZONE_ENTRY", "ZONE_EXIT"}
 
 
 def test_proximity_hysteresis_equals_model(spark):
