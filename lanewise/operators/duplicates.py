@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+import re
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lanewise.functions.geometry import hamming64
 
@@ -55,20 +62,31 @@ def block_masks(threshold: int, n: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, blocks - threshold)]
 
 
+def _signed(masks: list[int]) -> list[int]:
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
 def _keyed(prints: DataFrame, masks: list[int], name: str) -> DataFrame:
-    """(key, name): a row for each mask, with the mask's number and the print under it."""
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda m: m.bitwiseAND(F.col(name)))).alias("mask", "bits")
-    return prints.select(name, keys).select(F.struct("mask", "bits").alias("key"), name)
+    """(mask, bits, name): a row for each mask, with the mask's number and the print under it."""
+    keys = F.posexplode(F.transform(F.array(*map(F.lit, _signed(masks))), lambda m: m.bitwiseAND(F.col(name)))).alias("mask", "bits")
+    return prints.select(name, keys)
+
+
+def _first_meeting(a: Column, b: Column, masks: list[int]) -> Column:
+    """Whether this is the first mask under which two prints agree, so that each pair is kept once without a shuffle of pairs."""
+    differ = a.bitwiseXOR(b)
+    first = reduce(lambda c, m: c.when(differ.bitwiseAND(F.lit(m[1])) == 0, m[0]), enumerate(_signed(masks)), F)
+    return F.col("mask") == first
 
 
 def near_pairs(prints: DataFrame, threshold: int = 6) -> DataFrame:
     """(a, b, distance): distinct prints at most ``threshold`` bits apart, a < b. Equal prints are collapsed first, so a hot print is one row."""
     distinct = saved(prints.select(F.col("print").alias("a")).where("print is not null").distinct(), "prints")
     masks = block_masks(threshold, distinct.count())
-    pairs = _keyed(distinct, masks, "a").join(_keyed(distinct.withColumnRenamed("a", "b"), masks, "b"), "key")
-    d = hamming64(F.col("a"), F.col("b"))
-    return pairs.where((F.col("a") < F.col("b")) & (d <= threshold)).select("a", "b", d.alias("distance")).distinct()
+    pairs = _keyed(distinct, masks, "a").join(_keyed(distinct.withColumnRenamed("a", "b"), masks, "b"), ["mask", "bits"])
+    a, b = F.col("a"), F.col("b")
+    d = hamming64(a, b)
+    return pairs.where((a < b) & (d <= threshold) & _first_meeting(a, b, masks)).select("a", "b", d.alias("distance"))
 
 
 def near_overlap(candidates: DataFrame, references: DataFrame, threshold: int = 6) -> DataFrame:
@@ -76,9 +94,10 @@ def near_overlap(candidates: DataFrame, references: DataFrame, threshold: int =
     left = candidates.select(F.col("print").alias("candidate_print")).where("print is not null").distinct()
     right = saved(references.select(F.col("print").alias("reference_print")).where("print is not null").distinct(), "prints")
     masks = block_masks(threshold, right.count())
-    d = hamming64(F.col("candidate_print"), F.col("reference_print"))
-    pairs = _keyed(left, masks, "candidate_print").join(_keyed(right, masks, "reference_print"), "key")
-    return pairs.where(d <= threshold).select("candidate_print", "reference_print", d.alias("distance")).distinct()
+    a, b = F.col("candidate_print"), F.col("reference_print")
+    d = hamming64(a, b)
+    pairs = _keyed(left, masks, "candidate_print").join(_keyed(right, masks, "reference_print"), ["mask", "bits"])
+    return pairs.where((d <= threshold) & _first_meeting(a, b, masks)).select("candidate_print", "reference_print", d.alias("distance"))
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -99,7 +118,7 @@ def duplicate_groups(rows: DataFrame, threshold: int = 6) -> DataFrame:
     """Groups over equal sha, near prints and equal source groups. ``rows``: id, sha, print, source_group (may be null).
 
     Equal shas and source groups are stars to their smallest id, never all pairs. Returns
-    id, group_root, group_size, exact_group_size, basis.
+    id, group_root, group_size, exact_group_size, basis. ``rows`` is read several times: write it to a table first if it is costly.
     """
     star = lambda key: rows.where(F.col(key).isNotNull()).join(rows.groupBy(key).agg(F.min("id").alias("x")), key).select("x", F.col("id").alias("y"))
     holder = rows.groupBy("print").agg(F.min("id").alias("h"))
@@ -190,16 +209,38 @@ def materialize_split(manifest: DataFrame, contents: DataFrame, path: str, split
     return chosen.join(written, "image_id", "left").select("image_id", "split", "sha256", status.alias("status"))
 
 
-def simhash(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, print): 64 bits, each the majority of that bit over the MD5 digests of a text's words; texts without words have print 0."""
-    word = F.explode_outer(F.filter(F.split(F.coalesce(text_col, F.lit("")), "[^A-Za-z0-9]+"), lambda w: w != ""))
-    # Two halves of 32 bits, as a signed number can't hold the unsigned 64.
-    half = lambda i: F.conv(F.substring(F.md5("w"), 1 + 8 * i, 8), 16, 10).cast("long")
-    words = rows.select(F.col(id_col).alias("id"), word.alias("w")).select("id", half(0).alias("h0"), half(1).alias("h1"))
-    votes = [F.sum(F.shiftright(f"h{i}", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}_{b}") for i in (0, 1) for b in range(32)]
-    bit = lambda i, b: F.shiftleft((F.coalesce(f"b{i}_{b}", F.lit(0)) > 0).cast("long"), b + 32 * (1 - i))
-    total = reduce(Column.bitwiseOR, [bit(i, b) for i in (0, 1) for b in range(32)])
-    return words.groupBy("id").agg(*votes).select("id", total.alias("print"))
+_WORD = re.compile("[A-Za-z0-9]+")
+#: Distinct words that a text's votes are taken from at a time, and digests that a task remembers.
+_VOTERS, _DIGESTS = 1 << 14, 1 << 18
+
+
+def _majority(text: str | None, digests: dict[str, bytes]) -> int:
+    counts = Counter(_WORD.findall(text or ""))
+    ones = np.zeros(64, np.int64)
+    words = iter(counts)
+    while part := list(itertools.islice(words, _VOTERS)):
+        if len(digests) > _DIGESTS:
+            digests.clear()
+        for w in part:
+            if w not in digests:
+                digests[w] = hashlib.md5(w.encode(), usedforsecurity=False).digest()[:8]
+        bits = np.unpackbits(np.frombuffer(b"".join([digests[w] for w in part]), np.uint8).reshape(-1, 8), axis=1)
+        ones += np.array([counts[w] for w in part]) @ bits
+    return int(np.packbits(2 * ones > counts.total()).view(">i8")[0])
+
+
+def simhash(text: str) -> Column:
+    """64 bits, each the majority of that bit over the MD5 digests of a text's words; texts without words, or null, have print 0.
+
+    A column of the row itself: words are counted inside it, so they are neither exploded nor shuffled.
+    """
+
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        digests = {}
+        for texts in batches:
+            yield pd.Series([_majority(t, digests) for t in texts], dtype="int64")
+
+    return F.pandas_udf(prints, LongType())(F.col(text))
 
 
 def fingerprint(vector: str):

@@ -6,6 +6,8 @@ prints from ``embeddings``, content groups from ``documents``.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +86,20 @@ class Datasets:
     def prints(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.col("label").cast("string"), 256).alias("sha"), du.fingerprint("embedding").alias("print"))
 
-    @property
+    @cached_property
     def texts(self) -> DataFrame:
-        """Documents with digest and 64-bit similarity print; ``known`` says that reviewers have labelled them, ``source_group`` that some come from one place."""
-        docs = self.table("documents").select(F.col("doc_id").alias("id"), "text")
+        """Documents with digest and 64-bit similarity print; ``known`` says that reviewers have labelled them, ``source_group`` that some come from one place.
+
+        Written once to the shared folder, as its queries read it several times and it is small beside the texts.
+        """
         labelled = self.table("labels").select(F.col("doc_id").alias("id")).distinct().withColumn("known", F.lit(True))
-        rows = docs.select("id", F.sha2("text", 256).alias("sha"), F.expr("if(id % 50 = 0, concat('g', cast(id % 3 as string)), null)").alias("source_group"))
-        return rows.join(du.simhash(docs), "id").join(labelled, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        group = F.expr("if(id % 50 = 0, concat('g', cast(id % 3 as string)), null)").alias("source_group")
+        rows = self.table("documents").withColumnRenamed("doc_id", "id").select("id", F.sha2("text", 256).alias("sha"), group, du.simhash("text").alias("print"))
+        return du.saved(rows.join(labelled, "id", "left").withColumn("known", F.coalesce("known", F.lit(False))), "texts")
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
-        rows = self.table("benchmark").select(F.col("item_id").alias("id"), "text")
-        return rows.select("id", F.sha2("text", 256).alias("sha")).join(du.simhash(rows), "id")
+        return du.saved(self.table("benchmark").select(F.col("item_id").alias("id"), F.sha2("text", 256).alias("sha"), du.simhash("text").alias("print")), "items")
 
     @property
     def contents(self) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -44,6 +45,29 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_prints_are_majorities_of_word_digests(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", "--- ...", "One", "one two two", "é-word x", *(" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (5, 64, 3000)), " ".join(map(str, range(20000)))]
+    got = {r.i: r.print for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", du.simhash("text").alias("print")).collect()}
+    for i, text in enumerate(texts):
+        digests = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in re.split("[^A-Za-z0-9]+", text or "") if w]
+        want = sum(1 << b for b in range(64) if 2 * sum(d >> b & 1 for d in digests) > len(digests))
+        assert got[i] & (2**64 - 1) == want
+    monkeypatch.setattr(du, "_VOTERS", 7)
+    monkeypatch.setattr(du, "_DIGESTS", 10)
+    assert [du._majority(t, {}) for t in texts[:-1]] == [got[i] for i in range(len(texts) - 1)]
+
+
+def test_near_overlap_equals_brute_force(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) - 2**63 for _ in range(8)]
+    near = lambda: [b ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(9))) for b in base for _ in range(5)]
+    left, right = near(), near()
+    got = du.near_overlap(*(spark.createDataFrame([(p,) for p in [*side, side[0], None]], "print long") for side in (left, right)), 6).collect()
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert sorted(map(tuple, got)) == sorted((a, b, apart(a, b)) for a in set(left) for b in set(right) if apart(a, b) <= 6)
+
+
 def test_groups_never_cross_splits(spark, rows):
     data = spark.createDataFrame([(i, f"s{i % 7}", i % 11, None if i % 3 else f"g{i % 2}") for i in range(60)], "id long, sha string, print long, source_group string")
     groups = du.duplicate_groups(data, 0)
