@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanewise.llm import hardneg, phrases
 from lanewise.llm.ann import op1_ann
+from lanewise.llm.bpe import op13_bpe
 from lanewise.llm.chat import op2_chat
 from lanewise.llm.decontam import op7_decontaminate
+from lanewise.llm.hardneg import op11_hardneg
 from lanewise.llm.htmltext import op9_htmltext
 from lanewise.llm.langid import op8_langid
 from lanewise.llm.licenses import op6_licenses
 from lanewise.llm.neardup import op4_neardup
 from lanewise.llm.packing import op5_packing
+from lanewise.llm.phrases import op12_phrases
 from lanewise.llm.pii import op10_pii
 from lanewise.llm.secrets import op3_secrets
 
-OPERATORS = (op1_ann, op2_chat, op3_secrets, op4_neardup, op5_packing, op6_licenses, op7_decontaminate, op8_langid, op9_htmltext, op10_pii)
+OPERATORS = (op1_ann, op2_chat, op3_secrets, op4_neardup, op5_packing, op6_licenses, op7_decontaminate, op8_langid, op9_htmltext, op10_pii, op11_hardneg, op12_phrases, op13_bpe)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +76,4 @@ from documents d left join n using (doc_id) left join m on m.a = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": _CHAT, "op4_neardup": _NEARDUP}
+    return {"op2_chat": _CHAT, "op4_neardup": _NEARDUP, "op11_hardneg": hardneg.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL}
