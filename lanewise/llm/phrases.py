@@ -21,7 +21,6 @@ digits, and the division keeps whole numbers.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,65 +28,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import read_table, write_scratch
+from lanewise.llm.bpe import spread
+from lanewise.llm.common import read_table, span_hashes, word_hashes, write_scratch
 
 SUPPORT, MOST_WORDS, TOP = 100, 5, 2_000
-#: Words of a shard, about: a shard ends with the document that reaches it.
-SHARD_WORDS = 4_000_000
+#: Bytes of a shard, about: a shard ends with the document that reaches it.
+SHARD_BYTES = 24 << 20
 #: Phrases of a trie that is sent to all tasks, at most, and their bytes.
 TRIE_PHRASES, TRIE_BYTES = 2_000_000, 64 << 20
 #: Languages whose local support is known to the tasks; in smaller ones it is one, which names every phrase.
 KNOWN_LANGUAGES = 10_000
 
-#: Words, or runs of what separates pieces.
-TOKEN = re.compile("[^\\x20\\x09-\\x0d.,;:!?]+|[.,;:!?\\x0a-\\x0d]+")
-_BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
+_BREAK = np.zeros(256, bool)
+_BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
+_BETWEEN = _BREAK.copy()
+_BETWEEN[list(b" \t")] = True
+
+
+class Words:
+    """The words of many texts: their places in the lower-cased bytes, their hashes, and the piece of each."""
+
+    def __init__(self, texts: list[bytes]):
+        raw, hashes, starts, ends, size = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for lo, part in _portions(texts):
+            h, s, e = word_hashes(part, _BETWEEN)
+            raw.append(part)
+            hashes.append(h)
+            starts.append(s + size)
+            ends.append(e + size)
+            size += len(part)
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.hashes, self.starts, self.ends = map(np.concatenate, (hashes, starts, ends))
+        self.lengths = self.ends - self.starts
+        piece = np.cumsum(_BREAK[self.bytes], dtype=np.int32)[self.starts]
+        self.new_piece = np.r_[True, piece[1:] != piece[:-1]][: len(piece)]
+
+    def text(self, i: int) -> bytes:
+        return self.bytes[self.starts[i] : self.ends[i]].tobytes()
+
+    def equal(self, at: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether each word ``at`` has exactly the bytes of the paired span of ``flat``."""
+        same = self.lengths[at] == lengths
+        for lo in range(0, len(at), 500_000):
+            part = np.arange(lo, min(lo + 500_000, len(at)))
+            part = part[same[part]]
+            differ = self.bytes[spread(self.starts[at[part]], lengths[part])] != flat[spread(starts[part], lengths[part])]
+            same[part] = np.add.reduceat(np.r_[differ, False], np.cumsum(lengths[part]) - lengths[part]) == 0 if len(part) else True
+        return same
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number from 1 on for each word, and a word of each number (from 1 on; at 0 stands 0)."""
+        order = np.argsort(self.hashes)
+        value = self.hashes[order]
+        new = np.r_[True, value[1:] != value[:-1]][: len(value)]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new)
+        one = np.r_[0, order[new]]
+        if self.equal(np.arange(len(number)), self.bytes, self.starts[one[number]], self.lengths[one[number]]).all():
+            return number, one
+        # Two words share a hash.
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(self.text(i), len(known) + 1) for i in range(len(number))], np.int64)
+        one = np.zeros(len(known) + 1, np.int64)
+        one[number] = np.arange(len(number))
+        return number, one
+
+    def pieces(self, number: np.ndarray) -> np.ndarray:
+        """The numbers in text order, with 0 between pieces and at both ends."""
+        out = np.zeros(len(number) + int(self.new_piece.sum()) + 1, np.int64)
+        out[np.arange(len(number)) + np.cumsum(self.new_piece)] = number
+        return out
 
-class Numbered:
-    """Texts of one language as word numbers from 1 on; 0 stands between pieces."""
 
-    def __init__(self, known: dict[str, int] | None = None):
-        #: With given words all others are 0 too: no given phrase holds them.
-        self.fixed = known is not None
-        self.number = {} if known is None else known
-        self.parts: list[np.ndarray] = []
-        self.words = 0
+def _portions(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Texts with a line end after each, put together up to about ``limit`` bytes."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= limit or i + 1 == len(texts):
+            yield i, b"\n".join([*held, b""])
+            held, size = [], 0
 
-    def add(self, text: str) -> int:
-        """Number a text; the count of its words."""
-        tokens = TOKEN.findall(text.translate(_LOWER))
-        if self.fixed:
-            found = np.fromiter((self.number.get(t, 0) for t in tokens), np.int64, len(tokens))
-        else:
-            for t in set(tokens).difference(self.number):
-                self.number[t] = 0 if t[0] in _BREAKS else len(self.number) + 1
-            found = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        self.parts += [found, np.zeros(1, np.int64)]
-        n = int(np.count_nonzero(found)) if not self.fixed else len(tokens)
-        self.words += n
-        return n
 
-    def array(self) -> np.ndarray:
-        return np.concatenate([*self.parts, np.zeros(1, np.int64)])
+def lowered(text: str) -> bytes:
+    """UTF-8 with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 def frequent(x: np.ndarray, least: int, most_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """For each length the first position and the count of every phrase that occurs ``least`` times or more."""
+    """For each length a position and the count of every phrase that occurs ``least`` times or more."""
     inside = np.flatnonzero(x)
-    label = np.full(len(x), -1, np.int64)
     base = int(x.max(initial=0)) + 1
     code = x[inside]
     for m in range(1, most_words + 1):
         if not len(inside):
             return
-        _, first, back, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(code)
+        value = code[order]
+        begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        counts = np.diff(np.r_[begin, len(value)])
         keep = counts >= least
-        yield inside[first[keep]], counts[keep], m
-        dense = np.where(keep, np.cumsum(keep) - 1, -1)
+        yield inside[order[begin[keep]]], counts[keep], m
         label = np.full(len(x), -1, np.int64)
-        label[inside] = dense[back]
+        label[inside[order]] = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), counts)
         # Longer phrases begin where this one and the one a word further on are both frequent.
         inside = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0))
         code = label[inside] * base + x[np.minimum(inside + m, len(x) - 1)]
@@ -96,38 +140,47 @@ def frequent(x: np.ndarray, least: int, most_words: int) -> Iterator[tuple[np.nd
 _MINED = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("slack", pa.int64())])
 
 
-def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_words: int) -> DataFrame:
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[dict[str, list[bytes]]]:
+    """Lower-cased texts by language, whole documents, about ``shard_bytes`` at a time."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for b in batches:
+        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+            held.setdefault(lang, []).append(lowered(text))
+            size += len(text)
+            if size >= shard_bytes:
+                yield held
+                held, size = {}, 0
+    yield held
+
+
+def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_bytes: int) -> DataFrame:
     """(lang, m, phrase, n, slack): locally frequent phrases of every shard; with ``m`` 0, the shard's words.
 
     ``slack`` is how often the shard may hold a phrase that it doesn't name. Without ``totals`` every phrase is named.
     """
 
-    def shard(held: dict[str, Numbered]) -> Iterator[pa.RecordBatch]:
-        for lang, text in held.items():
+    def shard(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in held.items():
+            words = Words(texts)
             total = (totals or {}).get(lang)
-            least = max(1, -(-support * text.words // total)) if total else 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, 0, None, text.words, least - 1), _MINED, strict=True)], schema=_MINED)
-            name = np.empty(len(text.number) + 1, object)
-            for word, number in text.number.items():
-                name[number] = word
-            x = text.array()
+            least = max(1, -(-support * len(words.hashes) // total)) if total else 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, 0, None, len(words.hashes), least - 1), _MINED, strict=True)], schema=_MINED)
+            number, one = words.numbers()
+            x = words.pieces(number)
+            name: dict[int, str] = {}
             for first, counts, m in frequent(x, least, most_words):
+                if m == 1:
+                    name = {i: words.text(one[i]).decode("utf-8", "replace") for i in x[first].tolist()}
                 for lo in range(0, len(first), 100_000):
                     at, n = first[lo : lo + 100_000], counts[lo : lo + 100_000]
-                    phrases = [" ".join(p) for p in name[x[at[:, None] + np.arange(m)]].tolist()]
+                    phrases = [" ".join([name[i] for i in p]) for p in x[at[:, None] + np.arange(m)].tolist()]
                     size = len(at)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([m] * size, pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64()), pa.array([least - 1] * size, pa.int64())], schema=_MINED)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Numbered] = {}
-        words = 0
-        for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words += held.setdefault(lang, Numbered()).add(text)
-                if words >= shard_words:
-                    yield from shard(held)
-                    held, words = {}, 0
-        yield from shard(held)
+        for held in _shards(batches, shard_bytes):
+            yield from shard(held)
 
     return docs.mapInArrow(work, "lang string, m int, phrase string, n long, slack long")
 
@@ -136,16 +189,40 @@ class Trie:
     """Phrases of one language, closed under prefixes: for each length, sorted codes of (prefix, last word)."""
 
     def __init__(self, phrases: list[list[str]]):
-        self.words = {w: i + 1 for i, w in enumerate(sorted({p[0] for p in phrases if len(p) == 1}))}
-        self.base = len(self.words) + 1
+        words = [p[0] for p in phrases if len(p) == 1]
+        raw = [w.encode() for w in words]
+        self.lengths = np.array([len(w) for w in raw], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.hashes = np.concatenate([np.empty(0, np.uint64), *(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])) for w in raw)])
+        self.order = np.argsort(self.hashes)
+        self.unique = len(np.unique(self.hashes)) == len(raw)
+        number = {w: i + 1 for i, w in enumerate(words)}
+        self.base = len(words) + 1
+        self.names = [words]
         self.levels: list[np.ndarray] = [np.arange(1, self.base)]
-        place: dict[str, int] = {w: i - 1 for w, i in self.words.items()}
+        place = {w: i for i, w in enumerate(words)}
         for m in range(2, max(map(len, phrases), default=0) + 1):
             long = [p for p in phrases if len(p) == m]
-            code = np.array([place[" ".join(p[:-1])] * self.base + self.words[p[-1]] for p in long], np.int64)
+            code = np.array([place[" ".join(p[:-1])] * self.base + number[p[-1]] for p in long], np.int64)
             order = np.argsort(code)
             self.levels.append(code[order])
-            place = {" ".join(long[i]): at for at, i in enumerate(order.tolist())}
+            self.names.append([" ".join(long[i]) for i in order.tolist()])
+            place = {p: i for i, p in enumerate(self.names[-1])}
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """Each word's number; 0 for a word that no phrase holds."""
+        if not len(self.hashes):
+            return np.zeros(len(words.hashes), np.int64)
+        if not self.unique:  # two words share a hash
+            known = {self.flat[s : s + n].tobytes(): i + 1 for i, (s, n) in enumerate(zip(self.starts, self.lengths, strict=True))}
+            return np.array([known.get(words.text(i), 0) for i in range(len(words.hashes))], np.int64)
+        found = self.order[np.minimum(np.searchsorted(self.hashes, words.hashes, sorter=self.order), len(self.order) - 1)]
+        out = np.zeros(len(found), np.int64)
+        at = np.flatnonzero(self.hashes[found] == words.hashes)
+        at = at[words.equal(at, self.flat, self.starts[found[at]], self.lengths[found[at]])]
+        out[at] = found[at] + 1
+        return out
 
     def counted(self, x: np.ndarray) -> list[np.ndarray]:
         """Occurrences of every phrase of each level in numbered text."""
@@ -163,7 +240,7 @@ class Trie:
         return out
 
 
-def _counted(docs: DataFrame, candidates: DataFrame, shard_words: int) -> DataFrame:
+def _counted(docs: DataFrame, candidates: DataFrame, shard_bytes: int) -> DataFrame:
     """(lang, m, phrase, n): exact counts of candidates that are few enough to be sent to every task."""
     spark = docs.sparkSession
     by_lang: dict[str, list[list[str]]] = {}
@@ -175,23 +252,12 @@ def _counted(docs: DataFrame, candidates: DataFrame, shard_words: int) -> DataFr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = sent.value
         sums: dict[str, list[np.ndarray]] = {}
-        held: dict[str, Numbered] = {}
-        words = 0
-
-        def add() -> None:
-            for lang, text in held.items():
-                counts = tries[lang].counted(text.array())
-                sums[lang] = [a + b for a, b in zip(sums[lang], counts, strict=True)] if lang in sums else counts
-            held.clear()
-
-        for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+        for held in _shards(batches, shard_bytes):
+            for lang, texts in held.items():
                 if lang in tries:
-                    words += held.setdefault(lang, Numbered(tries[lang].words)).add(text)
-                    if words >= shard_words:
-                        add()
-                        words = 0
-        add()
+                    words = Words(texts)
+                    counts = tries[lang].counted(words.pieces(tries[lang].numbers(words)))
+                    sums[lang] = [a + b for a, b in zip(sums[lang], counts, strict=True)] if lang in sums else counts
         for lang, levels in sums.items():
             for m, counts in enumerate(levels, 1):
                 at = np.flatnonzero(counts)
@@ -199,11 +265,8 @@ def _counted(docs: DataFrame, candidates: DataFrame, shard_words: int) -> DataFr
 
     def names() -> Iterator[tuple[str, int, int, str]]:
         for lang, trie in sent.value.items():
-            label = sorted(trie.words)
-            for m, codes in enumerate(trie.levels, 1):
-                label = label if m == 1 else [label[c // trie.base] + " " + word[c % trie.base - 1] for c in codes.tolist()]
-                word = label if m == 1 else word
-                yield from ((lang, m, i, p) for i, p in enumerate(label))
+            for m, level in enumerate(trie.names, 1):
+                yield from ((lang, m, i, p) for i, p in enumerate(level))
 
     columns = list(zip(*names(), strict=True)) or [(), (), (), ()]
     table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["lang", "m", "node", "phrase"])
@@ -215,7 +278,7 @@ def phrase_counts(
     docs: DataFrame,
     support: int = SUPPORT,
     most_words: int = MOST_WORDS,
-    shard_words: int = SHARD_WORDS,
+    shard_bytes: int = SHARD_BYTES,
     trie_phrases: int = TRIE_PHRASES,
 ) -> tuple[DataFrame, DataFrame]:
     """(counts, totals): all phrases of up to ``most_words`` words with ``support`` occurrences in their language, with exact counts, and each language's words.
@@ -225,7 +288,7 @@ def phrase_counts(
     words = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0d.,;:!?]+')")
     totals = write_scratch(docs.groupBy("lang").agg(F.sum(words).cast("long").alias("total")), "phrase-totals")
     known = {r["lang"]: r["total"] for r in totals.where(F.col("total") >= support).orderBy(F.desc("total"), "lang").limit(KNOWN_LANGUAGES).collect()}
-    mined = write_scratch(_mined(docs, known, support, most_words, shard_words), "phrase-shards")
+    mined = write_scratch(_mined(docs, known, support, most_words, shard_bytes), "phrase-shards")
     slack = mined.where("m = 0").groupBy("lang").agg(F.sum("slack").alias("all_slack"))
     named = mined.where("m > 0").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"), F.sum("slack").alias("own_slack"))
     bounded = named.join(slack, "lang").withColumn("unknown", F.col("all_slack") - F.col("own_slack"))
@@ -234,9 +297,9 @@ def phrase_counts(
     if size["unknown"] == 0:
         counts = candidates.select("lang", "m", "phrase", "n")
     elif size["n"] <= trie_phrases and size["bytes"] <= TRIE_BYTES:
-        counts = _counted(docs, candidates, shard_words)
+        counts = _counted(docs, candidates, shard_bytes)
     else:
-        every = _mined(docs, None, support, most_words, shard_words).where("m > 0").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
+        every = _mined(docs, None, support, most_words, shard_bytes).where("m > 0").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
         counts = every.join(candidates.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("lang", "m", "phrase", "n")
     return write_scratch(counts.where(F.col("n") >= support), "phrase-counts"), totals
 
@@ -249,7 +312,7 @@ def collocations(
     most_words: int = MOST_WORDS,
     top: int = TOP,
     covered: int = 100,
-    shard_words: int = SHARD_WORDS,
+    shard_bytes: int = SHARD_BYTES,
     trie_phrases: int = TRIE_PHRASES,
 ) -> DataFrame:
     """Each language's ``top`` phrases by how far their words attract each other.
@@ -264,7 +327,7 @@ def collocations(
     the order go to the larger a, then to the smaller phrase in byte order.
     """
     docs = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts, totals = phrase_counts(docs, support, most_words, shard_words, trie_phrases)
+    counts, totals = phrase_counts(docs, support, most_words, shard_bytes, trie_phrases)
     long = counts.where("m > 1").withColumn("words", F.split("phrase", " "))
     part = lambda lo, n: F.array_join(F.slice("words", lo, n), " ")
     k = F.col("k")
