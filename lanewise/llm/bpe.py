@@ -40,11 +40,11 @@ from lanewise.llm.common import drop_scratch, read_table, write_scratch
 #: Words that all tasks share, at most; their bytes are bounded by SHARED_BYTES for each.
 SHARED_WORDS, SHARED_BYTES = 1 << 17, 64
 #: Characters of the texts that are encoded together, and words that are replayed together, at most (but for single longer texts and words).
-GROUP_CHARS, REPLAY_BYTES = 24_000_000, 16_000_000
+GROUP_CHARS, REPLAY_BYTES = 12_000_000, 3_000_000
 #: Entries of the tables that a task keeps between groups of texts.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Words that a task counts before it hands its counts on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 200_000
 
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A text falls into these chunks, and each chunk into words: no word reaches across.
@@ -153,13 +153,13 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     starts = np.cumsum(lengths) - lengths
     token = vocab.single[np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)]
     n = len(token)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     after, before = place + 1, place - 1
     after[starts[1:] - 1] = -1
     before[starts] = -1
     after[-1:] = -1
     live = np.ones(n, bool)
-    now = np.full(n, -1, np.int64)
+    now = np.full(n, -1, np.int32)
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
     odd: dict[int, list[int]] = {}
@@ -267,7 +267,7 @@ class Table:
         chunks = CHUNK.findall(text)
         for c in set(chunks).difference(self.number):
             self.number[c] = len(self.number)
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int32, len(chunks))
 
     def complete(self) -> None:
         """Encode the chunks that have been named since the last time."""
@@ -342,7 +342,7 @@ def shared_words(texts: DataFrame, path: str, most: int = SHARED_WORDS) -> dict[
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", shared: int = SHARED_WORDS) -> DataFrame:
-    """``df`` with the ids of each whole text, as an array of ints; ``path`` is a tiktoken file of ranks.
+    """``df`` with the ids of each whole text, as an array of ints, in place of the text; ``path`` is a tiktoken file of ranks.
 
     Equal to tiktoken's ``encode_ordinary`` with public_tokenizers.PATTERN: no special tokens. A null or empty
     text has no ids (an empty array). Rows that repeat are encoded like any other; an
@@ -352,7 +352,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     frequent = shared_words(df.select(F.col(text_col).alias("text")), path, shared) if shared else {}
     known = spark.sparkContext.broadcast(frequent)
     rest = df.drop(ids_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([*[f for f in rest.schema.fields if f.name != text_col], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
     place = rest.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                 lo, size = 0, 0
                 for i, x in enumerate(numbers):  # a batch of ids is bounded too
                     size += len(x)
-                    if size >= 2_000_000 or i + 1 == len(numbers):
+                    if size >= 500_000 or i + 1 == len(numbers):
                         ids = [table.encoded(y) for y in numbers[lo : i + 1]]
                         offsets = pa.array(np.r_[0, np.cumsum([len(y) for y in ids])], pa.int32())
                         column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
@@ -376,19 +376,15 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
             if len(table.number) > KEPT_WORDS:
                 table.clear()
 
-        for b in batches:
-            first = 0
-            texts = b.column(place).to_pylist()
-            numbers: list[np.ndarray] = []
-            for i, text in enumerate(texts):
-                numbers.append(table.numbers(text or ""))
-                chars += len(text or "")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                texts, b = b.column(place).to_pylist(), b.drop_columns([text_col])
+                held.append((b, [table.numbers(t or "") for t in texts]))
+                chars += sum(len(t or "") for t in texts)
                 if chars >= GROUP_CHARS:
-                    held.append((b.slice(first, i + 1 - first), numbers))
                     yield from ready()
-                    first, numbers, chars = i + 1, [], 0
-            if numbers:
-                held.append((b.slice(first), numbers))
+                    chars = 0
         yield from ready()
 
     return rest.mapInArrow(work, schema)
@@ -414,7 +410,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to ids and back; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    ids = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     both = decode(ids, path)
     return both.select(
         "doc_id",

@@ -32,8 +32,8 @@ from lanewise.llm.bpe import spread
 from lanewise.llm.common import read_table, span_hashes, word_hashes, write_scratch
 
 SUPPORT, MOST_WORDS, TOP = 100, 5, 2_000
-#: Bytes of a shard, about: a shard ends with the document that reaches it.
-SHARD_BYTES = 24 << 20
+#: Bytes of a shard, about: a shard ends with a document, and a task leaves no rest of less than half a shard.
+SHARD_BYTES = 20 << 20
 #: Phrases of a trie that is sent to all tasks, at most, and their bytes.
 TRIE_PHRASES, TRIE_BYTES = 2_000_000, 64 << 20
 #: Languages whose local support is known to the tasks; in smaller ones it is one, which names every phrase.
@@ -49,31 +49,34 @@ class Words:
     """The words of many texts: their places in the lower-cased bytes, their hashes, and the piece of each."""
 
     def __init__(self, texts: list[bytes]):
-        raw, hashes, starts, ends, size = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        raw, hashes, starts, lengths, size = [], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
         for lo, part in _portions(texts):
             h, s, e = word_hashes(part, _BETWEEN)
             raw.append(part)
             hashes.append(h)
-            starts.append(s + size)
-            ends.append(e + size)
+            starts.append((s + size).astype(np.int32))
+            lengths.append((e - s).astype(np.int32))
             size += len(part)
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
-        self.hashes, self.starts, self.ends = map(np.concatenate, (hashes, starts, ends))
-        self.lengths = self.ends - self.starts
+        del raw
+        self.hashes, self.starts, self.lengths = map(np.concatenate, (hashes, starts, lengths))
         piece = np.cumsum(_BREAK[self.bytes], dtype=np.int32)[self.starts]
         self.new_piece = np.r_[True, piece[1:] != piece[:-1]][: len(piece)]
 
     def text(self, i: int) -> bytes:
-        return self.bytes[self.starts[i] : self.ends[i]].tobytes()
-
-    def equal(self, at: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Whether each word ``at`` has exactly the bytes of the paired span of ``flat``."""
-        same = self.lengths[at] == lengths
-        for lo in range(0, len(at), 500_000):
-            part = np.arange(lo, min(lo + 500_000, len(at)))
-            part = part[same[part]]
-            differ = self.bytes[spread(self.starts[at[part]], lengths[part])] != flat[spread(starts[part], lengths[part])]
-            same[part] = np.add.reduceat(np.r_[differ, False], np.cumsum(lengths[part]) - lengths[part]) == 0 if len(part) else True
+        return self.bytes[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes()
+
+    def equal(self, at: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Whether each word ``at`` has exactly the bytes of the span of ``flat`` that ``pair`` numbers."""
+        same = np.empty(len(at), bool)
+        for lo in range(0, len(at), 200_000):
+            own, other = at[lo : lo + 200_000], pair[lo : lo + 200_000]
+            alike = self.lengths[own] == lengths[other]
+            n = self.lengths[own[alike]].astype(np.int64)
+            differ = self.bytes[spread(self.starts[own[alike]], n)] != flat[spread(starts[other[alike]], n)]
+            if len(n):
+                alike[alike] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+            same[lo : lo + 200_000] = alike
         return same
 
     def numbers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -81,21 +84,22 @@ class Words:
         order = np.argsort(self.hashes)
         value = self.hashes[order]
         new = np.r_[True, value[1:] != value[:-1]][: len(value)]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32)
         one = np.r_[0, order[new]]
-        if self.equal(np.arange(len(number)), self.bytes, self.starts[one[number]], self.lengths[one[number]]).all():
+        del order, value, new
+        if self.equal(np.arange(len(number), dtype=np.int32), self.bytes, self.starts[one], self.lengths[one], number).all():
             return number, one
         # Two words share a hash.
         known: dict[bytes, int] = {}
-        number = np.array([known.setdefault(self.text(i), len(known) + 1) for i in range(len(number))], np.int64)
+        number = np.array([known.setdefault(self.text(i), len(known) + 1) for i in range(len(number))], np.int32)
         one = np.zeros(len(known) + 1, np.int64)
         one[number] = np.arange(len(number))
         return number, one
 
     def pieces(self, number: np.ndarray) -> np.ndarray:
         """The numbers in text order, with 0 between pieces and at both ends."""
-        out = np.zeros(len(number) + int(self.new_piece.sum()) + 1, np.int64)
+        out = np.zeros(len(number) + int(self.new_piece.sum()) + 1, np.int32)
         out[np.arange(len(number)) + np.cumsum(self.new_piece)] = number
         return out
 
@@ -118,40 +122,49 @@ def lowered(text: str) -> bytes:
 
 def frequent(x: np.ndarray, least: int, most_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """For each length a position and the count of every phrase that occurs ``least`` times or more."""
-    inside = np.flatnonzero(x)
+    inside = np.flatnonzero(x).astype(np.int32)
     base = int(x.max(initial=0)) + 1
-    code = x[inside]
+    code = x[inside].astype(np.int64)
     for m in range(1, most_words + 1):
         if not len(inside):
             return
-        order = np.argsort(code)
+        order = np.argsort(code).astype(np.int32)
         value = code[order]
         begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
         counts = np.diff(np.r_[begin, len(value)])
         keep = counts >= least
         yield inside[order[begin[keep]]], counts[keep], m
-        label = np.full(len(x), -1, np.int64)
-        label[inside[order]] = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), counts)
+        label = np.full(len(x), -1, np.int32)
+        label[inside[order]] = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32), counts)
+        del order, value
         # Longer phrases begin where this one and the one a word further on are both frequent.
-        inside = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0))
-        code = label[inside] * base + x[np.minimum(inside + m, len(x) - 1)]
+        inside = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0)).astype(np.int32)
+        code = label[inside].astype(np.int64) * base + x[np.minimum(inside + m, len(x) - 1)]
 
 
 _MINED = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("slack", pa.int64())])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[dict[str, list[bytes]]]:
-    """Lower-cased texts by language, whole documents, about ``shard_bytes`` at a time."""
+    """Lower-cased texts by language, whole documents, about ``shard_bytes`` at a time; less than half of that at the end joins the shard before.
+
+    Small shards have small local supports, and so name many phrases.
+    """
+    full: dict[str, list[bytes]] = {}
     held: dict[str, list[bytes]] = {}
     size = 0
     for b in batches:
         for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
             held.setdefault(lang, []).append(lowered(text))
             size += len(text)
+            if full and size >= shard_bytes // 2:
+                yield full
+                full = {}
             if size >= shard_bytes:
-                yield held
-                held, size = {}, 0
-    yield held
+                full, held, size = held, {}, 0
+    for lang, texts in held.items():
+        full.setdefault(lang, []).extend(texts)
+    yield full
 
 
 def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_bytes: int) -> DataFrame:
@@ -161,13 +174,16 @@ def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_wo
     """
 
     def shard(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for lang, texts in held.items():
-            words = Words(texts)
+        for lang in list(held):
+            words = Words(held.pop(lang))
             total = (totals or {}).get(lang)
-            least = max(1, -(-support * len(words.hashes) // total)) if total else 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, 0, None, len(words.hashes), least - 1), _MINED, strict=True)], schema=_MINED)
+            n_words = len(words.hashes)
+            least = max(1, -(-support * n_words // total)) if total else 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, 0, None, n_words, least - 1), _MINED, strict=True)], schema=_MINED)
             number, one = words.numbers()
             x = words.pieces(number)
+            del number
+            words.hashes = None
             name: dict[int, str] = {}
             for first, counts, m in frequent(x, least, most_words):
                 if m == 1:
@@ -220,14 +236,14 @@ class Trie:
         found = self.order[np.minimum(np.searchsorted(self.hashes, words.hashes, sorter=self.order), len(self.order) - 1)]
         out = np.zeros(len(found), np.int64)
         at = np.flatnonzero(self.hashes[found] == words.hashes)
-        at = at[words.equal(at, self.flat, self.starts[found[at]], self.lengths[found[at]])]
+        at = at[words.equal(at, self.flat, self.starts, self.lengths, found[at])]
         out[at] = found[at] + 1
         return out
 
     def counted(self, x: np.ndarray) -> list[np.ndarray]:
         """Occurrences of every phrase of each level in numbered text."""
         at = np.flatnonzero(x)
-        node = x[at] - 1
+        node = x[at].astype(np.int64) - 1
         out = [np.bincount(node, minlength=len(self.levels[0]))]
         for m, codes in enumerate(self.levels[1:], 1):
             last = x[np.minimum(at + m, len(x) - 1)]
@@ -253,7 +269,8 @@ def _counted(docs: DataFrame, candidates: DataFrame, shard_bytes: int) -> DataFr
         tries = sent.value
         sums: dict[str, list[np.ndarray]] = {}
         for held in _shards(batches, shard_bytes):
-            for lang, texts in held.items():
+            for lang in list(held):
+                texts = held.pop(lang)
                 if lang in tries:
                     words = Words(texts)
                     counts = tries[lang].counted(words.pieces(tries[lang].numbers(words)))
@@ -285,9 +302,14 @@ def phrase_counts(
 
     ``docs`` has the columns lang and text, neither null.
     """
+    sizes = F.sum(F.octet_length("text")).alias("bytes")
     words = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0d.,;:!?]+')")
-    totals = write_scratch(docs.groupBy("lang").agg(F.sum(words).cast("long").alias("total")), "phrase-totals")
+    totals = write_scratch(docs.groupBy("lang").agg(F.sum(words).cast("long").alias("total"), sizes), "phrase-totals")
     known = {r["lang"]: r["total"] for r in totals.where(F.col("total") >= support).orderBy(F.desc("total"), "lang").limit(KNOWN_LANGUAGES).collect()}
+    # Many small partitions would be as many small shards: they are read together, as long as all cores have work.
+    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, (totals.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes)
+    if docs.rdd.getNumPartitions() > shards:
+        docs = docs.coalesce(shards)
     mined = write_scratch(_mined(docs, known, support, most_words, shard_bytes), "phrase-shards")
     slack = mined.where("m = 0").groupBy("lang").agg(F.sum("slack").alias("all_slack"))
     named = mined.where("m > 0").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"), F.sum("slack").alias("own_slack"))
@@ -334,7 +356,7 @@ def collocations(
     cuts = long.select("lang", "m", "phrase", F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     cuts = cuts.withColumn("left", part(F.lit(1), k)).withColumn("right", part(k + 1, F.col("m") - k)).drop("words")
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"])
-    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"]).join(totals, "lang")
+    cuts = cuts.join(counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"]).join(totals.select("lang", "total"), "lang")
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     score = F.call_function("div", F.lit(1000).cast("decimal(38,0)") * wide("a") * wide("total"), wide("l") * wide("r"))
     lowest = cuts.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a", F.col("total").alias("n")).agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
