@@ -81,6 +81,8 @@ class Words:
 
     def numbers(self) -> tuple[np.ndarray, np.ndarray]:
         """A number from 1 on for each word, and a word of each number (from 1 on; at 0 stands 0)."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         order = np.argsort(self.hashes)
         value = self.hashes[order]
         new = np.r_[True, value[1:] != value[:-1]][: len(value)]
