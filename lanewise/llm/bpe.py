@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import drop_scratch, read_table, write_scratch
+from lanewise.llm.common import drop_scratch, read_table, spread, write_scratch
 
 #: Words that all tasks share, at most; their bytes are bounded by SHARED_BYTES for each.
 SHARED_WORDS, SHARED_BYTES = 1 << 17, 64
@@ -105,12 +105,6 @@ class Vocabulary:
         return self.flat[spread(self.starts[ids], self.starts[ids + 1] - self.starts[ids])].tobytes()
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions starts[i] .. starts[i] + lengths[i] - 1 of all i, in order."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary for all tasks that a Python process runs."""

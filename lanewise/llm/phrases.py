@@ -6,14 +6,14 @@ proportion of it: support * (words of the shard) / (words of the language). Ever
 completely at that lowered support, level by level: a phrase is counted only where both its parts
 without the last and without the first word are locally frequent.
 
-*Union.* Locally frequent phrases come together with the counts that are known. A shard that didn't name a phrase
+*Union.* Locally frequent phrases, packed by a hash of their words, come together with the counts that are known. A shard that didn't name a phrase
 holds it less often than its local support, which bounds what is still unknown; a phrase whose
 bound stays below the support is no candidate. Where local support is one, as in corpora of very many shards, every
 count is known already and the second pass has nothing left to do.
 
 *Count.* The candidates, closed under prefixes, are a trie of integers. Each task
 follows all of its text down the trie and counts every candidate exactly; the counts are added up. A trie
-beyond TRIE_PHRASES isn't sent to the tasks; then every phrase of every shard is counted and meets the candidates in a join.
+beyond TRIE_PHRASES isn't sent to the tasks; then every shard names all its phrases, whose counts add up to the exact ones.
 
 *Scores.* Cuts and containing phrases are equality joins on the counted phrases; products are decimals of 38
 digits, and the division keeps whole numbers.
@@ -28,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.bpe import spread
-from lanewise.llm.common import read_table, span_hashes, word_hashes, write_scratch
+from lanewise.llm.common import drop_scratch, mix64, read_table, span_hashes, spread, word_hashes, write_scratch
 
 SUPPORT, MOST_WORDS, TOP = 100, 5, 2_000
 #: Bytes of a shard, about: a shard ends with a document, and a task leaves no rest of less than half a shard.
 SHARD_BYTES = 20 << 20
 #: Phrases of a trie that is sent to all tasks, at most, and their bytes.
 TRIE_PHRASES, TRIE_BYTES = 2_000_000, 64 << 20
+#: Counts of a block that is added up at once.
+BLOCK = 4_096
+#: Bytes of text for each bucket of phrases that come together in one task, about.
+BUCKET_BYTES = 4 << 20
 #: Languages whose local support is known to the tasks; in smaller ones it is one, which names every phrase.
 KNOWN_LANGUAGES = 10_000
 
@@ -144,9 +147,6 @@ def frequent(x: np.ndarray, least: int, most_words: int) -> Iterator[tuple[np.nd
         code = label[inside].astype(np.int64) * base + x[np.minimum(inside + m, len(x) - 1)]
 
 
-_MINED = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("slack", pa.int64())])
-
-
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[dict[str, list[bytes]]]:
     """Lower-cased texts by language, whole documents, about ``shard_bytes`` at a time; less than half of that at the end joins the shard before.
 
@@ -169,8 +169,11 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[dic
     yield full
 
 
-def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_bytes: int) -> DataFrame:
-    """(lang, m, phrase, n, slack): locally frequent phrases of every shard; with ``m`` 0, the shard's words.
+_MINED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("m", pa.int32()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("slack", pa.int64())])
+
+
+def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_bytes: int, buckets: int) -> DataFrame:
+    """(bucket, lang, m, phrases, counts, slack): locally frequent phrases of every shard, packed by a hash; with ``m`` 0, a row for the shard alone.
 
     ``slack`` is how often the shard may hold a phrase that it doesn't name. Without ``totals`` every phrase is named.
     """
@@ -178,12 +181,13 @@ def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_wo
     def shard(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang in list(held):
             words = Words(held.pop(lang))
-            total = (totals or {}).get(lang)
             n_words = len(words.hashes)
+            total = (totals or {}).get(lang)
             least = max(1, -(-support * n_words // total)) if total else 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, 0, None, n_words, least - 1), _MINED, strict=True)], schema=_MINED)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((-1, lang, 0, [], [], least - 1), _MINED, strict=True)], schema=_MINED)
             number, one = words.numbers()
             x = words.pieces(number)
+            hashes = words.hashes[one] if n_words else words.hashes
             del number
             words.hashes = None
             name: dict[int, str] = {}
@@ -191,16 +195,53 @@ def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_wo
                 if m == 1:
                     name = {i: words.text(one[i]).decode("utf-8", "replace") for i in x[first].tolist()}
                 for lo in range(0, len(first), 100_000):
-                    at, n = first[lo : lo + 100_000], counts[lo : lo + 100_000]
-                    phrases = [" ".join([name[i] for i in p]) for p in x[at[:, None] + np.arange(m)].tolist()]
-                    size = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([m] * size, pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64()), pa.array([least - 1] * size, pa.int64())], schema=_MINED)
+                    phrase = x[first[lo : lo + 100_000, None] + np.arange(m)]
+                    h = np.zeros(len(phrase), np.uint64)
+                    for column in phrase.T:
+                        h = mix64(h + hashes[column])
+                    bucket = (h % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    present, begin = np.unique(bucket[order], return_index=True)
+                    offsets = pa.array(np.r_[begin, len(order)], pa.int32())
+                    texts = pa.array([" ".join([name[i] for i in p]) for p in phrase[order].tolist()], pa.string())
+                    size = len(present)
+                    columns = [pa.array(present), pa.array([lang] * size, pa.string()), pa.array([m] * size, pa.int32()), pa.ListArray.from_arrays(offsets, texts)]
+                    columns += [pa.ListArray.from_arrays(offsets, pa.array(counts[lo : lo + 100_000][order], pa.int64())), pa.array([least - 1] * size, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_MINED)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _shards(batches, shard_bytes):
             yield from shard(held)
 
-    return docs.mapInArrow(work, "lang string, m int, phrase string, n long, slack long")
+    return docs.mapInArrow(work, "bucket int, lang string, m int, phrases array<string>, counts array<long>, slack long")
+
+
+def _united(mined: DataFrame, slack: dict[str, int], support: int, buckets: int) -> DataFrame:
+    """(lang, m, phrase, n, unknown): the phrases that can have the support; ``slack``: of all shards of each language."""
+
+    def candidates(parts: list[pa.Table]) -> pa.Table:
+        flat = pa.concat_tables(parts).group_by(["lang", "m", "phrase"]).aggregate([("n", "sum"), ("slack", "sum")])
+        whole = np.array([slack.get(x, 0) for x in flat["lang"].to_pylist()], np.int64)
+        unknown = whole - flat["slack_sum"].to_numpy()
+        out = pa.table([flat["lang"], flat["m"], flat["phrase"], flat["n_sum"], pa.array(unknown)], names=["lang", "m", "phrase", "n", "unknown"])
+        return out.filter(pa.array(flat["n_sum"].to_numpy() + unknown >= support))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for i, bucket in enumerate(b["bucket"].to_pylist()):
+                if bucket != at and held:
+                    yield from candidates(held).to_batches()
+                    held = []
+                at = bucket
+                phrases = b["phrases"][i].values
+                size = len(phrases)
+                held.append(pa.table([pa.repeat(b["lang"][i], size), pa.repeat(b["m"][i], size), phrases, b["counts"][i].values, pa.repeat(b["slack"][i], size)], names=["lang", "m", "phrase", "n", "slack"]))
+        if held:
+            yield from candidates(held).to_batches()
+
+    packed = mined.where("m > 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(work, "lang string, m int, phrase string, n long, unknown long")
 
 
 class Trie:
@@ -279,8 +320,18 @@ def _counted(docs: DataFrame, candidates: DataFrame, shard_bytes: int) -> DataFr
                     sums[lang] = [a + b for a, b in zip(sums[lang], counts, strict=True)] if lang in sums else counts
         for lang, levels in sums.items():
             for m, counts in enumerate(levels, 1):
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([m] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "m", "node", "n"])
+                starts = range(0, len(counts), BLOCK)
+                blocks = [counts[lo : lo + BLOCK].astype("<i8").tobytes() for lo in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks), pa.string()), pa.array([m] * len(blocks), pa.int32()), pa.array(starts, pa.int64()), pa.array(blocks, pa.binary())], ["lang", "m", "first", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for lang, m, first, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part = np.frombuffer(counts, "<i8")
+                sums[lang, m, first] = sums[lang, m, first] + part if (lang, m, first) in sums else part
+        for (lang, m, first), n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([m] * len(n), pa.int32()), pa.array(first + np.arange(len(n)), pa.int64()), pa.array(n, pa.int64())], ["lang", "m", "node", "n"])
 
     def names() -> Iterator[tuple[str, int, int, str]]:
         for lang, trie in sent.value.items():
@@ -289,7 +340,8 @@ def _counted(docs: DataFrame, candidates: DataFrame, shard_bytes: int) -> DataFr
 
     columns = list(zip(*names(), strict=True)) or [(), (), (), ()]
     table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["lang", "m", "node", "phrase"])
-    sums = docs.mapInArrow(work, "lang string, m int, node long, n long").groupBy("lang", "m", "node").agg(F.sum("n").alias("n"))
+    # Each task's counts go on as blocks of numbers, which are added up block by block.
+    sums = docs.mapInArrow(work, "lang string, m int, first long, counts binary").repartition("lang", "m", "first").mapInArrow(add, "lang string, m int, node long, n long")
     return sums.join(spark.createDataFrame(table), ["lang", "m", "node"]).select("lang", "m", "phrase", "n")
 
 
@@ -309,22 +361,23 @@ def phrase_counts(
     totals = write_scratch(docs.groupBy("lang").agg(F.sum(words).cast("long").alias("total"), sizes), "phrase-totals")
     known = {r["lang"]: r["total"] for r in totals.where(F.col("total") >= support).orderBy(F.desc("total"), "lang").limit(KNOWN_LANGUAGES).collect()}
     # Many small partitions would be as many small shards: they are read together, as long as all cores have work.
-    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, (totals.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes)
+    size = totals.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // shard_bytes)
     if docs.rdd.getNumPartitions() > shards:
         docs = docs.coalesce(shards)
-    mined = write_scratch(_mined(docs, known, support, most_words, shard_bytes), "phrase-shards")
-    slack = mined.where("m = 0").groupBy("lang").agg(F.sum("slack").alias("all_slack"))
-    named = mined.where("m > 0").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"), F.sum("slack").alias("own_slack"))
-    bounded = named.join(slack, "lang").withColumn("unknown", F.col("all_slack") - F.col("own_slack"))
-    candidates = write_scratch(bounded.where(F.col("n") + F.col("unknown") >= support).select("lang", "m", "phrase", "n", "unknown"), "phrase-candidates")
-    size = candidates.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("bytes"), F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown")).first()
-    if size["unknown"] == 0:
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    mined = write_scratch(_mined(docs, known, support, most_words, shard_bytes, buckets), "phrase-shards")
+    slack = {r["lang"]: r["slack"] for r in mined.where("m = 0 and slack > 0").groupBy("lang").agg(F.sum("slack").alias("slack")).collect()}
+    candidates = write_scratch(_united(mined, slack, support, buckets), "phrase-candidates")
+    drop_scratch(mined)
+    found = candidates.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("bytes"), F.coalesce(F.max("unknown"), F.lit(0)).alias("unknown")).first()
+    if found["unknown"] == 0:
         counts = candidates.select("lang", "m", "phrase", "n")
-    elif size["n"] <= trie_phrases and size["bytes"] <= TRIE_BYTES:
+    elif found["n"] <= trie_phrases and found["bytes"] <= TRIE_BYTES:
         counts = _counted(docs, candidates, shard_bytes)
     else:
-        every = _mined(docs, None, support, most_words, shard_bytes).where("m > 0").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
-        counts = every.join(candidates.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("lang", "m", "phrase", "n")
+        every = _mined(docs, None, support, most_words, shard_bytes, buckets)
+        counts = _united(every, {}, support, buckets).select("lang", "m", "phrase", "n")
     return write_scratch(counts.where(F.col("n") >= support), "phrase-counts"), totals
 
 
