@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,8 +34,14 @@ def dwell_sessions(inside: DataFrame, missing: str = "1 second") -> DataFrame:
 
 
 def zone_occupancy(zone_obs: DataFrame, length: str = "1 second") -> DataFrame:
-    """Approximate distinct tracks inside by window; exact distinct counts don't exist in streams."""
-    return zone_obs.where("inside").groupBy(F.window("event_ts", length).alias("w"), "video_id", "zone_id").agg(F.approx_count_distinct("track_id").alias("tracks"))
+    """Exact numbers of distinct tracks inside each zone by tumbling window.
+
+    Two stateful operators: the first row of each track, zone and window goes on, then windows
+    count rows. The watermark clears the state of both.
+    """
+    first = zone_obs.where("inside").select("video_id", "zone_id", "track_id", F.window("event_ts", length).alias("w")).dropDuplicates(["video_id", "zone_id", "track_id", "w"])
+    counts = first.groupBy("w", "video_id", "zone_id").agg(F.count("*").alias("tracks"))
+    return counts.select("video_id", "zone_id", (F.unix_micros("w.start") / 1e6 - F.unix_micros(F.lit(BASE).cast("timestamp")) / 1e6).cast("long").alias("interval_start_seconds"), "tracks")
 
 
 def event_dedup(events: DataFrame, key: list[str]) -> DataFrame:
@@ -50,153 +54,6 @@ def enrich(events: DataFrame, policy: DataFrame) -> DataFrame:
     return events.join(scene_dim(policy), "event_type", "left")
 
 
-def split_quality(stream: DataFrame, path: str, is_good, key: list[str], checkpoint: str, delay_seconds: float = 5.0):
-    """Write rows to one table for each quality, batch by batch: GOOD, BAD, DUPLICATE (its key was met before) and LATE.
-
-    A row is late if its ``timestamp_seconds`` lies more than ``delay_seconds`` before the
-    latest of earlier batches. The good rows that are written are what keys are compared
-    with, so nothing is held in memory, and a batch that is run again gives the same tables.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("timestamp_seconds")))
-        before = spark.read.schema(batch.schema.add("quality", "string").add("batch", "long")).parquet(path).where(F.col("batch") < batch_id) if batch_id else None
-        latest = before.agg(F.max("timestamp_seconds")).first()[0] if before is not None else None
-        seen = before.where("quality = 'GOOD'").select(*key).distinct().withColumn("_seen", F.lit(True)) if before is not None else None
-        rows = rows.join(seen, key, "left") if seen is not None else rows.withColumn("_seen", F.lit(None).cast("boolean"))
-        late = F.col("timestamp_seconds") < F.lit(latest - delay_seconds) if latest is not None else F.lit(False)
-        quality = F.when(~F.coalesce(is_good, F.lit(False)), "BAD").when((F.col("_n") > 1) | F.col("_seen").isNotNull(), "DUPLICATE").when(late, "LATE").otherwise("GOOD")
-        rows.withColumn("quality", quality).drop("_n", "_seen").write.mode("overwrite").partitionBy("quality").parquet(f"{path}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def contains(points: list[tuple[float, float]], x: float, y: float) -> bool:
-    """Whether a polygon holds a point; its boundary belongs to it."""
-    inside = False
-    for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]], strict=True):
-        if abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) <= 1e-9 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
-            return True
-        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
-            inside = not inside
-    return inside
-
-
-class TrackState:
-    """One track's rules, fed in frame order: history, line, zone, wrong way and stays."""
-
-    def __init__(self) -> None:
-        self.history: list[tuple[int, float, float]] = []
-        self.crossed: set[str] = set()
-        self.inside: dict[str, bool] = {}
-        self.streak: dict[str, int] = {}
-        self.confirmed: set[str] = set()
-        self.stay: dict[str, list] = {}
-        self.still: dict[str, list] = {}
-
-    def _still_enough(self, zone: str, row, still: bool, scene: dict) -> bool:
-        """Whether a spell without movement, which another row or an absence breaks, has now lasted long enough; once for each spell."""
-        if not still or row.class_name not in scene["still_classes"]:
-            self.still.pop(zone, None)
-            return False
-        spell = self.still.get(zone)
-        if spell is None or row.timestamp_seconds - spell[1] > scene["missing"]:
-            spell = self.still[zone] = [row.timestamp_seconds, row.timestamp_seconds, False]
-        spell[1] = row.timestamp_seconds
-        if spell[2] or spell[1] - spell[0] < scene["still_seconds"]:
-            return False
-        spell[2] = True
-        return True
-
-    def update(self, row, scene: dict) -> list[tuple[str, str]]:
-        """(kind, line or zone) of the records that this observation makes."""
-        out: list[tuple[str, str]] = []
-        last = self.history[-1] if self.history else None
-        if last and row.frame_index <= last[0]:
-            return out
-        self.history = [*self.history, (row.frame_index, row.center_x, row.center_y)][-scene["history"] :]
-        px, py, gap = (last[1], last[2], row.frame_index - last[0]) if last else (row.center_x, row.center_y, 0)
-        dx, dy = row.center_x - px, row.center_y - py
-        nx, ny = row.center_x - self.history[0][1], row.center_y - self.history[0][2]
-        net = math.sqrt(nx * nx + ny * ny)
-        for line, (ax, ay, bx, by) in scene["lines"].get(row.source_id, {}).items():
-            if line in self.crossed or not 1 <= gap <= scene["gap"] or math.sqrt(dx * dx + dy * dy) < scene["movement"]:
-                continue
-            side = lambda x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)  # noqa: E731, B023
-            reach = lambda x, y: dx * (y - py) - dy * (x - px)  # noqa: E731, B023
-            s0, s1 = side(px, py), side(row.center_x, row.center_y)
-            if ((s0 > 1e-9 and s1 < -1e-9) or (s0 < -1e-9 and s1 > 1e-9)) and reach(ax, ay) * reach(bx, by) <= 1e-9:
-                self.crossed.add(line)
-                out.append(("LINE_CROSSING", line))
-        for zone, points in scene["zones"].get(row.source_id, {}).items():
-            here, was = contains(points, row.center_x, row.center_y), self.inside.get(zone)
-            self.inside[zone] = here
-            if was is not None and here != was:
-                out.append(("ZONE_ENTRY" if here else "ZONE_EXIT", zone))
-            sector = round(math.degrees(math.atan2(-ny, nx)) / 45) % 8
-            wrong = here and gap == 1 and row.class_name in scene["wrong_classes"] and net >= max(scene["wrong_net"], 5) and sector not in scene["allowed"]
-            self.streak[zone] = self.streak.get(zone, 0) + 1 if wrong else 0
-            if self.streak[zone] == scene["needed"] and zone not in self.confirmed:
-                self.confirmed.add(zone)
-                out.append(("WRONG_WAY", zone))
-            if not here:
-                self.stay.pop(zone, None)
-                self.still.pop(zone, None)
-                continue
-            if self._still_enough(zone, row, gap <= 1 and net / scene["diagonal"] <= scene["still_net"], scene):
-                out.append(("STATIONARY_VEHICLE", zone))
-            stay = self.stay.get(zone)
-            if stay is None or row.timestamp_seconds - stay[1] > scene["missing"]:
-                stay = self.stay[zone] = [row.timestamp_seconds, row.timestamp_seconds, False]
-            stay[1] = row.timestamp_seconds
-            if not stay[2] and stay[1] - stay[0] >= scene["dwell"]:
-                stay[2] = True
-                out.append(("LONG_DWELL", zone))
-        return out
-
-
-RECORD = "video_id string, track_id long, kind string, place string, frame_index long"
-
-
-def track_rules(stream: DataFrame, scene: dict, idle_ms: int = 60_000) -> DataFrame:
-    """Records of all per-track rules. Rows wait in state until the watermark has passed them, so late and mixed rows are handled in frame order; an idle track's state expires.
-
-    The state is a track's last points and small counters; it doesn't grow with the stream.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        track, waiting = pickle.loads(state.get[0]) if state.exists else (TrackState(), [])
-        for f in frames:
-            waiting += list(f[["frame_index", "timestamp_seconds", "source_id", "class_name", "center_x", "center_y", "ms"]].itertuples(index=False, name=None))
-        mark = state.getCurrentWatermarkMs()
-        waiting.sort()
-        ready = [w for w in waiting if w[6] <= mark]
-        waiting = [w for w in waiting if w[6] > mark]
-        out = []
-        for w in ready:
-            row = Row(*w)
-            out += [(*key, kind, place, row.frame_index) for kind, place in track.update(row, scene)]
-        if state.hasTimedOut and not waiting:
-            state.remove()
-        else:
-            state.update((pickle.dumps((track, waiting)),))
-            state.setTimeoutTimestamp(max(mark + 1, min(w[6] for w in waiting) if waiting else mark + idle_ms))
-        if out:
-            yield pd.DataFrame(out, columns=["video_id", "track_id", "kind", "place", "frame_index"])
-
-    rows = stream.withColumn("ms", F.unix_millis("event_ts"))
-    return rows.groupBy("video_id", "track_id").applyInPandasWithState(step, RECORD, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-class Row:
-    __slots__ = ("center_x", "center_y", "class_name", "frame_index", "ms", "source_id", "timestamp_seconds")
-
-    def __init__(self, frame_index, timestamp_seconds, source_id, class_name, center_x, center_y, ms):
-        self.frame_index, self.timestamp_seconds, self.source_id, self.class_name = int(frame_index), timestamp_seconds, source_id, class_name
-        self.center_x, self.center_y, self.ms = center_x, center_y, ms
-
-
 PAIR = "video_id string, zone_id string, frame_index long, person_track_id long, vehicle_track_id long"
 PAIR_STATE = "last long, run long, told boolean, frames array<long>, near array<boolean>, times array<long>"
 

@@ -10,7 +10,8 @@ from lanewise.operators import events as ev
 from lanewise.operators import reports as rp
 from lanewise.operators import tracks as tk
 from lanewise.plans.derived import Scene, values
-from lanewise.streaming.rules import Row, TrackState, pair_runs
+from lanewise.streaming.rules import pair_runs
+from lanewise.streaming.stateful import advance
 
 SCHEMA = "video_id string, source_id string, track_id long, frame_index long, timestamp_seconds double, class_name string, center_x double, center_y double, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -77,7 +78,7 @@ def test_rules_equal_sequential_model(spark):
     scene |= {"diagonal": float((2 * 100**2) ** 0.5), "still_classes": ("car",), "still_net": 0.1, "still_seconds": 0.3}
     want, states = set(), {}
     for t, f, x, y in sorted(points):
-        want |= {(t, k, f) for k, _ in states.setdefault(t, TrackState()).update(Row(f, f / 10, "s", "car", float(x), float(y), 0), scene)}
+        want |= {(t, k, f) for k, _ in advance(*states.setdefault(t, ([], {}, {})), (f, f / 10, "s", "car", float(x), float(y)), scene)}
     assert got == want
     assert {k for _, k, _ in got} == {"WRONG_WAY", "LONG_DWELL", "STATIONARY_VEHICLE", "ZONE_ENTRY", "ZONE_EXIT"}
 
