@@ -42,7 +42,7 @@ SHARED_WORDS, SHARED_BYTES = 1 << 17, 64
 #: Characters of the texts that are encoded together, and words that are replayed together, at most (but for single longer texts and words).
 GROUP_CHARS, REPLAY_BYTES = 12_000_000, 3_000_000
 #: Entries of the tables that a task keeps between groups of texts.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: Words that a task counts before it hands its counts on.
 COUNTED_WORDS = 200_000
 
@@ -282,25 +282,25 @@ class Table:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of all words of ``text``; words longer than SHARED_BYTES are left to the texts that hold them."""
+    """(word, n) of the words of ``text`` between spaces; runs of white space, and words longer than SHARED_BYTES, are left to the texts that hold them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter[str] = Counter()
+        pieces: Counter[str] = Counter()
 
         def counted() -> pa.RecordBatch:
             words: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                if len(chunk) <= SHARED_BYTES:
-                    for w in word_pattern().findall(chunk):
+            for piece, n in pieces.items():
+                if piece and len(piece) <= SHARED_BYTES:
+                    for w in word_pattern().findall(" " + piece):
                         words[w] += n
-            chunks.clear()
+            pieces.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b["text"].to_pylist():
                 if text:
-                    chunks.update(CHUNK.findall(text))
-                    if len(chunks) > COUNTED_WORDS:
+                    pieces.update(text.split(" "))
+                    if len(pieces) > COUNTED_WORDS:
                         yield counted()
         yield counted()
 
