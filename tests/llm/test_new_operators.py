@@ -235,3 +235,33 @@ def test_bpe_query(spark, library):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     empty = bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert empty.select(F.size("ids")).collect() == []
+
+
+# --- 10: long runs ---------------------------------------------------------------
+
+
+def test_base_matches_equal_the_patterns():
+    from lanewise.llm import pii
+
+    rng = random.Random(6)
+    parts = ["a", "b.", "@", "@@", "1", "22", ".", "..", "-", "+", "%", " ", "é", "x@y.z", "1.2.3.4", "(", "9" * 13, "c_d", "a-b.c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(20_000)]
+    texts += ["9" * 4000, "a" * 3000 + "@" + "b" * 3000, "1." * 2000, "1.1.1.1." * 500, "a@" * 1500, "a.b@c.d" * 500, "." * 3000 + "@a.b", "1..2.3.4.5.6.7.8.9"]
+    for t in texts:
+        for kind, pattern in pii.BASE.items():
+            assert list(pii.matches(kind, t)) == [m.span() for m in pattern.finditer(t)], (kind, t[:80])
+
+
+@pytest.mark.parametrize("text", ["9" * 1_000_000, "aB3" * 333_000 + " @ " + "x" * 10, "a" * 1_000_000 + "@b.c", "1.1.1.1." * 125_000, "+1" + " (" * 400_000, "a@" * 500_000, "1-" * 500_000])
+def test_long_runs_take_seconds(text):
+    import time
+
+    from lanewise.llm import pii
+
+    began = time.process_time()
+    pii.base_spans(text)
+    found = pii.candidates(text)
+    assert time.process_time() - began < 10
+    for c in found[:3]:
+        pii.features(text, *c)
+    assert time.process_time() - began < 12
