@@ -1,42 +1,71 @@
-"""Exact percentiles of groups of any size, without a group in one task."""
+"""Exact percentiles of groups of any size: ranges between sampled quantiles are narrowed in rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Equal ranges that a group's values are counted in.
-RANGES = 1_024
+from lanewise.operators.storage import saved
 
+#: Ranges that a round cuts a group's values into, and rows of a range that one task may put in order.
+RANGES, MOST_ROWS = 256, 4_000_000
+#: Accuracy of the quantile sketch: ranks are off by rows / ACCURACY at most.
+ACCURACY = 10_000
 
-def exact_percentiles(rows: DataFrame, by: str, value: str, wanted: dict[str, float]) -> DataFrame:
+
+def narrowed(values: DataFrame, targets: DataFrame, most: int = MOST_ROWS, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """``values`` (k, v) and ``targets`` (k, rank from 0), cut down to ranges of about ``most`` rows that hold the wanted ranks.
+
+    In each round a mergeable quantile sketch gives every group's splitters, so ranges hold about
+    equally many rows however the values are spread; rows by range are counted exactly, and only ranges with
+    a wanted rank stay, as groups of their own. A value that many rows share becomes a splitter, and its rows a
+    range that needs no order: rounds end when all other ranges are small.
+    """
+    grid = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    targets = targets.select("k", "rank", F.col("k").alias("of"), F.col("rank").alias("asked"))
+    while True:
+        sizes = values.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        if sizes.where((F.col("n") > most) & (F.col("lo") < F.col("hi"))).isEmpty():
+            return values, targets
+        cuts = values.groupBy("k").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", grid, F.lit(ACCURACY)))).alias("cuts"))
+        # A value's range: the splitters below it, and whether it is one itself, so that a frequent value stands alone.
+        below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+        number = 2 * below + F.array_contains("cuts", F.col("v")).cast("int")
+        placed = values.join(cuts, "k").select("k", number.alias("range"), "v")
+        counts = placed.groupBy("k", "range").agg(F.count("*").alias("here"))
+        until = F.sum("here").over(Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("until", until).withColumn("before", F.col("until") - F.col("here"))
+        met = targets.join(counts, "k").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("until")))
+        inner = F.concat_ws("/", "k", F.col("range").cast("string"))
+        targets = saved(met.select(inner.alias("k"), (F.col("rank") - F.col("before")).alias("rank"), "of", "asked"), "targets")
+        values = saved(placed.withColumn("k", inner).join(targets.select("k").distinct(), "k", "left_semi").select("k", "v"), "ranges")
+
+
+def exact_percentiles(rows: DataFrame, by: str, value: str, wanted: dict[str, float], most: int = MOST_ROWS, ranges: int = RANGES) -> DataFrame:
     """(by, one column for each of ``wanted``): percentiles with linear interpolation, as of the sorted values.
 
-    Values are counted first, with partial counts in each task. Counts by range say in
-    which ranges the wanted ranks are, and only these ranges are put in order. Null and NaN
-    values take no part; groups without others have no row.
+    Null and NaN values take no part; groups without others have no row. Equal values are
+    counted in each task before they are shuffled; a group of more than ``most`` rows is narrowed first.
     """
     v = F.col(value).cast("double")
-    counts = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(by, v.alias("v")).agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(F.col(by).alias("_of")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0)).cast("int")
-    placed = counts.join(bounds, F.col(by).eqNullSafe(F.col("_of"))).select(by, "v", "n", "total", place.alias("range"))
-    up_to = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = placed.groupBy(by, "range").agg(F.sum("n").alias("here"), F.max("total").alias("total")).withColumn("until", F.sum("here").over(up_to))
-    # The ranks just below and above each wanted place, from 0.
+    values = rows.where(v.isNotNull() & ~F.isnan(v)).select(F.to_json(F.struct(F.col(by).alias("g"))).alias("k"), F.col(by).alias("g"), v.alias("v"))
+    totals = saved(values.groupBy("k").agg(F.first("g").alias("g"), F.count("*").alias("total")), "totals")
     at = lambda q: F.lit(q) * (F.col("total") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at(q)).cast("long"), F.ceil(at(q)).cast("long")) for q in wanted.values()])))
-    held = ranges.withColumn("ranks", F.filter(ranks, lambda r: (r < F.col("until")) & (r >= F.col("until") - F.col("here")))).where(F.size("ranks") > 0)
-    held = held.select(F.col(by).alias("_by"), F.col("range").alias("_range"), (F.col("until") - F.col("here")).alias("before"), "ranks")
-    inside = placed.join(held, F.col(by).eqNullSafe(F.col("_by")) & (F.col("range") == F.col("_range")))
-    within = Window.partitionBy(by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("end", F.col("before") + F.sum("n").over(within))
-    found = inside.withColumn("rank", F.explode(F.filter("ranks", lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))))
-    known = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("known"), F.max("total").alias("total"))
+    targets = totals.select("k", F.explode(ranks).alias("rank"))
+    if totals.where(F.col("total") > most).isEmpty():
+        held, asked = values.select("k", "v"), targets.select("k", "rank", F.col("k").alias("of"), F.col("rank").alias("asked"))
+    else:
+        held, asked = narrowed(values.select("k", "v"), targets, most, ranges)
+    counts = held.groupBy("k", "v").agg(F.count("*").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    lists = asked.groupBy("k").agg(F.collect_list(F.struct("rank", "of", "asked")).alias("asked"))
+    found = counts.withColumn("end", end).join(lists, "k").select("v", F.explode(F.filter("asked", lambda a: (a["rank"] < F.col("end")) & (a["rank"] >= F.col("end") - F.col("n")))).alias("a"))
+    known = found.groupBy(F.col("a.of").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("a.asked", "v"))).alias("known")).join(totals, "k")
 
     def percentile(q: float):
         low, high = F.floor(at(q)).cast("long"), F.ceil(at(q)).cast("long")
         a, b = F.element_at("known", low), F.element_at("known", high)
         return a + (b - a) * (at(q) - low)
 
-    return known.select(by, *[percentile(q).alias(name) for name, q in wanted.items()])
+    return known.select(F.col("g").alias(by), *[percentile(q).alias(name) for name, q in wanted.items()])

@@ -6,37 +6,18 @@ import hashlib
 import itertools
 import math
 import re
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lanewise.functions.geometry import hamming64
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="lanewise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the shared folder."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from lanewise.operators.storage import dropped, fresh_path, saved  # noqa: F401
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
@@ -100,35 +81,89 @@ def near_overlap(candidates: DataFrame, references: DataFrame, threshold: int =
     return pairs.where((d <= threshold) & _first_meeting(a, b, masks)).select("candidate_print", "reference_print", d.alias("distance"))
 
 
+#: A label that more edges than this end at is dealt over SALTS tasks where edges meet labels.
+HUB_EDGES, SALTS = 20_000, 32
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame, end: str, hubs: DataFrame | None) -> DataFrame:
+    """``edges`` with the label of ``end`` in its place. ``hubs`` (node): few, since each has many edges; their rows are dealt by salt."""
+    other = "y" if end == "x" else "x"
+    if hubs is None:
+        return edges.join(labels.withColumnRenamed("node", end), end).select(F.col("label").alias(end), other)
+    flagged = edges.join(F.broadcast(hubs.select(F.col("node").alias(end), F.lit(True).alias("hub"))), end, "left")
+    salted = flagged.withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hub")
+    copies = labels.join(F.broadcast(hubs.select("node", F.lit(True).alias("hub"))), "node", "left")
+    copies = copies.select(F.col("node").alias(end), "label", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return salted.join(copies, [end, "salt"]).select(F.col("label").alias(end), other)
+
+
+def contracted(edges: DataFrame, seed: int = 1) -> tuple[list[DataFrame], list[int]]:
+    """Rounds of (node, label), each over the labels of the round before, until no edges are left; and the edges of each round.
+
+    In a round every node takes the neighbour, or itself, whose hash of this round is smallest, and edges
+    become edges between labels: loops and repeats go, and about half of all nodes. The first round takes ids for
+    hashes, so a star around its smallest node is one node after it, whatever its size. Minima are taken in each task before the shuffle, so a hub's edges never meet.
+    """
+    edges = saved(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    rounds, sizes = [], []
+    while n := edges.count():
+        sizes.append(n)
+        drawn = (lambda c: F.xxhash64(c, F.lit(seed + len(sizes)))) if rounds else (lambda c: F.lit(0))  # noqa: E731, B023
+        rank = lambda c: F.struct(drawn(c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        both = edges.select(F.col("x").alias("node"), rank("y").alias("r")).unionByName(edges.select(F.col("y").alias("node"), rank("x").alias("r")))
+        best = both.groupBy("node").agg(F.min("r").alias("r"), F.count("*").alias("degree"))
+        labels = saved(best.select("node", F.least("r", rank("node"))["v"].alias("label"), "degree"), "labels")
+        rounds.append(labels.select("node", "label"))
+        hubs = labels.where(F.col("degree") > HUB_EDGES).select("node")
+        hubs = None if n <= HUB_EDGES or hubs.isEmpty() else hubs
+        moved = _relabelled(_relabelled(edges, rounds[-1], "x", hubs), rounds[-1], "y", hubs)
+        after = saved(moved.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+        dropped(edges)
+        edges = after
+    dropped(edges)
+    return rounds, sizes
+
+
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable over ``edges`` (x, y), for all ``nodes`` (id). A round takes neighbours' labels and labels' labels."""
-    both = saved(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
-    labels = saved(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).withColumnRenamed("x", "id"), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("m")).withColumnRenamed("x", "id")
-        hop = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        after = saved(hop.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        labels = after.drop("was")
-        if after.where("root <> was").isEmpty():
-            return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    """(id, root): the smallest id reachable over ``edges`` (x, y), for all ``nodes`` (id)."""
+    rounds, _ = contracted(edges)
+    final = None
+    for labels in reversed(rounds):  # from the smallest round back: a label's own label, or itself
+        step = labels if final is None else labels.join(final.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+        final = saved(step, "labels")
+    every = nodes.select("id").distinct()
+    if final is None:
+        return every.withColumn("root", F.col("id"))
+    # The last label names a class; its smallest member is the root.
+    smallest = final.groupBy("label").agg(F.min("node").alias("low"))
+    named = final.join(smallest.select("label", F.least("low", "label").alias("root")), "label").select(F.col("node").alias("id"), "root")
+    return every.join(named, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def duplicate_groups(rows: DataFrame, threshold: int = 6) -> DataFrame:
     """Groups over equal sha, near prints and equal source groups. ``rows``: id, sha, print, source_group (may be null).
 
-    Equal shas and source groups are stars to their smallest id, never all pairs. Returns
-    id, group_root, group_size, exact_group_size, basis. ``rows`` is read several times: write it to a table first if it is costly.
+    Rows of one sha, print and source group are one node before any edge is made; equal shas, prints and source groups are
+    then stars to their smallest node, never all pairs. Returns id, group_root, group_size,
+    exact_group_size (1 without a sha), basis. ``rows`` is read several times: write it to a table first if it is costly.
     """
-    star = lambda key: rows.where(F.col(key).isNotNull()).join(rows.groupBy(key).agg(F.min("id").alias("x")), key).select("x", F.col("id").alias("y"))
-    holder = rows.groupBy("print").agg(F.min("id").alias("h"))
-    near = near_pairs(rows, threshold).join(holder.select(F.col("print").alias("a"), F.col("h").alias("x")), "a").join(holder.select(F.col("print").alias("b"), F.col("h").alias("y")), "b").select("x", "y")
-    roots = connected(star("sha").unionByName(star("source_group")).unionByName(star("print")).unionByName(near), rows)
-    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("group_size")), "root")
-    exact = rows.groupBy("sha").agg(F.count("*").alias("exact_group_size"))
-    out = rows.select("id", "sha").join(exact, "sha").join(sized, "id")
+    keys = ["sha", "print", "source_group"]
+    alike = saved(rows.groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("copies")), "alike")
+    star = lambda key: alike.where(F.col(key).isNotNull()).join(alike.groupBy(key).agg(F.min("node").alias("x"), F.count("*").alias("nodes")).where("nodes > 1"), key).select("x", F.col("node").alias("y"))
+    holder = alike.groupBy("print").agg(F.min("node").alias("h"))
+    near = near_pairs(alike, threshold).join(holder.select(F.col("print").alias("a"), F.col("h").alias("x")), "a").join(holder.select(F.col("print").alias("b"), F.col("h").alias("y")), "b").select("x", "y")
+    roots = connected(star("sha").unionByName(star("source_group")).unionByName(star("print")).unionByName(near), alike.select(F.col("node").alias("id")))
+    sized = alike.join(roots.withColumnRenamed("id", "node"), "node")
+    sizes = sized.groupBy("root").agg(F.sum("copies").alias("group_size"))
+    exact = alike.where("sha is not null").groupBy("sha").agg(F.sum("copies").alias("exact_group_size"))
+    # One row for a node; its members meet it by a key of all three columns.
+    classes = sized.join(sizes, "root").join(exact, "sha", "left").withColumn("exact_group_size", F.coalesce("exact_group_size", F.lit(1)))
+    named = classes.select(*[F.col(k).alias(f"n_{k}") for k in keys], "root", "group_size", "exact_group_size")
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"n_{k}"))
     basis = F.when(F.col("group_size") == 1, "SINGLETON").when(F.col("exact_group_size") == F.col("group_size"), "EXACT").when(F.col("exact_group_size") > 1, "EXACT_AND_NEAR").otherwise("NEAR")
-    return out.select("id", F.col("root").alias("group_root"), "group_size", "exact_group_size", basis.alias("basis"))
+    return rows.select("id", *keys).join(named, met).select("id", F.col("root").alias("group_root"), "group_size", "exact_group_size", basis.alias("basis"))
 
 
 def group_split(groups: DataFrame, ratios: dict[str, float], seed: int = 1601) -> DataFrame:

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import box, box_iou
+from lanewise.functions.scan import running_sums
 from lanewise.operators.tracks import scene_dim
 
 #: The ten overlap thresholds.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 METRICS = ("precision", "recall", "map50", "map50_95")
-#: Ranges of confidence in which running counts are made.
-CONFIDENCE_RANGES = 1_000
 
 
 def candidate_matches(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -40,32 +39,27 @@ def match_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 def average_precision(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """(class_name, threshold, ap, recall, precision): 101-point AP over the precision envelope; recall and precision after all predictions.
 
-    Predictions go by confidence, ties by image and index. Running counts are those of
-    the ranges of confidence before, which are small tables, and those within a range, so no
-    class is one task's.
+    Predictions go by confidence, ties by image and index. A prediction is one row with a
+    counter for each threshold; the counters run over ranges of predictions of about equal
+    size, so neither a class nor one confidence that all share is one task's.
     """
-    grid = F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")
     hits = match_predictions(truth, predictions).groupBy("image_id", "pred").agg(F.collect_set("threshold").alias("hit"))
-    # From 0 upward in the order of falling confidence.
-    place = (-F.floor(F.col("conf") * CONFIDENCE_RANGES)).cast("long").alias("range")
-    rows = predictions.select("image_id", "pred", "class_name", "conf", place).join(hits, ["image_id", "pred"], "left").select("*", grid)
-    rows = rows.withColumn("tp", F.coalesce(F.array_contains("hit", F.col("threshold")), F.lit(False)).cast("long")).drop("hit")
-    keys = ["class_name", "threshold"]
-    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy(*keys, "range").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
-    ranges = ranges.select(*keys, "range", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("tps_before"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("n_before"))
-    w = Window.partitionBy(*keys, "range").orderBy(F.desc("conf"), "image_id", "pred")
+    rows = predictions.select("image_id", "pred", "class_name", "conf").join(hits, ["image_id", "pred"], "left")
+    hit = lambda t: F.coalesce(F.array_contains("hit", F.lit(t)), F.lit(False)).cast("long")
+    rows = rows.select("image_id", "pred", "class_name", "conf", F.lit(1).cast("long").alias("one"), *[hit(t).alias(f"t{i}") for i, t in enumerate(THRESHOLDS)])
+    sums = {"n": "one"} | {f"tps{i}": f"t{i}" for i in range(len(THRESHOLDS))}
+    rows = running_sums(rows, ["class_name"], [F.desc("conf"), F.col("image_id"), F.col("pred")], sums)
     targets = truth.groupBy("class_name").agg(F.count("*").alias("targets"))
-    rows = rows.withColumn("tps", F.sum("tp").over(w)).withColumn("n", F.row_number().over(w)).join(ranges, [*keys, "range"]).join(scene_dim(targets), "class_name")
-    rows = rows.withColumns({"tps": F.col("tps") + F.col("tps_before"), "n": F.col("n") + F.col("n_before")})
+    counts = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"tps{i}").alias("tps")) for i, t in enumerate(THRESHOLDS)])
+    # Spread over thresholds only here, where sums by recall level take the rows in at once.
+    rows = rows.select("class_name", "n", F.explode(counts).alias("c")).join(scene_dim(targets), "class_name").select("class_name", "n", "targets", "c.*")
+    keys = ["class_name", "threshold"]
     rows = rows.withColumn("p", F.col("tps") / F.col("n")).withColumn("r", F.col("tps") / F.col("targets"))
     # The envelope at a recall level is the best precision at that recall or beyond.
-    best = rows.groupBy(*keys, F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("reach")).agg(F.max("p").alias("p"))
+    best = rows.groupBy(*keys, F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("reach")).agg(F.max("p").alias("p"), F.max("r").alias("r"), F.max_by("p", "n").alias("last_p"), F.max("n").alias("n"))
     ahead = Window.partitionBy(*keys).orderBy(F.desc("reach"))
     best = best.withColumn("envelope", F.max("p").over(ahead.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.coalesce(F.lead("reach").over(ahead), F.lit(-1)))
-    ap = best.groupBy(*keys).agg((F.sum(F.col("envelope") * (F.col("reach") - F.col("next"))) / 101).alias("ap"))
-    last = rows.groupBy(*keys).agg(F.max("r").alias("recall"), F.max_by("p", "n").alias("precision"))
-    return ap.join(last, keys)
+    return best.groupBy(*keys).agg((F.sum(F.col("envelope") * (F.col("reach") - F.col("next"))) / 101).alias("ap"), F.max("r").alias("recall"), F.max_by("last_p", "n").alias("precision"))
 
 
 def detection_metrics(truth: DataFrame, predictions: DataFrame, classes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lanewise.operators import events as ev
 from lanewise.operators import reports as rp
 from lanewise.operators import tracks as tk
-from lanewise.operators.duplicates import saved
+from lanewise.operators.storage import saved
 
 WIDTH, HEIGHT, FPS = 1920, 1080, 10
 SOURCES = ("highway", "downtown", "urban", "aerial")

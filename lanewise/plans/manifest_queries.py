@@ -13,7 +13,7 @@ from lanewise.operators import diagnostics as dg
 from lanewise.operators import duplicates as du
 from lanewise.operators import manifests as mf
 from lanewise.operators import sampling as sm
-from lanewise.operators.duplicates import saved
+from lanewise.operators.storage import saved
 from lanewise.plans.derived import HEIGHT, WIDTH, values
 from lanewise.plans.governance_queries import BASE, Datasets
 from lanewise.plans.track_queries import CTE as TRACKS

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.operators import tracks as tk
-from lanewise.operators.duplicates import saved
+from lanewise.operators.storage import saved
 from lanewise.plans.derived import BUCKET, HEIGHT, MISSING_SECONDS, SOURCES, VEHICLES, WIDTH, Scene
 from lanewise.plans.track_queries import CTE
 from lanewise.streaming import rules as st
