@@ -23,9 +23,11 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +40,7 @@ from pyspark.sql import types as T
 from lanewise.llm.common import drop_scratch, read_table, spread, write_scratch
 
 #: Words that all tasks share, at most; their bytes are bounded by SHARED_BYTES for each.
-SHARED_WORDS, SHARED_BYTES = 1 << 17, 64
+SHARED_WORDS, SHARED_BYTES = 1 << 18, 64
 #: Characters of the texts that are encoded together, and words that are replayed together, at most (but for single longer texts and words).
 GROUP_CHARS, REPLAY_BYTES = 12_000_000, 3_000_000
 #: Entries of the tables that a task keeps between groups of texts.
@@ -228,27 +230,36 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return out, np.r_[begin, ends[-1:]] if len(ends) else np.zeros(1, np.int64)
 
 
-def replayed(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
-    """Each word's ids; words are replayed in portions of bounded size."""
-    out: list[np.ndarray] = []
+def replayed(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`replay`, in portions of bounded size."""
+    ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     raw = [w.encode() for w in words]
+    sizes = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
     lo = 0
     while lo < len(raw):
-        hi, size = lo, 0
-        while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= REPLAY_BYTES):
-            size += len(raw[hi])
-            hi += 1
-        ids, starts = replay(raw[lo:hi], vocab)
-        out += np.split(ids, starts[1:-1])
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + REPLAY_BYTES, "right")))
+        part, starts = replay(raw[lo:hi], vocab)
+        ids.append(part)
+        lengths.append(np.diff(starts))
         lo = hi
-    return out
+    return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(lengths))]
+
+
+@dataclass
+class Shared:
+    """Words with their ids end to end, and where each word's begin (with the end of the last)."""
+
+    words: list[str] = field(default_factory=list)
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
 
 class Table:
     """Ids of the chunks that a task has met: a number for each chunk, and its ids."""
 
-    def __init__(self, vocab: Vocabulary, shared: dict[str, bytes]):
+    def __init__(self, vocab: Vocabulary, shared: Shared):
         self.vocab, self.shared = vocab, shared
+        self.place = dict(zip(shared.words, range(len(shared.words)), strict=True))
         self.clear()
 
     def clear(self) -> None:
@@ -265,15 +276,22 @@ class Table:
 
     def complete(self) -> None:
         """Encode the chunks that have been named since the last time."""
-        new = list(self.number)[len(self.starts) - 1 :]
-        words = [word_pattern().findall(c) for c in new]
-        unknown = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.shared]
-        own = dict(zip(unknown, replayed(unknown, self.vocab), strict=True))
-        parts = [own[w] if w in own else np.frombuffer(self.shared[w], np.int32) for ws in words for w in ws]
-        sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        counts = np.fromiter((len(ws) for ws in words), np.int64, len(words))
-        total = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
-        self.ids = np.concatenate([self.ids, *parts])
+        split = word_pattern().findall
+        words, counts = [], []
+        for chunk in itertools.islice(self.number, len(self.starts) - 1, None):
+            own = split(chunk)
+            words += own
+            counts.append(len(own))
+        first = len(self.shared.words)
+        new: dict[str, int] = {}
+        known = self.place.get
+        at = np.fromiter((new.setdefault(w, first + len(new)) if (i := known(w)) is None else i for w in words), np.int64, len(words))
+        ids, starts = replayed(list(new), self.vocab)
+        flat = np.concatenate([self.shared.ids, ids])
+        begin = np.concatenate([self.shared.starts, self.shared.starts[-1] + starts[1:]])
+        sizes = begin[at + 1] - begin[at]
+        total = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(np.array(counts, np.int64))]]
+        self.ids = np.concatenate([self.ids, flat[spread(begin[at], sizes)]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + total[1:]])
 
     def encoded(self, numbers: np.ndarray) -> np.ndarray:
@@ -307,7 +325,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(work, "word string, n long").where(F.octet_length("word") <= SHARED_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shared_words(texts: DataFrame, path: str, most: int = SHARED_WORDS) -> dict[str, bytes]:
+def shared_words(texts: DataFrame, path: str, most: int = SHARED_WORDS) -> Shared:
     """Ids of the corpus's most frequent words, replayed on the cluster; ``most`` words at most, none that occurs once only."""
     counts = write_scratch(word_counts(texts), "bpe-words")
     # How many words have each count, by steps of an eighth of a doubling: the lowest step down to which no more than ``most`` words lie.
@@ -320,19 +338,23 @@ def shared_words(texts: DataFrame, path: str, most: int = SHARED_WORDS) -> dict[
         least = r["step"]
     if least is None:
         drop_scratch(counts)
-        return {}
+        return Shared()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words = vocabulary(path), []
         for b in batches:
             words += b["word"].to_pylist()
         if words:
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([x.tobytes() for x in replayed(words, vocab)], pa.binary())], ["word", "ids"])
+            ids, starts = replayed(words, vocab)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], ["word", "ids"])
 
     frequent = counts.where((F.col("n") > 1) & (step >= least)).select("word").repartition("word")
-    out = frequent.mapInArrow(work, "word string, ids binary").toArrow()
+    out = frequent.mapInArrow(work, "word string, ids array<int>").toArrow()
     drop_scratch(counts)
-    return dict(zip(out["word"].to_pylist(), out["ids"].to_pylist(), strict=True))
+    ids = out["ids"].combine_chunks()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    sizes = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    return Shared(out["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.r_[0, np.cumsum(sizes, dtype=np.int64)])
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", shared: int = SHARED_WORDS) -> DataFrame:
@@ -343,7 +365,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     empty table gives an empty one; other columns stay, one that is named ``ids_col`` is replaced.
     """
     spark = df.sparkSession
-    frequent = shared_words(df.select(F.col(text_col).alias("text")), path, shared) if shared else {}
+    frequent = shared_words(df.select(F.col(text_col).alias("text")), path, shared) if shared else Shared()
     known = spark.sparkContext.broadcast(frequent)
     rest = df.drop(ids_col)
     schema = T.StructType([*[f for f in rest.schema.fields if f.name != text_col], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])

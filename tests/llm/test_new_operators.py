@@ -208,14 +208,15 @@ def test_ranks_in_any_order(tmp_path):
         library = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         vocab = bpe.vocabulary(str(path))
         words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
-        assert [x.tolist() for x in bpe.replayed(words, vocab)] == [library.encode_ordinary(w) for w in words]
+        ids, starts = bpe.replayed(words, vocab)
+        assert [ids[lo:hi].tolist() for lo, hi in zip(starts[:-1], starts[1:], strict=True)] == [library.encode_ordinary(w) for w in words]
 
 
 def test_groups_of_texts_and_tables_are_bounded(spark, library, monkeypatch):
     monkeypatch.setattr(bpe, "GROUP_CHARS", 40)
     monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
     monkeypatch.setattr(bpe, "REPLAY_BYTES", 20)
-    table = bpe.Table(bpe.vocabulary(PATH), {})
+    table = bpe.Table(bpe.vocabulary(PATH), bpe.Shared())
     for t in odd_texts(9, 200):
         numbers = table.numbers(t)
         table.complete()
