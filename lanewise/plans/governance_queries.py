@@ -6,7 +6,7 @@ prints from ``embeddings``, content groups from ``documents``.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ from lanewise.operators import diagnostics as dg
 from lanewise.operators import duplicates as du
 from lanewise.operators import evaluation as el
 from lanewise.operators import manifests as mf
+from lanewise.operators import merkle as mk
 from lanewise.operators import sampling as sm
+from lanewise.operators.storage import saved
 from lanewise.plans.derived import CLASSES, FPS, HEIGHT, WIDTH, Scene, table, values
 from lanewise.plans.track_queries import CTE as TRACKS
 
@@ -341,14 +343,74 @@ lead_of as (select sha, leader from run where k > 0),
 lead_names as (select lead_heads.candidate_id as leader, row_number() over (order by lead_heads.video_id, lead_heads.frame_index, lead_heads.candidate_id) as n from lead_heads join lead_of using (sha) where lead_of.leader = lead_heads.candidate_id)
 """
 
+_DIGEST = "md5(concat(case when doc_id is null then 'N' else 'V' || length(cast(doc_id as varchar)) || ':' || doc_id end, case when text is null then 'N' else 'V' || length(text) || ':' || text end))"
+#: Every level of the tree, straight from the rows.
+MERKLE = f"""
+with d as (select doc_id, {_DIGEST} as h from documents),
+r as (select doc_id, ('0x' || substr(h, 1, 16))::ubigint::hugeint as a, ('0x' || substr(h, 17, 16))::ubigint::hugeint as b from d)
+select level, case when level = 3 then 'root' else cast(cast(floor(doc_id / (256 * power(16, level))) as bigint) as varchar) end as node, count(*) as rows,
+  cast(sum(a) % 18446744073709551616 as varchar) || ':' || cast(sum(b) % 18446744073709551616 as varchar) as digest
+from r, (values (0), (1), (2), (3)) l(level) group by 1, 2
+"""
+CHANGED = "select doc_id, case when doc_id % 97 = 1 then 'MISSING' when doc_id % 97 = 2 then 'CHANGED' else 'UNEXPECTED' end as status from documents where doc_id % 97 between 1 and 3 and doc_id % 1000 < 300"
+
+
+def _changed(d: Datasets) -> DataFrame:
+    """Documents against a copy in which some ranges have lost, changed and gained rows."""
+    rows = d.table("documents").select("doc_id", "text")
+    touched = F.expr("doc_id % 1000 < 300")
+    left = rows.where(~(touched & (F.col("doc_id") % 97 == 3)))
+    right = rows.where(~(touched & (F.col("doc_id") % 97 == 1))).withColumn("text", F.when(touched & (F.col("doc_id") % 97 == 2), F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text")))
+    leaf = mk.id_leaf("doc_id")
+    trees = [saved(mk.tree(side, leaf, mk.id_parent, 3, "doc_id", "text"), "tree") for side in (left, right)]
+    return mk.changed_rows(left, right, mk.differing_leaves(*trees, 3), leaf, "doc_id", "doc_id", "text")
+
+
+#: Contracts that hold and contracts that don't, by table.
+_WANTED = {"events": ("event_id", "user_id", "ts"), "orders": ("o_orderkey", "o_custkey"), "documents": ("doc_id", "checksum", "author"), "pages": ("page_id", "status")}
+CONTRACTS = """
+select 'events' as name, '' as missing, count(*) as rows from events union all select 'orders', '', count(*) from orders
+union all select 'documents', 'author,checksum', 0 union all select 'pages', 'status', 0
+"""
+
+
+def _contracts(d: Datasets) -> DataFrame:
+    """The guard's verdict on several tables; those that pass are read and counted."""
+    out = []
+    for name, columns in _WANTED.items():
+        table = d.table(name)
+        missing = ""
+        try:
+            dg.require_columns(table, columns, name)
+        except ValueError:
+            missing = ",".join(sorted(set(columns) - set(table.columns)))
+        counted = table.agg(F.count("*").alias("rows")) if not missing else d.spark.range(1).select(F.lit(0).cast("long").alias("rows"))
+        out.append(counted.select(F.lit(name).alias("name"), F.lit(missing).alias("missing"), "rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _usage(d: Datasets) -> DataFrame:
+    """Every locked item under every purpose, and whether the guard lets it through."""
+    out = []
+    for purpose in ("overlap_only", "training", "evaluation"):
+        try:
+            du.usage_guard(purpose)
+            allowed = True
+        except ValueError:
+            allowed = False
+        out.append(d.items.select("id", F.lit(purpose).alias("purpose"), F.lit(allowed).alias("allowed")))
+    return reduce(DataFrame.unionByName, out)
+
+
 QUERIES = {
     # A, B
     "observation_quality": (lambda d: dg.observation_quality(d.scene.tracks.withColumn("confidence", F.when(F.col("track_id") % 50 == 0, 1.5).otherwise(F.col("confidence"))).withColumn("x2", F.when(F.col("track_id") % 41 == 0, F.lit(-1.0)).otherwise(F.col("x2"))).withColumn("timestamp_seconds", F.when(F.col("track_id") % 37 == 0, -F.col("timestamp_seconds")).otherwise(F.col("timestamp_seconds"))), CLASSES), TRACKS + "select video_id, track_id, frame_index, 'BAD_CONFIDENCE' as issue from tracks where track_id % 50 = 0 union all select video_id, track_id, frame_index, 'BAD_BOX' from tracks where track_id % 41 = 0 and -1 < x1 or (track_id % 41 <> 0 and x2 < x1) union all select video_id, track_id, frame_index, 'NON_ADVANCING_FRAME' from (select *, max(frame_index) over (partition by video_id, track_id) as m from tracks) where track_id % 37 = 0 and frame_index < m"),
-    "require_columns": (lambda d: (dg.require_columns(d.table("events"), ("event_id", "user_id", "ts"), "events"), d.table("events").groupBy("user_id").agg(F.count("*").alias("events")))[1], "select user_id, count(*) as events from events group by all"),
+    "require_columns": (_contracts, CONTRACTS),
     "video_metadata_validate": (lambda d: dg.video_metadata_validate(d.scene.videos.select("video_id", F.when(F.col("video_id") == "v1", 0).otherwise(1920).alias("width"), F.lit(1080).alias("height"), F.when(F.col("video_id") == "v2", 240.0).otherwise(10.0).alias("fps"), "frame_count")), TRACKS + "select video_id, case when video_id = 'v1' then 0 else 1920 end as width, 1080 as height, case when video_id = 'v2' then 240.0 else 10.0 end as fps, frame_count, case when video_id = 'v1' then 'FAIL' when video_id = 'v2' then 'WARNING' else 'PASS' end as status, case when video_id = 'v1' then 'invalid resolution' when video_id = 'v2' then 'unusual fps' else '' end as message from videos"),
     "run_validation": (lambda d: dg.run_validation(d.scene.videos.select("video_id", F.col("frame_count").alias("expected_frames"), (F.col("frame_count") - (F.col("video_id") == "v3").cast("int")).alias("processed_frames"), F.col("frame_count").alias("output_frames"))), TRACKS + "select video_id, frame_count as expected_frames, frame_count - (video_id = 'v3')::int as processed_frames, frame_count as output_frames, case when video_id = 'v3' then 'FAIL' else 'PASS' end as status, case when video_id = 'v3' then 'processed frames differ; output frames differ' else '' end as message from videos"),
     "runtime_profile": (lambda d: dg.runtime_profile(d.scene.videos.select("video_id", "source_id"), values(d.spark, "source_id, profile", [("'aerial'", "'aerial_960'")]), "default_640"), TRACKS + "select source_id, video_id, case when source_id = 'aerial' then 'aerial_960' else 'default_640' end as profile from videos"),
-    "content_fingerprint": (lambda d: dg.table_fingerprint(d.table("documents"), ["doc_id", "text"], "doc_id").select("rows"), "select count(*) as rows from documents"),
+    "content_fingerprint": (lambda d: mk.digests(mk.tree(d.table("documents"), mk.id_leaf("doc_id"), mk.id_parent, 3, "doc_id", "text")), MERKLE),
+    "changed_ranges": (_changed, CHANGED),
     "content_digest": (lambda d: dg.table_fingerprint(d.table("documents"), ["doc_id", "text"], "doc_id"), None),
     "integrity_compare": (lambda d: dg.integrity_compare(d.contents.select(F.col("id").alias("asset"), F.col("sha").alias("digest")).where("id % 10 <> 1"), d.contents.select(F.col("id").alias("asset"), F.when(F.col("id") % 10 == 2, F.lit("x")).otherwise(F.col("sha")).alias("digest")).where("id % 10 <> 3")), "select doc_id as asset, case doc_id % 10 when 1 then 'UNEXPECTED' when 3 then 'MISSING' when 2 then 'CHANGED' else 'MATCH' end as status from documents"),
     "map_class": (lambda d: d.boxes.select(lb.map_class(F.col("class_name"), {"person": "PERSON", "car": "VEHICLE"}).alias("mapped")).groupBy("mapped").agg(F.count("*").alias("rows")), BASE + "select case class_name when 'person' then 'PERSON' when 'car' then 'VEHICLE' end as mapped, count(*) as rows from bx group by all"),
@@ -400,7 +462,7 @@ QUERIES = {
     "isolation_check": (lambda d: du.isolation_check(d.manifest.where("split = 'TRAIN' or image_id % 50 = 0"), d.manifest, ("TRAIN",)), BASE + "select 0::bigint as missing, count(*) filter (split <> 'TRAIN' and image_id % 50 = 0) as forbidden, case when count(*) filter (split <> 'TRAIN' and image_id % 50 = 0) = 0 then 'PASS' else 'FAIL' end as status from ms"),
     "materialize_split": (lambda d: du.materialize_split(d.manifest.join(d.contents.select(F.col("id").alias("image_id"), F.when(F.col("id") % 31 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha256")), "image_id"), d.table("documents").select(F.col("doc_id").alias("image_id"), F.col("text").alias("content")).where("image_id % 29 <> 0"), du.fresh_path(d.spark, "split")).select("image_id", "split", "status"), BASE + "select image_id, split, case when image_id % 29 = 0 then 'MISSING' when image_id % 31 = 0 then 'DIFFERENT' else 'VERIFIED' end as status from ms where split in ('TRAIN', 'VAL')"),
     "cross_dataset_overlap": (lambda d: du.overlap_report(d.texts.where("not known"), {"labelled": d.texts.where("known"), "benchmark": d.items}, 6), BASE + ", rf as (select 'labelled' as dataset, id, sha, bits from tx where known union all select 'benchmark', id, sha, bits from bm) select c.id as candidate, dataset, 'EXACT' as match_type, min(r.id) as reference, count(*) as \"references\" from tx c join rf r using (sha) where not c.known group by c.id, dataset union all select c.id, dataset, 'NEAR', min(r.id), count(*) from tx c join rf r on c.sha <> r.sha and bit_count(xor(c.bits::bit, r.bits::bit)) <= 6 where not c.known group by c.id, dataset, r.bits"),
-    "usage_guard": (lambda d: (du.usage_guard("overlap_only"), d.items.select("id", "sha"))[1], BASE + "select id, sha from bm"),
+    "usage_guard": (_usage, BASE + "select id, 'overlap_only' as purpose, true as allowed from bm union all select id, 'training', false from bm union all select id, 'evaluation', false from bm"),
     "cross_partition_groups": (lambda d: d.contents.groupBy("sha").agg(F.count_distinct("source").alias("partitions")).where("partitions > 1"), BASE + "select sha, count(distinct source) as partitions from ct group by sha having count(distinct source) > 1"),
     # J
     "match_predictions": (lambda d: _hits(d), BASE + "select image_id, threshold, pred, gt from mt"),

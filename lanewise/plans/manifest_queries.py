@@ -12,6 +12,7 @@ from lanewise.operators import annotations as an
 from lanewise.operators import diagnostics as dg
 from lanewise.operators import duplicates as du
 from lanewise.operators import manifests as mf
+from lanewise.operators import merkle as mk
 from lanewise.operators import sampling as sm
 from lanewise.operators.storage import saved
 from lanewise.plans.derived import HEIGHT, WIDTH, values
@@ -72,12 +73,21 @@ def _normalized(d: Datasets):
     return an.normalize_boxes(rows)
 
 
+#: The tree of (name, digest) by the first digits of the names' MD5, straight from the rows.
+TREE = """
+with f as (select cast(doc_id as varchar) as name, sha256(text) as digest from documents),
+h as (select md5(name) as path, md5(concat('V' || length(name) || ':' || name, case when digest is null then 'N' else 'V64:' || digest end)) as h from f)
+select level, case when level = 2 then 'root' else substr(path, 1, 2 - level) end as node, count(*) as rows,
+  cast(sum(('0x' || substr(h, 1, 16))::ubigint::hugeint) % 18446744073709551616 as varchar) || ':' || cast(sum(('0x' || substr(h, 17, 16))::ubigint::hugeint) % 18446744073709551616 as varchar) as digest
+from h, (values (0), (1), (2)) l(level) group by 1, 2
+"""
+
 QUERIES = {
     "runtime_sources": (lambda d: tb.runtime_sources(_pages(d)), "select page_id, 'video' as asset_type, 'runtime_demo' as role from pages where page_id % 6 = 0"),
     "zone_summary_json": (lambda d: tb.flatten_zone_summary(_zone_json(d)), TRACKS + "select * from zs"),
     "track_records": (lambda d: tb.track_records(d.scene.tracks.drop("class_name", "center_x", "center_y").withColumn("class_id", (F.col("track_id") % 6).cast("int")), values(d.spark, "class_id, class_name", [("0", "'person'"), ("2", "'car'")])).select("track_id", "frame_index", "class_name", "center_x", "center_y"), TRACKS + "select track_id, frame_index, class_name, (x1 + x2) / 2 as center_x, (y1 + y2) / 2 as center_y from tracks where class_name in ('person', 'car')"),
     "write_tables": (_written, TRACKS + "select source_id, count(*) as rows, round(sum(center_x), 3) as sum_x from tracks group by all"),
-    "tree_fingerprint": (lambda d: tb.tree_fingerprint(d.table("documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))).select("files"), "select count(*) as files from documents"),
+    "tree_fingerprint": (lambda d: mk.digests(mk.tree(d.table("documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest")), mk.name_leaf("name", 2), mk.name_parent, 2, "name", "digest")), TREE),
     "tree_digest": (lambda d: tb.tree_fingerprint(d.table("documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest"))), None),
     "in_ranges": (lambda d: d.scene.tracks.select("track_id", "frame_index", in_ranges(F.col("frame_index"), [(3, 9), (30, 41)]).alias("inside")), TRACKS + "select track_id, frame_index, frame_index between 3 and 9 or frame_index between 30 and 41 as inside from tracks"),
     "context_tags": (lambda d: d.areas.groupBy("image_id").agg(F.collect_set("class_name").alias("c")).select("image_id", F.array_join(lb.context_tags(F.col("c")), ";").alias("tags")), BASE + "select image_id, case when not bool_or(class_name = 'person') then '' when bool_or(class_name = 'bicycle') and bool_or(class_name = 'car') then 'PERSON_BICYCLE;PERSON_CAR;PERSON_MULTI_TRAFFIC' when bool_or(class_name = 'bicycle') then 'PERSON_BICYCLE' when bool_or(class_name = 'car') then 'PERSON_CAR' else 'PERSON_ONLY' end as tags from ar group by all"),
