@@ -14,13 +14,11 @@ conversation's start. One that declares that a turn's markup depends on no more
 last ``look_back`` turns is given windows of that many turns that slide along the
 conversation, so the work is linear in its length. The declaration is not trusted: at
 each slide the window's output must be the tail of the longer window's, and at doubling
-numbers of turns and at the end the whole prefix, while it has at most CHECKED_CHARS
-characters, must render to what the pieces gave. A template that fails is an error.
+numbers of turns and at the end the whole prefix, however long, must render to what the
+pieces gave. A template that fails is an error. The registered query declares nothing.
 
 Spark shuffles the turns once by conversation and sorts them; each conversation is
-then streamed. With a declared look-back the state is a window of turns, the checked
-prefix, a few counters and two running digests, so a conversation of any length passes in
-bounded memory.
+then streamed, and one conversation's turns, two outputs and running digests are what a task holds.
 """
 
 from __future__ import annotations
@@ -36,8 +34,6 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import read_table
 
 Turn = tuple[str, str]
-#: Characters of a prefix up to which a declared look-back is checked against the whole prefix.
-CHECKED_CHARS = 1 << 20
 #: The template's control strings.
 HEAD, STOP = "###", "</turn>"
 
@@ -91,10 +87,9 @@ class Renderer:
         self.output = ""  # the template's output for them
         self.rewrites = False
         self.opening = template.render([])
-        # The prefix that a declared look-back is checked on, its pieces and its length; None when it has grown too long.
-        self.whole: list[Turn] | None = None if self.window is None else []
-        self.pieces: list[str] = []
-        self.chars = 0
+        # With a declared look-back: all turns, and a running digest of their pieces, which the whole rendering is held against.
+        self.whole: list[Turn] = []
+        self.digest = hashlib.sha256()
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         render = self.template.render
@@ -117,7 +112,7 @@ class Renderer:
         return piece, head, len(piece) - tail
 
     def finish(self) -> None:
-        if self.whole:
+        if self.window is not None:
             self._check()
 
     def _slide(self, after: str) -> None:
@@ -129,17 +124,13 @@ class Renderer:
             self.seen, self.output = self.seen[1:], shorter
 
     def _note(self, role: str, text: str, piece: str) -> None:
-        if self.whole is not None:
-            self.whole.append((role, text))
-            self.pieces.append(piece)
-            self.chars += len(piece)
-            if len(self.whole) & (len(self.whole) - 1) == 0 or self.chars > CHECKED_CHARS:
-                self._check()
-            if self.chars > CHECKED_CHARS:
-                self.whole, self.pieces = None, []
+        self.whole.append((role, text))
+        self.digest.update(piece.encode("utf-8", "surrogatepass"))
+        if len(self.whole) & (len(self.whole) - 1) == 0:  # at doubling lengths, so all checks together cost about two renderings
+            self._check()
 
     def _check(self) -> None:
-        if self.template.render(self.whole) != "".join(self.pieces):
+        if hashlib.sha256(self.template.render(self.whole).encode("utf-8", "surrogatepass")).digest() != self.digest.digest():
             raise self._broken()
 
     def _broken(self) -> ValueError:
@@ -245,9 +236,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+class WholePrefixes(TurnTemplate):
+    """The same template without a declaration: every prefix is rendered whole and compared with the one before."""
+
+    look_back = None
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format every conversation, and one whose texts hold control strings, and read the output back."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
-    return read_back(format_conversations(turns.unionByName(extra)))
+    return read_back(format_conversations(turns.unionByName(extra), WholePrefixes))

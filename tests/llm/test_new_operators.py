@@ -266,3 +266,48 @@ def test_long_runs_take_seconds(text):
     for c in found[:3]:
         pii.features(text, *c)
     assert time.process_time() - began < 12
+
+
+# --- 2: late rewrites ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("look_back", [1, None])
+def test_a_rewrite_after_millions_of_characters_is_noticed(look_back):
+    from lanewise.llm import chat
+
+    class Late(chat.TurnTemplate):
+        """Counts all turns at the very start once there are more than 40."""
+
+        def render(self, turns):
+            return ("" if len(turns) <= 40 else f"({len(turns)})") + super().render(turns)
+
+    Late.look_back = look_back
+    renderer = chat.Renderer(Late())
+    turns = [("user", "x" * 60_000)] * 45
+    if look_back is None:
+        for t in turns:
+            renderer.add(*t)
+        renderer.finish()
+        assert renderer.rewrites
+    else:
+        with pytest.raises(ValueError, match="look-back"):
+            for t in turns:
+                renderer.add(*t)
+            renderer.finish()
+
+
+def test_chat_query_renders_prefixes():
+    from lanewise.llm import chat
+
+    asked = []
+
+    class Spy(chat.WholePrefixes):
+        def render(self, turns):
+            asked.append(len(turns))
+            return super().render(turns)
+
+    renderer = chat.Renderer(Spy())
+    for i in range(6):
+        renderer.add("user", f"{i}")
+    assert max(asked) == 6
+    assert set(range(7)) <= set(asked)
