@@ -55,8 +55,10 @@ def apply_policy(events: DataFrame, policy: DataFrame, restricted: DataFrame) ->
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
-    """One event for each key; null ids are equal."""
-    return events.dropDuplicates(list(KEY))
+    """One event for each key, the first by all other columns; null ids are equal."""
+    rest = [c for c in events.columns if c not in KEY]
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*rest))
+    return events.withColumn("_first", first).where("_first = 1").drop("_first")
 
 
 def numbered(events: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import box, overlap_smaller
+from lanewise.functions.scan import running_sums
+from lanewise.operators.storage import saved
 from lanewise.operators.tracks import scene_dim
 
 #: Fixed value: how groups of frames are named.
@@ -138,10 +140,11 @@ def leader_groups(rows: DataFrame, threshold: int, gaps: DataFrame) -> DataFrame
 
     kind = rows.schema["candidate_id"].dataType.simpleString()
     led = heads.repartition("video_id", "island").sortWithinPartitions("video_id", "island", "frame_index", "candidate_id").mapInArrow(walk, f"head {kind}, leader {kind}")
-    # Groups are numbered in the order of their leaders: a number within the video after the leaders of the videos before.
-    chosen = heads.join(led.where("head = leader"), F.col("candidate_id") == F.col("head")).select("leader", "video_id", F.row_number().over(order).alias("n"))
-    offsets = chosen.groupBy("video_id").agg(F.count("*").alias("c")).select("video_id", F.coalesce(F.sum("c").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    named = chosen.join(scene_dim(offsets), "video_id").select("leader", F.format_string(f"{GROUP_PREFIX}%05d", F.col("n") + F.col("offset")).alias("duplicate_group_id"))
+    led = saved(led, "leaders")  # one walk, whatever is made of it
+    # Groups are numbered in the order of their leaders, over ranges of leaders.
+    chosen = heads.join(led.where("head = leader"), F.col("candidate_id") == F.col("head")).select("leader", "video_id", "frame_index", "candidate_id", F.lit(1).cast("long").alias("one"))
+    chosen = running_sums(chosen, [], [F.col("video_id"), F.col("frame_index"), F.col("candidate_id")], {"n": "one"})
+    named = chosen.select("leader", F.format_string(f"{GROUP_PREFIX}%05d", F.col("n")).alias("duplicate_group_id"))
     # Sizes are counted by sha and by group before they meet the rows, so a hot sha is a row.
     shas = rows.groupBy("sha").agg(F.count("*").alias("exact_duplicate_group_size")).join(heads.select("sha", F.col("candidate_id").alias("head")), "sha").join(led, "head").join(named, "leader")
     sizes = shas.groupBy("duplicate_group_id").agg(F.sum("exact_duplicate_group_size").alias("group_size"))
@@ -168,10 +171,37 @@ def pilot_selection(profiles: DataFrame, limit: int, seed: int) -> DataFrame:
     return profiles.where("candidate_status = 'ELIGIBLE'").orderBy(rare, F.desc("traffic_box_count"), F.desc(hard), seeded(seed, "image_id"), "image_id").limit(limit)
 
 
-def exclude_ranges(frames: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Frames outside every inclusive range of their video. ``ranges``: video_id, start_frame, end_frame."""
-    r = F.broadcast(ranges) if ranges.isLocal() else ranges
-    return frames.join(r, (frames["video_id"] == r["video_id"]) & frames["frame_index"].between(r["start_frame"], r["end_frame"]), "left_anti")
+#: Frames of a bucket in which frames meet ranges.
+BUCKET_FRAMES = 256
+
+
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """(video_id, start_frame, end_frame): what inclusive ranges cover, as ranges that neither overlap nor touch. Ranges that end before they start cover nothing."""
+    w = Window.partitionBy("video_id").orderBy("start_frame", "end_frame")
+    before = F.max("end_frame").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("start_frame") > before + 1).cast("int"), F.lit(1))
+    islands = ranges.where("start_frame <= end_frame").select("video_id", "start_frame", "end_frame").withColumn("_new", begins).withColumn("_n", F.sum("_new").over(w))
+    return islands.groupBy("video_id", "_n").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame")).drop("_n")
+
+
+def bucketed_ranges(ranges: DataFrame, bucket: int = BUCKET_FRAMES) -> DataFrame:
+    """(video_id, bucket_, lo_, hi_): merged ranges cut at the ends of buckets of frames."""
+    number = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    cut = merged_ranges(ranges).withColumn("bucket_", F.explode(F.sequence(number("start_frame"), number("end_frame"))))
+    return cut.select("video_id", "bucket_", F.greatest(F.col("start_frame"), F.col("bucket_") * bucket).alias("lo_"), F.least(F.col("end_frame"), (F.col("bucket_") + 1) * bucket - 1).alias("hi_"))
+
+
+def exclude_ranges(frames: DataFrame, ranges: DataFrame, bucket: int = BUCKET_FRAMES) -> DataFrame:
+    """Frames outside every inclusive range of their video. ``ranges``: video_id, start_frame, end_frame.
+
+    Frames and ranges meet by video and bucket of frames, in an equality join, so a video with
+    very many ranges is spread over tasks and a frame is held against the few merged ranges of its bucket.
+    Rows without a video or a frame lie in no range.
+    """
+    inside = bucketed_ranges(ranges, bucket).withColumnRenamed("video_id", "video_")
+    keyed = frames.withColumn("bucket_of_", F.floor(F.col("frame_index") / bucket).cast("long"))
+    met = (F.col("video_id") == F.col("video_")) & (F.col("bucket_of_") == F.col("bucket_")) & F.col("frame_index").between(F.col("lo_"), F.col("hi_"))
+    return keyed.join(inside, met, "left_anti").drop("bucket_of_")
 
 
 def previews_per_class(boxes: DataFrame, n: int) -> DataFrame:

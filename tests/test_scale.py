@@ -138,3 +138,32 @@ def test_duplicate_groups_with_hot_copies(spark):
     assert (got[20_000].group_root, got[20_000].basis) == (0, "NEAR")
     assert (got[20_001].group_root, got[20_001].exact_group_size, got[20_001].basis) == (20_001, 1, "SINGLETON")
     assert len({got[3_000 + i].group_root for i in range(5)}) == 1
+
+
+def test_ranges_meet_frames_by_bucket(spark):
+    from lanewise.operators import sampling as sm
+
+    rng = random.Random(3)
+    ranges = [("v", lo := rng.randrange(40_000), lo + rng.randrange(-3, 30)) for _ in range(1_500)] + [("v", 0, 5), ("v", 6, 9), ("v", 20_000, 23_000), ("w", 7, 7), ("w", 7, 7)]
+    frames = [("v", f) for f in range(0, 41_000, 3)] + [("w", f) for f in range(20)] + [("x", 1), (None, 1), ("v", None)]
+    covered = {(v, f) for v, lo, hi in ranges for f in range(lo, hi + 1)}
+    r = spark.createDataFrame(ranges, "video_id string, start_frame long, end_frame long")
+    f = spark.createDataFrame(frames, "video_id string, frame_index long")
+    for bucket in (16, 256):
+        out = sm.exclude_ranges(f, r, bucket)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted((x for x in frames if x not in covered), key=str)
+    merged = sorted((m.start_frame, m.end_frame) for m in sm.merged_ranges(r).where("video_id = 'v'").collect())
+    assert all(b[0] > a[1] + 1 for a, b in zip(merged, merged[1:], strict=False))
+    assert sum(hi - lo + 1 for lo, hi in merged) == len({f for v, f in covered if v == "v"})
+
+
+def test_many_ranges_of_one_video_need_no_nested_loop(spark):
+    from lanewise.operators import sampling as sm
+
+    r = spark.range(100_000).select(F.lit("v").alias("video_id"), (F.col("id") * 10).alias("start_frame"), (F.col("id") * 10 + 3).alias("end_frame"))
+    f = spark.range(1_000_000).select(F.lit("v").alias("video_id"), F.col("id").alias("frame_index"))
+    out = sm.exclude_ranges(f, r)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    assert "Cartesian" not in plan
+    assert out.count() == 600_000
