@@ -47,6 +47,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 32_768, 512
 LEAST_DEPTH = 4
 #: Rows of a packed block, at most.
 BLOCK_ROWS = 2_048
+#: Parts that a leaf's blocks are dealt over, at least, and blocks of a part, about.
+LEAF_SALTS, SALT_BLOCKS = 4, 8
 #: Rows of partial results that a task holds, at most.
 BUFFER_ROWS = 1_000_000
 
@@ -183,7 +185,9 @@ def nearest_neighbours(
     either, as no inner product with them is defined. Of rows that repeat an id one
     counts, that with the smallest vector in array order. Fewer than ``k`` others: all
     that were found. An empty table gives an empty result. Other columns are ignored.
-    Trees have leaves of about ``leaf_rows`` rows, and LEAST_DEPTH levels at least.
+    Trees have leaves of about ``leaf_rows`` rows, and LEAST_DEPTH levels at least; they have no more than
+    a leaf for four sample rows, so beyond ``leaf_rows * sample_rows / 4`` rows leaves grow with the
+    table, and are dealt over the more tasks. The recall that decides how many leaves are popped is measured on the sample.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -265,7 +269,11 @@ def nearest_neighbours(
     blocks = placed.repartition(F.col("leaf"), F.pmod(F.xxhash64("point"), F.lit(4))).sortWithinPartitions("leaf").mapInArrow(pack, packed)
     asked = points.where("asks").select("point", "v").mapInArrow(ask, f"leaf int, point long, v array<{kind}>")
     asked = asked.repartition(F.col("leaf"), F.pmod(F.xxhash64("point"), F.lit(4))).sortWithinPartitions("leaf").mapInArrow(pack, packed)
-    meet = blocks.join(asked.select("leaf", F.col("points").alias("q"), F.col("vectors").alias("qv")), "leaf")
+    # A leaf's blocks are dealt over salts, and each block of its queries goes to all of them: no leaf is one task's in the join either.
+    salts = max(LEAF_SALTS, math.ceil((n >> depth) / (SALT_BLOCKS * BLOCK_ROWS)))
+    salted = blocks.withColumn("salt", F.pmod(F.xxhash64("points"), F.lit(salts)).cast("int"))
+    queries = asked.select("leaf", F.col("points").alias("q"), F.col("vectors").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    meet = salted.join(queries, ["leaf", "salt"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's nearest points in this task's leaves: partial results are merged in a buffer of bounded size."""

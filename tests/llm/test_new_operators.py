@@ -311,3 +311,25 @@ def test_chat_query_renders_prefixes():
         renderer.add("user", f"{i}")
     assert max(asked) == 6
     assert set(range(7)) <= set(asked)
+
+
+# --- 1: leaves in the join -------------------------------------------------------
+
+
+def test_table_larger_than_the_sample_and_a_hot_leaf(spark):
+    """Recall on a table of twenty times the sample, a third of it in one tight cluster, whose leaf is joined in several parts."""
+    from lanewise.llm import ann
+
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(0, 1, (4_000, 8)), np.full(8, 3.0) + rng.normal(0, 1e-3, (2_000, 8))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, lambda i: i % 40 == 0, k=10, sample_rows=300, leaf_rows=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = x[::40] @ x.T
+    hits = 0
+    for row, q in zip(scores, range(0, 6_000, 40), strict=True):
+        row[q] = -np.inf
+        least = np.sort(row)[-10]
+        hits += sum(row[i] >= least - 1e-9 for i in got[q])
+    assert hits >= 0.9 * 10 * 150
