@@ -47,8 +47,10 @@ SEQUENCE_TOKENS = 1_024
 WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 #: Rows of the table of places that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Without targets: sources with queues of their own. The smaller ones, each of less than a thousandth of the tokens, are served as one.
-OWN_QUEUES = 1_024
+#: Tokens of a window for each queue, on average, at least: windows grow with the number of sources.
+QUEUE_TOKENS = 64
+#: Numbers of windows that a task keeps at hand.
+KEPT_NUMBERS = 4_000_000
 SEPARATOR = 0
 
 
@@ -143,6 +145,43 @@ class Schedule:
         return self._windows[k, w]
 
 
+class Shares:
+    """As :class:`Schedule` where the targets are the queues' own shares: all queues end together, in one phase.
+
+    Everything follows from ``totals``: queue q has sent ``w * window * totals[q] // tokens`` tokens
+    before window w. The sums over all queues that a window needs are one vector operation, so thousands of queues cost little.
+    """
+
+    def __init__(self, totals: list[int], window: int = WINDOW_TOKENS):
+        self.totals, self.window, self.tokens = totals, max(window, QUEUE_TOKENS * len(totals)), sum(totals)
+        self.windows = -(-self.tokens // self.window)
+        self._each = np.array(totals, object)
+        self._before: dict[int, np.ndarray] = {}
+
+    def sent(self, queue: int, w: int) -> int:
+        return self.totals[queue] if w >= self.windows else w * self.window * self.totals[queue] // self.tokens
+
+    def runs(self, queue: int, start: int, count: int) -> Iterator[tuple[int, int, int]]:
+        """(offset in the request, place in the laid tokens, length) for tokens of a queue, in order."""
+        at, end = start, start + count
+        while at < end:
+            # The window w with sent(w) <= at < sent(w + 1).
+            w = ((at + 1) * self.tokens - 1) // (self.window * self.totals[queue])
+            length = min(self.sent(queue, w + 1), end) - at
+            yield at - start, int(self._laid(w)[queue]) + at - self.sent(queue, w), length
+            at += length
+
+    def _laid(self, w: int) -> np.ndarray:
+        """Tokens laid before each queue's part of window w."""
+        if w not in self._before:
+            if len(self._before) * len(self.totals) >= KEPT_NUMBERS:
+                self._before.clear()
+            here, until = (self._each if v >= self.windows else v * self.window * self._each // self.tokens for v in (w, w + 1))
+            part = (until - here).astype(np.int64)
+            self._before[w] = int(here.sum()) + np.cumsum(part) - part
+        return self._before[w]
+
+
 def _tokens(docs: DataFrame, tokenizer_path: str, ranks: str | None) -> DataFrame:
     """(doc_id, source, part, before, n, ids): ids as unsigned 16-bit numbers where they fit, else 32-bit."""
 
@@ -184,8 +223,8 @@ def pack(
     null or empty texts are that id alone. ``targets`` maps sources to wanted proportions
     of every window, and each of these sources has a queue; the sources that it leaves out
     come, as one queue, after the others have run dry. Without targets the proportions are
-    the sources' own shares; the largest OWN_QUEUES sources have queues of their own and the
-    rest, of which each is due less than a thousandth of a window, are one queue. A null source
+    the sources' own shares, every source has a queue, and a window has QUEUE_TOKENS tokens for each
+    of them at least; one row for each source goes through the driver. A null source
     is the source ``''``, rows that repeat an id or a text are documents of their own, an
     empty table gives an empty result, and other columns are ignored.
     """
@@ -197,7 +236,7 @@ def pack(
     by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     totals = by_part.groupBy("source").agg(F.sum("n").alias("n"))
     if targets is None:
-        own = totals.orderBy(F.desc("n"), "source").limit(OWN_QUEUES).collect()
+        own = totals.orderBy(F.desc("n"), "source").collect()
     else:
         wanted = spark.createDataFrame([(s,) for s in targets], "source string")
         own = totals.join(wanted, "source", "left_semi").orderBy(F.desc("n"), "source").collect()
@@ -206,7 +245,7 @@ def pack(
     counts = [r["n"] for r in own]
     if (rest := all_tokens - sum(counts)) > 0:
         counts.append(rest)
-    want = [Fraction(c) for c in counts] if targets is None else [Fraction(targets[s]).limit_denominator(10**6) for s in queues] + [Fraction(0)] * (len(counts) - len(queues))
+    want = [] if targets is None else [Fraction(targets[s]).limit_denominator(10**6) for s in queues] + [Fraction(0)] * (len(counts) - len(queues))
     # Places in the queue: sums over tasks, then over sources that share the last queue.
     number = spark.createDataFrame(list(queues.items()), "source string, queue int")
     in_source = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -216,7 +255,7 @@ def pack(
     placed = tokens.join(F.broadcast(places) if few else places, ["source", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(counts, want, window)
+        schedule = Shares(counts, window) if targets is None else Schedule(counts, want, window)
         for b in batches:
             rows: list[tuple] = []
             for doc, name, queue, first, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):

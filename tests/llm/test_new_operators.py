@@ -333,3 +333,47 @@ def test_table_larger_than_the_sample_and_a_hot_leaf(spark):
         least = np.sort(row)[-10]
         hits += sum(row[i] >= least - 1e-9 for i in got[q])
     assert hits >= 0.9 * 10 * 150
+
+
+# --- 5: many sources -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("queues,window", [(1, 64), (7, 64), (300, 512), (5_000, 1_024)])
+def test_every_source_keeps_its_share_in_every_window(queues, window, monkeypatch):
+    from fractions import Fraction
+
+    from lanewise.llm import packing
+
+    monkeypatch.setattr(packing, "QUEUE_TOKENS", 2)
+    rng = random.Random(queues)
+    totals = [rng.choice([1, 2, 30, rng.randrange(1, 200)]) for _ in range(queues)]
+    shares = packing.Shares(totals, window)
+    place = np.full(sum(totals), -1)
+    for q, n in enumerate(totals):
+        done = 0
+        while done < n:  # documents of several lengths
+            m = min(n - done, rng.randrange(1, 90))
+            for offset, at, length in shares.runs(q, done, m):
+                assert (place[at : at + length] == -1).all()
+                place[at : at + length] = q
+            done += m
+    assert (place >= 0).all()
+    # A window holds what has been earned up to its end but for less than a token of each queue.
+    for w in range(1, shares.windows):
+        end = sum(shares.sent(q, w) for q in range(queues))
+        counts = np.bincount(place[:end], minlength=queues)
+        assert all(0 <= w * shares.window * n / shares.tokens - c < 1 + 1e-9 for n, c in zip(totals, counts, strict=True))
+    if queues <= 300:  # the same layout as the general form
+        general = packing.Schedule(totals, [Fraction(n) for n in totals], shares.window)
+        for q in range(queues):
+            assert list(shares.runs(q, 0, totals[q])) == list(general.runs(q, 0, totals[q]))
+
+
+def test_five_thousand_sources_are_packed(spark):
+    from lanewise.llm import packing
+
+    rows = [(i, f"word {i} " * (1 + i % 5), f"s{i % 5_000}") for i in range(10_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).drop("ids").collect()
+    spans = sorted((r.sequence_id * 1024 + r.offset, r.length) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+    assert len({r.doc_id for r in got}) == 10_000
