@@ -47,8 +47,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 32_768, 512
 LEAST_DEPTH = 4
 #: Rows of a packed block, at most.
 BLOCK_ROWS = 2_048
-#: Parts that a leaf's blocks are dealt over, at least, and blocks of a part, about.
-LEAF_SALTS, SALT_BLOCKS = 4, 8
+#: Blocks of each part that a leaf is dealt over, about.
+SALT_BLOCKS = 8
 #: Rows of partial results that a task holds, at most.
 BUFFER_ROWS = 1_000_000
 
@@ -270,7 +270,7 @@ def nearest_neighbours(
     asked = points.where("asks").select("point", "v").mapInArrow(ask, f"leaf int, point long, v array<{kind}>")
     asked = asked.repartition(F.col("leaf"), F.pmod(F.xxhash64("point"), F.lit(4))).sortWithinPartitions("leaf").mapInArrow(pack, packed)
     # A leaf's blocks are dealt over salts, and each block of its queries goes to all of them: no leaf is one task's in the join either.
-    salts = max(LEAF_SALTS, math.ceil((n >> depth) / (SALT_BLOCKS * BLOCK_ROWS)))
+    salts = max(1, math.ceil((n >> depth) / (SALT_BLOCKS * BLOCK_ROWS)))
     salted = blocks.withColumn("salt", F.pmod(F.xxhash64("points"), F.lit(salts)).cast("int"))
     queries = asked.select("leaf", F.col("points").alias("q"), F.col("vectors").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     meet = salted.join(queries, ["leaf", "salt"])

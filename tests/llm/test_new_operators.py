@@ -316,10 +316,11 @@ def test_chat_query_renders_prefixes():
 # --- 1: leaves in the join -------------------------------------------------------
 
 
-def test_table_larger_than_the_sample_and_a_hot_leaf(spark):
+def test_table_larger_than_the_sample_and_a_hot_leaf(spark, monkeypatch):
     """Recall on a table of twenty times the sample, a third of it in one tight cluster, whose leaf is joined in several parts."""
     from lanewise.llm import ann
 
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(12)
     x = np.r_[rng.normal(0, 1, (4_000, 8)), np.full(8, 3.0) + rng.normal(0, 1e-3, (2_000, 8))]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
