@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.functions import grid
 from lanewise.functions.geometry import box, box_iou
 from lanewise.functions.scan import running_sums
 from lanewise.operators.tracks import scene_dim
@@ -12,14 +13,16 @@ from lanewise.operators.tracks import scene_dim
 #: The ten overlap thresholds.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 METRICS = ("precision", "recall", "map50", "map50_95")
+#: Side of the grid cells in which boxes meet, in the boxes' unit (pixels).
+CELL = 64.0
 
 
-def candidate_matches(truth: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(image_id, gt, pred, iou) of same-class boxes that meet. ``truth``: image_id, gt, class_name, box; ``predictions``: image_id, pred, class_name, conf, box."""
+def candidate_matches(truth: DataFrame, predictions: DataFrame, cell: float = CELL) -> DataFrame:
+    """(image_id, gt, pred, iou) of same-class boxes that overlap by the least threshold, met by grid cell. ``truth``: image_id, gt, class_name, box; ``predictions``: image_id, pred, class_name, conf, box."""
     b = ("x1", "y1", "x2", "y2")
     t = truth.select("image_id", "class_name", "gt", *[F.col(c).alias(f"t_{c}") for c in b])
     p = predictions.select("image_id", "class_name", "pred", *[F.col(c).alias(f"p_{c}") for c in b])
-    return t.join(p, ["image_id", "class_name"]).withColumn("iou", box_iou(box("t_"), box("p_"))).where(F.col("iou") >= THRESHOLDS[0]).select("image_id", "gt", "pred", "iou")
+    return grid.meeting(t, p, ["image_id", "class_name"], cell, "t_", "p_").withColumn("iou", box_iou(box("t_"), box("p_"))).where(F.col("iou") >= THRESHOLDS[0]).select("image_id", "gt", "pred", "iou")
 
 
 def match_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -78,12 +81,12 @@ def error_summary(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.groupBy("class_name").agg(F.count("*").alias("targets"), F.count("tp").alias("true_positives"), F.count_if(F.col("tp").isNull()).alias("false_negatives"))
 
 
-def object_outcomes(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+def object_outcomes(truth: DataFrame, predictions: DataFrame, cell: float = CELL) -> DataFrame:
     """MATCHED, CONFUSED (with the best overlapping other class) or MISSED for each target, at overlap 0.5."""
     b = ("x1", "y1", "x2", "y2")
     t = truth.select("image_id", "gt", F.col("class_name").alias("target_class"), *[F.col(c).alias(f"t_{c}") for c in b])
     p = predictions.select("image_id", "pred", F.col("class_name").alias("pred_class"), *[F.col(c).alias(f"p_{c}") for c in b])
-    pairs = t.join(p, "image_id").withColumn("iou", box_iou(box("t_"), box("p_"))).where("iou >= 0.5")
+    pairs = grid.meeting(t, p, ["image_id"], cell, "t_", "p_").withColumn("iou", box_iou(box("t_"), box("p_"))).where("iou >= 0.5")
     same = F.col("pred_class") == F.col("target_class")
     got = pairs.groupBy("image_id", "gt").agg(F.max(same.cast("int")).alias("same"), F.min(F.when(~same, F.struct((-F.col("iou")).alias("i"), "pred_class"))).alias("o"))
     out = truth.select("image_id", "gt", "class_name").join(got, ["image_id", "gt"], "left")

@@ -119,8 +119,8 @@ def filter_view(events: DataFrame, view: str) -> DataFrame:
 
 
 def id_parity(ours: DataFrame, earlier: DataFrame) -> DataFrame:
-    """One row: repeated ids, and ids that only one of two runs has."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    a, b = ours.select("event_id"), earlier.select("event_id")
-    repeated = count(a.groupBy("event_id").count().where("count > 1"), "repeated_ids")
-    return repeated.crossJoin(count(a.exceptAll(b), "only_here")).crossJoin(count(b.exceptAll(a), "only_there"))
+    """One row: repeated ids, and ids that only one of two runs has, each as often as it has more of them. Each run is read once."""
+    one = lambda df, here, there: df.select("event_id", F.lit(here).alias("a"), F.lit(there).alias("b"))
+    ids = one(ours, 1, 0).unionAll(one(earlier, 0, 1)).groupBy("event_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    more = lambda x, y: F.coalesce(F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0))), F.lit(0))
+    return ids.agg(F.count_if(F.col("a") > 1).alias("repeated_ids"), more("a", "b").alias("only_here"), more("b", "a").alias("only_there"))

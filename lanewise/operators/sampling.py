@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.functions import grid
 from lanewise.functions.geometry import box, overlap_smaller
 from lanewise.functions.scan import running_sums
 from lanewise.operators.storage import saved
@@ -52,13 +53,17 @@ def review_samples(detections: DataFrame, videos: DataFrame, uniform: int = 12,
     return even.withColumn("reason", F.lit("uniform")).unionByName(rest.select("video_id", "frame_index", "reason"))
 
 
-def frame_features(tracks: DataFrame, overlap: float = 0.20) -> DataFrame:
-    """Per frame: objects, persons, smallest area, whether any two boxes overlap enough, method and score."""
+def frame_features(tracks: DataFrame, overlap: float = 0.20, cell: float = 128.0) -> DataFrame:
+    """Per frame: objects, persons, smallest area, whether any two boxes overlap enough, method and score.
+
+    Boxes meet by grid cells of side ``cell``; ``overlap`` is above 0.
+    """
     keys = ["video_id", "frame_index"]
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     counts = tracks.groupBy(*keys).agg(F.count("*").alias("objects"), F.count_if(F.col("class_name") == "person").alias("persons"), F.min(area).alias("smallest"))
-    other = tracks.select(*keys, F.col("track_id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
-    close = tracks.join(other, keys).where((F.col("track_id") < F.col("o_id")) & (overlap_smaller(box(), box("o_")) >= overlap)).select(*keys).distinct().withColumn("occluded", F.lit(True))
+    side = lambda s: tracks.select(*keys, F.col("track_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")])
+    pairs = grid.meeting(side("t"), side("o"), keys, cell, "t_", "o_").where("t_id < o_id")
+    close = pairs.where(overlap_smaller(box("t_"), box("o_")) >= overlap).select(*keys).distinct().withColumn("occluded", F.lit(True))
     out = counts.join(close, keys, "left").withColumn("occluded", F.coalesce("occluded", F.lit(False)))
     method = F.when(F.col("occluded"), "occlusion").when(F.col("objects") >= 5, "density").otherwise("uniform")
     return out.withColumn("sampling_method", method).withColumn("priority_score", (F.col("objects") + 2 * F.col("persons") + F.when(F.col("occluded"), 3).otherwise(0)).cast("double"))

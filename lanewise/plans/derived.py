@@ -157,9 +157,13 @@ class Scene:
     def pairs(self) -> DataFrame:
         return tk.person_vehicle_pairs(self.zone_obs, self.proximity_rules, WIDTH, HEIGHT)
 
+    @cached_property
+    def near_pairs(self) -> DataFrame:
+        return tk.person_vehicle_pairs(self.zone_obs, self.proximity_rules, WIDTH, HEIGHT, near=True)
+
     @cached_property
     def proximity_runs(self) -> DataFrame:
-        return tk.proximity_runs(self.pairs)
+        return tk.proximity_runs(self.near_pairs)
 
     @cached_property
     def proximity(self) -> DataFrame:
@@ -169,7 +173,7 @@ class Scene:
     def normalized(self) -> DataFrame:
         # Six rules read the zone rows: they are written once to the shared folder.
         zones = saved(self.zone_obs, "zone-rows")
-        pairs = tk.person_vehicle_pairs(zones, self.proximity_rules, WIDTH, HEIGHT)
+        pairs = tk.person_vehicle_pairs(zones, self.proximity_rules, WIDTH, HEIGHT, near=True)
         return ev.normalize_events(
             self.crossings, zones, self.restricted, tk.wrong_way(zones, self.direction_rules), tk.long_dwell(zones, self.dwell_rules, MISSING_SECONDS),
             tk.stationary_vehicles(zones, self.stationary_rules, WIDTH, HEIGHT, MISSING_SECONDS), tk.proximity(tk.proximity_runs(pairs)), self.labels,
@@ -179,6 +183,11 @@ class Scene:
     def events(self) -> DataFrame:
         return ev.numbered(ev.deduplicated(ev.apply_policy(self.normalized, self.policy, self.restricted)))
 
+    @cached_property
+    def event_table(self) -> DataFrame:
+        """The events, written once: for queries that read them several times."""
+        return saved(self.events, "events")
+
     @cached_property
     def over_time(self) -> DataFrame:
         return rp.traffic_over_time(self.crossings, BUCKET)

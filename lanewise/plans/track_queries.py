@@ -157,12 +157,12 @@ QUERIES = {
     "event_counts": (lambda s: ev.event_counts(s.events), "select event_type, severity, status, count(*) as events from ev group by all"),
     "evidence_select": (lambda s: _evidence(s).select("event_id", "event_type", "evidence_path", "issue"), "select event_id, event_type, 'evidence/' || event_id || '.jpg' as evidence_path, null::varchar as issue from ev where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED')"),
     "evidence_tracks": (lambda s: ev.evidence_tracks(_evidence(s), s.tracks).select("event_id", F.col("primary_box.x1").alias("primary_x1"), F.col("secondary_box.x1").alias("secondary_x1")), "select event_id, a.x1 as primary_x1, b.x1 as secondary_x1 from ev left join tracks a on a.video_id = ev.video_id and a.frame_index = ev.frame_index and a.track_id = ev.track_id left join tracks b on b.video_id = ev.video_id and b.frame_index = ev.frame_index and b.track_id = ev.secondary_track_id where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED')"),
-    "evidence_trace": (lambda s: ev.evidence_trace(s.events.where("track_id % 3 = 0").select("event_id", (F.col("frame_index") + F.when(F.col("track_id") % 2 == 0, 1).otherwise(0)).alias("expected_frame"), F.col("track_id").alias("expected_track_id")), s.events, ev.evidence_manifest(_evidence(s))), "select event_id, concat_ws(';', case when not c then 'manifest_exists' end, case when track_id % 2 = 0 then 'frame_matches_event' end, case when not c or track_id % 2 = 0 then 'frame_matches_manifest' end, case when not c then 'path_matches' end) as failures, case when c and track_id % 2 = 1 then 'PASS' else 'FAIL' end as trace_status from (select *, event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED') as c from ev where track_id % 3 = 0)"),
+    "evidence_trace": (lambda s: ev.evidence_trace(s.event_table.where("track_id % 3 = 0").select("event_id", (F.col("frame_index") + F.when(F.col("track_id") % 2 == 0, 1).otherwise(0)).alias("expected_frame"), F.col("track_id").alias("expected_track_id")), s.event_table, ev.evidence_manifest(_evidence(s, s.event_table))), "select event_id, concat_ws(';', case when not c then 'manifest_exists' end, case when track_id % 2 = 0 then 'frame_matches_event' end, case when not c or track_id % 2 = 0 then 'frame_matches_manifest' end, case when not c then 'path_matches' end) as failures, case when c and track_id % 2 = 1 then 'PASS' else 'FAIL' end as trace_status from (select *, event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED') as c from ev where track_id % 3 = 0)"),
     "evidence_counts": (lambda s: _evidence(s).groupBy("event_type").agg(F.count("*").alias("evidence")), "select event_type, count(*) as evidence from ev where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED') group by all"),
     "evidence_manifest": (lambda s: ev.evidence_manifest(_evidence(s)).drop("file_size_bytes"), "select event_id, video_id, frame_index, timestamp_seconds, event_type, severity, status, 'evidence/' || event_id || '.jpg' as evidence_path from ev where event_type in ('WRONG_WAY', 'PROXIMITY_WARNING', 'PEDESTRIAN_INTRUSION') and (severity = 'CRITICAL' or status = 'REVIEW_REQUIRED')"),
     "event_filter": (lambda s: ev.filter_view(s.events, "warning").select("event_id", "severity"), "select event_id, severity from ev where severity in ('WARNING', 'CRITICAL')"),
     "events_by_id": (lambda s: _text_id(s.events.where("video_id = 'v1'")), "select * replace (cast(secondary_track_id as varchar) as secondary_track_id) from ev where video_id = 'v1'"),
-    "event_id_parity": (lambda s: ev.id_parity(s.events, s.events.where("event_type <> 'WRONG_WAY'")), "select 0::bigint as repeated_ids, count(*) filter (event_type = 'WRONG_WAY') as only_here, 0::bigint as only_there from ev"),
+    "event_id_parity": (lambda s: ev.id_parity(s.event_table, s.event_table.where("event_type <> 'WRONG_WAY'")), "select 0::bigint as repeated_ids, count(*) filter (event_type = 'WRONG_WAY') as only_here, 0::bigint as only_there from ev"),
     # F
     "crossing_totals": (lambda s: rp.crossing_totals(s.crossings), "select * from ct"),
     "class_distribution": (lambda s: rp.distribution(s.crossings, "class_name"), "select * from cd"),
@@ -190,8 +190,8 @@ def _text_id(events):
     return events.withColumn("secondary_track_id", F.col("secondary_track_id").cast("string"))
 
 
-def _evidence(s: Scene):
-    return ev.select_evidence(s.events, ("WRONG_WAY", "PROXIMITY_WARNING", "PEDESTRIAN_INTRUSION"), ("CRITICAL",), ("REVIEW_REQUIRED",))
+def _evidence(s: Scene, events=None):
+    return ev.select_evidence(s.events if events is None else events, ("WRONG_WAY", "PROXIMITY_WARNING", "PEDESTRIAN_INTRUSION"), ("CRITICAL",), ("REVIEW_REQUIRED",))
 
 
 def queries():

@@ -77,14 +77,14 @@ def pair_runs(rows: pd.DataFrame, last: int | None, run: int, told: bool, needed
 def proximity(stream: DataFrame, rules: DataFrame, width: int, height: int, idle_ms: int = 60_000) -> DataFrame:
     """Proximity warnings. ``stream``: observations inside zones, with zone_id and boxes; ``rules`` as for person_vehicle_pairs.
 
-    Persons meet vehicles in a stream-stream join on zone, frame and event time, whose state
+    Persons meet vehicles in a stream-stream join on zone, frame, grid cell and event time, whose state
     the watermark clears. Riders, and pairs beyond the release distance, go no further: as
     an unseen frame does, such a row ends a pair's segment. State is by pair, so a busy
     video is spread over tasks, and an idle pair's state expires. The watermark is that of
     the slower of persons and vehicles.
     """
-    pairs = person_vehicle_pairs(stream.withColumn("inside", F.lit(True)), rules, width, height, at=("event_ts",))
-    close = pairs.where(~F.col("rider") & (F.col("normalized_distance") <= F.col("release")))
+    pairs = person_vehicle_pairs(stream.withColumn("inside", F.lit(True)), rules, width, height, at=("event_ts",), near=True)
+    close = pairs.where(~F.col("rider"))
     rows = close.select("video_id", "zone_id", "person_track_id", "vehicle_track_id", "frame_index", (F.col("normalized_distance") <= F.col("trigger")).alias("near"), F.col("needed").cast("long"), F.unix_millis("event_ts").alias("ms"), "event_ts")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

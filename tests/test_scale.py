@@ -1,5 +1,6 @@
 """Forms made for skew and size: percentiles, running sums, components, against plain models."""
 
+import math
 import random
 
 import numpy as np
@@ -167,3 +168,96 @@ def test_many_ranges_of_one_video_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan
     assert "Cartesian" not in plan
     assert out.count() == 600_000
+
+
+def _boxes(spark, rows, prefix, name):
+    return spark.createDataFrame(rows, f"image_id long, {name} long, {prefix}x1 double, {prefix}y1 double, {prefix}x2 double, {prefix}y2 double")
+
+
+def _gap(a, b):
+    return math.hypot(max(a[2] - b[4], b[2] - a[4], 0.0), max(a[3] - b[5], b[3] - a[5], 0.0))
+
+
+@pytest.mark.parametrize(("cell", "reach"), [(7.0, 0.0), (64.0, 0.0), (16.0, 25.0), (1e6, 3.0)])
+def test_boxes_meet_by_cells_as_by_pairs(spark, cell, reach):
+    from lanewise.functions import grid
+
+    rng = random.Random(int(cell))
+
+    def some(n):
+        corners = [(rng.uniform(-60, 60), rng.uniform(-60, 60)) for _ in range(n)]
+        return [(i % 3, i, x, y, x + rng.choice((0.0, 4.0, 30.0, 200.0)), y + rng.choice((0.0, 5.0, 14.0))) for i, (x, y) in enumerate(corners)]
+
+    # Edges on the grid's own lines, equal boxes, one without a corner.
+    left = [*some(150), (0, 900, 0.0, 0.0, 14.0, 14.0), (0, 901, 0.0, 0.0, 14.0, 14.0)]
+    right = [*some(150), (0, 900, 14.0, 14.0, 28.0, 28.0), (0, 901, 0.0, 0.0, 14.0, 14.0)]
+    p, q = _boxes(spark, [*left, (0, 999, None, 0.0, 1.0, 1.0)], "p_", "a"), _boxes(spark, [*right, (0, 999, 0.0, 0.0, None, 1.0)], "q_", "b")
+    p = p.withColumn("reach", F.lit(reach))
+    met = [(r.a, r.b) for r in grid.meeting(p, q, ["image_id"], cell, "p_", "q_", F.col("reach")).collect()]
+    assert len(met) == len(set(met))
+    want = {(a[1], b[1]) for a in left for b in right if a[0] == b[0] and _gap(a, b) <= reach}
+    assert len(want) > 100
+    assert want <= set(met)
+
+
+def test_a_crowded_frame_forms_few_pairs(spark):
+    from lanewise.functions import grid
+    from lanewise.operators.evaluation import candidate_matches
+
+    rng = random.Random(4)
+    rows = [(1, i, x := rng.uniform(0, 3800), y := rng.uniform(0, 2100), x + rng.uniform(10, 60), y + rng.uniform(10, 60)) for i in range(5_000)]
+    truth, found = _boxes(spark, rows, "", "gt").withColumn("class_name", F.lit("car")), _boxes(spark, [(a, i, x + 3, y, u + 3, v) for a, i, x, y, u, v in rows], "", "pred").withColumn("class_name", F.lit("car"))
+    named = lambda df, s: df.select("image_id", *[F.col(c).alias(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")])
+    formed = grid.meeting(named(truth, "t"), named(found, "p"), ["image_id"], 64.0, "t_", "p_").count()
+    x1, y1, x2, y2 = (np.array([r[k] for r in rows]) for k in range(2, 6))
+    meet = int(((x1[:, None] <= x2 + 3) & (x1 + 3 <= x2[:, None]) & (y1[:, None] <= y2) & (y1 <= y2[:, None])).sum())
+    assert meet <= formed < 8 * meet < 25_000_000 / 20
+    assert candidate_matches(truth, found).where("gt = pred").count() == sum(u - x >= 9.0 for _, _, x, _, u, _ in rows)
+
+
+def test_near_pairs_give_the_same_warnings(spark):
+    from lanewise.operators import tracks as tk
+    from lanewise.plans.derived import HEIGHT, WIDTH, Scene
+
+    s = Scene(spark, "/root/testdata/sf0.001")
+    every = tk.proximity_runs(s.pairs)
+    columns = ["video_id", "zone_id", "frame_index", "person_track_id", "vehicle_track_id"]
+    for rules in (tk.proximity, tk.active_pairs):
+        assert sorted(map(tuple, rules(every).select(columns).collect())) == sorted(map(tuple, rules(s.proximity_runs).select(columns).collect()))
+    wide = s.proximity_rules.withColumns({"trigger": F.lit(0.1), "release": F.lit(0.15)})
+    far, near = (tk.person_vehicle_pairs(s.zone_obs, wide, WIDTH, HEIGHT, near=n) for n in (False, True))
+    want = sorted(map(tuple, far.where("normalized_distance <= 0.15").select(*columns, "rider").collect()))
+    assert want
+    assert sorted(map(tuple, near.select(*columns, "rider").collect())) == want
+    assert len(want) < far.count()
+    ran = sorted(map(tuple, tk.proximity(tk.proximity_runs(far)).select(columns).collect()))
+    assert ran
+    assert sorted(map(tuple, tk.proximity(tk.proximity_runs(near)).select(columns).collect())) == ran
+
+
+def test_one_event_table_for_a_query_and_an_empty_folder_after_it(spark):
+    from lanewise.operators import storage
+    from lanewise.plans import track_queries
+
+    path = lambda df: df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    for name in ("evidence_trace", "event_id_parity"):
+        before = {x.saved_path for x in storage._written}
+        with storage.scratch():
+            df = track_queries.queries()[name](spark, "/root/testdata/sf0.001")
+            new = [x for x in storage._written if x.saved_path not in before]
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert sum("/events-" in x.saved_path for x in new) == 1
+            assert "lineitem.parquet" not in plan
+            assert "events.parquet" not in plan
+            assert df.count()
+        assert new
+        assert not any(path(x).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(x)) for x in new)
+        assert {x.saved_path for x in storage._written} == before
+
+
+def test_id_parity_counts_every_extra_row(spark):
+    from lanewise.operators.events import id_parity
+
+    ours, earlier = (spark.createDataFrame([(x,) for x in ids], "event_id string") for ids in (["a", "a", "a", "b", "c"], ["a", "c", "c", "d"]))
+    assert tuple(id_parity(ours, earlier).first()) == (1, 3, 2)
+    assert tuple(id_parity(ours.limit(0), earlier.limit(0)).first()) == (0, 0, 0)
