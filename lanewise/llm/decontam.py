@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lanewise.llm.common import mix64, read_table
+from lanewise.llm.common import mix64, read_table, spread
 from lanewise.llm.seeds import words_of
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -148,14 +148,18 @@ class Screen:
         places = slot[self._once(slot)]
         most = MATCH + np.bincount(self.owner[places], self.gain[places], len(self.n))
         self.gain[places] = 0
-        found = {int(i): self._dense(at, slot, gain, i) for i in np.flatnonzero((most > MATCH) & (most >= self.share * MATCH * self.n) & (self.share * self.n > 1))}
+        found = self._dense(at, slot, gain, np.flatnonzero((most > MATCH) & (most >= self.share * MATCH * self.n) & (self.share * self.n > 1)))
         if len(self.long) and len(hashes) >= self.long_match:
             word = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
             word[self.known[word] != hashes] = len(self.known)
             times = np.bincount(word, minlength=len(self.known) + 1)
             common = np.add.reduceat(np.minimum(self.bag_times, times[self.bag_word]), self.bag_from[:-1])
-            for k in np.flatnonzero((common >= self.long_match) & (most[self.long] > MATCH) & (self.share * self.n[self.long] > 1)):
-                found.setdefault(int(self.long[k]), []).extend(self._common(word, k))
+            held = np.flatnonzero((common >= self.long_match) & (most[self.long] > MATCH) & (self.share * self.n[self.long] > 1))
+            if len(held):
+                places = np.argsort(word, kind="stable")
+                word = word[places]
+                for k in held:
+                    found.setdefault(int(self.long[k]), []).extend(self._common(word, places, k))
         for i, ranges in found.items():
             merged: list[list[int]] = []
             for lo, hi in sorted(ranges):
@@ -178,32 +182,42 @@ class Screen:
         self.last[slot] = k
         return self.last[slot] == k
 
-    def _dense(self, at, slot, gain, i) -> list[tuple[int, int]]:
-        """Surroundings of the places from which on an alignment's longest span has pairs enough."""
-        mine = np.flatnonzero(self.owner[slot] == i)
-        mine = mine[np.argsort(at[mine], kind="stable")]
-        p, total = at[mine], np.concatenate([[0], np.cumsum(gain[mine])])
-        # Of m words at most, with penalties of at most 2 * m * (1 - share).
-        span = int(np.ceil(self.n[i] * (3 - 2 * min(1.0, self.share)))) + 1
-        enough = MATCH + total[np.searchsorted(p, p + span, "right")] - total[:-1] >= self.share * MATCH * self.n[i]
-        return [(q - span, q + span) for q in p[enough].tolist()]
-
-    def _common(self, word: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """Spans of three times the item's words, the most that a positive score allows, with long_match words in common."""
-        a, b = self.bag_from[k], self.bag_from[k + 1]
-        times = np.zeros(len(self.known) + 1, np.int64)
-        times[self.bag_word[a:b]] = self.bag_times[a:b]
-        p = np.flatnonzero(times[word])
-        p = p[np.argsort(word[p], kind="stable")]
+    def _dense(self, at, slot, gain, items: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item, surroundings of the places from which on an alignment's longest span has pairs enough."""
+        if not len(items):
+            return {}
+        wanted = np.zeros(len(self.n), bool)
+        wanted[items] = True
+        mine = np.flatnonzero(wanted[self.owner[slot]])
+        mine = mine[np.lexsort((at[mine], self.owner[slot[mine]]))]
+        whose, place, sums = self.owner[slot[mine]], at[mine], np.concatenate([[0], np.cumsum(gain[mine])])
+        out = {}
+        for i, a, b in zip(items.tolist(), np.searchsorted(whose, items, "left").tolist(), np.searchsorted(whose, items, "right").tolist(), strict=True):
+            p, total = place[a:b], sums[a : b + 1]
+            # Of m words at most, with penalties of at most 2 * m * (1 - share).
+            span = int(np.ceil(self.n[i] * (3 - 2 * min(1.0, self.share)))) + 1
+            enough = MATCH + total[np.searchsorted(p, p + span, "right")] - total[:-1] >= self.share * MATCH * self.n[i]
+            out[i] = [(q - span, q + span) for q in p[enough].tolist()]
+        return out
+
+    def _common(self, word: np.ndarray, places: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Spans of three times the item's words, the most that a positive score allows, with long_match words in common.
+
+        ``word`` is sorted, ``places`` says where in the text each stands: the cost is by the places of the item's own words.
+        """
+        bag = slice(self.bag_from[k], self.bag_from[k + 1])
+        first = np.searchsorted(word, self.bag_word[bag], "left")
+        n = np.searchsorted(word, self.bag_word[bag], "right") - first
+        p, times, which = places[spread(first, n)], np.repeat(self.bag_times[bag], n), np.repeat(np.arange(len(n)), n)
         # A place counts for the spans that start after the place where its word stood ``times`` occurrences ago.
-        back, c = np.arange(len(p)) - times[word[p]], 3 * int(self.n[self.long[k]])
-        then = p[np.maximum(back, 0)]
-        before = np.where((back >= 0) & (word[then] == word[p]), then, -1)
-        change = np.zeros(len(word) + 1, np.int64)
-        np.add.at(change, np.maximum(before, p - c) + 1, 1)
-        np.add.at(change, p + 1, -1)
-        starts = np.flatnonzero(np.cumsum(change) >= self.long_match)
-        return [(s, s + c) for s in starts.tolist()]
+        back, c = np.arange(len(p)) - times, 3 * int(self.n[self.long[k]])
+        then = np.maximum(back, 0)
+        before = np.where((back >= 0) & (which[then] == which), p[then], -1)
+        at = np.concatenate([np.maximum(before, p - c) + 1, p + 1])
+        order = np.argsort(at, kind="stable")
+        at, level = at[order], np.cumsum(np.repeat([1, -1], len(p))[order])
+        full = np.flatnonzero((level[:-1] >= self.long_match) & (at[1:] > at[:-1]))
+        return [(a, b - 1 + c) for a, b in zip(at[full].tolist(), at[full + 1].tolist(), strict=True)]
 
 
 def aligned(screen: Screen, hashes: np.ndarray) -> Iterator[tuple]:
@@ -219,8 +233,13 @@ def aligned(screen: Screen, hashes: np.ndarray) -> Iterator[tuple]:
             end = min(hi, lo + 4 * span)
             whole = end == hi
             todo, done = [(lo, end)], lo
+            held = lo + np.flatnonzero(np.isin(hashes[lo:end], item))
             while todo:
                 a, b = todo.pop()
+                own = held[slice(*np.searchsorted(held, (a, b)))]
+                if len(own) < least:  # fewer of the item's words can't match enough
+                    continue
+                a, b = int(own[0]), int(own[-1]) + 1  # an alignment begins and ends with a match
                 score, matches, first, last = smith_waterman(hashes[a:b], item)
                 if not score or not (score >= screen.share * MATCH * len(item) or matches >= screen.long_match):
                     continue
@@ -229,7 +248,6 @@ def aligned(screen: Screen, hashes: np.ndarray) -> Iterator[tuple]:
                     done = max(done, a + last)
                     todo.append((a + last, b))
                 todo.append((a, a + first))
-                todo = [r for r in todo if r[1] - r[0] >= least]  # fewer words can't match enough
             lo = hi if whole else max(end - span, done)
 
 
@@ -272,5 +290,5 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with their columns unchanged."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).dropDuplicates()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad")).dropDuplicates()
+    return docs.join(bad, docs["doc_id"] == bad["bad"], "left_anti")

@@ -323,11 +323,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = out.where("first and doc_id = component_id").select("doc_id", "t", "h1", "h2")
     named = docs.where(F.col("doc_id").isNotNull())
     if not repeats:
-        named = named.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
+        one = kept.select(F.col("doc_id").alias("kept"))
+        named = named.join(one, named["doc_id"] == one["kept"], "left_semi")
     else:
         # One text for each id and set, and all texts without words.
         one = kept.where("h1 is not null").groupBy("doc_id", "h1", "h2").agg(F.min("t").alias("t")).select("doc_id", "t")
-        one = one.unionByName(kept.where("h1 is null").select("doc_id", "t")).dropDuplicates().select(F.col("doc_id").alias("_kept"), F.col("t").alias("_kept_t"))
-        named = named.withColumn("_t", F.xxhash64("text")).join(one, (F.col("doc_id") == F.col("_kept")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
-        named = named.dropDuplicates(["doc_id", "_t"]).drop("_t")
+        one = one.unionByName(kept.where("h1 is null").select("doc_id", "t")).dropDuplicates().select(F.col("doc_id").alias("kept"), F.col("t").alias("kept_t"))
+        t = "_t"
+        while t in docs.columns:
+            t += "_"  # a name that no column has
+        named = named.withColumn(t, F.xxhash64("text"))
+        named = named.join(one, (named["doc_id"] == one["kept"]) & (named[t] == one["kept_t"]), "left_semi").dropDuplicates(["doc_id", t]).drop(t)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -514,6 +515,38 @@ def test_long_texts_that_repeat_an_item():
     assert len({f[3] for f in found}) == 2000
 
 
+@pytest.mark.parametrize("length", [12, 50])
+def test_thousands_of_items_in_one_document(length):
+    """Every item is found once, at its place, in a time that grows with the text."""
+    rng, taken = random.Random(20), {}
+    for n in (1_000, 4_000):
+        items = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(length)) for _ in range(n)]
+        screen = decontam.Screen(list(range(n)), items, 0.5, 40)
+        hashes = decontam.words_of(" ".join(items))[0]
+        since = time.perf_counter()
+        found = sorted((f[3], f[0], f[4] - f[3]) for f in decontam.aligned(screen, hashes) if f[1] == 1.0)
+        taken[n] = time.perf_counter() - since
+        assert found == [(length * i, i, length) for i in range(n)]
+    assert taken[4_000] < 30
+    assert taken[4_000] < 10 * taken[1_000]
+
+
+def test_common_spans_equal_plain_counts():
+    rng = random.Random(21)
+    for _ in range(60):
+        item = [f"w{rng.randrange(9)}" for _ in range(rng.randrange(5, 12))]
+        text = [f"w{rng.randrange(14)}" for _ in range(120)]
+        screen = decontam.Screen([0], [" ".join(item)], 0.5, 5)
+        hashes = decontam.words_of(" ".join(text))[0]
+        word = np.minimum(np.searchsorted(screen.known, hashes), len(screen.known) - 1)
+        word[screen.known[word] != hashes] = len(screen.known)
+        places = np.argsort(word, kind="stable")
+        c, starts = 3 * len(item), set()
+        for a, b in screen._common(word[places], places, 0):
+            starts |= set(range(a, b - c + 1))
+        assert starts == {s for s in range(120) if (Counter(text[s : s + c]) & Counter(item)).total() >= 5}
+
+
 def test_ids_of_any_type(spark):
     df = spark.createDataFrame([("a", "one two three four"), (None, "none")], "doc_id string, text string")
     assert [tuple(r)[:2] for r in decontam.leaks(df, spark.createDataFrame([("x", "two three four")], "item_id string, text string")).collect()] == [("a", "x")]
