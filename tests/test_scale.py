@@ -261,3 +261,15 @@ def test_id_parity_counts_every_extra_row(spark):
     ours, earlier = (spark.createDataFrame([(x,) for x in ids], "event_id string") for ids in (["a", "a", "a", "b", "c"], ["a", "c", "c", "d"]))
     assert tuple(id_parity(ours, earlier).first()) == (1, 3, 2)
     assert tuple(id_parity(ours.limit(0), earlier.limit(0)).first()) == (0, 0, 0)
+
+
+def test_keys_of_near_prints_are_not_broadcast(spark):
+    # A few bytes a print in the file, but a row for each mask: Spark's estimate would broadcast what doesn't fit a driver.
+    prints = spark.range(1, 4_000).select(F.xxhash64("id").alias("print"))
+    ones = prints.withColumn("print", F.col("print").bitwiseXOR(F.lit(5)))
+    pairs = du.near_pairs(prints.unionByName(ones), 6)
+    overlap = du.near_overlap(prints, ones, 6)
+    for df in (pairs, overlap):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert pairs.count() == overlap.count() == 3_999
