@@ -177,3 +177,16 @@ def test_one_exchange_for_track_windows(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in plan
     assert "Python" not in plan
+
+
+def test_rules_over_runs_sort_rows_once(spark):
+    """A sort by run or episode of all rows would hold them in a task once more; rows of pairs aren't joined into few tasks."""
+    from lanewise.plans.derived import Scene
+
+    s = Scene(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    active = plan(tk.active_pairs(s.proximity_runs))
+    assert active.count("Sort [video_id") == plan(s.near_pairs).count("Sort [video_id") + 1
+    assert "REPARTITION_BY_NUM" in active
+    zones_once = plan(s.zone_obs).count("Sort [")
+    assert plan(s.wrong_way).count("Sort [") <= zones_once + 1
