@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.percentiles import exact_percentiles, narrowed
@@ -273,3 +274,24 @@ def test_keys_of_near_prints_are_not_broadcast(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert pairs.count() == overlap.count() == 3_999
+
+
+def test_metrics_of_models_leave_a_few_rows_in_the_folder(spark):
+    from lanewise.operators import storage
+    from lanewise.plans.governance_queries import Datasets
+
+    before = {x.saved_path for x in storage._written}
+    metrics = Datasets(spark, "/root/testdata/sf0.001").metrics
+    left = [x for x in storage._written if x.saved_path not in before]
+    assert sum(x.count() for x in left) == 6
+    assert metrics.count() == 8
+
+
+def test_running_sums_write_kept_columns_only(spark):
+    df = spark.range(5_000).select(F.expr("id % 3").alias("g"), "id", F.lit("x").alias("wide"), F.lit(1).cast("long").alias("one"), F.expr("id % 2").alias("odd"))
+    out = running_sums(df, ["g"], [F.col("id")], {"n": "one", "m": "odd"}, 8, keep=["g", "id"])
+    assert out.columns == ["g", "id", "n", "m"]
+    assert set(spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0]).columns) == {"g", "id", "n", "m", "range_"}
+    assert out.where("n <> id div 3 + 1").isEmpty()
+    wanted = df.select("id", F.sum("odd").over(Window.partitionBy("g").orderBy("id")).alias("w"))
+    assert out.join(wanted, "id").where("m <> w").isEmpty()
