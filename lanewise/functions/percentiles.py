@@ -1,13 +1,14 @@
-"""Exact percentiles of groups of any size: ranges between sampled quantiles are narrowed in rounds."""
+"""Exact percentiles of groups of any size: equal values are counted once, and counts added up over ranges of values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.functions.scan import running_sums
 from lanewise.operators.storage import saved
 
-#: Ranges that a round cuts a group's values into, and rows of a range that one task may put in order.
+#: Ranges that values are cut into, and rows that one task may put in order.
 RANGES, MOST_ROWS = 256, 4_000_000
 #: Accuracy of the quantile sketch: ranks are off by rows / ACCURACY at most.
 ACCURACY = 10_000
@@ -44,24 +45,22 @@ def narrowed(values: DataFrame, targets: DataFrame, most: int = MOST_ROWS, range
 def exact_percentiles(rows: DataFrame, by: str, value: str, wanted: dict[str, float], most: int = MOST_ROWS, ranges: int = RANGES) -> DataFrame:
     """(by, one column for each of ``wanted``): percentiles with linear interpolation, as of the sorted values.
 
-    Null and NaN values take no part; groups without others have no row. Equal values are
-    counted in each task before they are shuffled; a group of more than ``most`` rows is narrowed first.
+    Null and NaN values take no part; groups without others have no row. Rows are read once: equal values are
+    counted in each task before they are shuffled, and all that follows reads distinct values only. Where a group has
+    more than ``most`` of them, their counts are added up in ``ranges`` ranges of values, so that no group is one task's.
     """
     v = F.col(value).cast("double")
-    values = rows.where(v.isNotNull() & ~F.isnan(v)).select(F.to_json(F.struct(F.col(by).alias("g"))).alias("k"), F.col(by).alias("g"), v.alias("v"))
-    totals = saved(values.groupBy("k").agg(F.first("g").alias("g"), F.count("*").alias("total")), "totals")
+    counts = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(by).alias("g"), v.alias("v")).agg(F.count("*").alias("n"))
+    counts = saved(counts.select(F.to_json(F.struct("g")).alias("k"), "g", "v", "n"), "counts")
+    totals = counts.groupBy("k").agg(F.first("g").alias("g"), F.sum("n").alias("total"), F.count("*").alias("distinct"))
     at = lambda q: F.lit(q) * (F.col("total") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at(q)).cast("long"), F.ceil(at(q)).cast("long")) for q in wanted.values()])))
-    targets = totals.select("k", F.explode(ranks).alias("rank"))
-    if totals.where(F.col("total") > most).isEmpty():
-        held, asked = values.select("k", "v"), targets.select("k", "rank", F.col("k").alias("of"), F.col("rank").alias("asked"))
+    if totals.where(F.col("distinct") > most).isEmpty():
+        ended = counts.withColumn("end", F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     else:
-        held, asked = narrowed(values.select("k", "v"), targets, most, ranges)
-    counts = held.groupBy("k", "v").agg(F.count("*").alias("n"))
-    end = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    lists = asked.groupBy("k").agg(F.collect_list(F.struct("rank", "of", "asked")).alias("asked"))
-    found = counts.withColumn("end", end).join(lists, "k").select("v", F.explode(F.filter("asked", lambda a: (a["rank"] < F.col("end")) & (a["rank"] >= F.col("end") - F.col("n")))).alias("a"))
-    known = found.groupBy(F.col("a.of").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("a.asked", "v"))).alias("known")).join(totals, "k")
+        ended = running_sums(counts.select("k", "v", "n"), ["k"], [F.col("v")], {"end": "n"}, ranges)
+    found = ended.join(totals.select("k", ranks.alias("asked")), "k").select("k", "v", F.explode(F.filter("asked", lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))).alias("rank"))
+    known = found.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("known")).join(totals, "k")
 
     def percentile(q: float):
         low, high = F.floor(at(q)).cast("long"), F.ceil(at(q)).cast("long")

@@ -295,3 +295,18 @@ def test_running_sums_write_kept_columns_only(spark):
     assert out.where("n <> id div 3 + 1").isEmpty()
     wanted = df.select("id", F.sum("odd").over(Window.partitionBy("g").orderBy("id")).alias("w"))
     assert out.join(wanted, "id").where("m <> w").isEmpty()
+
+
+def test_percentiles_read_a_large_group_once(spark, tmp_path):
+    spark.range(200_000).select((F.col("id") % 50).cast("double").alias("v"), F.lit("g").alias("g")).repartition(4).write.parquet(str(tmp_path / "rows"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = spark.read.parquet(str(tmp_path / "rows")).select("g", seen.asNondeterministic()("v").alias("v"))
+    (got,) = exact_percentiles(rows, "g", "v", {"p10": 0.1, "p50": 0.5}, most=20, ranges=8).collect()
+    assert (got.p10, got.p50) == (np.percentile(np.repeat(np.arange(50.0), 4_000), 10), 24.5)
+    assert read.value == 200_000
