@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,23 +56,45 @@ def enrich(events: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 PAIR = "video_id string, zone_id string, frame_index long, person_track_id long, vehicle_track_id long"
-PAIR_STATE = "last long, run long, told boolean, frames array<long>, near array<boolean>, times array<long>"
+BY_PAIR = ["person_track_id", "vehicle_track_id", "needed"]
+#: State of a group of pairs: those that have been seen, with what their rows have left, and rows that wait for the watermark.
+LIVE = {**dict.fromkeys(BY_PAIR, "int64"), "last": "int64", "ms": "int64", "run": "int64", "told": "bool"}
+WAITING = {**dict.fromkeys(BY_PAIR, "int64"), "frame_index": "int64", "ms": "int64", "near": "bool"}
+PAIR_STATE = ", ".join(f"{name}_{c} array<{'boolean' if t == 'bool' else 'long'}>" for name, columns in (("live", LIVE), ("waiting", WAITING)) for c, t in columns.items())
+#: Groups that the pairs of a zone are dealt to, each with a state of its own.
+PAIR_GROUPS = 256
 
 
-def pair_runs(rows: pd.DataFrame, last: int | None, run: int, told: bool, needed: int) -> tuple[list[int], int, bool]:
-    """Frames at which one pair triggers, its last run of near rows, and whether its last segment has triggered.
+def runs_of_pairs(rows: pd.DataFrame, live: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows at which a pair triggers, and what each pair's rows leave.
 
-    ``rows``: frame_index, near, in the order of frames, of rows within the release distance;
-    ``last``, ``run`` and ``told`` are what the rows before have left. A frame without such
-    a row starts a segment, in which a pair triggers once; a row that isn't near ends a run.
+    ``rows`` (WAITING): within the release distance, in the order of pairs and frames; ``live`` (LIVE): what rows before
+    have left. A frame without such a row starts a segment, in which a pair triggers once; a row that isn't near ends a run.
     """
-    segment = (rows.frame_index.diff().fillna(0 if last is None else rows.frame_index.iloc[0] - last) != 1).cumsum()
-    pause = (~rows.near).cumsum()
-    runs = rows.near.groupby([segment, pause]).cumsum() + run * ((segment == 0) & (pause == 0))
-    hit = rows.near & (runs == needed) & ~((segment == 0) & told)
-    first = hit & (hit.groupby(segment).cumsum() == 1)
-    open_ = segment == segment.iloc[-1]
-    return rows.frame_index[first].tolist(), int(runs.iloc[-1]) if rows.near.iloc[-1] else 0, bool(hit[open_].any() or (told and segment.iloc[-1] == 0))
+    if rows.empty:
+        return rows, live
+    before = rows[BY_PAIR].merge(live[[*BY_PAIR, "last", "run", "told"]], "left", BY_PAIR)
+    frame, near = rows["frame_index"].to_numpy(), rows["near"].to_numpy()
+    new = (rows[BY_PAIR] != rows[BY_PAIR].shift()).any(axis=1).to_numpy()
+    goes_on = np.where(new, frame - before["last"].to_numpy(float), np.diff(frame, prepend=frame[0])) == 1
+    carried, told = new & goes_on, np.zeros(len(rows), bool)
+    told[carried] = before["told"].to_numpy()[carried].astype(bool)
+    segment = np.cumsum(new | ~goes_on) - 1
+    told = told[np.flatnonzero(new | ~goes_on)][segment]
+    steps = near + np.where(carried & near, before["run"].fillna(0).to_numpy(), 0)
+    runs = pd.Series(steps).groupby(np.cumsum(new | ~goes_on | ~near)).cumsum().to_numpy()
+    hit = near & (runs == rows["needed"].to_numpy()) & ~told
+    first = hit & (pd.Series(hit).groupby(segment).cumsum().to_numpy() == 1)
+    ends = np.r_[new[1:], True]
+    left = rows[BY_PAIR].assign(last=frame, ms=rows["ms"], run=np.where(near, runs, 0), told=told | pd.Series(hit).groupby(segment).cummax().to_numpy())[ends]
+    return rows[first], pd.concat([left, live]).drop_duplicates(BY_PAIR).astype(LIVE)
+
+
+def pair_runs(rows: pd.DataFrame, last: int | None, run: int, told: bool, needed: int) -> tuple[list[int], int, bool]:
+    """:func:`runs_of_pairs` for one pair: frames at which it triggers, its last run of near rows, and whether its last segment has triggered."""
+    one = dict.fromkeys(BY_PAIR, needed)
+    hits, left = runs_of_pairs(rows.assign(**one, ms=0), pd.DataFrame([] if last is None else [{**one, "last": last, "ms": 0, "run": run, "told": told}], columns=list(LIVE)).astype(LIVE))
+    return hits["frame_index"].tolist(), int(left["run"].iloc[0]), bool(left["told"].iloc[0])
 
 
 def proximity(stream: DataFrame, rules: DataFrame, width: int, height: int, idle_ms: int = 60_000) -> DataFrame:
@@ -79,32 +102,32 @@ def proximity(stream: DataFrame, rules: DataFrame, width: int, height: int, idle
 
     Persons meet vehicles in a stream-stream join on zone, frame, grid cell and event time, whose state
     the watermark clears. Riders, and pairs beyond the release distance, go no further: as
-    an unseen frame does, such a row ends a pair's segment. State is by pair, so a busy
-    video is spread over tasks, and an idle pair's state expires. The watermark is that of
-    the slower of persons and vehicles.
+    an unseen frame does, such a row ends a pair's segment. A zone's pairs are dealt to PAIR_GROUPS groups by a hash, so a busy
+    video is spread over tasks, and all pairs of a group take their steps at once; a pair that has been idle for ``idle_ms`` is
+    dropped from its group's state. The watermark is that of the slower of persons and vehicles.
     """
     pairs = person_vehicle_pairs(stream.withColumn("inside", F.lit(True)), rules, width, height, at=("event_ts",), near=True)
     close = pairs.where(~F.col("rider"))
-    rows = close.select("video_id", "zone_id", "person_track_id", "vehicle_track_id", "frame_index", (F.col("normalized_distance") <= F.col("trigger")).alias("near"), F.col("needed").cast("long"), F.unix_millis("event_ts").alias("ms"), "event_ts")
+    group = F.pmod(F.xxhash64("person_track_id", "vehicle_track_id"), F.lit(PAIR_GROUPS)).alias("pair_group")
+    rows = close.select("video_id", "zone_id", group, "person_track_id", "vehicle_track_id", "frame_index", (F.col("normalized_distance") <= F.col("trigger")).alias("near"), F.col("needed").cast("long"), F.unix_millis("event_ts").alias("ms"), "event_ts")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, run, told, *waiting = state.get if state.exists else (None, 0, False, [], [], [])
-        old = pd.DataFrame({"frame_index": list(waiting[0]), "near": list(waiting[1]), "ms": list(waiting[2])})
-        waiting = pd.concat([old, *(f[["frame_index", "near", "ms"]] for f in frames)]).astype({"frame_index": "int64", "near": "bool", "ms": "int64"})
-        waiting = waiting.drop_duplicates("frame_index").sort_values("frame_index", ignore_index=True)
+        held = state.get if state.exists else [[]] * (len(LIVE) + len(WAITING))
+        live = pd.DataFrame({c: list(x) for c, x in zip(LIVE, held, strict=False)}).astype(LIVE)
+        old = pd.DataFrame({c: list(x) for c, x in zip(WAITING, held[len(LIVE) :], strict=True)}).astype(WAITING)
+        waiting = pd.concat([old, *(f[list(WAITING)] for f in frames)]).astype(WAITING)
+        waiting = waiting.drop_duplicates([*BY_PAIR, "frame_index"]).sort_values([*BY_PAIR, "frame_index"], ignore_index=True)
         mark = state.getCurrentWatermarkMs()
-        ready, waiting = waiting[waiting.ms <= mark], waiting[waiting.ms > mark]
-        hits: list[int] = []
-        if len(ready):
-            hits, run, told = pair_runs(ready, last, run, told, key[4])
-            last = int(ready.frame_index.iloc[-1])
-        if state.hasTimedOut and waiting.empty:
-            state.remove()
+        ready, waiting = waiting[waiting.ms <= mark].reset_index(drop=True), waiting[waiting.ms > mark]
+        hits, live = runs_of_pairs(ready, live)
+        live = live[live.ms > mark - idle_ms]
+        if waiting.empty and live.empty:
+            if state.exists:
+                state.remove()
         else:
-            state.update((last, run, told, waiting.frame_index.tolist(), waiting.near.tolist(), waiting.ms.tolist()))
+            state.update(tuple(x.tolist() for df in (live, waiting) for _, x in df.items()))
             state.setTimeoutTimestamp(max(mark + 1, int(waiting.ms.min()) if len(waiting) else mark + idle_ms))
-        if hits:
-            video, zone, person, vehicle, _ = key
-            yield pd.DataFrame([(video, zone, f, person, vehicle) for f in hits], columns=["video_id", "zone_id", "frame_index", "person_track_id", "vehicle_track_id"])
+        if len(hits):
+            yield hits.assign(video_id=key[0], zone_id=key[1])[["video_id", "zone_id", "frame_index", "person_track_id", "vehicle_track_id"]]
 
-    return rows.groupBy("video_id", "zone_id", "person_track_id", "vehicle_track_id", "needed").applyInPandasWithState(step, PAIR, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("video_id", "zone_id", "pair_group").applyInPandasWithState(step, PAIR, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from lanewise.operators import events as ev
 from lanewise.operators import reports as rp
 from lanewise.operators import tracks as tk
 from lanewise.plans.derived import Scene, values
+from lanewise.streaming import rules as st
 from lanewise.streaming.rules import pair_runs
 from lanewise.streaming.stateful import advance
 
@@ -146,6 +148,19 @@ def test_pair_runs_in_pieces_equal_one_pass():
         assert got == want
 
 
+def test_steps_of_many_pairs_equal_those_of_each():
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"person_track_id": rng.integers(0, 6, 3_000), "vehicle_track_id": rng.integers(0, 5, 3_000), "needed": rng.integers(2, 4, 3_000), "frame_index": rng.integers(0, 60, 3_000), "near": rng.random(3_000) < 0.8})
+    by = ["person_track_id", "vehicle_track_id", "needed"]
+    rows = rows.drop_duplicates([*by, "frame_index"]).sort_values([*by, "frame_index"], ignore_index=True).assign(ms=0)
+    want = {(*map(int, key), f) for key, of in rows.groupby(by) for f in st.pair_runs(of[["frame_index", "near"]].reset_index(drop=True), None, 0, False, key[2])[0]}
+    got, live = set(), pd.DataFrame(columns=list(st.LIVE)).astype(st.LIVE)
+    for lo in range(0, 60, 7):
+        hits, live = st.runs_of_pairs(rows[rows.frame_index.between(lo, lo + 6)].reset_index(drop=True), live)
+        got |= {tuple(map(int, r)) for r in hits[[*by, "frame_index"]].itertuples(index=False)}
+    assert got == want and len(want) > 50 and len(live) == 60
+
+
 def test_events_policy_and_ids(spark, rows):
     s = Scene(spark, "/root/testdata/sf0.001")
     e = s.events.cache()
