@@ -123,7 +123,7 @@ QUERIES = {
     "stream_quality": (_quality, QUALITY),
     "stream_track_rules": (_track_rules, "select video_id, track_id, 'LINE_CROSSING' as kind, line_id as place, frame_index from crossings union all select video_id, track_id, case transition when 'ENTER' then 'ZONE_ENTRY' else 'ZONE_EXIT' end, zone_id, frame_index from zone_obs where transition in ('ENTER', 'EXIT') union all select video_id, track_id, 'WRONG_WAY', zone_id, frame_index from wrong_way union all select video_id, track_id, 'LONG_DWELL', zone_id, frame_index from dwell union all select video_id, track_id, 'STATIONARY_VEHICLE', zone_id, frame_index from stationary"),
     "stream_traffic_over_time": (_traffic, "select video_id, source_id, interval_start_seconds, total_crossing_count from ot"),
-    "stream_dwell_sessions": (_dwell, "select video_id, zone_id, track_id, count(*) as rows, min(timestamp_seconds) as first_seconds, max(timestamp_seconds) as last_seconds from (select *, sum(case when timestamp_seconds - b <= 1 then 0 else 1 end) over (partition by video_id, track_id order by frame_index) as e from (select *, lag(timestamp_seconds) over (partition by video_id, track_id order by frame_index) as b from zone_obs where inside)) group by video_id, zone_id, track_id, e"),
+    "stream_dwell_sessions": (_dwell, "select video_id, zone_id, track_id, count(*) as rows, min(timestamp_seconds) as first_seconds, max(timestamp_seconds) as last_seconds from (select *, sum(case when round(timestamp_seconds * 1000000) - round(b * 1000000) <= 1000000 then 0 else 1 end) over (partition by video_id, track_id order by frame_index) as e from (select *, lag(timestamp_seconds) over (partition by video_id, track_id order by frame_index) as b from zone_obs where inside)) group by video_id, zone_id, track_id, e"),
     "stream_event_dedup": (_dedup, "select video_id, line_id, track_id, timestamp_seconds from crossings"),
     "stream_enrich_events": (_enrich, "select video_id, track_id, timestamp_seconds, 'LINE_CROSSING' as event_type, 'INFO' as severity, 'CONFIRMED' as status from crossings"),
 }

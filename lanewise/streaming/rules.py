@@ -16,9 +16,9 @@ BASE = "2020-01-01 00:00:00"
 
 
 def stream_observations(spark: SparkSession, path: str, schema, files_per_trigger: int = 4, delay: str = "5 seconds") -> DataFrame:
-    """Track observations as a stream with event time ``event_ts`` = base + timestamp_seconds, and a watermark."""
+    """Track observations as a stream with event time ``event_ts`` = base + timestamp_seconds to the nearest microsecond, and a watermark."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    micros = (F.col("timestamp_seconds") * 1_000_000).cast("long")
+    micros = F.round(F.col("timestamp_seconds") * 1_000_000).cast("long")
     return rows.withColumn("event_ts", F.timestamp_micros(F.unix_micros(F.lit(BASE).cast("timestamp")) + micros)).withWatermark("event_ts", delay)
 
 
@@ -29,7 +29,7 @@ def traffic_over_time(crossings: DataFrame, length: str = "1 second", slide: str
 
 
 def dwell_sessions(inside: DataFrame, missing: str = "1 second") -> DataFrame:
-    """Stays as gap sessions of rows inside a zone."""
+    """Stays as gap sessions of rows inside a zone; a row exactly ``missing`` after the last one, in microseconds, stays in its session."""
     s = F.session_window("event_ts", missing)
     return inside.groupBy(s.alias("s"), "video_id", "zone_id", "track_id").agg(F.count("*").alias("rows"), F.min("timestamp_seconds").alias("first_seconds"), F.max("timestamp_seconds").alias("last_seconds"))
 

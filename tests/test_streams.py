@@ -4,8 +4,10 @@ import os
 import random
 import uuid
 
+import duckdb
 from pyspark.sql import functions as F
 
+from lanewise.plans.stream_queries import QUERIES
 from lanewise.streaming import rules as st
 from lanewise.streaming import stateful as sf
 
@@ -136,3 +138,18 @@ def test_occupancy_counts_each_track_once(spark, tmp_path):
             want.setdefault((z, int(s)), set()).add(t)
     got = {(r.zone_id, r.interval_start_seconds): r.tracks for r in feed.out() if r.zone_id != "end"}
     assert got == {k: len(v) for k, v in want.items()}
+
+
+def test_a_row_one_second_after_the_last_stays_in_its_session(spark, tmp_path):
+    """Also where tenths of a second are no exact doubles (9.2 - 8.2 < 1 < 4.4 - 3.4), and in SQL; one frame later is a new session."""
+    feed = Feed(spark, tmp_path, "video_id string, zone_id string, track_id long, timestamp_seconds double")
+    rows = [("v", "z", 2 * f + late, t / 10) for f in range(300) for late in (0, 1) for t in (f, f + 10 + late)]
+    feed.add(sorted(rows, key=lambda r: r[3]))
+    feed.add([("v", "end", 0, t) for t in (1000.0, 2000.0)])
+    feed.run(lambda s: st.dwell_sessions(s).drop("s"))
+    got = sorted((r.track_id, r.rows, r.first_seconds, r.last_seconds) for r in feed.out() if r.zone_id == "z")
+    want = sorted(x for f in range(300) for x in ((2 * f, 2, f / 10, (f + 10) / 10), (2 * f + 1, 1, f / 10, f / 10), (2 * f + 1, 1, (f + 11) / 10, (f + 11) / 10)))
+    assert got == want
+    seen = ", ".join(f"('v', 'z', {k}, {round(t * 10)}, {t!r}::double, true)" for _, _, k, t in rows)
+    sql = f"with zone_obs(video_id, zone_id, track_id, frame_index, timestamp_seconds, inside) as (values {seen}) {QUERIES['stream_dwell_sessions'][1]}"
+    assert sorted(r[2:] for r in duckdb.sql(sql).fetchall()) == want
