@@ -205,3 +205,19 @@ def test_rules_over_runs_sort_rows_once(spark):
     assert "REPARTITION_BY_NUM" in active
     zones_once = plan(s.zone_obs).count("Sort [")
     assert plan(s.wrong_way).count("Sort [") <= zones_once + 1
+
+
+def test_events_are_numbered_frame_by_frame(spark):
+    """No task orders a whole video, and numbers go on over frames."""
+    types = ("LINE_CROSSING", "ZONE_ENTRY", "WRONG_WAY")
+    rows = [(f"v{i % 2}", types[i % 3], i // 40, (i * 7) % 40, None, "z", "l", "r") for i in range(2_000)]
+    df = ev.numbered(spark.createDataFrame(rows, "video_id string, event_type string, frame_index long, track_id long, secondary_track_id long, zone_id string, line_id string, rule_value string"))
+    got = sorted((r.event_id, r.frame_index, types.index(r.event_type), r.track_id) for r in df.collect())
+    want = []
+    for v in ("v0", "v1"):
+        mine = sorted((r[2], types.index(r[1]), r[3]) for r in rows if r[0] == v)
+        want += [(f"{v}-EVT-{n:06d}", *r) for n, r in enumerate(mine, 1)]
+    assert got == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(video_id" in plan
+    assert all("frame_index" in w.split(",", 2)[1] for w in plan.split("row_number() windowspecdefinition(")[1:])
