@@ -42,9 +42,9 @@ from lanewise.llm.common import drop_scratch, read_table, spread, write_scratch
 #: Words that all tasks share, at most; their bytes are bounded by SHARED_BYTES for each.
 SHARED_WORDS, SHARED_BYTES = 1 << 18, 64
 #: Characters of the texts that are encoded together, and words that are replayed together, at most (but for single longer texts and words).
-GROUP_CHARS, REPLAY_BYTES = 12_000_000, 3_000_000
+GROUP_CHARS, REPLAY_BYTES = 6_000_000, 1_500_000
 #: Entries of the tables that a task keeps between groups of texts.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Words that a task counts before it hands its counts on.
 COUNTED_WORDS = 200_000
 
@@ -357,18 +357,21 @@ def shared_words(texts: DataFrame, path: str, most: int = SHARED_WORDS) -> Share
     return Shared(out["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.r_[0, np.cumsum(sizes, dtype=np.int64)])
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", shared: int = SHARED_WORDS) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", shared: int = SHARED_WORDS, decoded_col: str | None = None) -> DataFrame:
     """``df`` with the ids of each whole text, as an array of ints, in place of the text; ``path`` is a tiktoken file of ranks.
 
     Equal to tiktoken's ``encode_ordinary`` with public_tokenizers.PATTERN: no special tokens. A null or empty
     text has no ids (an empty array). Rows that repeat are encoded like any other; an
-    empty table gives an empty one; other columns stay, one that is named ``ids_col`` is replaced.
+    empty table gives an empty one; other columns stay, one that is named ``ids_col`` is replaced. With ``decoded_col``
+    a further column has the bytes that the ids stand for, as :func:`decode` gives them: decoded in the same process, so
+    that a task holds one vocabulary and ids don't go back to a second process.
     """
     spark = df.sparkSession
     frequent = shared_words(df.select(F.col(text_col).alias("text")), path, shared) if shared else Shared()
     known = spark.sparkContext.broadcast(frequent)
-    rest = df.drop(ids_col)
-    schema = T.StructType([*[f for f in rest.schema.fields if f.name != text_col], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    rest = df.drop(ids_col, *([decoded_col] if decoded_col else []))
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded_col, T.BinaryType(), False)] if decoded_col else [])]
+    schema = T.StructType([*[f for f in rest.schema.fields if f.name != text_col], *added])
     place = rest.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +389,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                         ids = [table.encoded(y) for y in numbers[lo : i + 1]]
                         offsets = pa.array(np.r_[0, np.cumsum([len(y) for y in ids])], pa.int32())
                         column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                        yield pa.RecordBatch.from_arrays([*b.slice(lo, i + 1 - lo).columns, column], [*b.schema.names, ids_col])
+                        back = [pa.array(map(table.vocab.decode, ids), pa.binary())] if decoded_col else []
+                        yield pa.RecordBatch.from_arrays([*b.slice(lo, i + 1 - lo).columns, column, *back], [*b.schema.names, ids_col, *([decoded_col] if back else [])])
                         lo, size = i + 1, 0
             held.clear()
             if len(table.number) > KEPT_WORDS:
@@ -426,8 +430,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to ids and back; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    both = decode(ids, path)
+    both = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -225,6 +225,17 @@ def test_groups_of_texts_and_tables_are_bounded(spark, library, monkeypatch):
             table.clear()
 
 
+def test_one_process_encodes_and_decodes(spark):
+    """A task of the query holds one Python process beside Spark's, and one vocabulary; its bytes are those of a decoding of their own."""
+    plan = bpe.op13_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    df = spark.createDataFrame([(i, t, b"x") for i, t in enumerate([*odd_texts(3, 300), None])], "doc_id long, text string, decoded binary").repartition(3)
+    both = bpe.encode(df, PATH, decoded_col="decoded")
+    got = sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in both.collect())
+    assert got == sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(df, PATH), PATH).collect())
+    assert both.columns == ["doc_id", "ids", "decoded"]
+
+
 def test_bpe_query(spark, library):
     got = {r.doc_id: r for r in bpe.op13_bpe(spark, "/root/testdata/sf0.001").collect()}
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
