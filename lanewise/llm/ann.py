@@ -18,7 +18,10 @@ from the wanted recall, which is measured on the sample: data of low intrinsic d
 need few leaves, directions that are spread evenly over 64 dimensions about a third.
 
 *Rerank.* Queries meet the popped leaves' blocks by an equality join; the exact
-inner products of original vectors, in double precision, choose the nearest.
+inner products of original vectors, in double precision, choose the nearest. Each
+query brings a floor: the ``k + 1``-th largest score of the sample rows that lie in
+leaves it pops. They are met in the join too, so what scores less can't be among the
+nearest found, and tasks hand on few partial results however many there are.
 
 Inner product is turned into an angle by one more coordinate that makes all rows
 equally long (zero in a query), so vectors need no normalisation.
@@ -49,6 +52,8 @@ LEAST_DEPTH = 4
 BLOCK_ROWS = 2_048
 #: Blocks of each part that a leaf is dealt over, about.
 SALT_BLOCKS = 8
+#: Rows of the sample that floors are taken from: so many, or a sixteenth of all points where that is more.
+FLOOR_ROWS = 8_192
 #: Rows of partial results that a task holds, at most.
 BUFFER_ROWS = 1_000_000
 
@@ -130,6 +135,24 @@ class Forest:
         return int(needed[math.ceil(recall * len(needed)) - 1]) + 1
 
 
+def floors(sample: np.ndarray, leaf: np.ndarray, q: np.ndarray, popped: np.ndarray, leaves: int, k: int) -> np.ndarray:
+    """For each query the ``k``-th largest score of the sample rows that lie in leaves it pops, less what rounding can make; -inf where there are fewer.
+
+    ``leaf``: the leaves of each sample row; ``popped``: those of each query.
+    """
+    if len(sample) < k:
+        return np.full(len(q), -np.inf)
+    opened = np.zeros((len(q), leaves), bool)
+    np.put_along_axis(opened, popped, True, axis=1)
+    met = np.zeros((len(q), len(sample)), bool)
+    for t in range(leaf.shape[1]):
+        met |= opened[:, leaf[:, t]]
+    sample, q = sample.astype(np.float64), q.astype(np.float64)
+    score = np.where(met, q @ sample.T, -np.inf)
+    longest = np.sqrt((sample * sample).sum(axis=1).max())
+    return np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k] - 1e-12 * longest * np.sqrt((q * q).sum(axis=1))
+
+
 def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
     """Rows with one more coordinate, equally long, then scaled to length one."""
     x = x.astype(np.float64)
@@ -228,10 +251,11 @@ def nearest_neighbours(
     if sample.num_rows > 1:
         queries = np.random.default_rng(seed).permutation(sample.num_rows)[:SAMPLE_QUERIES]
         probes = forest.probes_for(vectors.astype(np.float64), lengthy, queries, k, recall)
-    shared = spark.sparkContext.broadcast((forest, longest, probes))
+    few = slice(max(FLOOR_ROWS, n // 16))
+    shared = spark.sparkContext.broadcast((forest, longest, probes, vectors[few], forest.leaves(lengthy[few])))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, longest, _ = shared.value
+        forest, longest, *_ = shared.value
         for b in batches:
             if b.num_rows:
                 leaf = forest.leaves(lengthened(_vectors(b["v"]), longest))
@@ -239,26 +263,29 @@ def nearest_neighbours(
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.reshape(-1)), b["point"].take(pa.array(at)), b["v"].take(pa.array(at))], ["leaf", "point", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, _, probes = shared.value
+        forest, _, probes, sample, lie = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                leaf = forest.popped(directions(_vectors(part["v"])), probes)
+                x = _vectors(part["v"])
+                leaf = forest.popped(directions(x), probes)
+                least = floors(sample, lie, x, leaf, forest.trees << forest.depth, k + 1)
                 at = np.repeat(np.arange(part.num_rows), leaf.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.reshape(-1)), part["point"].take(pa.array(at)), part["v"].take(pa.array(at))], ["leaf", "point", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.reshape(-1)), part["point"].take(pa.array(at)), part["v"].take(pa.array(at)), pa.array(least[at])], ["leaf", "point", "v", "least"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows of (leaf, point, v) to blocks of (leaf, points, vectors) of bounded size."""
+        """Sorted rows of (leaf, point, v) to blocks of (leaf, points, vectors) of bounded size; a query's floors go along."""
         held: dict[int, list] = {}
         for b in batches:
             leaf, point, v = b["leaf"].to_numpy(), b["point"].to_numpy(), _vectors(b["v"])
+            least = [b["least"].to_numpy()] if "least" in b.schema.names else []
             cuts = np.flatnonzero(np.diff(leaf)) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(leaf)], strict=True):
                 key = int(leaf[lo])
                 for other in [x for x in held if x != key]:
                     yield from _blocks(other, held.pop(other))
-                held.setdefault(key, []).append((point[lo:hi], v[lo:hi]))
-                if sum(len(p) for p, _ in held[key]) >= BLOCK_ROWS:
+                held.setdefault(key, []).append([x[lo:hi] for x in (point, v, *least)])
+                if sum(len(p) for p, *_ in held[key]) >= BLOCK_ROWS:
                     yield from _blocks(key, held.pop(key))
         for key, parts in held.items():
             yield from _blocks(key, parts)
@@ -267,12 +294,12 @@ def nearest_neighbours(
     placed = points.mapInArrow(place, f"leaf int, point long, v array<{kind}>")
     # A leaf is dealt over several tasks: no leaf, however large, is one task's.
     blocks = placed.repartition(F.col("leaf"), F.pmod(F.xxhash64("point"), F.lit(4))).sortWithinPartitions("leaf").mapInArrow(pack, packed)
-    asked = points.where("asks").select("point", "v").mapInArrow(ask, f"leaf int, point long, v array<{kind}>")
-    asked = asked.repartition(F.col("leaf"), F.pmod(F.xxhash64("point"), F.lit(4))).sortWithinPartitions("leaf").mapInArrow(pack, packed)
+    asked = points.where("asks").select("point", "v").mapInArrow(ask, f"leaf int, point long, v array<{kind}>, least double")
+    asked = asked.repartition(F.col("leaf"), F.pmod(F.xxhash64("point"), F.lit(4))).sortWithinPartitions("leaf").mapInArrow(pack, f"{packed}, least binary")
     # A leaf's blocks are dealt over salts, and each block of its queries goes to all of them: no leaf is one task's in the join either.
     salts = max(1, math.ceil((n >> depth) / (SALT_BLOCKS * BLOCK_ROWS)))
     salted = blocks.withColumn("salt", F.pmod(F.xxhash64("points"), F.lit(salts)).cast("int"))
-    queries = asked.select("leaf", F.col("points").alias("q"), F.col("vectors").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    queries = asked.select("leaf", F.col("points").alias("q"), F.col("vectors").alias("qv"), "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     meet = salted.join(queries, ["leaf", "salt"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +307,11 @@ def nearest_neighbours(
         held: list[tuple] = []
         rows = 0
         for b in batches:
-            for points, vectors, q, qv in zip(*(b[c] for c in ("points", "vectors", "q", "qv")), strict=True):
+            for points, vectors, q, qv, ql in zip(*(b[c] for c in ("points", "vectors", "q", "qv", "least")), strict=True):
                 ids, queries = points.values.to_numpy(), q.values.to_numpy()
                 x = np.frombuffer(vectors.as_py(), size).reshape(len(ids), -1).astype(np.float64)
                 y = np.frombuffer(qv.as_py(), size).reshape(len(queries), -1).astype(np.float64)
+                floor = np.frombuffer(ql.as_py(), np.float64)
                 longest = np.sqrt((x * x).sum(axis=1).max())
                 for lo in range(0, len(y), 256):
                     part = y[lo : lo + 256]
@@ -291,8 +319,8 @@ def nearest_neighbours(
                     top = min(len(ids), k + 1)
                     # All that reach the last place but for rounding: ties go to the smaller id, whatever its place here.
                     least = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top] - 1e-12 * longest * np.sqrt((part * part).sum(axis=1))
-                    at, best = np.nonzero(rough >= least[:, None])
-                    exact = np.concatenate([inner_products(part[at[i : i + BLOCK_ROWS]], x[best[i : i + BLOCK_ROWS]]) for i in range(0, len(at), BLOCK_ROWS)])
+                    at, best = np.nonzero(rough >= np.maximum(least, floor[lo : lo + 256])[:, None])
+                    exact = np.concatenate([inner_products(part[at[i : i + BLOCK_ROWS]], x[best[i : i + BLOCK_ROWS]]) for i in range(0, max(1, len(at)), BLOCK_ROWS)])
                     new = (queries[lo + at], ids[best], exact)
                     held.append(nearest([new], k + 1) if len(at) > top * len(part) else new)
                     rows += len(held[-1][0])
@@ -342,12 +370,10 @@ def nearest(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _blocks(leaf: int, parts: list) -> Iterator[pa.RecordBatch]:
-    ids, v = np.concatenate([p for p, _ in parts]), np.concatenate([v for _, v in parts])
+    ids, *columns = map(np.concatenate, zip(*parts, strict=True))
+    names = ["leaf", "points", "vectors", "least"][: 2 + len(columns)]
     for lo in range(0, len(ids), BLOCK_ROWS):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([leaf], pa.int32()), pa.array([ids[lo : lo + BLOCK_ROWS].tolist()], pa.list_(pa.int64())), pa.array([v[lo : lo + BLOCK_ROWS].tobytes()], pa.binary())],
-            ["leaf", "points", "vectors"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), pa.array([ids[lo : lo + BLOCK_ROWS].tolist()], pa.list_(pa.int64())), *[pa.array([x[lo : lo + BLOCK_ROWS].tobytes()], pa.binary()) for x in columns]], names)
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

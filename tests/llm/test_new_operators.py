@@ -327,6 +327,47 @@ def test_chat_query_renders_prefixes():
 # --- 1: leaves in the join -------------------------------------------------------
 
 
+def test_floors_are_below_what_is_found():
+    from lanewise.llm import ann
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (900, 6)).astype(np.float32)
+    forest = ann.Forest(x, 3, 4, 1)
+    leaf, q = forest.leaves(x), x[::30]
+    popped = forest.popped(q, 5)
+    least = ann.floors(x[:300], leaf[:300], q, popped, 48, 11)
+    for i in range(len(q)):
+        met = lambda rows: sorted(x[:rows][np.isin(leaf[:rows], popped[i]).any(axis=1)].astype(float) @ q[i].astype(float))  # noqa: B023, E731
+        own = met(300)
+        assert abs(least[i] - own[-11]) < 1e-9 if len(own) >= 11 else least[i] == -np.inf
+        assert sum(s >= least[i] for s in met(900)) >= min(11, len(met(900)))
+    assert np.isinf(ann.floors(x[:5], leaf[:5], q, popped, 48, 11)).all()
+
+
+def test_partial_results_do_not_grow_with_the_tasks(spark):
+    """Leaves that lie in a task each hand on little more than what is found in the end."""
+    from lanewise.llm import ann
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (2_000, 16)))], "vec_id long, embedding array<double>")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        found = ann.nearest_neighbours(df, lambda i: i % 20 == 0, k=10).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().apply(store.executionsList().size() - 1).executionId()
+    nodes, values = store.planGraph(last).allNodes(), store.executionMetrics(last)
+    (score,) = [n for n in map(nodes.apply, range(nodes.size())) if n.desc().startswith("MapInArrow score")]
+    made = [values.get(m.accumulatorId()).get() for m in map(score.metrics().apply, range(score.metrics().size())) if m.name() == "number of output rows"]
+    assert len(found) == 1_000
+    assert int(made[0].replace(",", "")) < 4 * len(found)
+
+
 def test_table_larger_than_the_sample_and_a_hot_leaf(spark, monkeypatch):
     """Recall on a table of twenty times the sample, a third of it in one tight cluster, whose leaf is joined in several parts."""
     from lanewise.llm import ann
