@@ -16,16 +16,18 @@ use, a digit plan, a telephone cue or a check sum speaks for it.
 
 *Select.* Of held-out documents each kind's candidates that are no base matches, planted ones
 and the corpus's own, give the lowest threshold at which what it selects is right
-with the wanted precision; a kind that never reaches it selects nothing more. Base spans
+with the wanted precision; a kind that never reaches it selects nothing more. The corpus's
+own are all counted, by kind and step of probability, in a pass of their own. Base spans
 are always selected, and others that don't overlap them are added.
 
-The sample is bounded for each kind, base matches and others apart, so that rare ones are reached.
+The sample that trees are fitted on is bounded for each kind, base matches and others apart, so that rare ones are reached.
 The model is a few kilobytes; documents are scanned where they are read, whole, and never
 shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from bisect import bisect_left, insort
@@ -46,6 +48,11 @@ from lanewise.llm.secrets import digest
 #: Candidates that the trees may be fitted on of each kind, base matches and others apart; pieces with a planted form or decoy in all, and of one document at most; precision wanted, least held-out candidates selected, least threshold.
 SAMPLE_CANDIDATES, PLANTED, PLANTED_EACH, PRECISION, LEAST_SELECTED, LEAST_THRESHOLD = 5_000, 12_000, 50, 0.98, 20, 0.5
 
+#: Steps of probability in which held-out candidates are counted; a power of two, so that a step's ends are exact.
+STEPS = 1 << 14
+#: Held-out candidates that a task scores at once, about.
+SCORED_AT_ONCE = 10_000
+
 #: Kinds in the order in which equal starts are listed, with their base patterns.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -303,22 +310,59 @@ class Model:
         return kept
 
 
+def eligible(text: str) -> Iterator[tuple]:
+    """Candidates, and whether they are base matches; others don't overlap any, as when spans are selected."""
+    base = base_spans(text)
+    near, covered = set(base), merged(base)
+    for c in candidates(text):
+        if c in near or apart(covered, *c[1:]):
+            yield c, c in near
+
+
+def held_counts(texts: DataFrame, trees: BoostedTrees, least: dict[str, float]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """kind -> (p, right, n): of all candidates of ``text`` that are no base matches and have a probability of ``least`` or more, how many lie in each step of probability from ``p`` on, and how many of them are personal data."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        kinds, x, y = [], [], []
+
+        def scored() -> None:
+            if x:
+                p = trees.probability(np.array(x, float))
+                n.update((k, math.floor(q * STEPS), right) for k, q, right in zip(kinds, p.tolist(), y, strict=True) if q >= least[k])
+            for column in (kinds, x, y):
+                column.clear()
+
+        for batch in batches:
+            for t in batch["text"].to_pylist():
+                for c, base in eligible(t):
+                    if not base and c[0] in least:
+                        for column, value in zip((kinds, x, y), (c[0], features(t, *c), plausible(t, *c)), strict=True):
+                            column.append(value)
+                        if len(x) >= SCORED_AT_ONCE:
+                            scored()
+        scored()
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in n], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))] + [pa.array(list(n.values()), pa.int64())], ["kind", "step", "sound", "n"])
+
+    counted = texts.select("text").mapInArrow(work, "kind string, step int, sound boolean, n long").groupBy("kind", "step")
+    rows = counted.agg(F.sum(F.when(F.col("sound"), F.col("n")).otherwise(0)).alias("sound"), F.sum("n").alias("n")).collect()
+    out = {}
+    for kind in least:
+        mine = [r for r in rows if r["kind"] == kind]
+        # The step that holds the least probability counts from that on.
+        p = np.maximum(np.array([r["step"] / STEPS for r in mine], float), least[kind])
+        out[kind] = p, np.array([r["sound"] for r in mine], np.int64), np.array([r["n"] for r in mine], np.int64)
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> Model:
-    """Trees and thresholds from about SAMPLE_CANDIDATES candidates of each kind at most, base matches and others apart, and PLANTED pieces, drawn by hashes.
+    """Trees from about SAMPLE_CANDIDATES candidates of each kind at most, base matches and others apart, and PLANTED pieces, drawn by hashes; thresholds from the pieces and all candidates of held-out documents.
 
-    A first pass counts candidates and documents, a second one draws. Without both positive
+    A first pass counts candidates and documents, a second one draws, a third one scores what is held out. Without both positive
     and negative candidates in the sample there are no trees, and only base spans are selected.
     """
     rows = docs.where(F.length(text_col) > 0).select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed + 1)).alias("h"), F.col(text_col).alias("text"))
 
-    def eligible(text: str) -> Iterator[tuple]:
-        """Candidates, and whether they are base matches; others don't overlap any, as when spans are selected."""
-        base = base_spans(text)
-        near, covered = set(base), merged(base)
-        for c in candidates(text):
-            if c in near or apart(covered, *c[1:]):
-                yield c, c in near
-
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for batch in batches:
@@ -356,25 +400,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: i
     weight = np.array([1 / max(1, (group == g).sum()) for g in range(2 * len(KINDS))])[group]
     trees = BoostedTrees().fit(x[~held], y[~held], weight[~held] * len(flat) / len(KINDS))
     p = trees.probability(x)
-    thresholds = {}
-    for k, name in enumerate(KINDS):
-        mine = held & ~base & (of == k)
-        least = lowest_threshold(p[mine & sown], y[mine & sown])
+    sown = held & ~base & sown
+    thresholds = {name: t for k, name in enumerate(KINDS) if (t := lowest_threshold(p[sown & (of == k)], y[sown & (of == k)])) is not None}
+    if thresholds:
         # The corpus's own candidates are held apart: where they need more, they decide, and where nothing is enough the kind is left out.
-        own = mine & ~sown
-        if least is not None and (p[own] >= least).sum() >= LEAST_SELECTED:
-            least = lowest_threshold(p[own & (p >= least)], y[own & (p >= least)])
-        if least is not None:
-            thresholds[name] = least
+        for name, (step, right, n) in held_counts(rows.where(F.pmod("h", F.lit(4)) == 0), trees, thresholds).items():
+            if n.sum() >= LEAST_SELECTED:
+                if (own := lowest_threshold(step, right, n)) is None:
+                    del thresholds[name]
+                else:
+                    thresholds[name] = own
     return Model(trees, thresholds)
 
 
-def lowest_threshold(p: np.ndarray, y: np.ndarray) -> float | None:
-    """The lowest probability, LEAST_THRESHOLD or more, from which on LEAST_SELECTED or more candidates have the wanted precision."""
+def lowest_threshold(p: np.ndarray, right: np.ndarray, n: np.ndarray | None = None) -> float | None:
+    """The lowest probability, LEAST_THRESHOLD or more, from which on LEAST_SELECTED or more candidates have the wanted precision; ``n`` candidates, one without it, stand at each of ``p``, ``right`` of them right."""
     order = np.argsort(-p, kind="stable")
     order = order[p[order] >= LEAST_THRESHOLD]
-    right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-    good = [i for i in range(LEAST_SELECTED - 1, len(order)) if right[i] >= PRECISION and (i + 1 == len(order) or p[order[i + 1]] < p[order[i]])]
+    total = np.cumsum((np.ones(len(p), np.int64) if n is None else n)[order])
+    share = np.cumsum(right[order]) / total
+    good = [i for i in range(len(order)) if total[i] >= LEAST_SELECTED and share[i] >= PRECISION and (i + 1 == len(order) or p[order[i + 1]] < p[order[i]])]
     return float(p[order[good[-1]]]) if good else None
 
 

@@ -747,6 +747,38 @@ def test_planted_forms_are_found_and_decoys_left_alone(spark):
     assert wrong <= 0.03 * (right + wrong)
 
 
+def test_thresholds_come_from_all_held_out_candidates(spark, monkeypatch):
+    """A sample of few candidates for the trees leaves none out where thresholds are chosen."""
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", 40)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0").select("doc_id", "text")
+    forms = (lambda i: f"write to anna.{i} (at) site{i} (dot) com today", lambda i: f"call me on (212) 555-{i + 1000} or later", lambda i: f"order 0{i % 80 + 10}-{i % 700 + 100}-{i + 10000} came")
+    d = d.union(spark.createDataFrame([(10**6 + i, forms[i % 3](i)) for i in range(1_500)], "doc_id long, text string"))
+    counts, asked = {}, pii.held_counts
+    monkeypatch.setattr(pii, "held_counts", lambda texts, trees, least: counts.update(asked(texts, trees, least)) or counts.copy())
+    model = pii.fit(d)
+    texts = [r.text for r in d.where(F.expr("pmod(xxhash64(doc_id, text, 4), 4) = 0")).collect()]
+    own = {kind: [] for kind in pii.KINDS}
+    for t in texts:
+        for c, base in pii.eligible(t):
+            if not base:
+                own[c[0]].append((model.trees.probability(np.array([pii.features(t, *c)], float))[0], pii.plausible(t, *c)))
+    assert counts and sum(n.sum() for _, _, n in counts.values()) > 40
+    for kind, (p, right, n) in counts.items():
+        from_on = [x for x in own[kind] if x[0] >= p.min()] if len(p) else []
+        assert (n.sum(), right.sum()) == (len(from_on), sum(sound for _, sound in from_on))
+        chosen = [sound for q, sound in own[kind] if q >= model.thresholds.get(kind, 2)]
+        assert n.sum() < pii.LEAST_SELECTED or not chosen or sum(chosen) >= pii.PRECISION * len(chosen)
+
+
+def test_a_threshold_of_counts_is_that_of_rows():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        step = rng.integers(40, 64, 300) / 64
+        y = (rng.random(300) < 0.9 + step / 10).astype(int)
+        p = np.unique(step)
+        assert pii.lowest_threshold(p, np.array([y[step == q].sum() for q in p]), np.array([(step == q).sum() for q in p])) == pii.lowest_threshold(step, y)
+
+
 def test_many_spans_take_linear_time(spark):
     model = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     began = time.process_time()
