@@ -310,3 +310,21 @@ def test_percentiles_read_a_large_group_once(spark, tmp_path):
     (got,) = exact_percentiles(rows, "g", "v", {"p10": 0.1, "p50": 0.5}, most=20, ranges=8).collect()
     assert (got.p10, got.p50) == (np.percentile(np.repeat(np.arange(50.0), 4_000), 10), 24.5)
     assert read.value == 200_000
+
+
+def test_all_pairs_of_a_crowded_frame_are_several_tasks_work(spark):
+    from lanewise.operators import tracks as tk
+    from lanewise.plans.derived import Scene
+
+    columns = "video_id string, source_id string, zone_id string, frame_index long, timestamp_seconds double, track_id long, class_name string, inside boolean, x1 double, y1 double, x2 double, y2 double"
+    rows = [("v", "s", "urban_zone", 0, 0.0, i, "person" if i % 4 == 0 else "car", True, float(i), 0.0, i + 9.0, 9.0) for i in range(400)]
+    joins = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(joins)
+    spark.conf.set(joins, "-1")
+    try:
+        pairs = tk.person_vehicle_pairs(spark.createDataFrame(rows, columns), Scene(spark, "").proximity_rules, 1920, 1080)
+        got = pairs.select("person_track_id", "vehicle_track_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set(joins, kept)
+    assert sorted((r.person_track_id, r.vehicle_track_id) for r in got) == [(p, v) for p in range(0, 400, 4) for v in range(400) if v % 4]
+    assert len({r.task for r in got}) > 2
