@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.operators.storage import saved
-from lanewise.operators.tracks import scene_dim, shuffle_tasks
+from lanewise.operators.tracks import PAIR_TASKS, scene_dim, shuffle_tasks
 
 #: Event types in the order in which rules of one frame emit them.
 TYPES = ("LINE_CROSSING", "ZONE_ENTRY", "ZONE_EXIT", "PEDESTRIAN_INTRUSION", "WRONG_WAY", "LONG_DWELL", "STATIONARY_VEHICLE", "PROXIMITY_WARNING")
@@ -59,24 +59,28 @@ def deduplicated(events: DataFrame) -> DataFrame:
     """One event for each key, the first by all other columns; null ids are equal. Keys are dealt to a fixed number of tasks: events are small in a shuffle and large in memory."""
     rest = [c for c in events.columns if c not in KEY]
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*rest))
-    return events.repartition(shuffle_tasks(events), *KEY).withColumn("_first", first).where("_first = 1").drop("_first")
+    return events.repartition(PAIR_TASKS * shuffle_tasks(events), *KEY).withColumn("_first", first).where("_first = 1").drop("_first")
 
 
 def numbered(events: DataFrame) -> DataFrame:
     """event_id ``{video}-EVT-000001`` in the order in which the rules emit.
 
-    Only the events of one frame are put in order together: the counts of the frames before, one small row for each
-    frame, are added. The events are written once to the shared folder, as they are read for both.
+    Only the events of one track, frame and stage are put in order together, as warnings of a frame grow with the square of
+    its tracks. The counts of the tracks and stages before in the frame, and of the frames before, are added: one small row
+    for each. The events are written once to the shared folder, as they are read for both.
     """
-    rows = saved(events, "unnumbered")
     stage = F.create_map(*[x for k, v in STAGES.items() for x in (F.lit(k), F.lit(v))])
-    order = (F.element_at(stage, F.col("event_type")), "track_id", "zone_id", "line_id", F.col("event_type") == "PEDESTRIAN_INTRUSION", "secondary_track_id", "rule_value")
-    earlier = Window.partitionBy("of_video").orderBy("of_frame").rowsBetween(Window.unboundedPreceding, -1)
-    frames = rows.groupBy(F.col("video_id").alias("of_video"), F.col("frame_index").alias("of_frame")).agg(F.count("*").alias("here"))
-    frames = frames.select("of_video", "of_frame", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"))
-    placed = rows.repartition(shuffle_tasks(rows), "video_id", "frame_index").withColumn("_n", F.row_number().over(Window.partitionBy("video_id", "frame_index").orderBy(*order)))
-    met = placed.join(frames, F.col("video_id").eqNullSafe(F.col("of_video")) & F.col("frame_index").eqNullSafe(F.col("of_frame")), "left")
-    return met.select(*events.columns, F.format_string("%s-EVT-%06d", "video_id", F.col("before") + F.col("_n")).alias("event_id"))
+    # Structs are equal where their fields are, null or not: one key deals, orders and joins without a further shuffle.
+    rows = saved(events, "unnumbered").withColumn("_own", F.struct("video_id", "frame_index", F.element_at(stage, F.col("event_type")).alias("stage"), "track_id"))
+    order = ("zone_id", "line_id", F.col("event_type") == "PEDESTRIAN_INTRUSION", "secondary_track_id", "rule_value")
+    tasks = shuffle_tasks(rows)
+    up_to = lambda by, of: F.coalesce(F.sum("here").over(Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("_own").agg(F.count("*").alias("here")).withColumn("_frame", F.struct("_own.video_id", "_own.frame_index")).repartition(tasks, "_frame")
+    frames = counts.groupBy("_frame").agg(F.sum("here").alias("here")).select("_frame", up_to(["_frame.video_id"], "_frame.frame_index").alias("earlier"))
+    before = counts.withColumn("before", up_to(["_frame"], "_own")).join(frames, "_frame").select("_own", F.col("earlier").alias("_earlier"), F.col("before").alias("_before"))
+    placed = rows.repartition(PAIR_TASKS * tasks, "_own").withColumn("_n", F.row_number().over(Window.partitionBy("video_id", "frame_index", "_own").orderBy(*order)))
+    met = placed.join(before, "_own")
+    return met.select(*events.columns, F.format_string("%s-EVT-%06d", "video_id", F.col("_earlier") + F.col("_before") + F.col("_n")).alias("event_id"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:

@@ -221,3 +221,24 @@ def test_events_are_numbered_frame_by_frame(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(video_id" in plan
     assert all("frame_index" in (part := w.split(",", 2)[1]) and "ASC" not in part for w in plan.split("row_number() windowspecdefinition(")[1:])
+
+
+def test_events_of_a_crowded_frame_are_numbered_track_by_track(spark):
+    """No task orders the warnings of a whole frame, which grow with the square of its tracks; ids that are null come first."""
+    kinds = ("LINE_CROSSING", "ZONE_ENTRY", "PEDESTRIAN_INTRUSION", "PROXIMITY_WARNING")
+    rows = [(f"v{f % 2}", k, f // 2, t or None, s if k == kinds[3] else None, None if t % 5 == 0 else "z", None, "r") for f in range(4) for k in kinds for t in range(12) for s in range(9 if k == kinds[3] else 1)]
+    df = ev.numbered(spark.createDataFrame(rows, "video_id string, event_type string, frame_index long, track_id long, secondary_track_id long, zone_id string, line_id string, rule_value string").repartition(5))
+    first = lambda v: (v is not None, v)
+    place = lambda r: (r[2], ev.STAGES[r[1]], first(r[3]), first(r[5]), r[1] == kinds[2], first(r[4]))
+    want = [(f"{v}-EVT-{n:06d}", *r) for v in ("v0", "v1") for n, r in enumerate(sorted((r for r in rows if r[0] == v), key=place), 1)]
+    assert sorted((r.event_id, *r[:-1]) for r in df.collect()) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    (window,) = plan.split("row_number() windowspecdefinition(")[1:]
+    assert "_own" in window.split(" ASC")[0]
+
+
+def test_tracks_of_events_are_dealt_to_a_fixed_number_of_tasks(spark):
+    """Spark would join tasks by the few bytes of an event in the shuffle, and a task would hold millions of wide rows."""
+    plan = Scene(spark, "/root/testdata/sf0.001").trajectory._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "REPARTITION_BY_NUM" in plan
