@@ -328,3 +328,56 @@ def test_all_pairs_of_a_crowded_frame_are_several_tasks_work(spark):
         spark.conf.set(joins, kept)
     assert sorted((r.person_track_id, r.vehicle_track_id) for r in got) == [(p, v) for p in range(0, 400, 4) for v in range(400) if v % 4]
     assert len({r.task for r in got}) > 2
+
+
+def _clustered(n: int) -> list[int]:
+    """Prints in dense clusters, as those of texts in one language are, beside lone ones."""
+    rng = random.Random(71)
+    centre = [rng.getrandbits(64) for _ in range(3)]
+    dense = {c ^ sum(1 << b for b in rng.sample(range(40), rng.randrange(5))) for c in centre for _ in range(n // 4)}
+    return sorted({x - 2**63 for x in [*dense, *(rng.getrandbits(64) for _ in range(n // 4))]})
+
+
+def _apart(a: int, b: int) -> int:
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+@pytest.mark.parametrize("key_block", [40, 4_096])
+def test_dense_prints_give_all_pairs_and_few_links(spark, monkeypatch, key_block):
+    monkeypatch.setattr(du, "KEY_BLOCK", key_block)
+    prints = _clustered(1_200)
+    df = spark.createDataFrame([(p, 10 * i + k) for i, p in enumerate(prints) for k in range(1 + i % 2)], "print long, id long")
+    want = {(a, b): _apart(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if _apart(a, b) <= 6}
+    place = {p: 10 * i for i, p in enumerate(prints)}
+    got = du.near_pairs(df, 6, "id").collect()
+    assert sorted((r.a, r.b, r.distance, r.a_name, r.b_name) for r in got) == sorted((a, b, d, place[a], place[b]) for (a, b), d in want.items())
+    # Components need no pairs: links grow with the prints, and connect the same.
+    links = du.near_links(df, 6, "id")
+    masks = len(du.block_masks(6, len(prints)))
+    n = links.distinct().count()
+    assert n < min(len(want) / 2, masks * len(prints))
+    edges = spark.createDataFrame([(place[a], place[b]) for a, b in want], "x long, y long")
+    assert sorted(map(tuple, du.connected(links, df).collect())) == sorted(map(tuple, du.connected(edges, df).collect()))
+    # Crowded keys: pairs of their lists meet in more than one task.
+    left, right = df.where(F.col("id") % 30 < 20), df.where(F.col("id") % 30 >= 10)
+    of = lambda side: {r.print: r.id for r in side.groupBy("print").agg(F.min("id").alias("id")).collect()}
+    lows, highs = of(left), of(right)
+    near = du.near_overlap(left, right, 6, named=True).collect()
+    assert sorted((r.candidate, r.reference, r.distance) for r in near) == sorted((x, y, _apart(a, b)) for a, x in lows.items() for b, y in highs.items() if _apart(a, b) <= 6)
+
+
+def test_overlap_counts_references_of_other_digests(spark):
+    rng = random.Random(5)
+    prints = [0, 1, 3, 1 << 20, (1 << 20) + 7, 12_345_678_901]
+    table = lambda start: [(start + i, rng.choice(["a", "b", "c", "d", f"own{start + i}", None]), rng.choice(prints)) for i in range(120)]
+    left, right = table(0), table(1_000)
+    df = lambda rows: spark.createDataFrame(rows, "id long, sha string, print long")
+    got = du.overlap_report(df(left), {"r": df(right)}, threshold=2)
+    want = []
+    for c, cs, cp in left:
+        if same := [r for r, rs, _ in right if rs == cs and cs is not None]:
+            want.append((c, "r", "EXACT", min(same), len(same)))
+        for p in prints:
+            if _apart(cp, p) <= 2 and (other := [r for r, rs, rp in right if rp == p and None not in (rs, cs) and rs != cs]):
+                want.append((c, "r", "NEAR", min(other), len(other)))
+    assert sorted((r.candidate, r.dataset, r.match_type, r.reference, r.references) for r in got.collect()) == sorted(want)
