@@ -381,3 +381,41 @@ def test_overlap_counts_references_of_other_digests(spark):
             if _apart(cp, p) <= 2 and (other := [r for r, rs, rp in right if rp == p and None not in (rs, cs) and rs != cs]):
                 want.append((c, "r", "NEAR", min(other), len(other)))
     assert sorted((r.candidate, r.dataset, r.match_type, r.reference, r.references) for r in got.collect()) == sorted(want)
+
+
+def _overlapping(rng, n: int, images: int):
+    """Boxes that often overlap, of two classes; the first image holds a third of them."""
+    at = lambda i: 0 if i % 3 == 0 else rng.randrange(1, images)
+    return [(at(i), i, rng.choice(["a", "b"]), x := rng.randrange(90), y := rng.randrange(90), x + rng.randrange(15, 30), y + rng.randrange(15, 30)) for i in range(n)]
+
+
+def test_best_targets_of_crowded_images_and_others(spark):
+    rng = random.Random(72)
+    truth = spark.createDataFrame([tuple(map(float, r[3:])) + r[:3] for r in _overlapping(rng, 400, 40)], "x1 double, y1 double, x2 double, y2 double, image_id long, gt int, class_name string")
+    preds = spark.createDataFrame([tuple(map(float, r[3:])) + r[:3] for r in _overlapping(rng, 500, 60)], "x1 double, y1 double, x2 double, y2 double, image_id long, pred int, class_name string")
+    got = [sorted(map(tuple, el.best_targets(truth, preds, ["class_name"], crowd).select("image_id", "pred", "class_name", "gt", "iou", "taken").collect()), key=str) for crowd in (0, 100, 10_000)]
+    assert got[0] == got[1] == got[2]
+    assert len(got[0]) == 500
+    assert sum(r[5] is not None for r in got[0]) > 10
+    # The rule, threshold by threshold, from the pairs.
+    pairs = [tuple(r) for r in el.candidate_matches(truth, preds).collect()]
+    want = set()
+    for t in el.THRESHOLDS:
+        best, first = {}, {}
+        for image, gt, pred, iou in pairs:
+            if iou >= t:
+                best[image, pred] = min(best.get((image, pred), (0, 0)), (-iou, gt))
+        for (image, pred), (_, gt) in best.items():
+            first[image, gt] = min(first.get((image, gt), pred), pred)
+        want |= {(image, t, pred, gt) for (image, gt), pred in first.items()}
+    assert {tuple(r) for r in el.match_predictions(truth, preds).collect()} == want
+
+
+def test_matches_shuffle_only_the_boxes(spark):
+    from lanewise.plans.governance_queries import Datasets
+
+    d = Datasets(spark, "/root/testdata/sf0.001")
+    plan = el.match_predictions(d.truth, d.predictions)._jdf.queryExecution().executedPlan().toString()
+    # Boxes are dealt by image when they get their numbers; ten thresholds, cells and ranks used to be four more shuffles.
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Generate" not in plan.split("SortMergeJoin")[-1]
