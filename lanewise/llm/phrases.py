@@ -6,6 +6,9 @@ proportion of it: support * (words of the shard) / (words of the language). Ever
 completely at that lowered support, level by level: a phrase is counted only where both its parts
 without the last and without the first word are locally frequent.
 
+*Possible phrases.* With very many shards local supports fall to one, and all phrases would be named. Then hashes of phrases
+of one, two and three words are counted over all text first, length by length, and shards name what is made of possible ones.
+
 *Union.* Locally frequent phrases, packed by a hash of their words, come together with the counts that are known. A shard that didn't name a phrase
 holds it less often than its local support, which bounds what is still unknown; a phrase whose
 bound stays below the support is no candidate. Where local support is one, as in corpora of very many shards, every
@@ -21,7 +24,8 @@ digits, and the division keeps whole numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ SUPPORT, MOST_WORDS, TOP = 100, 5, 2_000
 SHARD_BYTES = 20 << 20
 #: Phrases of a trie that is sent to all tasks, at most, and their bytes.
 TRIE_PHRASES, TRIE_BYTES = 2_000_000, 64 << 20
+#: Words of the phrases whose hashes are counted over all text before shards of a low local support are mined.
+FILTERED_WORDS = 3
 #: Counts of a block that is added up at once.
 BLOCK = 4_096
 #: Bytes of text for each bucket of phrases that come together in one task, about.
@@ -125,12 +131,18 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def frequent(x: np.ndarray, least: int, most_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """For each length a position and the count of every phrase that occurs ``least`` times or more."""
+def frequent(x: np.ndarray, least: int, most_words: int, possible: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each length a position and the count of every phrase that occurs ``least`` times or more.
+
+    ``possible`` takes a length and places, and says which of the phrases there can be wanted; no phrase that holds another is then looked at.
+    """
     inside = np.flatnonzero(x).astype(np.int32)
     base = int(x.max(initial=0)) + 1
     code = x[inside].astype(np.int64)
     for m in range(1, most_words + 1):
+        if possible:
+            wanted = possible(m, inside)
+            inside, code = inside[wanted], code[wanted]
         if not len(inside):
             return
         order = np.argsort(code).astype(np.int32)
@@ -172,11 +184,85 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[dic
 _MINED = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("m", pa.int32()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("slack", pa.int64())])
 
 
-def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_bytes: int, buckets: int) -> DataFrame:
+def _phrase_hashes(lang: str, hashes: np.ndarray, x: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """A hash of the language and the ``m`` words from each place on; ``hashes`` are those of the word numbers."""
+    h = np.full(len(at), zlib.crc32(lang.encode("utf-8", "surrogatepass")), np.uint64)
+    for k in range(m):
+        h = mix64(h + hashes[x[at + k]])
+    return h
+
+
+def _among(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h if len(sorted_) else np.zeros(len(h), bool)
+
+
+def _possible(docs: DataFrame, support: int, most_words: int, shard_bytes: int, buckets: int, most: int) -> list[np.ndarray]:
+    """For lengths from 1 on the sorted hashes of the phrases that hold the support over all text: a phrase whose hash isn't there can't hold it.
+
+    Length by length, over the phrases both of whose parts are there; of every shard only hashes and counts are shuffled. Two
+    phrases with one hash add up, which lets one more through and loses none. Ends before a length of more than ``most`` hashes.
+    """
+    spark, out = docs.sparkSession, []
+    for m in range(1, min(FILTERED_WORDS, most_words) + 1):
+        sent = spark.sparkContext.broadcast(list(out))
+
+        def work(batches: Iterator[pa.RecordBatch], m: int = m, sent=sent) -> Iterator[pa.RecordBatch]:
+            for held in _shards(batches, shard_bytes):
+                for lang in list(held):
+                    words = Words(held.pop(lang))
+                    number, one = words.numbers()
+                    x = words.pieces(number)
+                    if not len(number):
+                        continue
+                    hashes = words.hashes[one]
+                    at = np.flatnonzero(x)
+                    for k, known in enumerate(sent.value, 1):  # places where a phrase of k words begins that can hold the support
+                        begins = np.zeros(len(x), bool)
+                        begins[at] = _among(known, _phrase_hashes(lang, hashes, x, at, k))
+                        at = np.flatnonzero(begins[:-1] & begins[1:])
+                    h, n = np.unique(_phrase_hashes(lang, hashes, x, at, m), return_counts=True)
+                    # Sorted hashes of a bucket lie together: a bucket is a range.
+                    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                    present, begin = np.unique(bucket, return_index=True)
+                    offsets = pa.array(np.r_[begin, len(h)].astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (h.view(np.int64), n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *lists], ["bucket", "hashes", "counts"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def wanted(held: list[tuple]) -> pa.RecordBatch:
+                h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([x for _, x in held]), len(h))
+                return pa.RecordBatch.from_arrays([pa.array(h[n >= support])], ["h"])
+
+            of, held = None, []
+            for b in batches:
+                for i, bucket in enumerate(b["bucket"].to_pylist()):
+                    if bucket != of and held:
+                        yield wanted(held)
+                        held = []
+                    of = bucket
+                    held.append((b["hashes"][i].values.to_numpy(), b["counts"][i].values.to_numpy()))
+            if held:
+                yield wanted(held)
+
+        counted = docs.mapInArrow(work, "bucket int, hashes array<long>, counts array<int>").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        found = write_scratch(counted.mapInArrow(add, "h long"), "phrase-hashes")
+        few = found.count() <= most
+        if few:
+            out.append(np.sort(found.toArrow()["h"].to_numpy().view(np.uint64)))
+        drop_scratch(found)
+        if not few:
+            break
+    return out
+
+
+def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_words: int, shard_bytes: int, buckets: int, hashes_known: list[np.ndarray] | None = None) -> DataFrame:
     """(bucket, lang, m, phrases, counts, slack): locally frequent phrases of every shard, packed by a hash; with ``m`` 0, a row for the shard alone.
 
-    ``slack`` is how often the shard may hold a phrase that it doesn't name. Without ``totals`` every phrase is named.
+    ``slack`` is how often the shard may hold a phrase that it doesn't name. Without ``totals`` every phrase is named; with
+    ``hashes_known`` (see :func:`_possible`) only phrases that these let through, and the slack is that of phrases with the support.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(hashes_known or [])
 
     def shard(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang in list(held):
@@ -191,7 +277,9 @@ def _mined(docs: DataFrame, totals: dict[str, int] | None, support: int, most_wo
             del number
             words.hashes = None
             name: dict[int, str] = {}
-            for first, counts, m in frequent(x, least, most_words):
+            known = sent.value
+            possible = (lambda m, at: _among(known[m - 1], _phrase_hashes(lang, hashes, x, at, m)) if m <= len(known) else np.ones(len(at), bool)) if known else None  # noqa: B023
+            for first, counts, m in frequent(x, least, most_words, possible):
                 if m == 1:
                     name = {i: words.text(one[i]).decode("utf-8", "replace") for i in x[first].tolist()}
                 for lo in range(0, len(first), 100_000):
@@ -366,7 +454,9 @@ def phrase_counts(
     if docs.rdd.getNumPartitions() > shards:
         docs = docs.coalesce(shards)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    mined = write_scratch(_mined(docs, known, support, most_words, shard_bytes, buckets), "phrase-shards")
+    # With so many shards the local support falls to two and then to one, where shards name nearly all their phrases: first it is found which ones are possible.
+    hashes = _possible(docs, support, most_words, shard_bytes, buckets, trie_phrases) if size // shard_bytes >= support // 2 else None
+    mined = write_scratch(_mined(docs, known, support, most_words, shard_bytes, buckets, hashes), "phrase-shards")
     slack = {r["lang"]: r["slack"] for r in mined.where("m = 0 and slack > 0").groupBy("lang").agg(F.sum("slack").alias("slack")).collect()}
     candidates = write_scratch(_united(mined, slack, support, buckets), "phrase-candidates")
     drop_scratch(mined)
@@ -376,7 +466,7 @@ def phrase_counts(
     elif found["n"] <= trie_phrases and found["bytes"] <= TRIE_BYTES:
         counts = _counted(docs, candidates, shard_bytes)
     else:
-        every = _mined(docs, None, support, most_words, shard_bytes, buckets)
+        every = _mined(docs, None, support, most_words, shard_bytes, buckets, hashes)
         counts = _united(every, {}, support, buckets).select("lang", "m", "phrase", "n")
     return write_scratch(counts.where(F.col("n") >= support), "phrase-counts"), totals
 

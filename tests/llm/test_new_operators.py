@@ -430,3 +430,19 @@ def test_five_thousand_sources_are_packed(spark):
     spans = sorted((r.sequence_id * 1024 + r.offset, r.length) for r in got)
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
     assert len({r.doc_id for r in got}) == 10_000
+
+
+def test_many_shards_name_possible_phrases_only(spark):
+    rng = random.Random(17)
+    rows = [(" ".join(rng.choice(["the cat sat", "on a mat", f"w{rng.randrange(3_000)}", f"w{rng.randrange(40)}"]) for _ in range(40)), rng.choice(["en", "de"])) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    known = phrases._possible(docs, 20, 5, 2_000, 8, 10_000)
+    assert len(known) == phrases.FILTERED_WORDS
+    totals = {lang: sum(len(t.split()) for t, x in rows if x == lang) for lang in ("en", "de")}
+    named = lambda hashes: phrases._mined(docs, totals, 20, 5, 2_000, 8, hashes).where("m > 0").selectExpr("sum(size(phrases))").first()[0]
+    assert named(known) < named(None) / 3
+    counts, _ = phrases.phrase_counts(docs, 20, 5, 2_000)
+    want = Counter((lang, " ".join(w[i : i + m])) for t, lang in rows for w in [t.split()] for m in range(1, 6) for i in range(len(w) - m + 1))
+    assert {(r.lang, r.phrase): r.n for r in counts.collect()} == {k: n for k, n in want.items() if n >= 20}
+    # Too many hashes of a length: it and longer ones are left unfiltered.
+    assert phrases._possible(docs, 20, 5, 2_000, 8, 5) == []
